@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "checks.oracle_urls",
+    "checks.oracle_text",
 )
 
 

@@ -23,7 +23,7 @@ def words(x: str) -> str:
 
 
 def word_count(x: str) -> str:
-    return f"len({words(x)})"
+    return f"CAST(len({words(x)}) AS INTEGER)"
 
 
 def collapse_ws(x: str) -> str:

@@ -66,7 +66,7 @@ def curate_corpus(docs: DataFrame, min_quality: float = 0.5,
     task forwards at most one row per hash.
     """
     t = F.col("text")
-    cleaned = X.fold_ascii(t)
+    cleaned = X.clean_text(t)
     scored = (docs.select("doc_id", "text", "source")
               .where(X.is_valid_content(t))
               .where((F.length(t) >= min_len) & (F.length(t) <= max_len))
@@ -75,5 +75,4 @@ def curate_corpus(docs: DataFrame, min_quality: float = 0.5,
               .withColumn("content_hash", F.md5(cleaned)))
     w = Window.partitionBy("content_hash").orderBy("doc_id")
     return (scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-            .select("doc_id", "source", "quality", "content_hash",
-                    F.length(t).alias("n_chars")))
+            .select("doc_id", "source", "quality", F.length(t).alias("n_chars")))

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "webspin.plans.catalog_urls",
+    "webspin.plans.catalog_text",
 )
 
 
