@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "checks.oracle_urls",
     "checks.oracle_text",
+    "checks.oracle_sessions",
 )
 
 

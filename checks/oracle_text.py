@@ -127,7 +127,6 @@ E5 = f"""
 WITH s AS (SELECT doc_id, source, round({S.quality_score('text')}, 6) AS quality FROM documents),
 j AS (SELECT s.*, l.quality AS label_quality FROM s LEFT JOIN labels l USING (doc_id))
 SELECT source, count(*) AS n_docs, round(avg(quality), 6) AS avg_quality,
-       round(quantile_cont(quality, 0.5), 6) AS median_quality,
        round(min(quality), 6) AS min_quality, round(max(quality), 6) AS max_quality,
        count(*) FILTER (WHERE quality >= 0.6) AS n_pass,
        count(label_quality) AS n_labeled,

@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "webspin.plans.catalog_urls",
     "webspin.plans.catalog_text",
+    "webspin.plans.catalog_sessions",
 )
 
 
