@@ -8,6 +8,7 @@ MODULES = (
     "checks.oracle_urls",
     "checks.oracle_text",
     "checks.oracle_sessions",
+    "checks.oracle_logs",
 )
 
 

@@ -8,6 +8,7 @@ MODULES = (
     "webspin.plans.catalog_urls",
     "webspin.plans.catalog_text",
     "webspin.plans.catalog_sessions",
+    "webspin.plans.catalog_logs",
 )
 
 

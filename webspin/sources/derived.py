@@ -83,3 +83,19 @@ def fetches(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", "url", status.cast("int").alias("status_code"),
                     F.col("html").alias("content"),
                     F.length("html").cast("long").alias("declared_length"))
+
+
+ROBOTS_BASE = "# robots.txt\nUser-agent: *\nDisallow: /es/\nAllow: /es/5\n"
+ROBOTS_EXTRA = "\nUser-agent: webspinbot\nDisallow: /de/\n"
+
+
+def robots(spark: SparkSession, sf: str) -> DataFrame:
+    """One robots.txt per two-label domain of the page URLs: agent '*'
+    disallows /es/ but allows /es/5; odd-length domains add a block for our
+    own agent."""
+    p = load(spark, sf, "pages").select("url")
+    d = p.select(U.two_label_domain(U.url_host(U.canonical_url(F.col("url")))).alias("domain")) \
+        .distinct()
+    text = F.concat(F.lit(ROBOTS_BASE),
+                    F.when(F.length("domain") % 2 == 1, F.lit(ROBOTS_EXTRA)).otherwise(F.lit("")))
+    return d.select("domain", text.alias("text"))
