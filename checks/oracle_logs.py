@@ -63,7 +63,7 @@ app AS (SELECT keys.*, limit_type, "limit", "window" FROM keys JOIN lim
         ON keys.scope = lim.scope AND keys.key = lim.key WHERE "window" > 0),
 g AS (SELECT identifier, scope, key, limit_type, "limit", "window", count(*) AS made, min(ts) AS window_start
       FROM app WHERE epoch_us(ts) <= epoch_us({AT})
-                 AND epoch_us(ts) > epoch_us({AT}) - "window" * 1000000
+                 AND epoch_us(ts) > epoch_us({AT}) - CAST("window" AS BIGINT) * 1000000::BIGINT
       GROUP BY ALL)
 SELECT identifier, scope, key, limit_type, "limit", "window", made,
        greatest("limit" - made, 0.0::DOUBLE) AS remaining,

@@ -9,6 +9,7 @@ MODULES = (
     "webspin.plans.catalog_text",
     "webspin.plans.catalog_sessions",
     "webspin.plans.catalog_logs",
+    "webspin.plans.catalog_search",
 )
 
 
