@@ -9,6 +9,8 @@ MODULES = (
     "checks.oracle_text",
     "checks.oracle_sessions",
     "checks.oracle_logs",
+    "checks.oracle_search",
+    "checks.oracle_html",
 )
 
 

@@ -10,6 +10,7 @@ MODULES = (
     "webspin.plans.catalog_sessions",
     "webspin.plans.catalog_logs",
     "webspin.plans.catalog_search",
+    "webspin.plans.catalog_html",
 )
 
 
