@@ -99,7 +99,8 @@ def canonical_url(url: Column) -> Column:
     path = parts["path"]
     path = F.when(path.endswith("/") & (F.length(path) > 1),
                   F.substring(path, F.lit(1), F.length(path) - 1)).otherwise(path)
-    q = filter_query(parts["query"])
+    # higher-order functions only for URLs that carry a query string
+    q = F.when(parts["query"] == "", F.lit("")).otherwise(filter_query(parts["query"]))
     norm = F.concat(F.lit("https://"), host, path,
                     F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
     return F.when(url.isNull() | (url == ""), F.lit("")).otherwise(norm)
@@ -230,7 +231,8 @@ def resolve_link(base: Column, href: Column) -> Column:
         .when(bquery != "", F.concat(F.lit("?"), bquery)).otherwise(F.lit("")),
         F.when(has_frag & (hfragment != ""), F.concat(F.lit("#"), hfragment)).otherwise(F.lit("")))
     joined = (
-        F.when((hscheme != "") & (hscheme != bscheme), h)
+        F.when(h == "", b)
+        .when((hscheme != "") & (hscheme != bscheme), h)
         .when(h_rel.startswith("//"), F.concat(bscheme, F.lit(":"), h_rel))
         .when(hpath == "", no_path)
         .when(hpath.startswith("/"), F.concat(prefix, abs_path, tail))
