@@ -149,7 +149,9 @@ def detect_language(c: Column, mode: str = "page") -> Column:
         min_len, n_first, es, en, floor = 50, 200, PAGE_SPANISH_WORDS, PAGE_ENGLISH_WORDS, 5
     else:
         min_len, n_first, es, en, floor = 20, 100, TEXT_SPANISH_WORDS, TEXT_ENGLISH_WORDS, None
-    first = F.slice(words(F.lower(t)), 1, n_first)
+    # exactly the first n words (the rest of the text cannot change them)
+    head = F.regexp_extract(t, "(?U)^(?:[\\s\\x1c-\\x1f]*[^\\s\\x1c-\\x1f]+){0,%d}" % n_first, 0)
+    first = F.slice(words(F.lower(head)), 1, n_first)
     es_arr, en_arr = lit_array(es), lit_array(en)
     n_es = F.size(F.filter(first, lambda w: F.array_contains(es_arr, w)))
     n_en = F.size(F.filter(first, lambda w: F.array_contains(en_arr, w)))
@@ -198,8 +200,11 @@ def quality_score(c: Column) -> Column:
 def is_valid_content(c: Column) -> Column:
     """Long enough after trim and free of the invalid patterns."""
     t = F.coalesce(c, F.lit(""))
-    alternation = "|".join(INVALID_PATTERNS)
-    return (F.length(strip_ws(t)) >= 10) & ~F.lower(t).rlike(alternation)
+    low = F.lower(t)
+    hit = F.lit(False)
+    for p in INVALID_PATTERNS:  # all plain literals: substring search
+        hit = hit | (F.instr(low, p) > 0)
+    return (F.length(strip_ws(t)) >= 10) & ~hit
 
 
 # The same four patterns spelled with explicit Unicode classes, so Java and

@@ -235,6 +235,7 @@ def resolve_link(base: Column, href: Column) -> Column:
         .when((hscheme != "") & (hscheme != bscheme), h)
         .when(h_rel.startswith("//"), F.concat(bscheme, F.lit(":"), h_rel))
         .when(hpath == "", no_path)
+        .when(hpath.startswith("/") & (F.instr(hpath, "/.") == 0), F.concat(prefix, hpath, tail))
         .when(hpath.startswith("/"), F.concat(prefix, abs_path, tail))
         .otherwise(F.concat(prefix, rel_path, tail)))
     return F.when(h.startswith("http://") | h.startswith("https://"), h).otherwise(joined)
