@@ -69,9 +69,13 @@ def search_results(spark: SparkSession, sf: str) -> DataFrame:
         "url",
         F.substring(X.clean_snippet(F.col("html")), 1, 300).alias("snippet"),
         F.element_at(engines, (F.col("page_id") % 4 + 1).cast("int")).alias("source_engine"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("query").orderBy("page_id")
-    return out.withColumn("rank", F.row_number().over(w)) \
+    # rank = row_number within the query; a query (language) holds a large
+    # share of all pages, so it is computed as a skew-safe prefix count
+    from webspin.plans.scan import keyed_prefix
+
+    ranked = keyed_prefix(out.withColumn("_one", F.lit(1).cast("long")), "query", ["page_id"],
+                          "_one", "rank", op="sum", inclusive=True).drop("_one")
+    return ranked.withColumn("rank", F.col("rank").cast("int")) \
         .withColumn("domain", U.two_label_domain(U.url_host(U.canonical_url(F.col("url")))))
 
 
