@@ -77,12 +77,22 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-@F.pandas_udf(T.StringType())
-def nfkd(s: pd.Series) -> pd.Series:
-    """Unicode NFKD: the one text step with no Catalyst function."""
+def _nfkd_pandas(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKD", x) if isinstance(x, str) else x)
 
 
+try:  # Arrow-native UDF: whole batches normalised in C++ (utf8proc)
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    @F.arrow_udf(T.StringType())
+    def nfkd(a: pa.Array) -> pa.Array:
+        """Unicode NFKD: the one text step with no Catalyst function."""
+        return pc.utf8_normalize(a, form="NFKD")
+except (AttributeError, ImportError):  # older PySpark: Arrow-batched pandas UDF
+    nfkd = F.pandas_udf(_nfkd_pandas, T.StringType())
+
+
 def words(c: Column) -> Column:
     """str.split(): whitespace split without empty pieces."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), J_WS_RUN), lambda w: w != "")
@@ -97,8 +107,14 @@ def collapse_ws(c: Column) -> Column:
     return F.regexp_replace(c, J_WS_RUN, " ")
 
 
+J_LEAD = "(?U)^[\\s\\x1c-\\x1f]+"
+
+
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, J_STRIP, "")
+    """str.strip(): both ends anchored at the start (the end via reverse),
+    so no unanchored end-of-text search over long documents."""
+    lead = F.regexp_replace(c, J_LEAD, "")
+    return F.reverse(F.regexp_replace(F.reverse(lead), J_LEAD, ""))
 
 
 def clean_text_after_nfkd(c: Column) -> Column:
@@ -149,9 +165,10 @@ def detect_language(c: Column, mode: str = "page") -> Column:
         min_len, n_first, es, en, floor = 50, 200, PAGE_SPANISH_WORDS, PAGE_ENGLISH_WORDS, 5
     else:
         min_len, n_first, es, en, floor = 20, 100, TEXT_SPANISH_WORDS, TEXT_ENGLISH_WORDS, None
-    # exactly the first n words (the rest of the text cannot change them)
-    head = F.regexp_extract(t, "(?U)^(?:[\\s\\x1c-\\x1f]*[^\\s\\x1c-\\x1f]+){0,%d}" % n_first, 0)
-    first = F.slice(words(F.lower(head)), 1, n_first)
+    # exactly the first n words: split stops after n + 1 cuts (a leading
+    # empty piece and the unsplit remainder are never among them)
+    pieces = F.filter(F.split(t, J_WS_RUN, n_first + 2), lambda w: w != "")
+    first = F.transform(F.slice(pieces, 1, n_first), lambda w: F.lower(w))
     es_arr, en_arr = lit_array(es), lit_array(en)
     n_es = F.size(F.filter(first, lambda w: F.array_contains(es_arr, w)))
     n_en = F.size(F.filter(first, lambda w: F.array_contains(en_arr, w)))
@@ -167,7 +184,7 @@ def count_contained(lower_text: Column, phrases) -> Column:
     """Number of distinct phrases that occur as a substring (each once)."""
     total = F.lit(0)
     for p in phrases:
-        total = total + F.when(F.instr(lower_text, p) > 0, 1).otherwise(0)
+        total = total + F.when(lower_text.contains(p), 1).otherwise(0)
     return total
 
 
@@ -203,7 +220,7 @@ def is_valid_content(c: Column) -> Column:
     low = F.lower(t)
     hit = F.lit(False)
     for p in INVALID_PATTERNS:  # all plain literals: substring search
-        hit = hit | (F.instr(low, p) > 0)
+        hit = hit | low.contains(p)
     return (F.length(strip_ws(t)) >= 10) & ~hit
 
 

@@ -48,12 +48,28 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Guarantee enough input tasks for CPU-heavy per-row work.
+
+    A large table already scans as thousands of splits and is returned
+    unchanged (no shuffle). A table stored as one unsplittable row group
+    scans as a single task; it is round-robin repartitioned to the cluster's
+    default parallelism. Filters and column pruning still push below it.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
+def load(spark: SparkSession, sf_dir: str, table: str, spread_small: bool = True) -> DataFrame:
     """A1: scan one table. Known tables get an explicit schema."""
     reader = spark.read
     if table in SCHEMAS:
         reader = reader.schema(SCHEMAS[table])
-    return reader.parquet(table_path(sf_dir, table))
+    df = reader.parquet(table_path(sf_dir, table))
+    return spread(df) if spread_small else df
 
 
 MAX_BYTES = 10 * 1024 * 1024
