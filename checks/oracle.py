@@ -11,6 +11,7 @@ MODULES = (
     "checks.oracle_logs",
     "checks.oracle_search",
     "checks.oracle_html",
+    "checks.oracle_payloads",
 )
 
 
