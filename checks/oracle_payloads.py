@@ -178,3 +178,26 @@ ORACLE = {
     "H4_cache_hit_rate": H4,
     "G4_robots_refresh_points": G4,
 }
+
+A7 = f"""
+WITH {SR}
+SELECT query, CAST(1 AS INTEGER) AS rank, {S.clean_snippet('title')} AS title, url,
+       {S.clean_snippet('snippet')} AS snippet
+FROM sr WHERE {S.clean_snippet('title')} <> ''
+"""
+
+
+def _unescape(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = f"replace({x}, {S.q(ent)}, {S.q(ch)})"
+    return x
+
+
+_TITLE_RAW = _unescape(f"regexp_extract(html, {S.q(TITLE_RE)}, 1)")
+
+D3 = f"""
+SELECT page_id, CASE WHEN length(t) BETWEEN 5 AND 200 THEN {S.fold_ascii('t')} END AS title
+FROM (SELECT page_id, trim({_TITLE_RAW}) AS t FROM pages)
+"""
+
+ORACLE.update({"A7_parse_serp_html": A7, "D3_titles": D3})

@@ -173,4 +173,5 @@ ORACLE = {
     "E5_quality_report": E5,
     "D2_page_types": D2,
     "X12_curate_corpus": X12,
+    "A10_write_corpus": X12,
 }
