@@ -72,7 +72,7 @@ def window_counts(log: DataFrame, window_s: int, limit: float, key: str = "ident
 def gap_violations(log: DataFrame, min_gap_s: float, key: str = "identifier",
                    id_col: str = "event_id") -> DataFrame:
     """First request passes; later ones need now - previous >= gap."""
-    base = log.withColumn("_t_us", micros(F.col("ts")))
+    base = log.select(key, id_col, "ts", micros(F.col("ts")).alias("_t_us"))
     prev = keyed_prefix(base, key, ["_t_us", id_col], "_t_us", "_prev_us", op="max", inclusive=False)
     gap = (F.col("_t_us") - F.col("_prev_us")) / F.lit(1_000_000.0)
     return prev.withColumn("gap_s", gap) \
@@ -91,8 +91,9 @@ def backoff(counts: DataFrame, window_s: int, key: str = "identifier",
             id_col: str = "event_id") -> DataFrame:
     """I5 over I2's output: delay a violation would impose, given the number
     of earlier violations of the same identifier."""
-    base = counts.withColumn("_v", F.col("violation").cast("long")) \
-        .withColumn("_t_us", micros(F.col("ts")))
+    base = counts.select(key, id_col, "ts", "n_in_window", "violation",
+                         F.col("violation").cast("long").alias("_v"),
+                         micros(F.col("ts")).alias("_t_us"))
     pre = keyed_prefix(base, key, ["_t_us", id_col], "_v", "violations_before", op="sum",
                        inclusive=False)
     return pre.withColumn("backoff_s", backoff_delay(F.lit(window_s), F.col("violations_before"))) \
@@ -130,8 +131,8 @@ def pace_requests(log: DataFrame, gap_s: float = 2.0, key: str = "identifier",
                   id_col: str = "event_id") -> DataFrame:
     """start_i = i*gap + max_{j<=i}(arrive_j - j*gap) — each start at
     least ``gap`` after the previous one. Two skew-safe prefix scans."""
-    base = log.withColumn("_t_us", micros(F.col("ts"))) \
-        .withColumn("_one", F.lit(1).cast("long"))
+    base = log.select(key, id_col, micros(F.col("ts")).alias("_t_us"),
+                      F.lit(1).cast("long").alias("_one"))
     idx = keyed_prefix(base, key, ["_t_us", id_col], "_one", "_i", op="sum", inclusive=False)
     arrive = F.col("_t_us") / F.lit(1_000_000.0)
     a = idx.withColumn("arrive_s", arrive) \
@@ -142,20 +143,37 @@ def pace_requests(log: DataFrame, gap_s: float = 2.0, key: str = "identifier",
         .drop("_t_us", "_one", "_i", "_a", "_m")
 
 
+def sliding_oldest(df: DataFrame, key: str, t_us: str, id_col: str, window_s: int,
+                   out: str = "_oldest_us") -> DataFrame:
+    """Earliest time of the key's rows with time > t - w (skew-safe).
+
+    A prefix max of -time in descending time order, read at a probe row
+    placed at t - w (probes sort before rows of equal time, so the bound is
+    strict); joined back by id.
+    """
+    w_us = int(window_s) * 1_000_000
+    real = df.select(F.col(key).alias("_k"), (-F.col(t_us)).alias("_nt"), F.lit(1).alias("_r"),
+                     F.col(id_col).alias("_id"), (-F.col(t_us)).cast("double").alias("_v"))
+    probe = df.select(F.col(key).alias("_k"), (F.lit(w_us) - F.col(t_us)).alias("_nt"),
+                      F.lit(0).alias("_r"), F.col(id_col).alias("_id"),
+                      F.lit(None).cast("double").alias("_v"))
+    scanned = keyed_prefix(real.unionByName(probe), "_k", ["_nt", "_r", "_id"], "_v", "_m",
+                           op="max", inclusive=True)
+    oldest = scanned.where("_r = 0").select(F.col("_id").alias(id_col), (-F.col("_m")).alias(out))
+    return df.join(oldest, id_col, "left")
+
+
 def tool_window_waits(log: DataFrame, n: int, window_s: int = 60, key: str = "identifier",
                       id_col: str = "event_id") -> DataFrame:
     """If n earlier calls lie in the last window, wait until the oldest
-    of them leaves; the logged stamp is the pre-wait time."""
-    from pyspark.sql import Window
-
-    t = micros(F.col("ts"))
-    w = (Window.partitionBy(key).orderBy(t)
-         .rangeBetween(-int(window_s) * 1_000_000 + 1, -1))
-    x = log.withColumn("n_in_window", F.count(F.lit(1)).over(w)) \
-        .withColumn("_oldest", F.min(t).over(w))
-    wait = F.lit(float(window_s)) - (t - F.col("_oldest")) / F.lit(1_000_000.0)
-    return x.withColumn("wait_s", F.when(F.col("n_in_window") >= n, F.greatest(wait, F.lit(0.0)))
-                        .otherwise(F.lit(0.0))).drop("_oldest")
+    of them leaves; the logged stamp is the pre-wait time. Both the count and
+    the oldest time are skew-safe prefix scans (no per-identifier window)."""
+    base = log.withColumn("_t_us", micros(F.col("ts")))
+    c = sliding_count(base, key, "_t_us", id_col, window_s)
+    o = sliding_oldest(c, key, "_t_us", id_col, window_s)
+    wait = F.lit(float(window_s)) - (F.col("_t_us") - F.col("_oldest_us")) / F.lit(1_000_000.0)
+    return o.withColumn("wait_s", F.when(F.col("n_in_window") >= n, F.greatest(wait, F.lit(0.0)))
+                        .otherwise(F.lit(0.0))).drop("_oldest_us", "_t_us")
 
 
 def retry_schedule(df: DataFrame, retries: int = 3, base_s: float = 1.0) -> DataFrame:

@@ -102,7 +102,7 @@ def number_steps(steps: DataFrame) -> DataFrame:
     """Step counter = successes strictly before this action."""
     from webspin.plans.scan import keyed_prefix
 
-    ok = steps.withColumn("_ok", F.col("success").cast("long"))
+    ok = steps.select("session_id", "event_id", "ts", F.col("success").cast("long").alias("_ok"))
     return keyed_prefix(ok, "session_id", ["ts", "event_id"], "_ok", "step",
                         op="sum", inclusive=False).drop("_ok")
 
@@ -111,7 +111,8 @@ def reasoning_lines(steps: DataFrame, max_input: int = 500) -> DataFrame:
     """J9: 'Step i: Used <tool> with input: <input>' per action in order."""
     from webspin.plans.scan import keyed_prefix
 
-    one = steps.withColumn("_one", F.lit(1).cast("long"))
+    one = steps.select("session_id", "event_id", "ts", "tool", "tool_input",
+                       F.lit(1).cast("long").alias("_one"))
     numbered = keyed_prefix(one, "session_id", ["ts", "event_id"], "_one", "step_no",
                             op="sum", inclusive=True)
     return numbered.select(

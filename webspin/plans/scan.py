@@ -92,7 +92,11 @@ def keyed_prefix(df: DataFrame, key: str, order: list[str], val: str, out: str,
         T.StructField(out, T.DoubleType()), T.StructField("_pid", T.IntegerType()),
         T.StructField("_tot", T.DoubleType())])
     scanned = ranged.mapInPandas(_local_scan(key, val, out, op, inclusive, "double"), schema)
-    # per (key, partition) total (order-independent, so ties cannot skew it)
+    # Per (key, partition) totals from the scan's own output: Catalyst cannot
+    # prune through mapInPandas, so both branches share one range exchange
+    # (one sampling, identical partition ids). Totals are order-independent,
+    # so ties inside a partition cannot change them. Callers should pass only
+    # the columns they need: everything here crosses to Python.
     totals = scanned.groupBy(key, "_pid").agg(
         (F.max(val) if op == "max" else F.sum(val)).cast("double").alias("_ptot"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
