@@ -185,18 +185,30 @@ def _remove_dot_segments(segments: Column) -> Column:
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
 
-def resolve_link(base: Column, href: Column) -> Column:
+def base_parts(base: Column) -> dict[str, Column]:
+    """Parts of a base URL used by ``resolve_link`` (compute once per page)."""
+    b = F.coalesce(base, F.lit(""))
+    bpath = F.regexp_extract(F.regexp_extract(
+        F.regexp_extract(b, _S + "^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$", 1),
+        _S + "^([^#]*)", 1), _S + "^([^?]*)", 1)
+    return {"base": b,
+            "scheme": F.lower(F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1)),
+            "netloc": split_url(b)["netloc"], "path": bpath, "query": split_url(b)["query"]}
+
+
+def resolve_link(base: Column, href: Column, parts: dict[str, Column] | None = None) -> Column:
     """Join ``href`` to ``base`` the way a browser-style urljoin does.
 
     Handles absolute, network-path ('//h/x'), absolute-path ('/x'), query-only,
     fragment-only, empty and relative hrefs, with dot-segment removal. Hrefs
     with another scheme are returned unchanged (and fail the http(s) check).
+    ``parts`` may carry precomputed ``base_parts`` columns.
     """
-    b = F.coalesce(base, F.lit(""))
+    p = parts or base_parts(base)
+    b, bscheme, bpath, bquery = p["base"], p["scheme"], p["path"], p["query"]
+    bparts = {"netloc": p["netloc"]}
     h = F.regexp_replace(F.coalesce(href, F.lit("")), "^[\\x00-\\x20]+", "")
     h = F.regexp_replace(h, "[\\t\\r\\n]", "")
-    bscheme = F.lower(F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1))
-    bparts = split_url(b)
     hscheme = F.lower(F.regexp_extract(h, "^([A-Za-z][A-Za-z0-9+.\\-]*):", 1))
     h_rel = F.when(hscheme != "", F.substring(h, F.length(hscheme) + 2, 1 << 30)).otherwise(h)
     # parts of the href (relative form)
@@ -210,9 +222,6 @@ def resolve_link(base: Column, href: Column) -> Column:
         F.when(has_query & (hquery != ""), F.concat(F.lit("?"), hquery)).otherwise(F.lit("")),
         F.when(has_frag & (hfragment != ""), F.concat(F.lit("#"), hfragment)).otherwise(F.lit("")))
     prefix = F.concat(bscheme, F.lit("://"), bparts["netloc"])
-    bpath = F.regexp_extract(F.regexp_extract(
-        F.regexp_extract(b, _S + "^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$", 1),
-        _S + "^([^#]*)", 1), _S + "^([^?]*)", 1)
     base_dirs = F.split(bpath, "/", -1)
     base_dirs = F.slice(base_dirs, 1, F.greatest(F.size(base_dirs) - 1, F.lit(0)))
     rel_segs = F.concat(base_dirs, F.split(hpath, "/", -1))
@@ -224,7 +233,6 @@ def resolve_link(base: Column, href: Column) -> Column:
         F.slice(rel_segs, -1, 1))).otherwise(rel_segs)
     abs_path = _remove_dot_segments(F.split(hpath, "/", -1))
     rel_path = _remove_dot_segments(rel_segs)
-    bquery = bparts["query"]
     no_path = F.concat(
         prefix, bpath,
         F.when(has_query & (hquery != ""), F.concat(F.lit("?"), hquery))

@@ -99,15 +99,24 @@ def _unescape_attr(c):
 
 
 def raw_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-              html_col: str = "html") -> DataFrame:
+              html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """D10 raw variant: every <a href> of the page (no pruning), resolved
     against the page URL, http(s) with a host only, distinct per page."""
     hrefs = F.regexp_extract_all(F.col(html_col), F.lit(_A_HREF), 1)
-    exploded = pages.select(F.col(id_col), F.col(url_col),
-                            F.explode(hrefs).alias("href"))
-    resolved = exploded.withColumn("href", _unescape_attr(F.col("href"))) \
-        .withColumn("link", F.when(F.col("href").startswith("http://")
-                                   | F.col("href").startswith("https://"), F.col("href"))
-                    .otherwise(U.resolve_link(F.col(url_col), F.col("href"))))
-    return (resolved.where(U.is_valid_url(F.col("link"), strict=False))
-            .select(id_col, url_col, "link").distinct())
+    bp = U.base_parts(F.col(url_col))
+    keep = keep or []
+    # base URL parts once per page; resolve, validate and de-duplicate inside
+    # the page's href array (each href resolved once, no global distinct)
+    staged = pages.select(F.col(id_col), F.col(url_col), *keep,
+                          *[v.alias("_b_" + k) for k, v in bp.items() if k != "base"],
+                          hrefs.alias("_hrefs"))
+    parts = {"base": F.col(url_col), **{k: F.col("_b_" + k) for k in bp if k != "base"}}
+
+    def one(h):
+        h = _unescape_attr(h)
+        return F.when(h.startswith("http://") | h.startswith("https://"), h) \
+            .otherwise(U.resolve_link(F.col(url_col), h, parts))
+
+    links = F.array_distinct(F.filter(F.transform("_hrefs", one),
+                                      lambda l: U.is_valid_url(l, strict=False)))
+    return staged.select(id_col, url_col, *keep, F.explode(links).alias("link"))

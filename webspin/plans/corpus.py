@@ -12,12 +12,10 @@ from webspin.operators.urls import raw_links
 
 def page_link_edges(pages: DataFrame) -> DataFrame:
     """(page_id, src_norm, link_norm) for every distinct raw link of a page."""
-    links = raw_links(pages)
-    return links.select(
-        "page_id",
-        U.canonical_url(F.col("url")).alias("src_url"),
-        U.canonical_url(F.col("link")).alias("dst_url"),
-    )
+    # the page URL is canonicalised once per page and carried through the explode
+    src = pages.withColumn("src_url", U.canonical_url(F.col("url")))
+    links = raw_links(src, keep=["src_url"])
+    return links.select("page_id", "src_url", U.canonical_url(F.col("link")).alias("dst_url"))
 
 
 def crawl_frontier(pages: DataFrame) -> DataFrame:
