@@ -55,7 +55,9 @@ ENG = "eng AS (" + " UNION ALL ".join(
 F14 = f"""
 WITH {SL}, {ENG},
 g AS (SELECT engine, count(*) AS searches, count(*) FILTER (WHERE NOT success) AS errors,
-             arg_max(success, (ts, event_id)) AS healthy, round(avg(search_time), 6) AS avg_search_time
+             arg_max(success, (ts, event_id)) AS healthy,
+             sum(CAST(round(search_time * 1000000) AS BIGINT)) / count(search_time) / 1000000.0::DOUBLE
+               AS avg_search_time
       FROM sl GROUP BY engine)
 SELECT g.*, eng.enabled, eng.requires_api_key FROM g LEFT JOIN eng USING (engine)
 """

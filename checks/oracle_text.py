@@ -125,14 +125,20 @@ E4 = "SELECT doc_id, length(text) AS n_chars FROM documents WHERE length(text) B
 
 E5 = f"""
 WITH s AS (SELECT doc_id, source, round({S.quality_score('text')}, 6) AS quality FROM documents),
-j AS (SELECT s.*, l.quality AS label_quality FROM s LEFT JOIN labels l USING (doc_id))
-SELECT source, count(*) AS n_docs, round(avg(quality), 6) AS avg_quality,
+j AS (SELECT s.*, CAST(round(s.quality * 1000000) AS BIGINT) AS micro, l.quality AS label_quality
+      FROM s LEFT JOIN labels l USING (doc_id))
+SELECT source, count(*) AS n_docs,
+       sum(micro) / count(*) / 1000000.0::DOUBLE AS avg_quality,
        round(min(quality), 6) AS min_quality, round(max(quality), 6) AS max_quality,
        count(*) FILTER (WHERE quality >= 0.6) AS n_pass,
        count(label_quality) AS n_labeled,
        count(*) FILTER (WHERE label_quality = 1) AS n_label_good,
-       round(avg(CASE WHEN label_quality = 1 THEN quality END), 6) AS avg_quality_label_good,
-       round(avg(CASE WHEN label_quality = 0 THEN quality END), 6) AS avg_quality_label_bad
+       CASE WHEN count(*) FILTER (WHERE label_quality = 1) > 0 THEN
+         sum(micro) FILTER (WHERE label_quality = 1) / count(*) FILTER (WHERE label_quality = 1)
+         / 1000000.0::DOUBLE END AS avg_quality_label_good,
+       CASE WHEN count(*) FILTER (WHERE label_quality = 0) > 0 THEN
+         sum(micro) FILTER (WHERE label_quality = 0) / count(*) FILTER (WHERE label_quality = 0)
+         / 1000000.0::DOUBLE END AS avg_quality_label_bad
 FROM j GROUP BY source
 """
 

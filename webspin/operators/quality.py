@@ -97,16 +97,24 @@ def quality_report(docs: DataFrame, labels: DataFrame, pass_threshold: float = 0
                          .alias("quality"))
     j = scored.join(labels.select("doc_id", F.col("quality").alias("label_quality")),
                     "doc_id", "left")
+    # averages from exact integer sums of micro-units: independent of the
+    # order rows arrive in (float sums are not), identical on every engine
+    micro = F.round(F.col("quality") * 1_000_000).cast("long")
+    good, bad = F.col("label_quality") == 1, F.col("label_quality") == 0
+
+    def avg_of(pred=None):
+        m = micro if pred is None else F.when(pred, micro)
+        n = F.count(F.lit(1)) if pred is None else F.count_if(pred)
+        return F.when(n > 0, F.sum(m) / n / F.lit(1_000_000.0))
+
     return j.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.round(F.avg("quality"), 6).alias("avg_quality"),
+        avg_of().alias("avg_quality"),
         F.round(F.min("quality"), 6).alias("min_quality"),
         F.round(F.max("quality"), 6).alias("max_quality"),
         F.count_if(F.col("quality") >= pass_threshold).alias("n_pass"),
         F.count("label_quality").alias("n_labeled"),
-        F.count_if(F.col("label_quality") == 1).alias("n_label_good"),
-        F.round(F.avg(F.when(F.col("label_quality") == 1, F.col("quality"))), 6)
-        .alias("avg_quality_label_good"),
-        F.round(F.avg(F.when(F.col("label_quality") == 0, F.col("quality"))), 6)
-        .alias("avg_quality_label_bad"),
+        F.count_if(good).alias("n_label_good"),
+        avg_of(good).alias("avg_quality_label_good"),
+        avg_of(bad).alias("avg_quality_label_bad"),
     )

@@ -184,7 +184,9 @@ def engine_health(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("searches"),
         F.count_if(~F.col("success")).alias("errors"),
         F.max_by("success", F.struct("ts", "event_id")).alias("healthy"),
-        F.round(F.avg("search_time"), 6).alias("avg_search_time"))
+        # exact (order-independent) mean from integer micro-units
+        (F.sum(F.round(F.col("search_time") * 1_000_000).cast("long")) / F.count("search_time")
+         / F.lit(1_000_000.0)).alias("avg_search_time"))
     cfg = F.broadcast(dims.engines(log.sparkSession).select("engine", "enabled", "requires_api_key"))
     return g.join(cfg, "engine", "left")
 
