@@ -201,3 +201,31 @@ FROM (SELECT page_id, trim({_TITLE_RAW}) AS t FROM pages)
 """
 
 ORACLE.update({"A7_parse_serp_html": A7, "D3_titles": D3})
+
+from checks.oracle_logs import ROBOTS  # noqa: E402
+
+F9 = f"""
+WITH {ROBOTS},
+u AS (SELECT page_id, {S.two_label_domain(S.url_host('n'))} AS domain, {S.url_path('n')} AS path
+      FROM (SELECT page_id, {S.canonical_url('url')} AS n FROM pages)),
+r AS (SELECT * FROM rules WHERE agent IN ('webspinbot', '*')),
+f AS (SELECT page_id, bool_or(kind = 'allow') AS a, bool_or(kind = 'disallow') AS dd
+      FROM u JOIN r ON u.domain = r.domain AND (
+           r.prefix = '/' OR CASE WHEN ends_with(r.prefix, '*')
+                                  THEN starts_with(u.path, left(r.prefix, length(r.prefix) - 1))
+                                  ELSE starts_with(u.path, r.prefix) END)
+      GROUP BY page_id),
+al AS (SELECT u.page_id, coalesce(f.a, false) OR NOT coalesce(f.dd, false) AS allowed
+       FROM u LEFT JOIN f USING (page_id)),
+recs AS (SELECT page_id, {S.canonical_url('url')} AS normalized_url,
+                {S.clean_snippet(f"regexp_extract(html, {S.q(TITLE_RE)}, 1)")} AS content FROM pages),
+pa AS (SELECT recs.normalized_url, recs.content, al.allowed FROM recs LEFT JOIN al USING (page_id)),
+{SR[:-1]}),
+res AS (SELECT query, CAST(rank AS INTEGER) AS rank, {S.canonical_url('url')} AS normalized_url FROM sr)
+SELECT res.query, res.rank, res.normalized_url,
+       (CASE WHEN NOT coalesce(NOT pa.allowed, false) THEN pa.content END) IS NOT NULL AS has_content,
+       coalesce(NOT pa.allowed, false) AS robots_blocked
+FROM res LEFT JOIN pa USING (normalized_url)
+"""
+
+ORACLE["F9_enrich_results"] = F9

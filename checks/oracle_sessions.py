@@ -147,7 +147,22 @@ SELECT j.category, j.pool_pos, j.uses,
 FROM j, t
 """
 
+def _j18():
+    weights = [("chrome", 0.6), ("firefox", 0.25), ("safari", 0.15)]
+    total = float(sum(w for _, w in weights))
+    x = "CAST(CAST('0x' || substr(md5('42' || ':' || CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE)"
+    whens, cum = [], 0.0
+    for c, w in weights[:-1]:
+        cum += w
+        whens.append(f"WHEN {x} * {total!r}::DOUBLE < {cum * 4294967296.0!r}::DOUBLE THEN {S.q(c)}")
+    pick = f"CASE {' '.join(whens)} ELSE {S.q(weights[-1][0])} END"
+    return f"SELECT {pick} AS assigned, count(*) AS n FROM events GROUP BY ALL"
+
+
+J18 = _j18()
+
 ORACLE = {
+    "J18_weighted_assign": J18,
     "J1_chat_history": J1,
     "J2_history_at_turn": J2,
     "J3_memory_window": J3,

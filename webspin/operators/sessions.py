@@ -232,11 +232,18 @@ def weighted_assign(df: DataFrame, id_col: str, weights: list[tuple[str, float]]
                     seed: int = 42, out: str = "assigned") -> DataFrame:
     """One category per row with probability proportional to its weight.
 
-    Exponential race: u = hash(id, category, seed) in (0, 1), key = -ln(u)/w;
-    the smallest key wins. Deterministic, per row, no shuffle.
+    Like ``random.choices``: a uniform u in [0, 1) per row, then the first
+    category whose cumulative weight exceeds u * total. u comes from the first
+    32 bits of md5('seed:id') — deterministic, per row, no shuffle.
     """
-    cats = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(float(w)).alias("w")) for c, w in weights])
-    keyed = F.transform(cats, lambda s: F.struct(
-        (-F.log((F.pmod(F.xxhash64(F.col(id_col), s["c"], F.lit(seed)), F.lit(1 << 30)) + 1)
-                / F.lit(float((1 << 30) + 1))) / s["w"]).alias("k"), s["c"].alias("c")))
-    return df.withColumn(out, F.array_min(keyed)["c"])
+    total = float(sum(w for _, w in weights))
+    x = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))),
+                           1, 8), 16, 10).cast("long")
+    scaled = x.cast("double") * F.lit(total)
+    pick, cum = None, 0.0
+    for c, w in weights[:-1]:
+        cum += w
+        cond = scaled < F.lit(cum * 4294967296.0)
+        pick = F.when(cond, F.lit(c)) if pick is None else pick.when(cond, F.lit(c))
+    last = F.lit(weights[-1][0])
+    return df.withColumn(out, last if pick is None else pick.otherwise(last))
