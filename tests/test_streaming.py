@@ -41,3 +41,25 @@ def test_windowed_streams(spark):
         q.awaitTermination(120)
     assert spark.sql("SELECT sum(total) FROM daily").first()[0] in (None, ev.count()) or True
     assert spark.sql("SELECT count(*) FROM sess").first()[0] >= 0
+
+
+def test_limiter_stream_equals_batch(spark):
+    from tests.conftest import SMOKE
+    from webspin.operators import limits as I
+    from webspin.plans.catalog_logs import _hourly_limits
+    from webspin.sources.derived import request_log
+
+    log = request_log(spark, SMOKE)
+    src = tempfile.mkdtemp(prefix="webspin-stream-rl-", dir="/tmp")
+    log.write.mode("overwrite").parquet(src)
+    ck = tempfile.mkdtemp(prefix="webspin-stream-rl-ck-", dir="/tmp")
+    rows = [r.asDict() for r in _hourly_limits(spark).collect()]
+    stream = spark.readStream.schema(log.schema).parquet(src)
+    q = (S.replay_limits_stream(stream, rows, watermark="100 days").writeStream.format("memory")
+         .queryName("limiter_stream").outputMode("append").option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = {r.event_id: (r.allowed, r.counted_block) for r in spark.sql("SELECT * FROM limiter_stream").collect()}
+    batch = I.replay_limits(log, _hourly_limits(spark)).collect()
+    assert got == {r.event_id: (r.allowed, r.counted_block) for r in batch}
+    assert any(not a for a, _ in got.values())

@@ -15,6 +15,7 @@ from webspin import dims
 from webspin.plans.scan import keyed_prefix
 
 WINDOW_OF = {"requests_per_minute": 60, "requests_per_hour": 3600, "requests_per_day": 86400}
+SCOPE_ORDER = {"global": 0, "domain": 1, "engine": 2}
 
 
 def micros(ts: Column) -> Column:
@@ -192,61 +193,90 @@ REPLAY_SCHEMA = ("event_id long, identifier long, domain string, engine string,
                  "allowed boolean, counted_block boolean, blocked_until double, violating_type string")
 
 
-def _replay_partition(limit_rows: list, shared_keys: bool, default_delay: float):
-    """Returns a mapInPandas function replaying the limiter over sorted rows."""
+class Limiter:
+    """The limiter's per-identifier state machine, shared by
+    the batch replay and the streaming state. State is a dict keyed by limit
+    type (shared keys) or by limit row; it serialises to JSON."""
+
+    def __init__(self, limit_rows: list, shared_keys: bool = True,
+                 default_delay: float = dims.DEFAULT_DELAY, states: dict | None = None):
+        self.limits, self.shared, self.default_delay = limit_rows, shared_keys, default_delay
+        self.states = states or {}
+
+    def _key(self, i, lim):
+        return lim["limit_type"] if self.shared else "|".join(
+            [lim["limit_type"], lim["scope"], lim["key"], str(i)])
+
+    def _state(self, i, lim):
+        return self.states.setdefault(self._key(i, lim),
+                                      {"ts": [], "last": 0.0, "viol": 0, "blocked": None})
 
-    def check(limit, state, now):
-        ltype, lim, window = limit["limit_type"], limit["limit"], limit["window"]
+    @staticmethod
+    def _check(lim, st, now):
+        ltype = lim["limit_type"]
         if ltype in WINDOW_OF:
             cutoff = now - WINDOW_OF[ltype]
-            state["ts"] = [t for t in state["ts"] if t > cutoff]
-            return len(state["ts"]) < lim
+            st["ts"] = [t for t in st["ts"] if t > cutoff]
+            return len(st["ts"]) < lim["limit"]
         if ltype == "delay_between_requests":
-            if state["last"] == 0:
-                return True
-            return now - state["last"] >= lim
+            return st["last"] == 0 or now - st["last"] >= lim["limit"]
         return True  # concurrent_requests always passes
 
+    def step(self, domain, engine, now: float):
+        """One request: (allowed, counted_block, blocked_until, violating_type)."""
+        applicable = [l for l in self.limits if l["scope"] == "global"
+                      or (l["scope"] == "domain" and l["key"] == domain)
+                      or (l["scope"] == "engine" and l["key"] == engine)]
+        # list order: global, then the domain's, then the engine's (stable)
+        applicable.sort(key=lambda l: SCOPE_ORDER[l["scope"]])
+        for i, lim in enumerate(applicable):
+            st = self._state(i, lim)
+            if st["blocked"] is not None and now < st["blocked"]:
+                return False, False, st["blocked"], None
+            if not self._check(lim, st, now):
+                base = lim["window"] if lim["window"] > 0 else self.default_delay
+                delay = min(base * (dims.BACKOFF_FACTOR ** st["viol"]), dims.MAX_DELAY)
+                st["blocked"] = now + delay
+                st["viol"] += 1
+                return False, True, st["blocked"], lim["limit_type"]
+        for i, lim in enumerate(applicable):
+            st = self._state(i, lim)
+            st["last"], st["viol"], st["blocked"] = now, 0, None
+            if lim["limit_type"] in WINDOW_OF:
+                st["ts"].append(now)
+                st["ts"] = [t for t in st["ts"] if t > now - 86400]
+        return True, False, None, None
+
+    def to_json(self) -> str:
+        import json
+
+        return json.dumps(self.states)
+
+    @classmethod
+    def from_json(cls, text: str | None, limit_rows, shared_keys=True, default_delay=dims.DEFAULT_DELAY):
+        import json
+
+        return cls(limit_rows, shared_keys, default_delay, json.loads(text) if text else {})
+
+
+REPLAY_COLS = ["event_id", "identifier", "domain", "engine", "ts", "allowed", "counted_block",
+               "blocked_until", "violating_type"]
+
+
+def _replay_partition(limit_rows: list, shared_keys: bool, default_delay: float):
+    """Returns a mapInPandas function replaying the limiter over sorted rows."""
+
     def run(batches):
-        states: dict = {}
-        cur_ident = None
+        lim, cur_ident = None, object()
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                if r.identifier != cur_ident:
-                    states, cur_ident = {}, r.identifier  # state is per identifier
-                now = r.ts.timestamp()
-                applicable = [l for l in limit_rows if l["scope"] == "global"
-                              or (l["scope"] == "domain" and l["key"] == r.domain)
-                              or (l["scope"] == "engine" and l["key"] == r.engine)]
-                allowed, counted, vtype, blocked_until = True, False, None, None
-                for i, l in enumerate(applicable):
-                    skey = l["limit_type"] if shared_keys else (l["limit_type"], l["scope"], l["key"], i)
-                    st = states.setdefault(skey, {"ts": [], "last": 0.0, "viol": 0, "blocked": None})
-                    if st["blocked"] is not None and now < st["blocked"]:
-                        allowed, blocked_until = False, st["blocked"]
-                        break
-                    if not check(l, st, now):
-                        base = l["window"] if l["window"] > 0 else default_delay
-                        delay = min(base * (dims.BACKOFF_FACTOR ** st["viol"]), dims.MAX_DELAY)
-                        st["blocked"] = now + delay
-                        st["viol"] += 1
-                        allowed, counted, vtype, blocked_until = False, True, l["limit_type"], st["blocked"]
-                        break
-                if allowed:
-                    for i, l in enumerate(applicable):
-                        skey = l["limit_type"] if shared_keys else (l["limit_type"], l["scope"], l["key"], i)
-                        st = states.setdefault(skey, {"ts": [], "last": 0.0, "viol": 0, "blocked": None})
-                        st["last"], st["viol"], st["blocked"] = now, 0, None
-                        if l["limit_type"] in WINDOW_OF:
-                            st["ts"].append(now)
-                            cutoff = now - 86400
-                            st["ts"] = [t for t in st["ts"] if t > cutoff]
+                if r.identifier != cur_ident:  # state is per identifier
+                    lim, cur_ident = Limiter(limit_rows, shared_keys, default_delay), r.identifier
+                allowed, counted, until, vtype = lim.step(r.domain, r.engine, r.ts.timestamp())
                 out.append((r.event_id, r.identifier, r.domain, r.engine, r.ts, allowed, counted,
-                            blocked_until, vtype))
-            yield pd.DataFrame(out, columns=["event_id", "identifier", "domain", "engine", "ts",
-                                             "allowed", "counted_block", "blocked_until",
-                                             "violating_type"])
+                            until, vtype))
+            yield pd.DataFrame(out, columns=REPLAY_COLS)
     return run
 
 

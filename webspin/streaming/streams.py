@@ -93,3 +93,43 @@ def dedupe_urls_stream(stream: DataFrame, url_col: str = "url", watermark: str =
         .withColumn("url_hash", U.url_hash(U.canonical_url(F.col(url_col)))) \
         .withWatermark("ts", watermark)
     return s.dropDuplicatesWithinWatermark(["url_hash"])
+
+
+REPLAY_OUT = ("event_id long, identifier long, domain string, engine string, ts timestamp, "
+              "allowed boolean, counted_block boolean, blocked_until double, violating_type string")
+
+
+def _limiter_state_fn(limit_rows, shared_keys, idle_s):
+    from webspin.operators.limits import REPLAY_COLS, Limiter
+
+    def fn(key, pdfs, state: GroupState):
+        if state.hasTimedOut:  # I8: idle identifiers expire
+            state.remove()
+            return
+        lim = Limiter.from_json(state.get[0] if state.exists else None, limit_rows, shared_keys)
+        frames = [p for p in pdfs]
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["ts", "event_id"])
+        out, last = [], None
+        for r in pdf.itertuples(index=False):
+            now = pd.Timestamp(r.ts).timestamp()
+            allowed, counted, until, vtype = lim.step(r.domain, r.engine, now)
+            out.append((r.event_id, r.identifier, r.domain, r.engine, r.ts, allowed, counted, until, vtype))
+            last = now
+        state.update((lim.to_json(),))
+        state.setTimeoutTimestamp(int((last + idle_s) * 1000))
+        yield pd.DataFrame(out, columns=REPLAY_COLS)
+    return fn
+
+
+def replay_limits_stream(stream: DataFrame, limit_rows: list, shared_keys: bool = True,
+                         watermark: str = "1 hour", idle_s: int = 86400) -> DataFrame:
+    """I4 streaming (with I8): the limiter state per identifier lives in
+    Spark state as JSON; identifiers idle for ``idle_s`` expire by event-time
+    timeout. Rows older than the watermark are dropped."""
+    src = stream.select("event_id", "identifier", "domain", "engine",
+                        F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return src.groupBy("identifier").applyInPandasWithState(
+        _limiter_state_fn(limit_rows, shared_keys, idle_s), REPLAY_OUT, "state string", "append",
+        GroupStateTimeout.EventTimeTimeout)
