@@ -12,6 +12,7 @@ MODULES = (
     "checks.oracle_search",
     "checks.oracle_html",
     "checks.oracle_payloads",
+    "checks.oracle_limiter",
 )
 
 
