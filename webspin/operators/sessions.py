@@ -38,11 +38,27 @@ def chat_history(msgs: DataFrame, n: int = 6, key: str = "conv_id", order: str =
 def history_at_turn(msgs: DataFrame, n: int = 6, key: str = "conv_id",
                     order: str = "turn") -> DataFrame:
     """The history a prompt sees at each user turn (the new message is
-    already in it): a bounded sliding frame of n rows."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
-    h = msgs.withColumn("history", F.array_join(
-        F.collect_list(_history_line(F.col("role"), F.col("text"))).over(w), "\n"))
-    return h.where(F.col("role") == "user").select(key, order, "history")
+    already in it): the last n messages up to and including this one.
+
+    Skew-safe: message positions come from the keyed prefix scan, then each
+    message is sent to the (at most n) later positions whose history it
+    belongs to, an equi-join on (key, position). The composite key spreads
+    a hot conversation over many tasks, and the fan-out is bounded by n.
+    """
+    from webspin.plans.scan import keyed_prefix
+
+    base = msgs.select(key, order, "role", "text", F.lit(1).cast("long").alias("_one"))
+    pos = keyed_prefix(base, key, [order], "_one", "_pos", op="sum", inclusive=True)
+    lines = pos.select(key, F.col("_pos").alias("_src"),
+                       _history_line(F.col("role"), F.col("text")).alias("_line"),
+                       F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_d")) \
+        .withColumn("_dst", F.col("_src") + F.col("_d"))
+    users = pos.where(F.col("role") == "user").select(key, order, F.col("_pos").alias("_dst"))
+    j = users.join(lines, [key, "_dst"])
+    g = j.groupBy(key, order).agg(F.array_sort(F.collect_list(
+        F.struct(F.col("_src").alias("s"), F.col("_line").alias("l")))).alias("_ls"))
+    return g.select(key, order, F.array_join(F.transform("_ls", lambda x: x["l"]), "\n")
+                    .alias("history"))
 
 
 def memory_window(msgs: DataFrame, key: str = "conv_id", order: str = "turn",
