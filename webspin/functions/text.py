@@ -217,11 +217,15 @@ def quality_score(c: Column) -> Column:
 def is_valid_content(c: Column) -> Column:
     """Long enough after trim and free of the invalid patterns."""
     t = F.coalesce(c, F.lit(""))
-    low = F.lower(t)
-    hit = F.lit(False)
-    for p in INVALID_PATTERNS:  # all plain literals: substring search
-        hit = hit | low.contains(p)
-    return (F.length(strip_ws(t)) >= 10) & ~hit
+
+    def any_hit(low):
+        hit = F.lit(False)
+        for p in INVALID_PATTERNS:  # all plain literals: substring search
+            hit = hit | low.contains(p)
+        return hit
+
+    # lower() bound once (filters get no common-subexpression elimination)
+    return (F.length(strip_ws(t)) >= 10) & ~let(F.lower(t), any_hit)
 
 
 # The same four patterns spelled with explicit Unicode classes, so Java and
@@ -240,3 +244,17 @@ def low_quality_line(line: Column) -> Column:
     for p in PORTABLE_LOW_QUALITY_LINE_PATTERNS:
         pred = pred | line.rlike(p)
     return pred
+
+
+def keep_where(df, name: str, value: Column, pred):
+    """Add column ``name`` = ``value`` and keep rows where ``pred(value)``,
+    evaluating ``value`` once.
+
+    A plain ``withColumn`` + ``where`` lets filter pushdown copy ``value``
+    into the filter, so an expensive expression runs twice. Filtering a
+    one-element array and exploding it is a generator, which no filter is
+    pushed through.
+    """
+    kept = F.filter(F.array(value), pred)
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(kept).alias(name))

@@ -65,12 +65,15 @@ def curate_corpus(docs: DataFrame, min_quality: float = 0.5,
     """
     t = F.col("text")
     cleaned = X.clean_text(t)
-    scored = (docs.select("doc_id", "text", "source")
-              .where(X.is_valid_content(t))
-              .where((F.length(t) >= min_len) & (F.length(t) <= max_len))
-              .withColumn("quality", F.round(X.quality_score(t), 6))
-              .where(F.col("quality") >= min_quality)
-              .withColumn("content_hash", F.md5(cleaned)))
+    # cheap bounds as a filter (pushed into the scan); the text predicates
+    # as generators, evaluated once and after the input is spread
+    bounded = docs.select("doc_id", "text", "source") \
+        .where((F.length(t) >= min_len) & (F.length(t) <= max_len))
+    bounded = X.keep_where(bounded, "_valid", X.is_valid_content(t), lambda v: v).drop("_valid")
+    scored = X.keep_where(bounded, "quality", F.round(X.quality_score(t), 6),
+                          lambda q: q >= min_quality) \
+        .select("doc_id", "source", "quality", F.length(t).alias("n_chars"),
+                F.md5(cleaned).alias("content_hash"))  # the text never crosses the shuffle
     w = Window.partitionBy("content_hash").orderBy("doc_id")
     return (scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-            .select("doc_id", "source", "quality", F.length(t).alias("n_chars")))
+            .select("doc_id", "source", "quality", "n_chars"))
