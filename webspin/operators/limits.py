@@ -40,12 +40,14 @@ def applicable_limits(log: DataFrame, limits: DataFrame | None = None) -> DataFr
 
 
 def sliding_count(df: DataFrame, key: str, t_us: str, id_col: str, window_s: int,
-                  out: str = "n_in_window") -> DataFrame:
+                  out: str = "n_in_window", oldest: str | None = None) -> DataFrame:
     """Earlier rows of the same key with time in (t - w, t), skew-safe.
 
     count = (rows before this one) - (rows with time <= t - w). Both terms are
     keyed prefix counts over the union of the rows and one probe row per row
-    at t - w; the probe's count is joined back by id.
+    at t - w; the probe's count is joined back by id. With ``oldest`` the
+    time of the earliest row in the window is added too: it is the key's
+    row of rank (upto + 1), looked up by an equi-join on (key, rank).
     """
     w_us = int(window_s) * 1_000_000
     real = df.select(F.col(key).alias("_k"), F.col(t_us).alias("_t"), F.lit(0).alias("_probe"),
@@ -56,10 +58,15 @@ def sliding_count(df: DataFrame, key: str, t_us: str, id_col: str, window_s: int
     both = real.unionByName(probe)
     incl = keyed_prefix(both, "_k", ["_t", "_probe", "_id"], "_one", "_c", op="sum", inclusive=True)
     before = incl.where("_probe = 0").select("_id", (F.col("_c") - 1).alias("_before"))
-    upto = incl.where("_probe = 1").select("_id", F.col("_c").alias("_upto"))
-    cnt = before.join(upto, "_id").select(F.col("_id").alias(id_col),
+    upto = incl.where("_probe = 1").select("_id", F.col("_k"), F.col("_c").alias("_upto"))
+    cnt = before.join(upto, "_id").select(F.col("_id").alias(id_col), "_k", "_upto",
                                           (F.col("_before") - F.col("_upto")).alias(out))
-    return df.join(cnt, id_col)
+    if oldest:
+        ranks = incl.where("_probe = 0").select("_k", F.col("_c").alias("_rank"),
+                                                F.col("_t").alias(oldest))
+        cnt = cnt.join(ranks, (cnt["_k"] == ranks["_k"]) & (ranks["_rank"] == cnt["_upto"] + 1), "left") \
+            .drop(ranks["_k"]).drop("_rank")
+    return df.join(cnt.drop("_k", "_upto"), id_col)
 
 
 def window_counts(log: DataFrame, window_s: int, limit: float, key: str = "identifier",
@@ -144,36 +151,15 @@ def pace_requests(log: DataFrame, gap_s: float = 2.0, key: str = "identifier",
         .drop("_t_us", "_one", "_i", "_a", "_m")
 
 
-def sliding_oldest(df: DataFrame, key: str, t_us: str, id_col: str, window_s: int,
-                   out: str = "_oldest_us") -> DataFrame:
-    """Earliest time of the key's rows with time > t - w (skew-safe).
-
-    A prefix max of -time in descending time order, read at a probe row
-    placed at t - w (probes sort before rows of equal time, so the bound is
-    strict); joined back by id.
-    """
-    w_us = int(window_s) * 1_000_000
-    real = df.select(F.col(key).alias("_k"), (-F.col(t_us)).alias("_nt"), F.lit(1).alias("_r"),
-                     F.col(id_col).alias("_id"), (-F.col(t_us)).cast("double").alias("_v"))
-    probe = df.select(F.col(key).alias("_k"), (F.lit(w_us) - F.col(t_us)).alias("_nt"),
-                      F.lit(0).alias("_r"), F.col(id_col).alias("_id"),
-                      F.lit(None).cast("double").alias("_v"))
-    scanned = keyed_prefix(real.unionByName(probe), "_k", ["_nt", "_r", "_id"], "_v", "_m",
-                           op="max", inclusive=True)
-    oldest = scanned.where("_r = 0").select(F.col("_id").alias(id_col), (-F.col("_m")).alias(out))
-    return df.join(oldest, id_col, "left")
-
-
 def tool_window_waits(log: DataFrame, n: int, window_s: int = 60, key: str = "identifier",
                       id_col: str = "event_id") -> DataFrame:
     """If n earlier calls lie in the last window, wait until the oldest
-    of them leaves; the logged stamp is the pre-wait time. Both the count and
-    the oldest time are skew-safe prefix scans (no per-identifier window)."""
+    of them leaves; the logged stamp is the pre-wait time. One skew-safe
+    prefix scan gives the count; the oldest call is a rank lookup."""
     base = log.withColumn("_t_us", micros(F.col("ts")))
-    c = sliding_count(base, key, "_t_us", id_col, window_s)
-    o = sliding_oldest(c, key, "_t_us", id_col, window_s)
+    c = sliding_count(base, key, "_t_us", id_col, window_s, oldest="_oldest_us")
     wait = F.lit(float(window_s)) - (F.col("_t_us") - F.col("_oldest_us")) / F.lit(1_000_000.0)
-    return o.withColumn("wait_s", F.when(F.col("n_in_window") >= n, F.greatest(wait, F.lit(0.0)))
+    return c.withColumn("wait_s", F.when(F.col("n_in_window") >= n, F.greatest(wait, F.lit(0.0)))
                         .otherwise(F.lit(0.0))).drop("_oldest_us", "_t_us")
 
 
