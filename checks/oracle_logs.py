@@ -158,3 +158,15 @@ ORACLE = {
     "G1_robots_rules": G1,
     "G3_robots_allowed": G3,
 }
+
+G2 = f"""
+WITH {ROBOTS},
+u AS (SELECT page_id, {S.two_label_domain(S.url_host('n'))} AS domain, {S.url_path('n')} AS path
+      FROM (SELECT page_id, {S.canonical_url('url')} AS n FROM pages))
+SELECT page_id, agent, kind, pos,
+       (prefix = '/' OR CASE WHEN ends_with(prefix, '*') THEN starts_with(path, left(prefix, length(prefix) - 1))
+                             ELSE starts_with(path, prefix) END) AS matches
+FROM u JOIN rules r ON u.domain = r.domain
+"""
+
+ORACLE["G2_path_matches"] = G2

@@ -156,3 +156,32 @@ ORACLE = {
     "X10_crawl_frontier": X10,
     "X11_link_graph": X11,
 }
+
+_REL = "regexp_replace(url, '^https?:', '')"
+_REDIR = f"'https://duckduckgo.com/l/?uddg=' || {S.quote_plus('url')} || '&rut=x'"
+_PATH = S.url_path(S.canonical_url("url"))
+
+
+def _clean_result(x: str) -> str:
+    t = f"regexp_extract({x}, 'uddg=([^&]+)', 1)"
+    return (f"(CASE WHEN {x} = '' THEN '' WHEN {t} <> '' THEN url_decode(replace({t}, '+', '%2B')) "
+            f"WHEN starts_with({x}, '//') THEN 'https:' || {x} WHEN starts_with({x}, '/') THEN '' ELSE {x} END)")
+
+
+U6_CLEAN = f"""
+WITH f AS (SELECT page_id, 'protocol_relative' AS form, {_REL} AS raw FROM pages
+           UNION ALL SELECT page_id, 'redirect', {_REDIR} FROM pages
+           UNION ALL SELECT page_id, 'relative', {_PATH} FROM pages)
+SELECT page_id, form, raw, {_clean_result('raw')} AS cleaned FROM f
+"""
+
+A1 = """
+SELECT 'pages' AS table_name, count(*) AS n_rows FROM pages
+UNION ALL SELECT 'documents', count(*) FROM documents
+UNION ALL SELECT 'labels', count(*) FROM labels
+UNION ALL SELECT 'benchmark', count(*) FROM benchmark
+UNION ALL SELECT 'conversations', count(*) FROM conversations
+UNION ALL SELECT 'events', count(*) FROM events
+"""
+
+ORACLE.update({"U6_clean_result_urls": U6_CLEAN, "A1_load_tables": A1})

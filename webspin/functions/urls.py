@@ -171,6 +171,19 @@ def unwrap_redirect(url: Column) -> Column:
         .otherwise(url)
 
 
+def clean_result_url(url: Column) -> Column:
+    """U6, test-specified variant: '' stays ''; '//host/x' gets https;
+    any link carrying 'uddg=' (relative '/l/?kh=' or an absolute redirect)
+    gives the decoded target; other relative links are invalid ('')."""
+    u = F.coalesce(url, F.lit(""))
+    target = F.regexp_extract(u, "uddg=([^&]+)", 1)
+    return (F.when(u == "", F.lit(""))
+            .when(target != "", percent_decode(target))
+            .when(u.startswith("//"), F.concat(F.lit("https:"), u))
+            .when(u.startswith("/"), F.lit(""))
+            .otherwise(u))
+
+
 def _remove_dot_segments(segments: Column) -> Column:
     """Resolve '.' and '..' over an array of path segments."""
     resolved = F.aggregate(

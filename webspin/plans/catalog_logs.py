@@ -125,6 +125,15 @@ def _page_paths(spark, sf):
                     U.url_path(n).alias("path"))
 
 
+def q_g2(spark, sf):
+    rules = G.robots_rules(robots(spark, sf)).select(F.col("domain").alias("_rd"), "agent", "kind",
+                                                      "prefix", "pos")
+    paths = _page_paths(spark, sf)
+    j = paths.join(rules, paths["domain"] == rules["_rd"])  # a few rules per domain
+    return j.select("page_id", "agent", "kind", "pos",
+                    G.path_matches(F.col("path"), F.col("prefix")).alias("matches"))
+
+
 def q_g3(spark, sf):
     rules = G.robots_rules(robots(spark, sf))
     return G.robots_allowed(_page_paths(spark, sf), rules).select("page_id", "domain", "path", "allowed")
@@ -153,6 +162,7 @@ QUERIES = {
     "H3_cache_evict": q_h3,
     "H4_cache_hit_rate": q_h4,
     "G1_robots_rules": q_g1,
+    "G2_path_matches": q_g2,
     "G3_robots_allowed": q_g3,
     "G4_robots_refresh_points": q_g4,
 }

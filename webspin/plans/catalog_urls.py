@@ -66,6 +66,30 @@ def q_u6(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("page_id", "wrapped", F.col("url").alias("unwrapped"))
 
 
+def q_u6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    # three link shapes per page URL: protocol-relative, absolute redirect, relative path
+    pages = load(spark, sf, "pages").select("page_id", "url")
+    rel = F.regexp_replace("url", "^https?:", "")
+    redirect = F.concat(F.lit("https://duckduckgo.com/l/?uddg="), U.quote_plus(F.col("url")),
+                        F.lit("&rut=x"))
+    path = U.url_path(U.canonical_url(F.col("url")))
+    forms = F.array(F.struct(F.lit("protocol_relative").alias("form"), rel.alias("raw")),
+                    F.struct(F.lit("redirect").alias("form"), redirect.alias("raw")),
+                    F.struct(F.lit("relative").alias("form"), path.alias("raw")))
+    x = pages.select("page_id", F.inline(forms))
+    return x.select("page_id", "form", "raw", U.clean_result_url(F.col("raw")).alias("cleaned"))
+
+
+def q_a1(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["pages", "documents", "labels", "benchmark", "conversations", "events"]
+    parts = [load(spark, sf, t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+             for t in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def q_u7(spark: SparkSession, sf: str) -> DataFrame:
     return UO.resolve_links(_hrefs(spark, sf), "url", "href").select("page_id", "href", "link")
 
@@ -97,6 +121,8 @@ QUERIES = {
     "U4_host_of": q_u4,
     "U5_valid_urls": q_u5,
     "U6_unwrap_redirects": q_u6,
+    "U6_clean_result_urls": q_u6_clean,
+    "A1_load_tables": q_a1,
     "U7_resolve_links": q_u7,
     "U8_dedupe_urls": q_u8,
     "D10_raw_page_links": q_d10_raw,
