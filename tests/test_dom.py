@@ -76,3 +76,24 @@ def test_extract_pages_job(spark):
     rows = {r.page_id: r for r in H.extract_pages(df).collect()}
     assert rows[1].title == "Complex Article" and rows[1].word_count > 100
     assert rows[2].title == "" and rows[2].extraction_success is False
+
+
+def test_prune_rules_edge_cases():
+    from webspin.functions import dom
+
+    html = ("<body><div class='page-header-x'>Header block text here</div>"
+            "<div class='shadow'>Shadowed block of text</div>"
+            "<div id='sidebar-1'>first sidebar text</div><div id='sidebar-2'>second sidebar text</div>"
+            "<div class='main'>Kept content block here</div><p>tiny</p></body>")
+    root = H.prune(dom.parse(html))
+    text = root.text(sep=" ")
+    assert "Header block" not in text          # 'header' class word
+    assert "Shadowed" not in text              # 'ad' is a substring of 'shadow'
+    assert "first sidebar" not in text and "second sidebar" in text  # ids: first match only
+    assert "Kept content" in text and "tiny" not in text             # blocks under 5 chars go
+
+
+def test_title_rules_text_first():
+    # the 'text' attribute is tried first, so og:title (a content attribute) never wins
+    html = "<html><head><title>Page Title Here</title><meta property='og:title' content='OG'></head></html>"
+    assert H.extract_record("https://a.org", html)["title"] == "Page Title Here"

@@ -70,3 +70,15 @@ def test_low_quality_lines(spark):
 def test_nfkd_udf(spark):
     df = spark.createDataFrame([("ﬁ é",)], "t string")
     assert df.select(X.nfkd(F.col("t"))).first()[0] == unicodedata.normalize("NFKD", "ﬁ é")
+
+
+def test_keep_where_and_spread(spark):
+    from webspin.sources.tables import spread
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(20)], "id long, t string").coalesce(1)
+    kept = X.keep_where(df, "n", F.length("t"), lambda n: n >= 15)
+    assert sorted(r.id for r in kept.collect()) == [15, 16, 17, 18, 19]
+    assert "n" in kept.columns
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    big = spark.range(0, 100, 1, 64)
+    assert spread(big).rdd.getNumPartitions() == 64

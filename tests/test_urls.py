@@ -77,3 +77,12 @@ def test_validity(spark):
     r = df.select(U.is_valid_url(F.col("url")).alias("l"),
                   U.is_valid_url(F.col("url"), strict=True).alias("s")).collect()
     assert [(x.l, x.s) for x in r] == [(True, True), (True, False), (False, False), (False, False)]
+
+
+def test_clean_result_url_cases(spark):
+    cases = [("https://example.com", "https://example.com"), ("http://test.org/path", "http://test.org/path"),
+             ("//example.com", "https://example.com"), ("", ""), ("/relative/path", ""),
+             ("https://duckduckgo.com/l/?uddg=https%3A//example.com&rut=1", "https://example.com")]
+    df = spark.createDataFrame(cases, "u string, e string")
+    for r in df.select("e", U.clean_result_url(F.col("u")).alias("c")).collect():
+        assert r.c == r.e
