@@ -63,3 +63,21 @@ def test_limiter_stream_equals_batch(spark):
     batch = I.replay_limits(log, _hourly_limits(spark)).collect()
     assert got == {r.event_id: (r.allowed, r.counted_block) for r in batch}
     assert any(not a for a, _ in got.values())
+
+
+def test_dedupe_stream(spark):
+    from tests.conftest import SMOKE
+
+    pages = spark.read.parquet(f"{SMOKE}/pages.parquet").select("page_id", "url") \
+        .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    src = tempfile.mkdtemp(prefix="webspin-stream-pages-", dir="/tmp")
+    pages.write.mode("overwrite").parquet(src)
+    ck = tempfile.mkdtemp(prefix="webspin-stream-pages-ck-", dir="/tmp")
+    stream = spark.readStream.schema(pages.schema).parquet(src)
+    q = (S.dedupe_urls_stream(stream).writeStream.format("memory").queryName("dedupe_stream")
+         .outputMode("append").option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    from webspin.functions import urls as U
+
+    n_unique = pages.select(U.url_hash(U.canonical_url(F.col("url")))).distinct().count()
+    assert spark.sql("SELECT count(*) FROM dedupe_stream").first()[0] == n_unique

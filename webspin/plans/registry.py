@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 MODULES = (
@@ -14,8 +15,21 @@ MODULES = (
 )
 
 
+def _in_utc(fn):
+    """Event times are wall-clock UTC (timestamp_ntz); epoch maths and day
+    windows assume a UTC session, whatever session the caller brings."""
+
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # dict(parse_qsl(..)) semantics: the last duplicate key wins
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        return fn(spark, sf_dir)
+    return run
+
+
 def all_queries() -> dict:
     out: dict = {}
     for name in MODULES:
-        out.update(importlib.import_module(name).QUERIES)
+        out.update({k: _in_utc(v) for k, v in importlib.import_module(name).QUERIES.items()})
     return out
