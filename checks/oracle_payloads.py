@@ -229,3 +229,18 @@ FROM res LEFT JOIN pa USING (normalized_url)
 """
 
 ORACLE["F9_enrich_results"] = F9
+
+A7_TOOL = f"""
+WITH {SR}
+SELECT query, CAST(1 AS INTEGER) AS rank, left(title, 200) AS title,
+       '/l/?kh=-1&uddg=' || {S.quote_plus('url')} AS url, left(trim(snippet), 300) AS snippet
+FROM sr WHERE title <> ''
+"""
+
+A7_BING = f"""
+WITH {SR}
+SELECT query, CAST(1 AS INTEGER) AS rank, left(title, 200) AS title, url, left(trim(snippet), 300) AS snippet
+FROM sr
+"""
+
+ORACLE.update({"A7_parse_serp_html_tool": A7_TOOL, "A7_parse_serp_html_bing": A7_BING})

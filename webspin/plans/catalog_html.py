@@ -125,6 +125,28 @@ def q_a7(spark, sf):
     return H.parse_serp_html(serp_html(spark, sf), 10)
 
 
+def q_a7_tool(spark, sf):
+    return H.parse_serp_html(serp_html(spark, sf), 10, style="tool")
+
+
+def _esc(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def serp_html_bing(spark, sf):
+    """Result pages in the Bing html shape, one li.b_algo per result."""
+    r = search_results(spark, sf)
+    html = F.concat(F.lit('<ol id="b_results"><li class="b_algo"><h2><a href="'), _esc(F.col("url")),
+                    F.lit('">'), _esc(F.col("title")), F.lit("</a></h2><p>"), _esc(F.col("snippet")),
+                    F.lit("</p></li></ol>"))
+    return r.select("page_id", "query", html.alias("html"))
+
+
+def q_a7_bing(spark, sf):
+    return H.parse_serp_html(serp_html_bing(spark, sf), 10, style="bing")
+
+
 QUERIES = {
     "D0_prune_dom": q_d0,
     "D1_extract_pages": q_d1,
@@ -141,4 +163,6 @@ QUERIES = {
     "D13_main_block": q_d13,
     "C3_html_to_text": q_c3,
     "A7_parse_serp_html": q_a7,
+    "A7_parse_serp_html_tool": q_a7_tool,
+    "A7_parse_serp_html_bing": q_a7_bing,
 }
