@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import importlib
 
+from webspin.session import cap_arrow_batch
+
 MODULES = (
     "webspin.plans.catalog_urls",
     "webspin.plans.catalog_text",
@@ -24,6 +26,7 @@ def _in_utc(fn):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         # dict(parse_qsl(..)) semantics: the last duplicate key wins
         spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        cap_arrow_batch(spark, 1000)
         return fn(spark, sf_dir)
     return run
 

@@ -40,6 +40,7 @@ def build_session(master: str | None = None, app: str = "webspin",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(shuffle_partitions or cpus * 2),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         # dict(parse_qsl(..)) keeps the last duplicate key
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "16g"),
@@ -74,5 +75,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cap_arrow_batch(spark: SparkSession, max_records: int) -> None:
+    """Lower (never raise) the Arrow batch size for Python stages over wide
+    rows (whole documents, whole pages): a batch of 10,000 rows of 1 MB
+    pages would be 10 GB in one Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    cur = int(spark.conf.get(key, "10000"))
+    if cur <= 0 or cur > max_records:
+        spark.conf.set(key, str(max_records))
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
