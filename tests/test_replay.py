@@ -69,3 +69,14 @@ def test_ttl_cache_replay(spark):
     df = spark.createDataFrame(rows, "event_id long, cache_key string, ts timestamp, success boolean")
     got = [r.hit for r in H.cache_hits(df, 300.0).orderBy("event_id").collect()]
     assert got == [False, True, True, False, True, False, False]
+
+
+def test_chat_history_format_and_empty_session(spark):
+    from webspin.operators.sessions import NO_HISTORY, chat_history
+
+    msgs = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(8)],
+                                 "conv_id long, turn long, role string, text string")
+    sessions = spark.createDataFrame([(1,), (2,)], "conv_id long")
+    got = {r.conv_id: r.history for r in chat_history(msgs, sessions=sessions).collect()}
+    assert got[1] == "\n".join(f"{'Humano' if i % 2 == 0 else 'Asistente'}: m{i}" for i in range(2, 8))
+    assert got[2] == NO_HISTORY

@@ -30,7 +30,6 @@ def applicable_limits(log: DataFrame, limits: DataFrame | None = None) -> DataFr
     (scope, key) after a 3-way explode of the request's keys.
     """
     lim = limits if limits is not None else dims.rate_limits(log.sparkSession)
-    lim = lim.withColumn("_lpos", F.monotonically_increasing_id())
     keys = F.array(
         F.struct(F.lit("global").alias("scope"), F.lit("*").alias("key"), F.lit(0).alias("scope_pos")),
         F.struct(F.lit("domain").alias("scope"), F.col("domain").alias("key"), F.lit(1).alias("scope_pos")),

@@ -10,6 +10,8 @@ from webspin.functions import text as X
 from webspin.functions import urls as U
 
 ABSOLUTE_MAX_RESULTS = 50
+# The tool's own engine order (instant answer, html page, searx, bing);
+# pass it as ``order`` to engine_fallback for that variant.
 TOOL_FALLBACK_ORDER = ["instant_answer", "duckduckgo_html", "searx", "bing"]
 
 

@@ -20,8 +20,10 @@ def _history_line(role: Column, text: Column) -> Column:
     return F.concat(label, F.lit(": "), F.coalesce(text, F.lit("")))
 
 
-def chat_history(msgs: DataFrame, n: int = 6, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Last n messages per conversation as the prompt history string.
+def chat_history(msgs: DataFrame, n: int = 6, key: str = "conv_id", order: str = "turn",
+                 sessions: DataFrame | None = None) -> DataFrame:
+    """Last n messages per conversation as the prompt history string;
+    sessions (if given) without any message get the fixed sentence.
 
     ``row_number() <= n`` plans as a WindowGroupLimit (map-side top-n), so the
     collected list per key is bounded by n whatever the key's size.
@@ -31,8 +33,12 @@ def chat_history(msgs: DataFrame, n: int = 6, key: str = "conv_id", order: str =
     agg = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
         F.col(order).alias("o"), _history_line(F.col("role"), F.col("text")).alias("line"))))
         .alias("_lines"))
-    return agg.select(key, F.array_join(F.transform("_lines", lambda s: s["line"]), "\n")
-                      .alias("history"))
+    out = agg.select(key, F.array_join(F.transform("_lines", lambda s: s["line"]), "\n")
+                     .alias("history"))
+    if sessions is not None:
+        out = sessions.select(key).join(out, key, "left") \
+            .withColumn("history", F.coalesce(F.col("history"), F.lit(NO_HISTORY)))
+    return out
 
 
 def history_at_turn(msgs: DataFrame, n: int = 6, key: str = "conv_id",

@@ -133,6 +133,3 @@ def write_stream_corpus(stream_df: DataFrame, path: str, checkpoint: str,
     return (stream_df.writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint))
 
-
-def col_or_null(df: DataFrame, name: str, dtype: str = "string") -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
