@@ -67,13 +67,33 @@ WITH {SL}, {ENG}
 SELECT DISTINCT engine FROM sl WHERE engine IN (SELECT engine FROM eng WHERE enabled AND NOT requires_api_key)
 """
 
-F16 = f"""
-WITH {SL}
-SELECT date_trunc('day', ts) AS day, count(*) AS total, count(*) FILTER (WHERE success) AS successful,
-       count(*) FILTER (WHERE NOT success) AS engine_failures
-FROM sl GROUP BY 1
+def _f16():
+    import re
+
+    from checks import oracle_limiter as L
+    from checks import oracle_payloads as P
+
+    ttl = P._ttl(P.H_KEY, "(event_type <> 'error')", 3600 * 10**6, "events")
+    ttl = re.sub(r"\bo\b", "h_o", ttl)
+    ttl = re.sub(r"\brec\b", "h_rec", ttl)
+    lim = L.I4[len("\nWITH RECURSIVE "):].rstrip()
+    return f"""
+WITH RECURSIVE {lim},
+{ttl},
+{SL},
+base AS (SELECT date_trunc('day', ts) AS day, count(*) AS total, count(*) FILTER (WHERE success) AS successful,
+                count(*) FILTER (WHERE NOT success) AS engine_failures FROM sl GROUP BY 1),
+hits AS (SELECT date_trunc('day', ts) AS day, count(*) FILTER (WHERE hit) AS cache_hits FROM h_rec GROUP BY 1),
+blk AS (SELECT date_trunc('day', r.ts) AS day, count(*) FILTER (WHERE NOT rec.allowed) AS rate_limit_blocks
+        FROM rec JOIN rl r USING (event_id) WHERE rec.rn > 0 GROUP BY 1)
+SELECT base.day, total, successful, engine_failures, coalesce(cache_hits, 0) AS cache_hits,
+       coalesce(rate_limit_blocks, 0) AS rate_limit_blocks
+FROM base LEFT JOIN hits USING (day) LEFT JOIN blk USING (day)
 """
 
+
+F16 = _f16()
+
 A2 = """
 SELECT page_id, CAST(status AS INTEGER) AS status_code, (status >= 200 AND status < 400) AS success,
        CASE WHEN status >= 200 AND status < 400 THEN NULL ELSE 'HTTP ' || status END AS error,

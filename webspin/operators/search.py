@@ -202,14 +202,28 @@ def available_engines(log: DataFrame, keys_present: list[str] | None = None) ->
     return used.join(F.broadcast(cfg.select("engine")), "engine", "left_semi")
 
 
-def tool_stats(log: DataFrame) -> DataFrame:
-    """F16: per day: total, successful, engine failures."""
-    return log.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("day")).agg(
+def tool_stats(log: DataFrame, cache_replay: DataFrame | None = None,
+               limiter_replay: DataFrame | None = None) -> DataFrame:
+    """F16: per day: total, successful, engine failures, and (when the
+    replays are given) cache hits (H2) and rate-limit blocks (I4).
+
+    Every input is first reduced to one row per day (partial aggregation),
+    so the joins are between day-sized tables."""
+    def day(c):
+        return F.window(F.col(c).cast("timestamp"), "1 day")["start"].cast("timestamp_ntz")
+
+    out = log.groupBy(day("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("success").alias("successful"),
-        F.count_if(~F.col("success")).alias("engine_failures")) \
-        .select(F.col("day.start").cast("timestamp_ntz").alias("day"), "total", "successful",
-                "engine_failures")
+        F.count_if(~F.col("success")).alias("engine_failures"))
+    if cache_replay is not None:
+        hits = cache_replay.groupBy(day("ts").alias("day")).agg(F.count_if("hit").alias("cache_hits"))
+        out = out.join(hits, "day", "left").fillna(0, ["cache_hits"])
+    if limiter_replay is not None:
+        blocks = limiter_replay.groupBy(day("ts").alias("day")).agg(
+            F.count_if(~F.col("allowed")).alias("rate_limit_blocks"))
+        out = out.join(blocks, "day", "left").fillna(0, ["rate_limit_blocks"])
+    return out
 
 
 def format_results(results: DataFrame, query_col: str = "query", engine_col: str = "engine") -> DataFrame:

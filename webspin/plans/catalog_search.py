@@ -174,7 +174,15 @@ def q_f15(spark, sf):
 
 
 def q_f16(spark, sf):
-    return S.tool_stats(search_log(spark, sf))
+    from webspin.operators import cache as H
+    from webspin.operators import limits as I
+    from webspin.plans.catalog_logs import _hourly_limits
+    from webspin.sources.derived import request_log
+
+    log = search_log(spark, sf)
+    hits = H.cache_hits(H.cache_keys(log.withColumn("max_results", F.lit(10))), ttl_s=3600.0)
+    blocks = I.replay_limits(request_log(spark, sf), _hourly_limits(spark))
+    return S.tool_stats(log, hits, blocks)
 
 
 QUERIES = {
