@@ -108,6 +108,15 @@ def engine_fallback(responses: DataFrame, target: Column | str,
                        (F.col("engine") != F.col("original_engine")).alias("used_fallback"))
 
 
+def response_summary_parsed(parsed: DataFrame) -> DataFrame:
+    """Per (query, engine) from one parsing pass (``parse_any_payloads``):
+    did the engine answer (any parsable payload) and how many results it
+    gave. Partial aggregation before the shuffle."""
+    return parsed.groupBy("query", "engine").agg(
+        F.bool_or("ok").alias("success"),
+        F.sum(F.size("results")).cast("long").alias("n_results"))
+
+
 def response_summary(results: DataFrame, payloads: DataFrame) -> DataFrame:
     """Per (query, engine): did the engine answer (any parsable payload) and
     how many results it gave. Partial aggregation before the shuffle."""

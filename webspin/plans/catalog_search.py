@@ -110,18 +110,19 @@ def q_f6(spark, sf):
     return S.top_results(_results(spark, sf), 10).select("query", "rank", "page_id")
 
 
+def _parsed(spark, sf):
+    # every engine's payloads parsed in one pass over the payload table
+    return P.parse_any_payloads(P.serp(spark, sf), 10)
+
+
 def _payload_results(spark, sf):
-    s = P.serp(spark, sf)
-    g = P.parse_google_payloads(s.where(F.col("engine") == "google_custom"))
-    x = P.parse_searx_payloads(s.where(F.col("engine") == "searx"), 10)
-    b = P.parse_bing_payloads(s.where(F.col("engine") == "bing"))
-    res = g.select(P.RESULT_COLS).unionByName(x.select(P.RESULT_COLS)).unionByName(b.select(P.RESULT_COLS))
-    return s, res
+    p = _parsed(spark, sf)
+    res = p.select("query", "engine", F.inline("results")).select(P.RESULT_COLS)
+    return p, res
 
 
 def q_f7(spark, sf):
-    s, res = _payload_results(spark, sf)
-    return S.engine_fallback(S.response_summary(res, s), "google_custom")
+    return S.engine_fallback(S.response_summary_parsed(_parsed(spark, sf)), "google_custom")
 
 
 def q_f9(spark, sf):
