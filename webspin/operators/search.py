@@ -114,7 +114,7 @@ def response_summary_parsed(parsed: DataFrame) -> DataFrame:
     gave. Partial aggregation before the shuffle."""
     return parsed.groupBy("query", "engine").agg(
         F.bool_or("ok").alias("success"),
-        F.sum(F.size("results")).cast("long").alias("n_results"))
+        F.count_if("valid").alias("n_results"))
 
 
 def response_summary(results: DataFrame, payloads: DataFrame) -> DataFrame:

@@ -117,8 +117,7 @@ def _parsed(spark, sf):
 
 def _payload_results(spark, sf):
     p = _parsed(spark, sf)
-    res = p.select("query", "engine", F.inline("results")).select(P.RESULT_COLS)
-    return p, res
+    return p, p.where("valid").select(P.RESULT_COLS)
 
 
 def q_f7(spark, sf):

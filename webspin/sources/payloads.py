@@ -29,52 +29,42 @@ def _valid(title: Column, url: Column) -> Column:
         & U.is_valid_url(url, strict=True)
 
 
-RESULT_TYPE = "array<struct<rank:int,title:string,url:string,snippet:string>>"
+RAW_TYPE = "array<struct<title:string,url:string,snippet:string>>"
 
 
-def _rows(items: Column, title, url, snippet) -> Column:
-    """Parsed, validated result rows of one payload: rank = raw position + 1
-    (gaps stay after invalid items are dropped)."""
-    rows = F.transform(F.coalesce(items, F.array()), lambda it, i: F.struct(
-        (i + 1).cast("int").alias("rank"), X.clean_snippet(title(it)).alias("title"),
-        url(it).alias("url"), X.clean_snippet(snippet(it)).alias("snippet")))
-    return F.filter(rows, lambda r: _valid(r["title"], r["url"]))
+def _raw(items: Column, title, url, snippet) -> Column:
+    return F.transform(items, lambda it: F.struct(title(it).alias("title"), url(it).alias("url"),
+                                                  snippet(it).alias("snippet")))
 
 
-def google_rows(payload: Column) -> Column:
-    """A3 rows: ``items[]``; title, link, snippet."""
-    j = F.from_json(payload, GOOGLE_SCHEMA)
-    return _rows(j["items"], lambda it: it["title"], lambda it: it["link"], lambda it: it["snippet"])
-
-
-def searx_rows(payload: Column, max_results: int = 10) -> Column:
-    """A4 rows: ``results[]`` sliced to ``max_results`` before validation."""
-    j = F.from_json(payload, SEARX_SCHEMA)
-    return _rows(F.slice(j["results"], 1, max_results), lambda it: it["title"], lambda it: it["url"],
-                 lambda it: it["content"])
-
-
-def bing_rows(payload: Column) -> Column:
-    """A5 rows: ``webPages.value[]``; ``name`` becomes the title."""
-    j = F.from_json(payload, BING_SCHEMA)
-    return _rows(j["webPages"]["value"], lambda it: it["name"], lambda it: it["url"],
-                 lambda it: it["snippet"])
-
-
-def any_engine_rows(engine: Column, payload: Column, max_results: int = 10) -> Column:
-    """Rows of whichever engine shape the row carries: one pass over a mixed
-    payload table instead of one scan per engine."""
-    return (F.when(engine == "google_custom", google_rows(payload))
-            .when(engine == "searx", searx_rows(payload, max_results))
-            .when(engine == "bing", bing_rows(payload))
-            .otherwise(F.array().cast(RESULT_TYPE)))
+def any_engine_items(engine: Column, payload: Column, max_results: int = 10) -> Column:
+    """Raw items of whichever engine shape the row carries (null when the
+    payload has none): one pass over a mixed payload table instead of one
+    scan per engine. Only field projections run inside the lambdas."""
+    g = F.from_json(payload, GOOGLE_SCHEMA)["items"]
+    x = F.slice(F.from_json(payload, SEARX_SCHEMA)["results"], 1, max_results)
+    b = F.from_json(payload, BING_SCHEMA)["webPages"]["value"]
+    return (F.when(engine == "google_custom",
+                   _raw(g, lambda it: it["title"], lambda it: it["link"], lambda it: it["snippet"]))
+            .when(engine == "searx",
+                  _raw(x, lambda it: it["title"], lambda it: it["url"], lambda it: it["content"]))
+            .when(engine == "bing",
+                  _raw(b, lambda it: it["name"], lambda it: it["url"], lambda it: it["snippet"])))
 
 
 def parse_any_payloads(df: DataFrame, max_results: int = 10, payload: str = "payload") -> DataFrame:
-    """Per payload row: whether it parsed at all (``ok``) and its result rows."""
+    """One row per raw item (and one per payload without items, so the
+    answer flag survives): ok = the payload parsed at all; rank = raw
+    position + 1; title/snippet cleaned; valid = title and http(s) URL."""
     ok = F.col(payload).isNotNull() & F.get_json_object(F.col(payload), "$").isNotNull()
-    return df.select("query", "engine", ok.alias("ok"),
-                     any_engine_rows(F.col("engine"), F.col(payload), max_results).alias("results"))
+    x = df.select("query", "engine", ok.alias("ok"),
+                  F.posexplode_outer(any_engine_items(F.col("engine"), F.col(payload), max_results))
+                  .alias("_pos", "_it"))
+    title = X.clean_snippet(F.col("_it.title"))
+    out = x.select("query", "engine", "ok", (F.col("_pos") + 1).cast("int").alias("rank"),
+                   title.alias("title"), F.col("_it.url").alias("url"),
+                   X.clean_snippet(F.col("_it.snippet")).alias("snippet"))
+    return out.withColumn("valid", F.col("rank").isNotNull() & _valid(F.col("title"), F.col("url")))
 
 
 def _explode(df: DataFrame, arr: Column, keep: list[str]) -> DataFrame:
