@@ -97,3 +97,27 @@ def test_title_rules_text_first():
     # the 'text' attribute is tried first, so og:title (a content attribute) never wins
     html = "<html><head><title>Page Title Here</title><meta property='og:title' content='OG'></head></html>"
     assert H.extract_record("https://a.org", html)["title"] == "Page Title Here"
+
+
+def test_dom_jobs_match_per_page_python(spark):
+    """Brute force on a small fixture: the Spark jobs (batching, schema,
+    id mapping) give exactly what the per-page functions give."""
+    from tests.conftest import SMOKE
+
+    pages = spark.read.parquet(f"{SMOKE}/pages.parquet").select("page_id", "url", "html")
+    local = {r.page_id: (r.url, r.html) for r in pages.collect()}
+    got = {r.page_id: r for r in H.extract_pages(pages).collect()}
+    assert set(got) == set(local)
+    for pid, (url, html) in local.items():
+        exp = H.extract_record(url, html)
+        g = got[pid]
+        for f in ("title", "main_content", "description", "author", "publish_date", "content_type",
+                  "domain", "html_length", "soup_elements"):
+            assert getattr(g, f) == exp[f], (pid, f)
+        assert list(g.keywords) == exp["keywords"] and list(g.links) == exp["links"]
+        assert list(g.images) == exp["images"]
+    texts = {r.page_id: r.text for r in H.html_to_text(pages, preserve_links=True).collect()}
+    mains = {r.page_id: r.main_text for r in H.main_block(pages).collect()}
+    for pid, (url, html) in local.items():
+        assert texts[pid] == H.html_to_text_py(html, preserve_links=True)
+        assert mains[pid] == H.main_block_py(html)
