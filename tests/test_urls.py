@@ -86,3 +86,12 @@ def test_clean_result_url_cases(spark):
     df = spark.createDataFrame(cases, "u string, e string")
     for r in df.select("e", U.clean_result_url(F.col("u")).alias("c")).collect():
         assert r.c == r.e
+
+
+def test_percent_decoding_like_unquote(spark):
+    vals = ["a%20b", "100%", "50%zz+x", "caf%C3%A9%2", "a+b%2Bc"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = df.select(U.form_decode(F.col("v")).alias("f"), U.percent_decode(F.col("v")).alias("p")).collect()
+    for v, r in zip(vals, got):
+        assert r.f == urllib.parse.unquote_plus(v), v
+        assert r.p == urllib.parse.unquote(v), v

@@ -37,14 +37,20 @@ def quote_plus(c: Column) -> Column:
                      F.lit("%7E"), F.lit("~"))
 
 
+def _lone_percent_escaped(c: Column) -> Column:
+    # a '%' not followed by two hex digits stays literal (as unquote leaves it)
+    return F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+
+
 def form_decode(c: Column) -> Column:
-    """'+' to space, then percent-decode; bad escapes keep the raw text."""
-    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    """'+' to space, then percent-decode (unquote_plus): valid %XX runs are
+    decoded, a lone '%' stays as it is."""
+    return F.coalesce(F.try_url_decode(_lone_percent_escaped(c)), F.replace(c, F.lit("+"), F.lit(" ")))
 
 
 def percent_decode(c: Column) -> Column:
     """Percent-decode without touching '+' (like ``unquote``)."""
-    protected = F.replace(c, F.lit("+"), F.lit("%2B"))
+    protected = F.replace(_lone_percent_escaped(c), F.lit("+"), F.lit("%2B"))
     return F.coalesce(F.try_url_decode(protected), c)
 
 
