@@ -107,6 +107,10 @@ SELECT event_id, CAST(a AS INTEGER) AS attempt,
 FROM (SELECT event_id, unnest(range(0, 4)) AS a FROM events WHERE event_type = 'error')
 """
 
+I11_TOTALS = f"""
+SELECT event_id, count(*) AS attempts, sum(wait_s) AS total_wait_s FROM ({I11}) GROUP BY event_id
+"""
+
 H1 = "SELECT event_id, md5(event_type || ':' || '10') AS cache_key FROM events"
 
 _DOMAIN = S.two_label_domain(S.url_host(S.canonical_url("url")))
@@ -154,6 +158,7 @@ ORACLE = {
     "I9_pace_requests": I9,
     "I10_tool_window_waits": I10,
     "I11_retry_schedule": I11,
+    "I11_retry_totals": I11_TOTALS,
     "H1_cache_keys": H1,
     "G1_robots_rules": G1,
     "G3_robots_allowed": G3,

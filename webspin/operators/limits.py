@@ -172,6 +172,12 @@ def retry_schedule(df: DataFrame, retries: int = 3, base_s: float = 1.0) -> Data
     return att
 
 
+def retry_totals(schedule: DataFrame, id_col: str = "event_id") -> DataFrame:
+    """I11 per request: attempts made and the total wait before giving up."""
+    return schedule.groupBy(id_col).agg(F.count(F.lit(1)).alias("attempts"),
+                                        F.sum("wait_s").alias("total_wait_s"))
+
+
 # ---- I4: exact replay ------------------------------------------------------
 
 REPLAY_SCHEMA = ("event_id long, identifier long, domain string, engine string, ts timestamp, "

@@ -92,6 +92,11 @@ def q_i11(spark, sf):
     return I.retry_schedule(ev, retries=3, base_s=1.0).select("event_id", "attempt", "wait_s")
 
 
+def q_i11_totals(spark, sf):
+    ev = load(spark, sf, "events").where(F.col("event_type") == "error").select("event_id")
+    return I.retry_totals(I.retry_schedule(ev, retries=3, base_s=1.0))
+
+
 def _keyed_search_log(spark, sf):
     return H.cache_keys(search_log(spark, sf).withColumn("max_results", F.lit(10)))
 
@@ -157,6 +162,7 @@ QUERIES = {
     "I9_pace_requests": q_i9,
     "I10_tool_window_waits": q_i10,
     "I11_retry_schedule": q_i11,
+    "I11_retry_totals": q_i11_totals,
     "H1_cache_keys": q_h1,
     "H2_cache_hits": q_h2,
     "H3_cache_evict": q_h3,
