@@ -9,6 +9,7 @@ from webspin import dims
 from webspin.functions import text as X
 from webspin.functions import urls as U
 
+# Fixed value that must equal the reference (hard cap on results per query).
 ABSOLUTE_MAX_RESULTS = 50
 # The tool's own engine order (instant answer, html page, searx, bing);
 # pass it as ``order`` to engine_fallback for that variant.
