@@ -21,3 +21,16 @@ def test_every_query_plans(spark):
         if name == "A10_write_corpus":
             continue
         fn(spark, SMOKE).schema  # analysis must succeed
+
+
+def test_inventory_resolves_and_is_registered():
+    import re
+
+    import webspin
+
+    keys = E.queries()
+    for inv in webspin.INVENTORY:
+        assert callable(webspin.resolve(inv)), inv
+        base = inv.split("-")[0]
+        if "-" not in inv:
+            assert any(re.match(rf"^{base}_", k) for k in keys), inv
