@@ -44,21 +44,21 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, user_agent: str = DEFAULT_
                    id_col: str = "page_id") -> DataFrame:
     """Allowed iff no rule, or any allow match, or no disallow match.
 
-    ``urls`` has (id, domain, path). Equi join on the two-label domain with a
-    prefix residual, ``bool_or`` per URL, left join back. A hot domain is a
-    skewed join key: AQE's skew-join handling splits it at runtime.
+    ``urls`` has (id, domain, path, ...). One left outer join on the
+    two-label domain with the prefix test as residual, then one aggregation
+    per URL (its own columns are the grouping keys): no join back. A hot
+    domain is a skewed join key on the streamed side; AQE's skew-join
+    handling splits it at runtime.
     """
     ua = user_agent.lower()
     r = rules.where(F.col("agent").isin(ua, "*")).select(
-        F.col("domain").alias("_rd"), "kind", F.col("prefix"))
-    u = urls.select(id_col, "domain", "path")
-    m = u.join(r, (u["domain"] == r["_rd"]) & path_matches(u["path"], r["prefix"]), "inner")
-    flags = m.groupBy(id_col).agg(
-        F.bool_or(F.col("kind") == "allow").alias("_allow"),
-        F.bool_or(F.col("kind") == "disallow").alias("_deny"))
-    out = urls.join(flags, id_col, "left")
-    return out.withColumn("allowed", F.coalesce(F.col("_allow"), F.lit(False))
-                          | ~F.coalesce(F.col("_deny"), F.lit(False))).drop("_allow", "_deny")
+        F.col("domain").alias("_rd"), F.col("kind").alias("_kind"), F.col("prefix").alias("_prefix"))
+    m = urls.join(r, (urls["domain"] == r["_rd"]) & path_matches(urls["path"], r["_prefix"]), "left")
+    g = m.groupBy(*urls.columns).agg(
+        F.bool_or(F.col("_kind") == "allow").alias("_allow"),
+        F.bool_or(F.col("_kind") == "disallow").alias("_deny"))
+    return g.withColumn("allowed", F.coalesce(F.col("_allow"), F.lit(False))
+                        | ~F.coalesce(F.col("_deny"), F.lit(False))).drop("_allow", "_deny")
 
 
 def robots_refresh_points(log: DataFrame, ttl_s: float = 3600.0,
