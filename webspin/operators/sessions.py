@@ -68,17 +68,21 @@ def history_at_turn(msgs: DataFrame, n: int = 6, key: str = "conv_id",
 
 
 def memory_window(msgs: DataFrame, key: str = "conv_id", order: str = "turn",
-                  levels: DataFrame | None = None) -> DataFrame:
+                  profiles: list[tuple[str, int]] | None = None) -> DataFrame:
     """The last k messages kept per memory profile (k = 20 / 10 / 5).
 
-    The profile table has three rows (fixed): broadcast join, then one filter.
+    Top-kmax per conversation (WindowGroupLimit), then each kept message is
+    emitted once per profile whose k covers it: a filtered array of the
+    (bounded) profiles and an explode, no join.
     """
-    prof = levels if levels is not None else dims.memory_profiles(msgs.sparkSession)
+    prof = profiles or dims.MEMORY_PROFILES
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    kmax = max(k for _, k in dims.MEMORY_PROFILES)
+    kmax = max(k for _, k in prof)
     ranked = msgs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kmax)
-    return (ranked.join(F.broadcast(prof), F.col("_rn") <= F.col("k"), "inner")
-            .select("level", key, order, "role"))
+    levels = F.array(*[F.struct(F.lit(l).alias("level"), F.lit(k).alias("k")) for l, k in prof])
+    keep = F.filter(levels, lambda p: F.col("_rn") <= p["k"])
+    return ranked.select(F.explode(keep).alias("_p"), key, order, "role") \
+        .select(F.col("_p.level").alias("level"), key, order, "role")
 
 
 def session_status(msgs: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
