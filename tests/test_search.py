@@ -64,3 +64,17 @@ def test_relevance_prefers_exact_match(spark):
                                "query string, title string, snippet string, rank int")
     r = [x.relevance for x in S.relevance(df).collect()]
     assert 0 <= r[1] < r[0] <= 1
+
+
+def test_domain_filters_are_substring_matches(spark):
+    from webspin import dims
+
+    df = spark.createDataFrame([(1, "old.reddit.com"), (2, "en.wikipedia.org"), (3, "example.org")],
+                               "page_id long, host string")
+    blocked = dims.blocked_domains(spark)
+    preferred = dims.preferred_domains(spark)
+    assert [r.page_id for r in S.drop_blocked(df, blocked).orderBy("page_id").collect()] == [2, 3]
+    assert [r.page_id for r in S.keep_preferred(df, preferred).collect()] == [2]
+    pr = {r.page_id: r.priority for r in
+          S.domain_priority(df, dims.BLOCKED_DOMAINS, dims.PREFERRED_DOMAINS).collect()}
+    assert pr == {1: 0, 2: 10, 3: 5}
