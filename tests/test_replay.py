@@ -80,3 +80,28 @@ def test_chat_history_format_and_empty_session(spark):
     got = {r.conv_id: r.history for r in chat_history(msgs, sessions=sessions).collect()}
     assert got[1] == "\n".join(f"{'Humano' if i % 2 == 0 else 'Asistente'}: m{i}" for i in range(2, 8))
     assert got[2] == NO_HISTORY
+
+
+def test_fetch_outcomes_paths(spark):
+    from webspin.sources.tables import fetch_outcomes
+
+    rows = [("https://a.org/x", 200, "ok", 10), ("https://a.org/y", 404, "nf", 2),
+            ("https://a.org/z", 301, "moved", 5), ("", 200, "x", 1),
+            ("https://a.org/big", 200, "huge", 20 * 1024 * 1024)]
+    df = spark.createDataFrame(rows, "url string, status_code int, content string, declared_length long")
+    got = [(r.status_code, r.success, r.error, r.content) for r in fetch_outcomes(df).collect()]
+    assert got == [(200, True, None, "ok"), (404, False, "HTTP 404", "nf"), (301, True, None, "moved"),
+                   (0, False, "Invalid URL", ""),
+                   (200, False, f"Response too large: {20 * 1024 * 1024} bytes", "")]
+
+
+def test_limit_status_and_idle(spark):
+    log = _log(spark, [0, 10, 20, 30, 100000], domain="github.com")
+    at = F.lit("2024-01-01 00:00:40").cast("timestamp_ntz")
+    st = {(r.scope, r.limit_type): (r.made, r.remaining) for r in I.limit_status(log, at).collect()}
+    assert st[("global", "requests_per_minute")] == (4, 96.0)
+    assert st[("domain", "requests_per_hour")] == (4, 996.0)
+    idle = I.expire_idle(log, F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")).first()
+    assert not idle.expired and idle.idle_s == 2 * 86400 - 100000   # 72,800 s < one day
+    idle = I.expire_idle(log, F.lit("2024-01-04 00:00:00").cast("timestamp_ntz")).first()
+    assert idle.expired and idle.idle_s == 3 * 86400 - 100000
