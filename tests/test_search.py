@@ -78,3 +78,30 @@ def test_domain_filters_are_substring_matches(spark):
     pr = {r.page_id: r.priority for r in
           S.domain_priority(df, dims.BLOCKED_DOMAINS, dims.PREFERRED_DOMAINS).collect()}
     assert pr == {1: 0, 2: 10, 3: 5}
+
+
+def test_robots_rules_and_decisions(spark):
+    from webspin.operators import robots as G
+
+    text = ("# comment\nUser-agent: *\nDisallow: /private\nAllow: /private/ok*\nDisallow:\n\n"
+            "User-agent: WebSpinBot\nDisallow: /\n")
+    rules = G.robots_rules(spark.createDataFrame([("a.org", text)], "domain string, text string"))
+    got = sorted((r.agent, r.kind, r.prefix) for r in rules.collect())
+    assert got == [("*", "allow", "/private/ok*"), ("*", "disallow", "/private"),
+                   ("webspinbot", "disallow", "/")]
+    urls = spark.createDataFrame([(1, "a.org", "/private/x"), (2, "a.org", "/private/ok/1"),
+                                  (3, "a.org", "/public"), (4, "b.org", "/private")],
+                                 "page_id long, domain string, path string")
+    star = {r.page_id: r.allowed for r in G.robots_allowed(urls, rules, user_agent="otherbot").collect()}
+    assert star == {1: False, 2: True, 3: True, 4: True}
+    ours = {r.page_id: r.allowed for r in G.robots_allowed(urls, rules, user_agent="WebSpinBot").collect()}
+    assert ours == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_workflow_continuity(spark):
+    rows = [(1, 1, "assistant", "a"), (1, 3, "assistant", "b"),
+            (2, 1, "assistant", "same"), (2, 3, "assistant", "same"), (2, 5, "assistant", "x"),
+            (3, 1, "assistant", "only one"), (4, 1, "assistant", " "), (4, 3, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.continuity_ok for r in J.workflow_continuity(df).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
