@@ -82,3 +82,30 @@ def test_keep_where_and_spread(spark):
     assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     big = spark.range(0, 100, 1, 64)
     assert spread(big).rdd.getNumPartitions() == 64
+
+
+def test_sentences_and_masking(spark):
+    from webspin.operators.text import bound_sentences, mask_urls_emails
+
+    t = "Short. This sentence is long enough! Tiny? Another fine sentence here. x"
+    r = bound_sentences(spark.createDataFrame([(t,)], "text string")).first()
+    assert r.n_sentences == 5 and r.n_kept == 2
+    m = mask_urls_emails(spark.createDataFrame([("see https://a.org/x and mail bob@ex.com now",)],
+                                               "text string")).first()
+    assert (m.n_urls, m.n_emails) == (1, 1) and m.masked_text == "see  and mail  now"
+
+
+def test_instant_answers(spark):
+    import json
+
+    from webspin.sources.payloads import parse_instant_answers
+
+    payload = json.dumps({"Heading": "Spark", "AbstractURL": "https://a.org", "Abstract": "A" * 400,
+                          "RelatedTopics": [{"Text": "Topic one - more", "FirstURL": "https://b.org"},
+                                            {"Text": "", "FirstURL": "https://c.org"},
+                                            {"Text": "Topic three", "FirstURL": "https://d.org"}]})
+    df = spark.createDataFrame([("q", "instant_answer", payload), ("q2", "instant_answer", "not json")],
+                               "query string, engine string, payload string")
+    got = [(r.rank, r.title, r.url, len(r.snippet)) for r in parse_instant_answers(df, 3).collect()]
+    # abstract first (snippet cut at 300), then the first max_results-1 topics that have text
+    assert got == [(1, "Spark", "https://a.org", 300), (2, "Topic one", "https://b.org", 16)]
