@@ -16,8 +16,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.op9_near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
