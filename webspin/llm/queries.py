@@ -16,6 +16,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.op8_decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webspin.llm.op9_near_dedup import near_duplicates
 
@@ -24,6 +30,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
 }
 
