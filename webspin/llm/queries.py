@@ -28,10 +28,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.op10_bpe import digests, encode_decode
+
+    return digests(encode_decode(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
