@@ -16,6 +16,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.op7_fingerprint import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webspin.llm.op8_decontaminate import decontaminate
 
@@ -36,6 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_fingerprint": op7_fingerprint,
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
