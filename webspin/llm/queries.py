@@ -10,6 +10,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bucket5(id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo 5: the folds of the learned operators."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from webspin.llm.op1_language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    models = train(docs.where(bucket5() != 0), "doc_id", "text", "lang")
+    return identify(docs, models).select("doc_id", (bucket5() == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", F.col("rejected"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webspin.llm.op5_suffix_dedup import dedup_suffixes
 
@@ -41,6 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_fingerprint": op7_fingerprint,
     "op8_decontaminate": op8_decontaminate,
