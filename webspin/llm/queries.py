@@ -27,6 +27,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, models).select("doc_id", (bucket5() == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", F.col("rejected"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.op2_toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    index = train(docs, table(spark, sf_dir, "labels"), bucket5() != 0)
+    return score_toxicity(docs, index).select("doc_id", (bucket5() == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webspin.llm.op5_suffix_dedup import dedup_suffixes
 
@@ -59,6 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_fingerprint": op7_fingerprint,
     "op8_decontaminate": op8_decontaminate,
