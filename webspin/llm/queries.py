@@ -41,6 +41,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.op6_html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webspin.llm.op7_fingerprint import edited_pairs
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_html_text": op6_html_text,
     "op7_fingerprint": op7_fingerprint,
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
