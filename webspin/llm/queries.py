@@ -35,6 +35,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, index).select("doc_id", (bucket5() == 0).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.op3_quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webspin.llm.op5_suffix_dedup import dedup_suffixes
 
@@ -74,6 +81,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_text": op6_html_text,
     "op7_fingerprint": op7_fingerprint,
