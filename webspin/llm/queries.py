@@ -42,6 +42,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from webspin.llm.op4_lm_score import score_texts, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(bucket5() == 1, F.lit(False))
+    model, counts = train(docs.where(~held_out))
+    return score_texts(docs, held_out, model, counts)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webspin.llm.op5_suffix_dedup import dedup_suffixes
 
@@ -82,6 +93,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_lm_score": op4_lm_score,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_text": op6_html_text,
     "op7_fingerprint": op7_fingerprint,
