@@ -9,8 +9,9 @@ in two passes:
    long with enough stop words is main text; short is ambiguous; else the
    density decides. Inside an ``article`` or ``main`` element only a block of
    mostly links is boilerplate, and no block there is ambiguous for its words.
-2. Ambiguous blocks take the label of the nearest decided block (the earlier
-   one of two that are equally near); if no block is decided, they stay in.
+2. Ambiguous blocks take the label of the nearest decided block (the later one
+   of two that are equally near, as headings belong to what follows); if no
+   block is decided, they stay in.
 
 If a page marks its article, blocks outside of it are boilerplate.
 
@@ -210,7 +211,7 @@ def label_blocks(blocks: list[tuple[str, int, bool, bool]]) -> list[bool]:
             b, a = before[i], last
             if b is None and a is None:
                 out[i] = True
-            elif a is None or b is not None and i - b <= a - i:
+            elif a is None or b is not None and i - b < a - i:
                 out[i] = bool(labels[b])
             else:
                 out[i] = bool(labels[a])
