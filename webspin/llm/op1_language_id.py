@@ -86,7 +86,7 @@ class SortedHashes:
             h += spread(cp[:, k]) * PLACE[k]
         h = C.mix(h)
         order = np.argsort(h)
-        self.keys, self.rows = h[order], rows.reshape(len(grams), -1)[order].astype(np.float32)
+        self.keys, self.rows = h[order], rows[order].astype(np.float32)
         bits = max(1, len(grams).bit_length())
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int64)
