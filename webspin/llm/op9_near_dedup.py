@@ -7,15 +7,21 @@
    goes around. A region is the classes that agree on the first three values
    of an order (two sets of likeness 0.85 share none with odds of 2 in 10
    million). Regions of one class end here.
-3. Each remaining region is sorted along its order. Small regions propose all
-   their likely pairs; larger ones go deeper: each class proposes its longest
-   common prefix neighbours and the most typical class of its region.
-4. Proposals are confirmed on full shingle sets, and links become components.
-5. Larger regions then propose every likely pair whose ends are still in
-   different components; those are confirmed too. After that, no likely pair
-   of a region is left unchecked unless its ends are already connected.
-
-A pair is likely if the signatures agree on at least ``threshold`` minus 0.17
+3. Each remaining region is sorted along its order, so that classes with long
+   common prefixes stand together, and compared by signature. It proposes a
+   spanning forest of its likely pairs: as many pairs as lie between its
+   classes and no more, so that no group emits all its pairs. A region of more
+   than ``BLOCK`` classes is compared in blocks along its order (prefixes get
+   longer as a region gets denser); the first class joins every block.
+4. The proposals' components are the neighbourhoods: whatever links there are
+   lie inside them. Each class sends its full shingle set to its neighbourhood
+   once, and all intersections there are counted exactly. A neighbourhood of
+   more than ``BLOCK`` classes is dealt out as pairs of sub-blocks instead, so
+   that a task never holds more than about ``BLOCK`` sets. Each task returns a
+   spanning forest of the true links.
+5. The components of these links are the result.
+
+A pair is likely if the signatures agree on at least the threshold minus 0.17
 of the values (over three deviations below the threshold).
 
 Defined cases: null or wordless texts have an empty set and link with nothing;
@@ -36,11 +42,8 @@ from pyspark.sql import functions as F
 from webspin.llm import common as C
 
 VALUES, ORDERS, DEPTH = 64, 16, 3
-#: Classes of a region that propose all their pairs at once.
-ALL_PAIRS = 16
-#: Longest common prefix neighbours on each side in larger regions.
-NEIGHBOURS = 3
-#: Classes that are compared in one block in step 5.
+STEP = VALUES // ORDERS
+#: Classes that are compared at once.
 BLOCK = 4096
 
 _rng = np.random.default_rng(99)
@@ -104,150 +107,159 @@ def _profile(words: int):
 
 
 def _regions(batches):
-    """(region, class) for each order of the forest."""
+    """(region, class, order) for each order of the forest."""
     for b in batches:
         data, _ = C.string_view(b.column("sig"))
         sig = np.ascontiguousarray(data).view(np.uint32).reshape(-1, VALUES).astype(np.uint64)
-        step = VALUES // ORDERS
         ids = np.asarray(b.column("cls"))
         for t in range(ORDERS):
             h = np.full(len(sig), t + 1, np.uint64)
             for k in range(DEPTH):
-                h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, (t * step + k) % VALUES])
+                h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, t * STEP + k])
             yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(ids), pa.array(np.full(len(ids), t, np.int32))], names=["region", "cls", "ord"])
 
 
-def _grouped(batches, column: str):
-    """Tables of whole groups of rows sorted by ``column`` (many small groups at once)."""
-    held = None
+def _grouped(batches, column: str, split: bool):
+    """Tables of whole groups of rows sorted by ``column`` (many small groups
+    at once). ``split``: a very large group comes in blocks, and its first row
+    leads each of them."""
+    held, count = [], 0
     for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        if len(held) < 2048:
+        held.append(pa.Table.from_batches([b]))
+        count += b.num_rows
+        if count < 1024:
             continue
-        k = np.asarray(held.column(column))
+        t = pa.concat_tables(held)
+        k = np.asarray(t.column(column))
         last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
         if last:
-            yield held.slice(0, last)
-            held = held.slice(last)
-        elif len(held) > 4 * BLOCK:  # one very large group: in blocks, and its first row joins each of them
-            yield held.slice(0, BLOCK)
-            held = pa.concat_tables([held.slice(0, 1), held.slice(BLOCK)])
-    if held is not None and len(held):
-        yield held
-
-
-def _likely(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
-    out = np.zeros(len(i), bool)
-    for at in range(0, len(i), 65536):
-        a, b = i[at:at + 65536], j[at:at + 65536]
-        out[at:at + 65536] = (sig[a] == sig[b]).sum(axis=1) >= least
+            yield t.slice(0, last)
+            t = t.slice(last)
+        while split and len(t) > 2 * BLOCK:
+            yield t.slice(0, BLOCK)
+            t = pa.concat_tables([t.slice(0, 1), t.slice(BLOCK)])
+        held, count = [t], len(t)
+    if count:
+        yield pa.concat_tables(held)
+
+
+def _cuts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    n, out = len(linked), []
+    fresh = np.ones(n, bool)
+    for root in range(n):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        queue = [root]
+        while queue and fresh.any():
+            i = queue.pop()
+            new = np.flatnonzero(linked[i] & fresh)
+            fresh[new] = False
+            out.extend((i, int(j)) for j in new)
+            queue.extend(new.tolist())
     return out
 
 
-def _sorted_region(sig: np.ndarray, order: int) -> np.ndarray:
-    turned = np.roll(sig, -order * (VALUES // ORDERS), axis=1).astype(">u4")
-    return np.argsort(np.ascontiguousarray(turned).view(f"S{4 * VALUES}").ravel(), kind="stable")
+def _agreement(sig: np.ndarray, least: int) -> np.ndarray:
+    n = len(sig)
+    out = np.zeros((n, n), bool)
+    step = max(1, (1 << 18) // n)
+    for at in range(0, n, step):
+        same = np.zeros((min(step, n - at), n), np.uint8)
+        for k in range(VALUES):
+            same += sig[at:at + step, k, None] == sig[None, :, k]
+        out[at:at + step] = same >= least
+    return out
 
 
-def _propose(least: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pair_batch(pairs: set) -> pa.RecordBatch:
+    rows = sorted(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=PAIR)
 
+
+def _propose(least: int):
     def run(batches):
-        for t in _grouped(batches, "region"):
+        for t in _grouped(batches, "region", True):
             region, ids = np.asarray(t.column("region")), np.asarray(t.column("cls"))
             data, _ = C.string_view(t.column("sig"))
             sig = np.ascontiguousarray(data).view(np.uint32).reshape(-1, VALUES)
-            order = np.asarray(t.column("ord"))
-            cuts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
-            pi, pj = [], []
+            cuts, out = _cuts(region), set()
             for a, b in zip(cuts[:-1], cuts[1:]):
-                g = b - a
-                if g <= ALL_PAIRS:
-                    i, j = np.triu_indices(g, 1)
-                    pi.append(i + a)
-                    pj.append(j + a)
-                    continue
-                rank = _sorted_region(sig[a:b], int(order[a])) + a
-                for k in range(1, NEIGHBOURS + 1):
-                    pi.append(rank[:-k])
-                    pj.append(rank[k:])
-                # the most typical class: agrees most often with the commonest values
-                part = sig[a:b]
-                common = np.array([v[np.argmax(c)] for v, c in (np.unique(part[:, k], return_counts=True) for k in range(VALUES))])
-                hub = a + int(np.argmax((part == common).sum(axis=1)))
-                rest = np.setdiff1d(np.arange(a, b), [hub])
-                pi.append(rest)
-                pj.append(np.full(len(rest), hub))
-            if not pi:
-                continue
-            i, j = np.concatenate(pi), np.concatenate(pj)
-            keep = _likely(sig, i, j, least)
-            x, y = ids[i[keep]], ids[j[keep]]
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            if len(x):
-                pairs = np.unique(np.stack([x, y], axis=1), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], schema=schema)
+                if b - a == 2:
+                    edges = [(0, 1)] if (sig[a] == sig[a + 1]).sum() >= least else []
+                else:
+                    edges = _forest(_agreement(sig[a:b], least)) if b - a > 1 else []
+                out.update((min(x, y), max(x, y)) for x, y in ((int(ids[a + i]), int(ids[a + j])) for i, j in edges) if x != y)
+            if out:
+                yield _pair_batch(out)
     return run
 
 
-def _across(least: int):
-    """Likely pairs of large regions whose ends are in different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets are linked: exact intersection counts of all pairs."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    if n <= 32:
+        both = np.zeros((n, n))
+        for i in range(n):
+            for j in range(i):
+                if 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]):
+                    both[i, j] = both[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    else:
+        row = np.repeat(np.arange(n), size)
+        _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[col] > 1  # a shingle of one set is in no intersection
+        row, col = row[shared], col[shared]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((n, n), np.float32)
+        first = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]])) if len(col) else np.zeros(0, np.int64)
+        nth = np.cumsum(np.concatenate([[0], col[1:] != col[:-1]])) if len(col) else np.zeros(0, np.int64)
+        first = np.append(first, len(col))
+        for at in range(0, len(first) - 1, 2048):
+            a, b = first[at], first[min(at + 2048, len(first) - 1)]
+            part = np.zeros((n, 2048), np.float32)
+            part[row[a:b], nth[a:b] - at] = 1
+            both += part @ part.T
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, False)
+    return linked
 
+
+def _confirm(percent: int):
     def run(batches):
-        for t in _grouped(batches, "region"):
-            region, ids, comp = (np.asarray(t.column(c)) for c in ("region", "cls", "comp"))
-            data, _ = C.string_view(t.column("sig"))
-            sig = np.ascontiguousarray(data).view(np.uint32).reshape(-1, VALUES)
-            cuts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+        for t in _grouped(batches, "task", False):
+            task, ids = np.asarray(t.column("task")), np.asarray(t.column("cls"))
+            data, off = C.string_view(t.column("shingles"))
+            cuts, out = _cuts(task), set()
             for a, b in zip(cuts[:-1], cuts[1:]):
-                names, inverse, counts = np.unique(comp[a:b], return_inverse=True, return_counts=True)
-                if len(names) < 2:
-                    continue
-                # the largest component need not be compared with itself
-                small = np.flatnonzero(inverse != np.argmax(counts)) + a
-                for i in small:
-                    j = np.arange(a, b)
-                    j = j[(comp[j] != comp[i])]
-                    j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-                    if len(j):
-                        x, y = np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], schema=schema)
+                sets = [np.frombuffer(data[off[i]:off[i + 1]].tobytes(), np.uint64) for i in range(a, b)]
+                out.update((min(x, y), max(x, y)) for x, y in ((int(ids[a + i]), int(ids[a + j])) for i, j in _forest(_links(sets, percent))) if x != y)
+            if out:
+                yield _pair_batch(out)
     return run
 
 
 def _sets(words: int):
-    schema = pa.schema([("cls", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("cls", pa.int64()), ("comp", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
         for rows, data, off in C.text_pieces(batches, "__text"):
             sets = shingles(data, off, words)
             yield pa.RecordBatch.from_arrays([
-                rows.column("cls"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                rows.column("cls"), rows.column("comp"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
     return run
 
 
-def _confirm(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            da, oa = C.string_view(b.column("sa"))
-            db, ob = C.string_view(b.column("sb"))
-            keep = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x = np.frombuffer(da[oa[i]:oa[i + 1]].tobytes(), np.uint64)
-                y = np.frombuffer(db[ob[i]:ob[i + 1]].tobytes(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            take = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column("a").take(take), b.column("b").take(take)], schema=schema)
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) with comp the smallest node that each node of ``edges``
     (a, b) reaches. Alternates joining neighbours to the smallest neighbour of
@@ -287,18 +299,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = nodes.mapInArrow(_regions, "region long, cls long, ord int")
     crowded = member.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = member.join(crowded, "region").join(nodes, "cls")
-    member = C.write_read(member.select("region", "cls", "ord", "size", "sig"), "regions")
-    pairs = (member.drop("size").repartition(n, "region").sortWithinPartitions("region", "sig")
-             .mapInArrow(_propose(least), "a long, b long").distinct())
-    links = C.write_read(_verified(base, pairs, words, percent), "links")
-    comp = C.cut(components(links))
-
-    left = member.where(F.col("size") > ALL_PAIRS).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    more = (left.select("region", "cls", "sig", "comp").repartition(n, "region").sortWithinPartitions("region", "sig")
-            .mapInArrow(_across(least), "a long, b long").distinct())
-    more = C.write_read(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.take(1):
-        comp = C.cut(components(links.unionByName(_verified(base, more, words, percent))))
+    # the next values along the order, so that long common prefixes stand together
+    turned = F.expr(f"substring(concat(sig, sig), 4 * (ord * {STEP} + {DEPTH}) + 1, 32)")
+    pairs = (member.select("region", "cls", "sig", turned.alias("turned")).repartition(n, "region").sortWithinPartitions("region", "turned")
+             .drop("turned").mapInArrow(_propose(least), "a long, b long").distinct())
+    near = C.cut(components(pairs))
+    comp = C.cut(components(_linked(base, near, words, percent)))
 
     named = classes.select("digest", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("digest", F.coalesce("comp", "cls").alias("__comp"))
     out = prof.select("__id", "n_shingles", "digest").join(named, "digest", "left")
@@ -306,13 +312,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), "n_shingles", comp_id.alias("component_id"), F.col("__id").eqNullSafe(comp_id).alias("kept"))
 
 
-def _verified(base: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of classes whose full shingle sets are alike enough."""
-    pairs = C.write_read(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = base.join(asked, base["__id"] == asked["cls"], "inner").select("cls", "__text")
-    sets = C.write_read(texts.mapInArrow(_sets(words), "cls long, digest binary, shingles binary"), "sets")
-    sets = sets.groupBy("cls").agg(F.min_by("shingles", "digest").alias("shingles"))
-    sa = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+def _linked(base: DataFrame, near: DataFrame, words: int, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the links inside the neighbourhoods ``near``
+    (node, comp)."""
+    n = C.partitions(base.sparkSession)
+    # the texts are dealt by id on purpose: a broadcast of the ids would grow with the corpus
+    texts = base.join(near.select(F.col("node").alias("cls"), "comp").hint("merge"), F.col("__id") == F.col("cls")).select("cls", "comp", "__text")
+    sets = texts.mapInArrow(_sets(words), "cls long, comp long, digest binary, shingles binary")
+    sets = sets.groupBy("cls", "comp").agg(F.min_by("shingles", "digest").alias("shingles"))
+    size = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.when(F.col("size") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("size") / (BLOCK // 2))).cast("int")
+    dealt = sets.join(size, "comp").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("cls"), "blocks"))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("mine")) | (F.col("blocks") == 1))
+    dealt = dealt.withColumn("other", F.explode(other))
+    dealt = dealt.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "cls", "shingles")
+    return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "a long, b long").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, all columns as they
+    are; of rows that share an id, one stays (the smallest text)."""
+    gone = near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(id_col).alias("__again"))
+    if again.take(1):
+        twice = out.join(again, F.col(id_col) == F.col("__again"), "left_semi")
+        one = twice.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+        out = out.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(one)
+    return out
