@@ -415,3 +415,33 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ddl += ", __kept string"
     out = joined.mapInArrow(_apply(["__id"], pa.schema(fields), with_text), ddl).withColumnRenamed("__id", id_col)
     return out.withColumnRenamed("__kept", "kept_text") if with_text else out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", window: int = 400, core: int = 128) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of its texts: same rows, same
+    columns; ``length_col`` becomes the new number of code points. Texts
+    without repeats, null ones included, stay as they are."""
+    spans = repeated_spans(docs, id_col, text_col, window, core)
+    spans = spans.groupBy("__id", "__th").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    rest = [c for c in docs.columns if c != text_col]
+    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__text"), F.struct(*rest).alias("__rest"))
+    joined = base.alias("t").join(spans.alias("s"), F.col("t.__id").eqNullSafe(F.col("s.__id")) & (F.col("t.__th") == F.col("s.__th")), "left")
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for text, cuts in zip(b.column("__text"), b.column("__spans").to_pylist()):
+                if not cuts:
+                    texts.append(text.as_py())
+                    continue
+                raw, kept, at = text.as_py().encode(), [], 0
+                for s, e in _merge(cuts):
+                    kept.append(raw[at:s])
+                    at = e
+                texts.append(b"".join(kept + [raw[at:]]).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column("__rest")], names=["__text", "__rest"])
+
+    done = joined.select("t.__text", "s.__spans", "t.__rest")
+    done = done.mapInArrow(run, done.select("__text", "__rest").schema)
+    size = F.coalesce(F.length("__text"), F.col(f"__rest.`{length_col}`")).cast(docs.schema[length_col].dataType) if length_col in docs.columns else None
+    return done.select(*[F.col("__text").alias(c) if c == text_col else size.alias(c) if c == length_col else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
