@@ -8,7 +8,7 @@ runs as a sorted, streaming per-partition replay (see ``replay_limits``).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webspin import dims
@@ -35,37 +35,28 @@ def applicable_limits(log: DataFrame, limits: DataFrame | None = None) -> DataFr
         F.struct(F.lit("domain").alias("scope"), F.col("domain").alias("key"), F.lit(1).alias("scope_pos")),
         F.struct(F.lit("engine").alias("scope"), F.col("engine").alias("key"), F.lit(2).alias("scope_pos")))
     ex = log.select("*", F.inline(keys))
-    return ex.join(F.broadcast(lim), ["scope", "key"], "inner")
+    # only the built-in table has a known size; a caller's table is left to the optimizer
+    return ex.join(F.broadcast(lim) if limits is None else lim, ["scope", "key"], "inner")
 
 
 def sliding_count(df: DataFrame, key: str, t_us: str, id_col: str, window_s: int,
                   out: str = "n_in_window", oldest: str | None = None) -> DataFrame:
-    """Earlier rows of the same key with time in (t - w, t), skew-safe.
+    """Rows of the same key with time in (t - w, t), and the earliest of their
+    times with ``oldest``; skew-safe.
 
-    count = (rows before this one) - (rows with time <= t - w). Both terms are
-    keyed prefix counts over the union of the rows and one probe row per row
-    at t - w; the probe's count is joined back by id. With ``oldest`` the
-    time of the earliest row in the window is added too: it is the key's
-    row of rank (upto + 1), looked up by an equi-join on (key, rank).
+    Each row goes to its own time bucket of width w and, as a helper, to the
+    next one. All rows that a window can reach are then in its (key, bucket),
+    so that one native range window per bucket gives the count: one shuffle, a
+    fan-out of two, and a hot key is split by time.
     """
     w_us = int(window_s) * 1_000_000
-    real = df.select(F.col(key).alias("_k"), F.col(t_us).alias("_t"), F.lit(0).alias("_probe"),
-                     F.col(id_col).alias("_id"), F.lit(1).cast("long").alias("_one"))
-    probe = df.select(F.col(key).alias("_k"), (F.col(t_us) - F.lit(w_us)).alias("_t"),
-                      F.lit(1).alias("_probe"), F.col(id_col).alias("_id"),
-                      F.lit(0).cast("long").alias("_one"))
-    both = real.unionByName(probe)
-    incl = keyed_prefix(both, "_k", ["_t", "_probe", "_id"], "_one", "_c", op="sum", inclusive=True)
-    before = incl.where("_probe = 0").select("_id", (F.col("_c") - 1).alias("_before"))
-    upto = incl.where("_probe = 1").select("_id", F.col("_k"), F.col("_c").alias("_upto"))
-    cnt = before.join(upto, "_id").select(F.col("_id").alias(id_col), "_k", "_upto",
-                                          (F.col("_before") - F.col("_upto")).alias(out))
+    bucket = F.floor(F.col(t_us) / F.lit(w_us)).cast("long")
+    both = df.withColumn("_own", bucket).withColumn("_b", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy(key, "_b").orderBy(t_us).rangeBetween(-(w_us - 1), -1)
+    counted = both.withColumn(out, F.count(F.lit(1)).over(w))
     if oldest:
-        ranks = incl.where("_probe = 0").select("_k", F.col("_c").alias("_rank"),
-                                                F.col("_t").alias(oldest))
-        cnt = cnt.join(ranks, (cnt["_k"] == ranks["_k"]) & (ranks["_rank"] == cnt["_upto"] + 1), "left") \
-            .drop(ranks["_k"]).drop("_rank")
-    return df.join(cnt.drop("_k", "_upto"), id_col)
+        counted = counted.withColumn(oldest, F.min(t_us).over(w))
+    return counted.where(F.col("_b") == F.col("_own")).drop("_own", "_b")
 
 
 def window_counts(log: DataFrame, window_s: int, limit: float, key: str = "identifier",
@@ -108,23 +99,24 @@ def backoff(counts: DataFrame, window_s: int, key: str = "identifier",
 
 
 def limit_status(log: DataFrame, at: Column, limits: DataFrame | None = None) -> DataFrame:
-    """Per identifier and windowed limit, requests made in the window
-    ending at ``at``, remaining quota, window reset time, and blocked flag
-    (blocked = quota exhausted)."""
+    """Per identifier and applicable windowed limit, requests made in the
+    window ending at ``at``, remaining quota, window reset time, and
+    quota_exhausted (made >= limit). A limit without requests in its window has
+    a row too: made 0, the whole quota, no reset time."""
     lim = (limits if limits is not None else dims.rate_limits(log.sparkSession)) \
         .where(F.col("window") > 0)
     app = applicable_limits(log, lim)
     at_us = micros(at)
     t_us = micros(F.col("ts"))
-    inwin = app.where((t_us <= at_us) & (t_us > at_us - F.col("window").cast("long") * F.lit(1_000_000)))
-    g = inwin.groupBy("identifier", "scope", "key", "limit_type", "limit", "window").agg(
-        F.count(F.lit(1)).alias("made"), F.min("ts").alias("window_start"))
+    inside = (t_us <= at_us) & (t_us > at_us - F.col("window").cast("long") * F.lit(1_000_000))
+    g = app.groupBy("identifier", "scope", "key", "limit_type", "limit", "window").agg(
+        F.count_if(inside).alias("made"), F.min(F.when(inside, F.col("ts"))).alias("window_start"))
     return g.select(
         "identifier", "scope", "key", "limit_type", "limit", "window", "made",
         F.greatest(F.col("limit") - F.col("made"), F.lit(0.0)).alias("remaining"),
         (F.col("window_start") + F.make_interval(secs=F.col("window").cast("decimal(18,6)")))
         .alias("reset_time"),
-        (F.col("made") >= F.col("limit")).alias("is_blocked"))
+        (F.col("made") >= F.col("limit")).alias("quota_exhausted"))
 
 
 def expire_idle(log: DataFrame, at: Column, idle_s: int = 86400, key: str = "identifier") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webspin import dims
+from webspin.plans.scan import IDS, keyed_prefix
 
 # Fixed values that must equal the reference (history labels and fallbacks, J1/J9/J15).
 USER_LABEL = "Humano"
@@ -46,25 +47,22 @@ def history_at_turn(msgs: DataFrame, n: int = 6, key: str = "conv_id",
     """The history a prompt sees at each user turn (the new message is
     already in it): the last n messages up to and including this one.
 
-    Skew-safe: message positions come from the keyed prefix scan, then each
-    message is sent to the (at most n) later positions whose history it
-    belongs to, an equi-join on (key, position). The composite key spreads
-    a hot conversation over many tasks, and the fan-out is bounded by n.
+    Skew-safe: positions come from the bucketed running count, then each
+    message goes to the block of ``block`` positions it stands in, and the last
+    n - 1 of a block to the next one as well. A native row window inside
+    (key, block) collects the lines.
     """
-    from webspin.plans.scan import keyed_prefix
-
+    block = 1024
     base = msgs.select(key, order, "role", "text", F.lit(1).cast("long").alias("_one"))
-    pos = keyed_prefix(base, key, [order], "_one", "_pos", op="sum", inclusive=True)
-    lines = pos.select(key, F.col("_pos").alias("_src"),
-                       _history_line(F.col("role"), F.col("text")).alias("_line"),
-                       F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_d")) \
-        .withColumn("_dst", F.col("_src") + F.col("_d"))
-    users = pos.where(F.col("role") == "user").select(key, order, F.col("_pos").alias("_dst"))
-    j = users.join(lines, [key, "_dst"])
-    g = j.groupBy(key, order).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("_src").alias("s"), F.col("_line").alias("l")))).alias("_ls"))
-    return g.select(key, order, F.array_join(F.transform("_ls", lambda x: x["l"]), "\n")
-                    .alias("history"))
+    pos = keyed_prefix(base, key, [order], "_one", "_pos", op="sum", inclusive=True, width=IDS)
+    own = F.floor(F.col("_pos") / block)
+    halo = F.when(F.col("_pos") % block > block - n, F.array(own, own + 1)).otherwise(F.array(own))
+    both = pos.select(key, order, "role", "_pos", own.alias("_own"), _history_line(F.col("role"), F.col("text")).alias("_line"),
+                      F.explode(halo).alias("_b"))
+    w = Window.partitionBy(key, "_b").orderBy("_pos").rowsBetween(-(n - 1), 0)
+    lines = both.withColumn("_ls", F.collect_list("_line").over(w))
+    return lines.where((F.col("role") == "user") & (F.col("_b") == F.col("_own"))) \
+        .select(key, order, F.array_join("_ls", "\n").alias("history"))
 
 
 def memory_window(msgs: DataFrame, key: str = "conv_id", order: str = "turn",
@@ -95,10 +93,13 @@ def session_status(msgs: DataFrame, key: str = "conv_id", order: str = "turn") -
 
 
 def session_list(msgs: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Every session with its count, plus one total row (key null)."""
-    return msgs.rollup(key).agg(
-        F.count(F.lit(1)).alias("message_count"),
-        F.countDistinct(key).alias("n_sessions"))
+    """Every session with its count, plus one total row (key null), which
+    sums the per-session table."""
+    each = msgs.groupBy(key).agg(F.count(F.lit(1)).alias("message_count"))
+    rows = each.select(key, "message_count", F.when(F.col(key).isNull(), 0).otherwise(1).cast("long").alias("n_sessions"))
+    total = each.agg(F.lit(None).cast(msgs.schema[key].dataType).alias(key), F.coalesce(F.sum("message_count"), F.lit(0)).alias("message_count"),
+                     F.count(key).alias("n_sessions"))
+    return rows.unionByName(total)
 
 
 def _micros(ts: Column) -> Column:
@@ -126,8 +127,6 @@ def keep_last_steps(steps: DataFrame, n: int = 50) -> DataFrame:
 
 def number_steps(steps: DataFrame) -> DataFrame:
     """Step counter = successes strictly before this action."""
-    from webspin.plans.scan import keyed_prefix
-
     ok = steps.select("session_id", "event_id", "ts", F.col("success").cast("long").alias("_ok"))
     return keyed_prefix(ok, "session_id", ["ts", "event_id"], "_ok", "step",
                         op="sum", inclusive=False).drop("_ok")
@@ -135,8 +134,6 @@ def number_steps(steps: DataFrame) -> DataFrame:
 
 def reasoning_lines(steps: DataFrame, max_input: int = 500) -> DataFrame:
     """J9: 'Step i: Used <tool> with input: <input>' per action in order."""
-    from webspin.plans.scan import keyed_prefix
-
     one = steps.select("session_id", "event_id", "ts", "tool", "tool_input",
                        F.lit(1).cast("long").alias("_one"))
     numbered = keyed_prefix(one, "session_id", ["ts", "event_id"], "_one", "step_no",

@@ -1,112 +1,56 @@
-"""Keyed prefix scans (running sum / max) that stay parallel under key skew.
+"""Keyed running sums and maxima that stay parallel under key skew.
 
 A ``Window.partitionBy(key).orderBy(t)`` running aggregate sends every row of
 a key to one task; if one key holds a third of all rows, one task does a third
-of the work. Here instead:
+of the work. Here the order column itself cuts each key into buckets of a
+fixed width (``floor(order / width)``), a value of the row and not of the
+plan:
 
-1. ``repartitionByRange(n, key, *order)`` cuts the (key, order) line into n
-   ranges (a hot key spans many partitions); each partition is sorted.
-2. Each partition is scanned locally (Arrow batches, vectorised pandas
-   ``groupby().cumsum()/cummax()``), carrying state across batches.
-3. Per (key, partition) totals are aggregated (one partial row per task).
-   Because the partitions are ranges of (key, order), each partition boundary
-   splits at most one key: at most n - 1 (key, partition) pairs have a
-   predecessor, so the offset table has at most n - 1 rows — a proven bound,
-   and it is broadcast.
-4. Offsets are combined with the local prefixes; no second shuffle.
+1. totals per (key, bucket): a partial aggregation per task;
+2. a window over those few totals per key gives each bucket its offset;
+3. a join on (key, bucket) brings the offset to the rows;
+4. a window inside (key, bucket) adds the running value; it needs the
+   partitioning of the join, so that the rows are shuffled once.
+
+All steps are native, integers stay integers, null keys are one group.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bucket widths: one hour in microseconds; ids and turns.
+HOUR_US, IDS = 3_600_000_000, 65_536
 
-def _local_scan(key: str, val: str, out: str, op: str, inclusive: bool, out_type: str):
-    def run(batches):
-        from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        carry_key, carry_val, has_carry = None, None, False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            v = pdf[val].astype("float64")
-            k = pdf[key]
-            # group ids of consecutive equal keys (the partition is sorted by key)
-            new_group = k.ne(k.shift()).to_numpy()
-            if has_carry:
-                new_group[0] = k.iloc[0] != carry_key
-            else:
-                new_group[0] = True
-            gid = np.cumsum(new_group)
-            s = pd.Series(v.to_numpy(), index=gid)
-            if op == "sum":
-                incl = s.fillna(0.0).groupby(level=0).cumsum().to_numpy()
-                if has_carry and not new_group[0]:
-                    incl = incl + np.where(gid == gid[0], carry_val, 0.0)
-                excl = incl - s.fillna(0.0).to_numpy()
-                res_incl, res_excl = incl, excl
-            else:
-                # nulls never win a max: scan with -inf and map it back to null
-                incl = s.fillna(-np.inf).groupby(level=0).cummax().to_numpy()
-                if has_carry and not new_group[0]:
-                    first = gid == gid[0]
-                    incl = np.where(first, np.fmax(incl, carry_val), incl)
-                prev = pd.Series(incl, index=gid).groupby(level=0).shift(1).to_numpy()
-                if has_carry and not new_group[0]:
-                    prev[0] = carry_val
-                res_incl = np.where(np.isneginf(incl), np.nan, incl)
-                res_excl = np.where(np.isneginf(prev), np.nan, prev)
-                carry_val_next = float(incl[-1])
-            res = res_incl if inclusive else res_excl
-            carry_key = k.iloc[-1]
-            carry_val = carry_val_next if op == "max" else float(res_incl[-1])
-            has_carry = True
-            o = pdf.copy()
-            o[out] = pd.Series(res).astype("float64").to_numpy()
-            o["_pid"] = np.int32(pid)
-            # the partition's running total for this key (used for offsets)
-            o["_tot"] = res_incl
-            yield o
-    return run
+def order_value(df: DataFrame, col: str) -> Column:
+    """The order column as a long: times in microseconds."""
+    if isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(col).cast("timestamp"))
+    return F.col(col).cast("long")
 
 
-def keyed_prefix(df: DataFrame, key: str, order: list[str], val: str, out: str,
-                 op: str = "sum", inclusive: bool = True,
-                 num_partitions: int | None = None) -> DataFrame:
+def keyed_prefix(df: DataFrame, key: str, order: list[str], val: str, out: str, op: str = "sum",
+                 inclusive: bool = True, width: int = HOUR_US) -> DataFrame:
     """Running ``op`` (sum | max) of ``val`` per ``key`` in ``order``.
 
     ``inclusive=False`` gives the aggregate of the rows strictly before (sum:
-    0 for the first row; max: null). Output type: sum -> long if ``val`` is
-    integral else double; max -> double.
+    0 for the first row; max: null). ``width`` is the bucket width in units of
+    the first order column (rows with a null there come first).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    integral = isinstance(df.schema[val].dataType, (T.LongType, T.IntegerType, T.ShortType))
-    ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-    schema = T.StructType(ranged.schema.fields + [
-        T.StructField(out, T.DoubleType()), T.StructField("_pid", T.IntegerType()),
-        T.StructField("_tot", T.DoubleType())])
-    scanned = ranged.mapInPandas(_local_scan(key, val, out, op, inclusive, "double"), schema)
-    # Per (key, partition) totals from the scan's own output: Catalyst cannot
-    # prune through mapInPandas, so both branches share one range exchange
-    # (one sampling, identical partition ids). Totals are order-independent,
-    # so ties inside a partition cannot change them. Callers should pass only
-    # the columns they need: everything here crosses to Python.
-    totals = scanned.groupBy(key, "_pid").agg(
-        (F.max(val) if op == "max" else F.sum(val)).cast("double").alias("_ptot"))
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     agg = F.max if op == "max" else F.sum
-    offsets = (totals.withColumn("_off", agg("_ptot").over(w))
-               .where(F.col("_off").isNotNull()).select(key, "_pid", "_off"))
-    j = scanned.join(F.broadcast(offsets), [key, "_pid"], "left")
-    if op == "sum":
-        res = F.col(out) + F.coalesce(F.col("_off"), F.lit(0.0))
-    else:
-        res = F.greatest(F.col(out), F.col("_off"))
-    res = res.cast("long") if (integral and op == "sum") else res
-    return j.withColumn(out, res).drop("_pid", "_tot", "_off")
+    zero = F.lit("").cast(df.schema[key].dataType) if isinstance(df.schema[key].dataType, T.StringType) else F.lit(0).cast(df.schema[key].dataType)
+    at = F.floor(order_value(df, order[0]) / F.lit(width)).cast("long")
+    cut = df.withColumns({"_kv": F.coalesce(F.col(key), zero), "_kn": F.col(key).isNull(),
+                          "_kb": F.coalesce(at, F.lit(-(1 << 62)))})
+    cell = ["_kv", "_kn", "_kb"]
+    before = Window.partitionBy("_kv", "_kn").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (cut.groupBy(*cell).agg(agg(val).alias("_kt"))
+               .select(*cell, agg("_kt").over(before).alias("_ko")).where(F.col("_ko").isNotNull()))
+    w = Window.partitionBy(*cell).orderBy(*order)
+    w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = agg(val).over(w)
+    res = F.greatest(local, F.col("_ko")) if op == "max" else F.coalesce(local, F.lit(0)) + F.coalesce("_ko", F.lit(0))
+    return cut.join(offsets, cell, "left").withColumn(out, res).drop(*cell, "_ko")

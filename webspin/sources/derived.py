@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webspin import dims
 from webspin.functions import text as X
 from webspin.functions import urls as U
+from webspin.plans.scan import IDS, keyed_prefix
 from webspin.sources.tables import load
 
 TITLE_RE = "(?is)<title[^>]*>(.*?)</title>"
@@ -56,27 +57,34 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"))
 
 
+def result_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """The search results' page_id, query and url: all that jobs need which
+    look at neither rank nor text (the html is never read)."""
+    p = load(spark, sf, "pages").select("page_id", "url")
+    return p.select("page_id", F.regexp_extract("url", LANG_SEGMENT_RE, 1).alias("query"), "url")
+
+
+def ranked_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """result_urls with the rank by page_id within the query. A query (a
+    language) holds a large share of all pages, so the rank is a bucketed
+    running count."""
+    ranked = keyed_prefix(result_urls(spark, sf).withColumn("_one", F.lit(1).cast("long")), "query", ["page_id"],
+                          "_one", "rank", op="sum", inclusive=True, width=IDS).drop("_one")
+    return ranked.withColumn("rank", F.col("rank").cast("int")) \
+        .withColumn("domain", U.two_label_domain(U.url_host(U.canonical_url(F.col("url")))))
+
+
 def search_results(spark: SparkSession, sf: str) -> DataFrame:
     """Search results from pages: query = language path segment, title =
-    <title> text, snippet = first 300 chars of the tag-stripped page, rank by
-    page_id within the query, engine by page_id % 4."""
-    p = load(spark, sf, "pages").select("page_id", "url", "html")
+    <title> text, snippet = tag-stripped page, rank by page_id within the
+    query, engine by page_id % 4. The texts join the ranks by page."""
     engines = F.array(*[F.lit(e[0]) for e in dims.ENGINES])
-    out = p.select(
+    texts = load(spark, sf, "pages").select(
         "page_id",
-        F.regexp_extract("url", LANG_SEGMENT_RE, 1).alias("query"),
         X.clean_snippet(F.regexp_extract("html", TITLE_RE, 1)).alias("title"),
-        "url",
-        F.substring(X.clean_snippet(F.col("html")), 1, 300).alias("snippet"),
+        X.clean_snippet(F.col("html")).alias("snippet"),
         F.element_at(engines, (F.col("page_id") % 4 + 1).cast("int")).alias("source_engine"))
-    # rank = row_number within the query; a query (language) holds a large
-    # share of all pages, so it is computed as a skew-safe prefix count
-    from webspin.plans.scan import keyed_prefix
-
-    ranked = keyed_prefix(out.withColumn("_one", F.lit(1).cast("long")), "query", ["page_id"],
-                          "_one", "rank", op="sum", inclusive=True).drop("_one")
-    return ranked.withColumn("rank", F.col("rank").cast("int")) \
-        .withColumn("domain", U.two_label_domain(U.url_host(U.canonical_url(F.col("url")))))
+    return ranked_urls(spark, sf).join(texts, "page_id")
 
 
 def fetches(spark: SparkSession, sf: str) -> DataFrame:
