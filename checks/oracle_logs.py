@@ -61,15 +61,16 @@ I7 = f"""
 WITH {RL}, {LIMITS}, {KEYS},
 app AS (SELECT keys.*, limit_type, "limit", "window" FROM keys JOIN lim
         ON keys.scope = lim.scope AND keys.key = lim.key WHERE "window" > 0),
-g AS (SELECT identifier, scope, key, limit_type, "limit", "window", count(*) AS made, min(ts) AS window_start
+ids AS (SELECT DISTINCT identifier, scope, key, limit_type, "limit", "window" FROM app),
+g AS (SELECT identifier, scope, key, limit_type, count(*) AS made, min(ts) AS window_start
       FROM app WHERE epoch_us(ts) <= epoch_us({AT})
                  AND epoch_us(ts) > epoch_us({AT}) - CAST("window" AS BIGINT) * 1000000::BIGINT
       GROUP BY ALL)
-SELECT identifier, scope, key, limit_type, "limit", "window", made,
-       greatest("limit" - made, 0.0::DOUBLE) AS remaining,
+SELECT identifier, scope, key, limit_type, "limit", "window", coalesce(made, 0) AS made,
+       greatest("limit" - coalesce(made, 0), 0.0::DOUBLE) AS remaining,
        window_start + "window" * INTERVAL 1 SECOND AS reset_time,
-       made >= "limit" AS is_blocked
-FROM g
+       coalesce(made, 0) >= "limit" AS quota_exhausted
+FROM ids LEFT JOIN g USING (identifier, scope, key, limit_type)
 """
 
 I8 = f"""

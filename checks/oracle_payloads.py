@@ -12,9 +12,9 @@ from webspin.sources.derived import LANG_SEGMENT_RE, TITLE_RE
 
 DOCS = """d AS (
   SELECT doc_id, source, lang, text, source || ':' || lang AS query,
-         substr(trim(split_part(text, chr(10), 1)), 1, 80) AS title,
+         trim(split_part(text, chr(10), 1)) AS title,
          'https://' || source || '.example.org/' || lang || '/' || CAST(doc_id AS VARCHAR) AS link,
-         substr(text, 1, 300) AS snip
+         text AS snip
   FROM documents)"""
 
 _T = S.clean_snippet("title")
@@ -38,7 +38,7 @@ A5 = f"WITH {PARSED} SELECT query, rank, title, url, display_url FROM b"
 
 A6 = f"""
 WITH {DOCS},
-i AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN split_part(text, '.', 1) ELSE '' END AS abstract,
+i AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS abstract,
              title || ' - ' || source AS topic FROM d)
 SELECT query, CAST(1 AS INTEGER) AS rank, coalesce(title, query) AS title, link AS url, left(abstract, 300) AS snippet
 FROM i WHERE coalesce(abstract, '') <> ''
@@ -80,7 +80,7 @@ WHERE rn = 1
 SR = f"""sr AS (
   SELECT page_id, regexp_extract(url, {S.q(LANG_SEGMENT_RE)}, 1) AS query,
          {S.clean_snippet(f"regexp_extract(html, {S.q(TITLE_RE)}, 1)")} AS title, url,
-         substr({S.clean_snippet('html')}, 1, 300) AS snippet,
+         {S.clean_snippet('html')} AS snippet,
          row_number() OVER (PARTITION BY regexp_extract(url, {S.q(LANG_SEGMENT_RE)}, 1) ORDER BY page_id) AS rank
   FROM pages)"""
 
@@ -113,7 +113,7 @@ _QTYPES = " UNION ALL ".join(
     f"CAST({n} AS INTEGER) AS max_results" for t, e, _d, m, n in dims.QUERY_TYPES)
 
 F11 = f"""
-WITH c AS (SELECT conv_id, turn, substr(text, 1, 60) AS query,
+WITH c AS (SELECT conv_id, turn, text AS query,
                   list_extract({S.arr(QUERY_TYPE_CYCLE)}, CAST(turn % {len(QUERY_TYPE_CYCLE)} AS INTEGER) + 1) AS query_type
            FROM conversations WHERE role = 'user'),
 qt AS ({_QTYPES}),
@@ -219,7 +219,8 @@ al AS (SELECT u.page_id, coalesce(f.a, false) OR NOT coalesce(f.dd, false) AS al
        FROM u LEFT JOIN f USING (page_id)),
 recs AS (SELECT page_id, {S.canonical_url('url')} AS normalized_url,
                 {S.clean_snippet(f"regexp_extract(html, {S.q(TITLE_RE)}, 1)")} AS content FROM pages),
-pa AS (SELECT recs.normalized_url, recs.content, al.allowed FROM recs LEFT JOIN al USING (page_id)),
+pa AS (SELECT recs.normalized_url, recs.content, al.allowed FROM recs LEFT JOIN al USING (page_id)
+       WHERE page_id IN (SELECT min(page_id) FROM recs GROUP BY normalized_url)),
 {SR[:-1]}),
 res AS (SELECT query, CAST(rank AS INTEGER) AS rank, {S.canonical_url('url')} AS normalized_url FROM sr)
 SELECT res.query, res.rank, res.normalized_url,

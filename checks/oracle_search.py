@@ -105,8 +105,10 @@ FROM (SELECT page_id, html, CASE page_id % 10 WHEN 7 THEN 404 WHEN 8 THEN 500 WH
 A8 = """
 WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, text,
-             CASE WHEN turn % 3 = 0 THEN to_json({'query': left(text, 50), 'max_results': CAST(turn + 1 AS INTEGER)})::VARCHAR
-                  WHEN turn % 3 = 1 THEN '{bad json' ELSE text END AS raw FROM c),
+             CASE WHEN turn % 3 = 0 THEN to_json({'query': text, 'max_results': CAST(turn + 1 AS INTEGER)})::VARCHAR
+                  WHEN turn % 3 = 1 AND conv_id % 2 = 0 THEN '{bad json'
+                  WHEN turn % 3 = 1 THEN to_json({'query': text, 'max_results': CAST(turn + 1 AS INTEGER)})::VARCHAR || ' trailing'
+                  ELSE text END AS raw FROM c),
 j AS (SELECT *, CASE WHEN starts_with(trim(raw), '{') THEN try(json(raw)) END AS js FROM r)
 SELECT conv_id, turn,
        coalesce(js->>'query', raw) AS query,

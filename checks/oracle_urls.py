@@ -111,7 +111,7 @@ U8 = f"""
 WITH n AS (SELECT page_id, {S.canonical_url('url')} AS normalized_url FROM pages),
 h AS (SELECT *, {S.url_hash('normalized_url')} AS url_hash FROM n)
 SELECT page_id, normalized_url, url_hash FROM (
-  SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY page_id) AS rn FROM h) WHERE rn = 1
+  SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY page_id) AS rn FROM h) WHERE rn = 1
 """
 
 LINKS = f"""{HREFS},

@@ -44,21 +44,21 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, user_agent: str = DEFAULT_
                    id_col: str = "page_id") -> DataFrame:
     """Allowed iff no rule, or any allow match, or no disallow match.
 
-    ``urls`` has (id, domain, path, ...). One left outer join on the
-    two-label domain with the prefix test as residual, then one aggregation
-    per URL (its own columns are the grouping keys): no join back. A hot
-    domain is a skewed join key on the streamed side; AQE's skew-join
-    handling splits it at runtime.
+    ``urls`` has (id, domain, path, ...). The rules become one array row per
+    domain (as long as its robots file), so that one left join and an
+    ``exists`` decide: no fan-out per rule, nothing to regroup. A hot domain is
+    a skewed key on the streamed side, which AQE's skew join splits.
     """
     ua = user_agent.lower()
-    r = rules.where(F.col("agent").isin(ua, "*")).select(
-        F.col("domain").alias("_rd"), F.col("kind").alias("_kind"), F.col("prefix").alias("_prefix"))
-    m = urls.join(r, (urls["domain"] == r["_rd"]) & path_matches(urls["path"], r["_prefix"]), "left")
-    g = m.groupBy(*urls.columns).agg(
-        F.bool_or(F.col("_kind") == "allow").alias("_allow"),
-        F.bool_or(F.col("_kind") == "disallow").alias("_deny"))
-    return g.withColumn("allowed", F.coalesce(F.col("_allow"), F.lit(False))
-                        | ~F.coalesce(F.col("_deny"), F.lit(False))).drop("_allow", "_deny")
+    r = rules.where(F.col("agent").isin(ua, "*")).groupBy(F.col("domain").alias("_rd")).agg(
+        F.collect_list(F.struct("kind", "prefix")).alias("_rules"))
+    m = urls.join(r, urls["domain"] == r["_rd"], "left")
+    none = F.coalesce("_rules", F.array().cast("array<struct<kind:string,prefix:string>>"))
+
+    def hit(kind):
+        return F.exists(none, lambda x: (x["kind"] == kind) & path_matches(F.col("path"), x["prefix"]))
+
+    return m.withColumn("allowed", F.coalesce(hit("allow"), F.lit(False)) | ~F.coalesce(hit("disallow"), F.lit(False))).drop("_rd", "_rules")
 
 
 def robots_refresh_points(log: DataFrame, ttl_s: float = 3600.0,

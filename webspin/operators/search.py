@@ -76,10 +76,11 @@ def relevance(df: DataFrame, query_col: str = "query") -> DataFrame:
     return df.withColumn("relevance", F.round(F.least(score, F.lit(1.0)), 6))
 
 
-def top_results(df: DataFrame, k: int = 10, query_col: str = "query") -> DataFrame:
-    """first k per query in rank order (k capped at 50); plans as a
-    WindowGroupLimit, so each task ships at most k rows per query."""
-    k = min(k, ABSOLUTE_MAX_RESULTS)
+def top_results(df: DataFrame, k: int = 10, query_col: str = "query", hard_cap: int = ABSOLUTE_MAX_RESULTS) -> DataFrame:
+    """first k per query in rank order; k beyond ``hard_cap`` is an error.
+    Plans as a WindowGroupLimit, so each task ships at most k rows per query."""
+    if k > hard_cap:
+        raise ValueError(f"k = {k} is over the cap of {hard_cap} results per query")
     w = Window.partitionBy(query_col).orderBy(F.col("rank"), F.col("url"))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
@@ -118,25 +119,15 @@ def response_summary_parsed(parsed: DataFrame) -> DataFrame:
         F.count_if("valid").alias("n_results"))
 
 
-def response_summary(results: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Per (query, engine): did the engine answer (any parsable payload) and
-    how many results it gave. Partial aggregation before the shuffle."""
-    parsed = payloads.select("query", "engine",
-                             F.when(F.col("payload").isNotNull()
-                                    & F.get_json_object("payload", "$").isNotNull(), 1)
-                             .otherwise(0).alias("_ok"))
-    ok = parsed.groupBy("query", "engine").agg((F.max("_ok") == 1).alias("success"))
-    n = results.groupBy("query", "engine").agg(F.count(F.lit(1)).alias("n_results"))
-    return ok.join(n, ["query", "engine"], "left").fillna(0, ["n_results"])
-
-
 def enrich_results(results: DataFrame, pages: DataFrame, allowed: DataFrame,
                    extract: bool = True) -> DataFrame:
     """left join results to extracted page content on the canonical URL;
     robots-blocked rows keep the result but get null content and count as a
     block; without extraction content is null."""
     r = results.withColumn("normalized_url", U.canonical_url(F.col("url")))
+    # one page per canonical URL (U8: the lowest id), so that results never multiply
     p = pages.select(F.col("normalized_url"), F.col("content"), F.col("page_id").alias("_pid"))
+    p = p.withColumn("_rn", F.row_number().over(Window.partitionBy("normalized_url").orderBy("_pid"))).where("_rn = 1").drop("_rn")
     a = allowed.select(F.col("page_id").alias("_pid"), F.col("allowed"))
     pa = p.join(a, "_pid", "left").drop("_pid")
     j = r.join(pa, "normalized_url", "left")

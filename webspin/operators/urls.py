@@ -76,11 +76,11 @@ def resolve_links(df: DataFrame, base_col: str, href_col: str,
 def dedupe_urls(df: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """U8: one row per canonical URL, the lowest id wins (deterministic).
 
-    The window is partitioned by url_hash, so a hot URL stays one group of
-    rows sorted inside one task; Spark plans it as a WindowGroupLimit, which
-    pre-filters map-side before the shuffle.
+    The window is partitioned by the whole canonical URL (url_hash is a short
+    name for people: at a billion URLs some share one). Spark plans it as a
+    WindowGroupLimit, which keeps one row per URL and task before the shuffle.
     """
-    w = Window.partitionBy("url_hash").orderBy(F.col(id_col).asc())
+    w = Window.partitionBy("normalized_url").orderBy(F.col(id_col).asc())
     return (df.withColumn("normalized_url", U.canonical_url(F.col(url_col)))
             .withColumn("url_hash", U.url_hash(F.col("normalized_url")))
             .withColumn("_rn", F.row_number().over(w))
@@ -98,10 +98,9 @@ def _unescape_attr(c):
     return c
 
 
-def raw_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-              html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """D10 raw variant: every <a href> of the page (no pruning), resolved
-    against the page URL, http(s) with a host only, distinct per page."""
+def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
+               html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """The distinct resolved links of each page as one array column ``links``."""
     hrefs = F.regexp_extract_all(F.col(html_col), F.lit(_A_HREF), 1)
     bp = U.base_parts(F.col(url_col))
     keep = keep or []
@@ -119,4 +118,12 @@ def raw_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     links = F.array_distinct(F.filter(F.transform("_hrefs", one),
                                       lambda l: U.is_valid_url(l, strict=False)))
-    return staged.select(id_col, url_col, *keep, F.explode(links).alias("link"))
+    return staged.select(id_col, url_col, *keep, links.alias("links"))
+
+
+def raw_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
+              html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """D10 raw variant: every <a href> of the page (no pruning), resolved
+    against the page URL, http(s) with a host only, distinct per page."""
+    links = page_links(pages, id_col, url_col, html_col, keep)
+    return links.select(id_col, url_col, *(keep or []), F.explode("links").alias("link"))

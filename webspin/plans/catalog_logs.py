@@ -68,7 +68,7 @@ def q_i7(spark, sf):
     log = request_log(spark, sf)
     s = I.limit_status(log, _at(spark, sf))
     return s.select("identifier", "scope", "key", "limit_type", "limit", "window", "made",
-                    "remaining", _ntz("reset_time").alias("reset_time"), "is_blocked")
+                    "remaining", _ntz("reset_time").alias("reset_time"), "quota_exhausted")
 
 
 def q_i8(spark, sf):

@@ -13,7 +13,7 @@ from webspin.operators import search as S
 from webspin.plans import corpus, flagship
 from webspin.session import ensure_checkpoint_dir
 from webspin.sources import payloads as P
-from webspin.sources.derived import fetches, robots, search_log, search_results
+from webspin.sources.derived import fetches, ranked_urls, result_urls, robots, search_log, search_results
 from webspin.sources.tables import fetch_outcomes, load, write_corpus
 
 BLOCKED = dims.BLOCKED_DOMAINS + dims.TEST_BLOCKED_DOMAINS
@@ -26,6 +26,10 @@ def _results(spark, sf):
     return r.withColumn("host", U.url_host(U.canonical_url(F.col("url"))))
 
 
+def _hosts(spark, sf):
+    return result_urls(spark, sf).withColumn("host", U.url_host(U.canonical_url(F.col("url"))))
+
+
 def q_a2(spark, sf):
     return fetch_outcomes(fetches(spark, sf)).select(
         "page_id", "status_code", "success", "error", F.length("content").alias("content_len"))
@@ -57,9 +61,10 @@ def q_a6(spark, sf):
 
 def _raw_requests(spark, sf):
     c = load(spark, sf, "conversations").where(F.col("role") == "user")
-    js = F.to_json(F.struct(F.substring("text", 1, 50).alias("query"),
+    js = F.to_json(F.struct(F.col("text").alias("query"),
                             (F.col("turn") + 1).cast("int").alias("max_results")))
-    raw = F.when(F.col("turn") % 3 == 0, js).when(F.col("turn") % 3 == 1, F.lit("{bad json"))\
+    bad = F.when(F.col("conv_id") % 2 == 0, F.lit("{bad json")).otherwise(F.concat(js, F.lit(" trailing")))
+    raw = F.when(F.col("turn") % 3 == 0, js).when(F.col("turn") % 3 == 1, bad)\
         .otherwise(F.col("text"))
     return c.select("conv_id", "turn", raw.alias("raw"))
 
@@ -82,22 +87,22 @@ def q_a10(spark, sf):
 
 
 def q_f1(spark, sf):
-    return S.drop_blocked(_results(spark, sf), dims.blocked_domains(spark, dims.TEST_BLOCKED_DOMAINS)) \
+    return S.drop_blocked(_hosts(spark, sf), dims.blocked_domains(spark, dims.TEST_BLOCKED_DOMAINS)) \
         .select("page_id", "host")
 
 
 def q_f2(spark, sf):
-    return S.keep_preferred(_results(spark, sf),
+    return S.keep_preferred(_hosts(spark, sf),
                             dims.preferred_domains(spark, dims.TEST_PREFERRED_DOMAINS)) \
         .select("page_id", "host")
 
 
 def q_f3(spark, sf):
-    return S.domain_priority(_results(spark, sf), BLOCKED, PREFERRED).select("page_id", "host", "priority")
+    return S.domain_priority(_hosts(spark, sf), BLOCKED, PREFERRED).select("page_id", "host", "priority")
 
 
 def q_f4(spark, sf):
-    return S.filter_domains(_results(spark, sf), ["example.org", "example.net"], ["blog."],
+    return S.filter_domains(_hosts(spark, sf), ["example.org", "example.net"], ["blog."],
                             dims.blocked_domains(spark, dims.TEST_BLOCKED_DOMAINS)) \
         .select("page_id", "host")
 
@@ -107,7 +112,7 @@ def q_f5(spark, sf):
 
 
 def q_f6(spark, sf):
-    return S.top_results(_results(spark, sf), 10).select("query", "rank", "page_id")
+    return S.top_results(ranked_urls(spark, sf), 10).select("query", "rank", "page_id")
 
 
 def _parsed(spark, sf):
@@ -132,13 +137,13 @@ def q_f9(spark, sf):
     paths = pages.select("page_id", U.two_label_domain(U.url_host(n)).alias("domain"),
                          U.url_path(n).alias("path"))
     allowed = G.robots_allowed(paths, rules)
-    e = S.enrich_results(_results(spark, sf).select("query", "rank", "url"), recs, allowed)
+    e = S.enrich_results(ranked_urls(spark, sf).select("query", "rank", "url"), recs, allowed)
     return e.select("query", "rank", "normalized_url", (F.col("content").isNotNull()).alias("has_content"),
                     "robots_blocked")
 
 
 def q_f10(spark, sf):
-    r = _results(spark, sf)
+    r = result_urls(spark, sf)
     qt = F.element_at(F.array(*[F.lit(t) for t in QUERY_TYPE_CYCLE]),
                       (F.col("page_id") % len(QUERY_TYPE_CYCLE) + 1).cast("int"))
     return S.infer_content_type(r.withColumn("query_type", qt), F.col("query_type")) \
@@ -149,7 +154,7 @@ def q_f11(spark, sf):
     c = load(spark, sf, "conversations").where(F.col("role") == "user")
     qt = F.element_at(F.array(*[F.lit(t) for t in QUERY_TYPE_CYCLE]),
                       (F.col("turn") % len(QUERY_TYPE_CYCLE) + 1).cast("int"))
-    q = c.select("conv_id", "turn", F.substring("text", 1, 60).alias("query"), qt.alias("query_type"))
+    q = c.select("conv_id", "turn", F.col("text").alias("query"), qt.alias("query_type"))
     e = S.expand_queries(q)
     return e.select("conv_id", "turn", "effective_type", "expanded_query", "max_results",
                     F.array_join("preferred_engines", ",").alias("engines"))

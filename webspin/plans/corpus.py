@@ -7,42 +7,38 @@ from pyspark.sql import functions as F
 
 from webspin.functions import text as X
 from webspin.functions import urls as U
-from webspin.operators.urls import raw_links
+from webspin.operators.urls import page_links
 
 
-def page_link_edges(pages: DataFrame) -> DataFrame:
-    """(page_id, src_norm, link_norm) for every distinct raw link of a page."""
-    # the page URL is canonicalised once per page and carried through the explode
+def _counted_targets(pages: DataFrame, name: str, target) -> DataFrame:
+    """(src_url, name, n): per page, its distinct link targets and how many of
+    its distinct raw links go there. Counted inside the page's link array, so
+    that a page ships each target once and no page id."""
     src = pages.withColumn("src_url", U.canonical_url(F.col("url")))
-    links = raw_links(src, keep=["src_url"])
-    return links.select("page_id", "src_url", U.canonical_url(F.col("link")).alias("dst_url"))
+    links = page_links(src, keep=["src_url"]).select("src_url", F.transform("links", target).alias("_t"))
+    counted = F.transform(F.array_distinct("_t"), lambda d: F.struct(
+        d.alias(name), F.size(F.filter("_t", lambda x: x.eqNullSafe(d))).cast("long").alias("n")))
+    return links.select("src_url", F.inline(counted))
 
 
 def crawl_frontier(pages: DataFrame) -> DataFrame:
-    """Canonical link targets that are not fetched pages yet.
+    """Canonical link targets that are not fetched pages yet, with the
+    links and the pages that point there (``pages`` has a row per page).
 
-    Left anti join on the canonical URL: both sides shuffle on the key (or the
-    page side broadcasts if the optimizer's size estimate allows); no side is
-    ever collected.
+    Targets are counted within each page and then summed with map-side partial
+    aggregation; the anti join sees one row per target, not one per edge.
     """
+    targets = _counted_targets(pages, "dst_url", U.canonical_url).groupBy("dst_url").agg(
+        F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_pages"))
     fetched = pages.select(U.canonical_url(F.col("url")).alias("dst_url"))
-    edges = page_link_edges(pages)
-    return (edges.join(fetched, "dst_url", "left_anti")
-            .groupBy("dst_url")
-            .agg(F.count(F.lit(1)).alias("n_refs"),
-                 F.countDistinct("page_id").alias("n_pages")))
+    return targets.join(fetched, "dst_url", "left_anti")
 
 
 def link_graph(pages: DataFrame) -> DataFrame:
-    """X11: host-level edges with counts (in-degree by host)."""
-    edges = page_link_edges(pages)
-    e = edges.select(
-        "page_id",
-        U.url_host(F.col("src_url")).alias("src_host"),
-        U.url_host(F.col("dst_url")).alias("dst_host"))
-    return (e.groupBy("src_host", "dst_host")
-            .agg(F.count(F.lit(1)).alias("n_links"),
-                 F.countDistinct("page_id").alias("n_pages")))
+    """X11: host-level edges with counts, summed like the frontier."""
+    hosts = _counted_targets(pages, "dst_host", lambda l: U.url_host(U.canonical_url(l)))
+    return hosts.groupBy(U.url_host(F.col("src_url")).alias("src_host"), "dst_host").agg(
+        F.sum("n").alias("n_links"), F.count(F.lit(1)).alias("n_pages"))
 
 
 def host_in_degree(pages: DataFrame) -> DataFrame:

@@ -141,7 +141,9 @@ def parse_requests(df: DataFrame, raw: str = "raw", overrides: str | None = None
     override (map column) wins; malformed JSON means the whole text is the
     query."""
     r = F.col(raw)
-    is_obj = F.trim(r).startswith("{")
+    # one JSON object and nothing after it: inside brackets, trailing text is an error
+    boxed = F.concat(F.lit("["), r, F.lit("]"))
+    is_obj = F.trim(r).startswith("{") & F.expr(f"try_parse_json(concat('[', {raw}, ']'))").isNotNull() & (F.json_array_length(boxed) == 1)
     j = F.when(is_obj, F.from_json(r, REQUEST_SCHEMA))
     ov = (lambda k: F.col(overrides)[k]) if overrides else (lambda k: F.lit(None).cast("string"))
     return df.select(
@@ -162,10 +164,10 @@ def serp(spark: SparkSession, sf: str) -> DataFrame:
     document and two related topics (one without text)."""
     d = load(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     first = F.trim(F.split(F.col("text"), "\n").getItem(0))
-    title = F.substring(first, 1, 80)
+    title = first
     link = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("lang"),
                     F.lit("/"), F.col("doc_id").cast("string"))
-    snippet = F.substring(F.col("text"), 1, 300)
+    snippet = F.col("text")
     q = F.concat_ws(":", F.col("source"), F.col("lang"))
     google = F.when(F.col("doc_id") % 50 == 0, F.lit("not json {")).when(
         F.col("lang") == "en",
@@ -184,7 +186,7 @@ def serp(spark: SparkSession, sf: str) -> DataFrame:
         .alias("value")).alias("webPages")))
     instant = F.to_json(F.struct(
         title.alias("Heading"), link.alias("AbstractURL"),
-        F.when(F.col("doc_id") % 3 == 0, F.substring_index(F.col("text"), ".", 1))
+        F.when(F.col("doc_id") % 3 == 0, F.col("text"))
         .otherwise(F.lit("")).alias("Abstract"),
         F.array(F.struct(F.concat(title, F.lit(" - "), F.col("source")).alias("Text"),
                          link.alias("FirstURL")),

@@ -49,27 +49,26 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Guarantee enough input tasks for CPU-heavy per-row work.
-
-    A large table already scans as thousands of splits and is returned
-    unchanged (no shuffle). A table stored as one unsplittable row group
-    scans as a single task; it is round-robin repartitioned to the cluster's
-    default parallelism. Filters and column pruning still push below it.
-    """
+    """Round-robin a scan to a number of partitions (default: the cluster's
+    parallelism), for tables stored as one unsplittable row group. Filters and
+    column pruning still push below it. For callers that know their input:
+    ``load`` never does it by itself."""
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    return df.repartition(want)
 
 
-def load(spark: SparkSession, sf_dir: str, table: str, spread_small: bool = True) -> DataFrame:
-    """A1: scan one table. Known tables get an explicit schema."""
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A1: scan one table. Known tables get an explicit schema. The reader's
+    split size decides the tasks; a session that knows its tables are single
+    unsplittable row groups asks for ``spread`` by setting
+    ``webspin.spreadScans`` to a number of partitions."""
     reader = spark.read
     if table in SCHEMAS:
         reader = reader.schema(SCHEMAS[table])
     df = reader.parquet(table_path(sf_dir, table))
-    return spread(df) if spread_small else df
+    want = int(spark.conf.get("webspin.spreadScans", "0"))
+    return spread(df, want) if want else df
 
 
 MAX_BYTES = 10 * 1024 * 1024

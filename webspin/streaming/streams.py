@@ -90,9 +90,10 @@ def session_metrics_stream(stream: DataFrame, gap: str = "30 minutes",
 def dedupe_urls_stream(stream: DataFrame, url_col: str = "url", watermark: str = "1 hour") -> DataFrame:
     """U8 streaming: first arrival per canonical URL within the watermark."""
     s = stream.withColumn("ts", F.col("ts").cast("timestamp")) \
-        .withColumn("url_hash", U.url_hash(U.canonical_url(F.col(url_col)))) \
+        .withColumn("normalized_url", U.canonical_url(F.col(url_col))) \
+        .withColumn("url_hash", U.url_hash(F.col("normalized_url"))) \
         .withWatermark("ts", watermark)
-    return s.dropDuplicatesWithinWatermark(["url_hash"])
+    return s.dropDuplicatesWithinWatermark(["normalized_url"])
 
 
 REPLAY_OUT = ("event_id long, identifier long, domain string, engine string, ts timestamp, "
