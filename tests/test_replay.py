@@ -11,18 +11,26 @@ from webspin.plans.scan import keyed_prefix
 
 def test_keyed_prefix_matches_window_under_skew(spark):
     random.seed(3)
-    rows = [(0 if random.random() < 0.4 else random.randint(1, 20), i,
-             float(random.randint(-3, 9)) if random.random() > 0.05 else None) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k long, t long, v double")
-    for op, agg in (("sum", F.sum), ("max", F.max)):
-        for inc in (True, False):
-            got = keyed_prefix(df, "k", ["t"], "v", "out", op=op, inclusive=inc, num_partitions=7)
-            w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0 if inc else -1)
-            exp = df.withColumn("e", agg("v").over(w))
-            if op == "sum":
-                exp = exp.withColumn("e", F.coalesce("e", F.lit(0.0)))
-            bad = got.join(exp, ["k", "t"]).where(~F.col("out").eqNullSafe(F.col("e"))).count()
-            assert bad == 0, (op, inc)
+    rows = [(0 if random.random() < 0.4 else None if random.random() < 0.1 else random.randint(1, 20), i,
+             random.randint(-3, 9) if random.random() > 0.05 else None) for i in range(3000)]
+    rows += [(None, None, 4), (3, None, 5)]
+    df = spark.createDataFrame(rows, "k long, t long, v long")
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            for op, agg in (("sum", F.sum), ("max", F.max)):
+                for inc in (True, False):
+                    got = keyed_prefix(df, "k", ["t"], "v", "out", op=op, inclusive=inc, width=100)
+                    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0 if inc else -1)
+                    exp = df.withColumn("out", agg("v").over(w))
+                    if op == "sum":
+                        exp = exp.withColumn("out", F.coalesce("out", F.lit(0)))
+                    key = lambda r: str(r)
+                    assert sorted(got.collect(), key=key) == sorted(exp.collect(), key=key), (op, inc, reuse)
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+    text = spark.createDataFrame([("a", 1, 1), (None, 2, 1), ("", 3, 1), (None, 4, 1)], "k string, t long, v long")
+    assert sorted((r.t, r.out) for r in keyed_prefix(text, "k", ["t"], "v", "out", width=1).collect()) == [(1, 1), (2, 1), (3, 1), (4, 2)]
 
 
 def _log(spark, times, domain="google.com", engine=None):

@@ -80,8 +80,7 @@ def test_keep_where_and_spread(spark):
     assert sorted(r.id for r in kept.collect()) == [15, 16, 17, 18, 19]
     assert "n" in kept.columns
     assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    big = spark.range(0, 100, 1, 64)
-    assert spread(big).rdd.getNumPartitions() == 64
+    assert spread(df, 7).rdd.getNumPartitions() == 7
 
 
 def test_sentences_and_masking(spark):

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -56,33 +57,43 @@ def build_session(master: str | None = None, app: str = "webspin",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only set our own (a scratch
-    folder) when it is unset, as in local tests.
+    Where it is unset, a local session gets a scratch folder; any other master
+    is refused, as executors would each write to a disk of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="webspin-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def cap_arrow_batch(spark: SparkSession, max_records: int) -> None:
-    """Lower (never raise) the Arrow batch size for Python stages over wide
-    rows (whole documents, whole pages): a batch of 10,000 rows of 1 MB
-    pages would be 10 GB in one Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    cur = int(spark.conf.get(key, "10000"))
-    if cur <= 0 or cur > max_records:
-        spark.conf.set(key, str(max_records))
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Once per application: the SQL settings that the library's results rest
+    on (UTC session time zone; of duplicate map keys the last one wins), and
+    the package itself for executors that don't have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        home = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="webspin-package-"), "webspin.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(home):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(home)))
+        spark.sparkContext.addPyFile(out)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    return spark
 
 
 def table_path(sf_dir: str, name: str) -> str:
