@@ -1,3 +1,7 @@
+import pytest
+from pyspark.sql import functions as F
+
+from webspin.functions.dom import FlatPage
 from webspin.operators import html as H
 
 SIMPLE = """<html><head><title>Simple Test Page</title>
@@ -23,101 +27,133 @@ COMPLEX = """<html><head><title>Complex Article</title>
 MALFORMED = "<html><body><div><p>Unclosed paragraph <b>bold<p>another para text here</div></body>"
 
 
-def test_prune_removes_boilerplate():
-    from webspin.functions import dom
-
-    root = H.prune(dom.parse(COMPLEX))
-    tags = {e.tag for e in root.elements()}
-    assert not tags & {"nav", "aside", "footer", "script", "style", "header"}
-    assert "Related links" not in root.text(sep=" ")
-    assert "Buy things" not in root.text(sep=" ")
-
-
-def test_simple_record():
-    r = H.extract_record("https://www.example.com/a", SIMPLE)
-    assert r["title"] == "Simple Test Page"
-    assert r["description"] == "A short page used to check metadata extraction works."
-    assert r["author"] == "Jane Writer"
-    assert r["domain"] == "example.com"
-    assert r["extraction_errors"] == []
-
-
-def test_complex_record():
-    r = H.extract_record("https://blog.example.com/post/1", COMPLEX)
-    assert r["title"] == "Complex Article"
-    assert r["main_content"].startswith("Deep Dive Into Pipelines")
-    assert r["publish_date"] == "2024-03-05T10:00:00Z"
-    assert r["keywords"] == ["data", "pipelines", "spark"]
-    assert r["author"] == "By Sam Author"
-    assert "https://blog.example.com/next" in r["links"] and "https://other.org/x" in r["links"]
-    assert "https://blog.example.com/home" not in r["links"]
-    assert r["images"] == ["https://blog.example.com/i.png", "https://blog.example.com/nosize.png"]
-    assert r["content_type"] == "article"
-
-
-def test_malformed_and_text_helpers():
-    r = H.extract_record("https://x.org/", MALFORMED)
-    assert isinstance(r["main_content"], str)
-    t = H.html_to_text_py('<p>See <a href="/doc">docs</a></p><script>x()</script>', preserve_links=True)
-    assert t == "See docs [/doc]"
-    assert H.main_block_py(COMPLEX).startswith("Deep Dive Into Pipelines")
-
-
-def test_serp_html():
-    html = ('<div class="result"><h2><a href="/l/?kh=-1&amp;uddg=https%3A%2F%2Fa.org%2Fp">Title &amp; more</a></h2>'
-            '<span class="result__snippet">The snippet</span></div>'
-            '<div class="result"><h2>No link</h2></div>')
-    assert H.parse_serp_html_py(html) == [(1, "Title & more", "https://a.org/p", "The snippet")]
+PAGES = [(1, "https://blog.example.com/post/1", COMPLEX), (2, "https://www.example.com/a", SIMPLE), (3, "https://x.org/", MALFORMED), (4, "https://x.org", ""), (5, None, None)]
 
 
-def test_extract_pages_job(spark):
-    df = spark.createDataFrame([(1, "https://blog.example.com/post/1", COMPLEX), (2, "https://x.org", "")],
-                               "page_id long, url string, html string")
-    rows = {r.page_id: r for r in H.extract_pages(df).collect()}
-    assert rows[1].title == "Complex Article" and rows[1].word_count > 100
-    assert rows[2].title == "" and rows[2].extraction_success is False
+@pytest.fixture(scope="module")
+def records(spark):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    return {r.page_id: r for r in H.extract_pages(df).collect()}
 
 
-def test_prune_rules_edge_cases():
-    from webspin.functions import dom
+def pruned(html):
+    page = FlatPage(html)
+    return page.rows(page.without(**H.PRUNED), True)
+
 
+def test_prune_removes_boilerplate():
+    nodes, _, elements = pruned(COMPLEX)
+    assert not {e["tag"] for e in elements} & {"nav", "aside", "footer", "script", "style", "header"}
+    text = " ".join(nodes)
+    assert "Related links" not in text and "Buy things" not in text and "a comment" not in text
+
+
+def test_prune_rules_edge_cases():
     html = ("<body><div class='page-header-x'>Header block text here</div>"
             "<div class='shadow'>Shadowed block of text</div>"
             "<div id='sidebar-1'>first sidebar text</div><div id='sidebar-2'>second sidebar text</div>"
             "<div class='main'>Kept content block here</div><p>tiny</p></body>")
-    root = H.prune(dom.parse(html))
-    text = root.text(sep=" ")
+    text = " ".join(pruned(html)[0])
     assert "Header block" not in text          # 'header' class word
     assert "Shadowed" not in text              # 'ad' is a substring of 'shadow'
     assert "first sidebar" not in text and "second sidebar" in text  # ids: first match only
     assert "Kept content" in text and "tiny" not in text             # blocks under 5 chars go
 
 
-def test_title_rules_text_first():
-    # the 'text' attribute is tried first, so og:title (a content attribute) never wins
-    html = "<html><head><title>Page Title Here</title><meta property='og:title' content='OG'></head></html>"
-    assert H.extract_record("https://a.org", html)["title"] == "Page Title Here"
-
-
-def test_dom_jobs_match_per_page_python(spark):
-    """Brute force on a small fixture: the Spark jobs (batching, schema,
-    id mapping) give exactly what the per-page functions give."""
-    from tests.conftest import SMOKE
-
-    pages = spark.read.parquet(f"{SMOKE}/pages.parquet").select("page_id", "url", "html")
-    local = {r.page_id: (r.url, r.html) for r in pages.collect()}
-    got = {r.page_id: r for r in H.extract_pages(pages).collect()}
-    assert set(got) == set(local)
-    for pid, (url, html) in local.items():
-        exp = H.extract_record(url, html)
-        g = got[pid]
-        for f in ("title", "main_content", "description", "author", "publish_date", "content_type",
-                  "domain", "html_length", "soup_elements"):
-            assert getattr(g, f) == exp[f], (pid, f)
-        assert list(g.keywords) == exp["keywords"] and list(g.links) == exp["links"]
-        assert list(g.images) == exp["images"]
-    texts = {r.page_id: r.text for r in H.html_to_text(pages, preserve_links=True).collect()}
-    mains = {r.page_id: r.main_text for r in H.main_block(pages).collect()}
-    for pid, (url, html) in local.items():
-        assert texts[pid] == H.html_to_text_py(html, preserve_links=True)
-        assert mains[pid] == H.main_block_py(html)
+def test_simple_record(records):
+    r = records[2]
+    assert r.title == "Simple Test Page"
+    assert r.description == "A short page used to check metadata extraction works."
+    assert r.author == "Jane Writer" and r.domain == "example.com" and r.extraction_errors == []
+
+
+def test_complex_record(records):
+    r = records[1]
+    assert r.title == "Complex Article" and r.word_count > 100
+    assert r.main_content.startswith("Deep Dive Into Pipelines")
+    assert r.publish_date == "2024-03-05T10:00:00Z"
+    assert r.keywords == ["data", "pipelines", "spark"]
+    assert r.author == "By Sam Author"
+    assert "https://blog.example.com/next" in r.links and "https://other.org/x" in r.links
+    assert "https://blog.example.com/home" not in r.links
+    assert r.images == ["https://blog.example.com/i.png", "https://blog.example.com/nosize.png"]
+    assert r.content_type == "article"
+
+
+def test_malformed_and_empty_records(records):
+    assert "another para text" in records[3].main_content
+    assert records[4].title == "" and records[4].extraction_success is False and records[5].soup_elements == 0
+
+
+def test_fallbacks_and_priorities(spark):
+    rows = [(1, "https://a.org", "<html><head><title>Page Title Here</title><meta property='og:title' content='OG'></head></html>"),
+            (2, "https://a.org", "<h1>Head</h1><h2 class=title>Second headline</h2><title>abc</title>"),
+            (3, "https://docs.a.org", "<body><div class='text'><p>" + "One sentence here. " * 30 + "</p></div><div class='text nav2'>" + "Other words! " * 40 + "</div><img src=a.png width=99 height=200><img src='b.png' width='x' height=3></body>"),
+            (4, "https://a.org/x/", "<p>plain body words</p><a href='../../u?q=1#f'>up</a><a href='mailto:x'>m</a>"),
+            (5, "https://github.com/a/b", "<body><h1>Code</h1><div id=readme>" + "Read this. " * 9 + "</div><article>" + "Not this one. " * 30 + "</article></body>")]
+    got = {r.page_id: r for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].title == "Page Title Here"   # the text attribute is tried first: og:title never wins
+    assert got[2].title == "Second headline"   # h1 is too short, so is the title element
+    assert got[3].content_type == "documentation" and got[3].main_content.startswith("One sentence")  # the other block's class counts against it
+    assert got[3].images == ["https://docs.a.org/b.png"]
+    assert got[4].links == ["https://a.org/u?q=1#f"] and got[4].main_content == ""
+    assert got[5].main_content.startswith("Read this.") and got[5].title == "Code"  # the domain's rules replace the general ones
+
+
+def test_user_rules(spark):
+    pages = spark.createDataFrame([(1, "https://my.site/1", "<title>General title</title><b class=own>Own title</b><i data-w='Me'>x</i>"),
+                                   (2, "https://other.site/1", "<title>General title</title><b class=own>Own title</b>")], "page_id long, url string, html string")
+    more = spark.createDataFrame([("my.site", "title", 0, ".own", None, ["text"], 1, 99), ("my.site", "author", 0, "[data-w]", "b", ["data-w"], 1, 99), ("my.site", "author", 1, "i[data-w]", None, ["data-w"], 1, 99)], H.RULE)
+    got = {r.page_id: r for r in H.extract_pages(pages, rules=H.rules_table(spark).unionByName(more)).collect()}
+    assert (got[1].title, got[1].author, got[2].title, got[2].author) == ("Own title", "Me", "General title", "")
+    by = H.rules_for(pages, H.rules_table(spark).unionByName(more)).where("field = 'title'").groupBy("page_id").agg(F.collect_list("selector").alias("s")).collect()
+    assert {r.page_id: r.s for r in by}[1] == [".own"] and len({r.page_id: r.s for r in by}[2]) == len(H.RULES["title"][0])
+
+
+def test_block_scores(spark):
+    html = ("<body><article class='post body-x'>" + "A sentence. " * 20 + "</article><div class='menu content'>short</div><section><p>x</p></section></body>")
+    rows = {(r.tag, r.block_no): r for r in H.score_blocks(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()}
+    score = {t: r.score for (t, _), r in rows.items()}
+    n = len(("A sentence. " * 20).strip())
+    assert score["article"] == pytest.approx(min(n / 1000, 0.4) + 0.2 * 0 + min(19 / 50, 0.2) + 0.2 + 0.15 + 0.1, abs=1e-6)
+    assert score["div"] == pytest.approx(0.1 - 0.2 + 0.05 + 0.1, abs=1e-6) and score["section"] == pytest.approx(0.25) and score["p"] == 0
+    assert [t for (t, _), r in rows.items() if r.is_best] == ["article"]
+
+
+def test_text_helpers(spark):
+    df = spark.createDataFrame([(1, "u", '<p>See <a href="/doc">docs</a></p><script>x()</script>'), (2, "u", COMPLEX), (3, "u", None), (4, "u", "<div>" * 3000 + "deep"),
+                                (5, "u", "<footer><div>" + "in the footer " * 9 + "</div></footer><div>out</div>")], "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in H.html_to_text(df, preserve_links=True).collect()}
+    assert text[1] == "See docs [/doc]" and text[3] == "" and text[4] == "deep"
+    main = {r.page_id: r.main_text for r in H.main_block(df).collect()}
+    assert main[2].startswith("Deep Dive Into Pipelines") and main[4] == "deep" and main[5].startswith("in the footer")
+
+
+def test_unclosed_pages_stay_linear():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        t0 = time.process_time()
+        page = FlatPage("<p>some words here" * n)
+        page.rows(page.without(**H.PRUNED), True)
+        took.append(time.process_time() - t0)
+    assert took[1] < 12 * took[0]
+
+
+def test_serp_html(spark):
+    html = ('<div class="result"><h2><a href="/l/?kh=-1&amp;uddg=https%3A%2F%2Fa.org%2Fp">Title &amp; more</a></h2>'
+            '<span class="result__snippet">The snippet</span></div>'
+            '<div class="result"><h2>No link</h2></div>'
+            '<div class="result"><h3>Third</h3><a href="https://b.org">x</a><div>text</div></div>')
+    df = spark.createDataFrame([("q", html), ("none", "<p>no results</p>"), ("null", None)], "query string, html string")
+    assert [tuple(r) for r in H.parse_serp_html(df).collect()] == [("q", 1, "Title & more", "https://a.org/p", "The snippet"), ("q", 3, "Third", "https://b.org", "text")]
+    assert H.parse_serp_html(df, max_results=2).count() == 1        # the cut comes before the checks
+    marked = spark.createDataFrame([("q", '<div data-testid="result"><h2>T</h2><a href="http://c.org">c</a></div>')], "query string, html string")
+    assert [tuple(r)[:4] for r in H.parse_serp_html(marked).collect()] == [("q", 1, "T", "http://c.org")]
+    tool = '<div class="web-result"><a href="/raw"> T <b>x</b></a><div class="snippet"> s </div></div><div class="result">no link</div><div class="result__body"><a href="u">' + "t" * 300 + "</a></div>"
+    got = [tuple(r) for r in H.parse_serp_html(spark.createDataFrame([("q", tool)], "query string, html string"), style="tool").collect()]
+    assert got == [("q", 1, "Tx", "/raw", "s"), ("q", 2, "t" * 200, "u", "")]
+    bing = '<li class="b_algo"><h2><a href="http://c.org">C</a></h2><div class="b_caption">cap</div></li><li class=b_algo><h2>none</h2></li><li class="b_algo"><h2><a>D</a></h2><p>x</p></li>'
+    got = [tuple(r) for r in H.parse_serp_html(spark.createDataFrame([("q", bing)], "query string, html string"), style="bing").collect()]
+    assert got == [("q", 1, "C", "http://c.org", "cap"), ("q", 2, "D", "", "x")]

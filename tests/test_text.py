@@ -1,9 +1,9 @@
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from webspin.functions import text as X
-from webspin.operators.html import clean_extracted, clean_text_py
 
 TEXTS = [
     "  Página   de prueba\n\n\nsegunda línea\t fin  ",
@@ -14,6 +14,17 @@ TEXTS = [
 ]
 
 
+def clean_text_py(text):
+    if not text:
+        return ""
+    t = "".join(ch for ch in unicodedata.normalize("NFKD", text) if ord(ch) >= 32 or ch in "\n\t")
+    return re.sub(r"\s+", " ", t).strip()
+
+
+def clean_extracted(text):
+    return re.sub(r"[^\x00-\x7F]+", "", clean_text_py(text)).strip()
+
+
 def test_clean_text_matches_python(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     got = df.select(X.clean_text(F.col("t")).alias("c"), X.fold_ascii(F.col("t")).alias("a")).collect()

@@ -42,19 +42,19 @@ INVENTORY = {
     "C11": "webspin.operators.text.mask_urls_emails",
     "C12": "webspin.operators.text.truncate_fields",
     # HTML extraction
-    "D0": "webspin.operators.html.prune",
+    "D0": "webspin.operators.html.pruned_pages",
     "D1": "webspin.operators.html.extract_pages",
     "D2": "webspin.operators.quality.page_types",
-    "D3": "webspin.operators.html.extract_title",
-    "D4": "webspin.operators.html.extract_main",
-    "D5": "webspin.operators.html.score_block",
-    "D6": "webspin.operators.html.extract_pages",
-    "D7": "webspin.operators.html.extract_pages",
-    "D8": "webspin.operators.html.extract_pages",
-    "D9": "webspin.operators.html.extract_keywords",
+    "D3": "webspin.operators.html.title_value",
+    "D4": "webspin.operators.html.main_value",
+    "D5": "webspin.operators.html.score_blocks",
+    "D6": "webspin.operators.html.page_fields",
+    "D7": "webspin.operators.html.page_fields",
+    "D8": "webspin.operators.html.page_fields",
+    "D9": "webspin.operators.html.keyword_values",
     "D10": "webspin.operators.urls.raw_links",
-    "D11": "webspin.operators.html.extract_images",
-    "D12": "webspin.operators.html.rule_for",
+    "D11": "webspin.operators.html.image_values",
+    "D12": "webspin.operators.html.rules_for",
     "D13": "webspin.operators.html.main_block",
     # quality
     "E1": "webspin.operators.quality.quality_scores",

@@ -1,192 +1,174 @@
-"""A small HTML tree and CSS-selector helper on the standard library parser.
-
-Used per row inside ``mapInPandas`` tasks (Spark partitions the pages); no
-third-party parser is available. Rules: void tags close at once; an end tag
-closes the nearest open element of that name and is ignored when none is
-open; unclosed ``<p>`` nest.
+"""Pages as flat arrays, for native column work.
+
+``page_arrays`` reads each page once with the standard library's tokenizer and
+returns one row per page: the text nodes in order, and the elements in order
+with the ranges that they span (``n`` to ``last`` among the elements, ``s`` to
+``e`` among the text nodes). Everything that looks at fields, rules or scores is
+column expressions over these arrays. Reading is linear in the page, without
+recursion, whatever the nesting.
+
+Rules: void tags close at once; an end tag closes the nearest open element of
+its name, and is ignored when none is open; unclosed ``<p>`` nest; comments and
+the text of scripts and styles are no text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
-        "source", "track", "wbr"}
-RAW_TEXT = {"script", "style"}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs=None, parent=None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
-
-    # -- tree --------------------------------------------------------------
-    def elements(self):
-        """All descendant elements in document order."""
-        out, stack = [], list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, Node) and n.tag != "#comment":
-                out.append(n)
-                stack.extend(reversed(n.children))
-        return out
-
-    def detach(self):
-        if self.parent is not None:
-            try:
-                self.parent.children.remove(self)
-            except ValueError:
-                pass
-            self.parent = None
-
-    def strings(self, include_raw=False):
-        stack = list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                yield n
-            elif n.tag == "#comment":
-                continue
-            elif n.tag in RAW_TEXT and not include_raw:
-                continue
-            else:
-                stack.extend(reversed(n.children))
-
-    def text(self, sep="", strip=True):
-        parts = self.strings()
-        if strip:
-            parts = (p.strip() for p in parts)
-            parts = (p for p in parts if p)
-        return sep.join(parts)
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-    def classes(self):
-        return (self.attrs.get("class") or "").split()
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ELEMENT = ("struct<n:int,last:int,tag:string,parent:string,keys:array<string>,around:array<string>,"
+           "attrs:map<string,string>,classes:array<string>,s:int,e:int>")
+SCHEMA = f"page_id long, url string, html_length int, nodes array<string>, shown array<string>, elements array<{ELEMENT}>, errors array<string>"
+ARROW = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("html_length", pa.int32()), ("nodes", pa.list_(pa.string())), ("shown", pa.list_(pa.string())),
+    ("elements", pa.list_(pa.struct([
+        ("n", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("parent", pa.string()), ("keys", pa.list_(pa.string())),
+        ("around", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())),
+        ("s", pa.int32()), ("e", pa.int32())]))),
+    ("errors", pa.list_(pa.string()))])
 
-    def find(self, tag):
-        for e in self.elements():
-            if e.tag == tag:
-                return e
-        return None
 
+class FlatPage(HTMLParser):
+    """Elements and text nodes of one page in document order."""
 
-class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = Node("[document]")
-        self.cur = self.root
+        self.tags: list[str] = []
+        self.attrs: list[dict] = []
+        self.parent: list[int] = []
+        self.span: list[list[int]] = []  # last element, first text, text behind
+        self.texts: list[str] = []
+        self.owner: list[int] = []
+        self.open: list[int] = []
+        self.names: Counter = Counter()
+        self.errors: list[str] = []
+        try:
+            self.feed(html)
+            self.close()
+        except Exception as problem:  # noqa: BLE001 - what was read stays, and the row says so
+            self.errors.append(f"Page reading stopped: {problem}")
+        while self.open:
+            self._shut()
+
+    def _shut(self) -> None:
+        i = self.open.pop()
+        self.names[self.tags[i]] -= 1
+        self.span[i][0], self.span[i][2] = len(self.tags) - 1, len(self.texts)
 
     def handle_starttag(self, tag, attrs):
-        n = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(n)
+        i = len(self.tags)
+        self.tags.append(tag)
+        self.attrs.append({k: v or "" for k, v in attrs})
+        self.parent.append(self.open[-1] if self.open else -1)
+        self.span.append([i, len(self.texts), len(self.texts)])
         if tag not in VOID:
-            self.cur = n
+            self.open.append(i)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        n = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(n)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._shut()
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n is not self.root and n.tag != tag:
-            n = n.parent
-        if n is not None and n is not self.root:
-            self.cur = n.parent
+        if self.names[tag] > 0:
+            while self.tags[self.open[-1]] != tag:
+                self._shut()
+            self._shut()
 
     def handle_data(self, data):
-        self.cur.children.append(data)
-
-    def handle_comment(self, data):
-        c = Node("#comment", {}, self.cur)
-        c.children.append(data)
-        self.cur.children.append(c)
-
-
-def parse(html: str) -> Node:
-    b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except Exception:  # noqa: BLE001 - malformed markup keeps what was built
-        pass
-    return b.root
-
-
-# -- selectors ---------------------------------------------------------------
-
-_TOKEN = re.compile(r"""([a-zA-Z][a-zA-Z0-9-]*)|\.([\w-]+)|#([\w-]+)|\[([\w:-]+)(?:=['"]?([^'"\]]*)['"]?)?\]|:(first-of-type)""")
-
-
-def _compile(selector: str):
-    parts = []
-    for comp in selector.split():
-        spec = {"tag": None, "classes": [], "id": None, "attrs": [], "first": False}
-        for m in _TOKEN.finditer(comp):
-            tag, cls, ident, attr, val, first = m.groups()
-            if tag:
-                spec["tag"] = tag.lower()
-            elif cls:
-                spec["classes"].append(cls)
-            elif ident:
-                spec["id"] = ident
-            elif attr:
-                spec["attrs"].append((attr, val))
-            elif first:
-                spec["first"] = True
-        parts.append(spec)
-    return parts
-
-
-_CACHE: dict = {}
-
-
-def _matches(node: Node, spec) -> bool:
-    if spec["tag"] and node.tag != spec["tag"]:
-        return False
-    if spec["id"] and node.attrs.get("id") != spec["id"]:
-        return False
-    if spec["classes"]:
-        cl = node.classes()
-        if any(c not in cl for c in spec["classes"]):
-            return False
-    for a, v in spec["attrs"]:
-        if a not in node.attrs or (v is not None and node.attrs[a] != v):
-            return False
-    if spec["first"] and node.parent is not None:
-        for sib in node.parent.children:
-            if isinstance(sib, Node) and sib.tag == node.tag:
-                return sib is node
-    return True
-
-
-def _match_chain(node: Node, parts) -> bool:
-    if not _matches(node, parts[-1]):
-        return False
-    anc, i = node.parent, len(parts) - 2
-    while i >= 0 and anc is not None:
-        if anc.tag != "[document]" and _matches(anc, parts[i]):
-            i -= 1
-        anc = anc.parent
-    return i < 0
-
-
-def select(root: Node, selector: str):
-    parts = _CACHE.get(selector) or _CACHE.setdefault(selector, _compile(selector))
-    return [e for e in root.elements() if _match_chain(e, parts)]
-
-
-def select_one(root: Node, selector: str):
-    parts = _CACHE.get(selector) or _CACHE.setdefault(selector, _compile(selector))
-    for e in root.elements():
-        if _match_chain(e, parts):
-            return e
-    return None
-
-
-def class_search(node: Node, pattern: re.Pattern) -> bool:
-    """Multi-valued class match: any single class, or the whole attribute."""
-    raw = node.attrs.get("class")
-    if raw is None:
-        return False
-    return any(pattern.search(c) for c in raw.split()) or bool(pattern.search(raw))
+        at = self.open[-1] if self.open else -1
+        if at < 0 or self.tags[at] not in ("script", "style"):
+            self.texts.append(data)
+            self.owner.append(at)
+
+    # -- what is left after removals -------------------------------------------------
+    def without(self, tags=(), class_words=(), id_words=(), least_text: dict | None = None) -> bytearray:
+        """Marks of removed elements: the given tags, classes that contain a
+        word, per id word the first element left, and then elements of a tag
+        whose text is shorter than ``least_text`` of it."""
+        gone = bytearray(len(self.tags))
+
+        def drop(i):
+            gone[i:self.span[i][0] + 1] = b"\1" * (self.span[i][0] + 1 - i)
+
+        word = re.compile("|".join(map(re.escape, class_words)), re.I) if class_words else None
+        for i, tag in enumerate(self.tags):
+            if not gone[i] and (tag in tags or word and word.search(self.attrs[i].get("class", ""))):
+                drop(i)
+        named = [i for i, a in enumerate(self.attrs) if "id" in a]
+        for w in id_words:
+            first = next((i for i in named if not gone[i] and re.search(w, self.attrs[i]["id"], re.I)), None)
+            if first is not None:
+                drop(first)
+        if least_text:
+            total = [0]
+            for text, at in zip(self.texts, self.owner):
+                total.append(total[-1] + (len(text.strip()) if at < 0 or not gone[at] else 0))
+            for i, tag in enumerate(self.tags):
+                if not gone[i] and tag in least_text and total[self.span[i][2]] - total[self.span[i][1]] < least_text[tag]:
+                    drop(i)
+        return gone
+
+    def rows(self, gone: bytearray, strip: bool, hidden_tags=()) -> tuple[list, list, list]:
+        """(text nodes, the same with those inside hidden tags empty, elements)."""
+        keep = [at < 0 or not gone[at] for at in self.owner]
+        if strip:
+            keep = [k and bool(t.strip()) for k, t in zip(keep, self.texts)]
+        new_text, new_element = [0], [0]
+        for k in keep:
+            new_text.append(new_text[-1] + k)
+        for g in gone:
+            new_element.append(new_element[-1] + (not g))
+        hidden = bytearray(len(self.tags) + 1)
+        for i, tag in enumerate(self.tags):
+            hidden[i] = tag in hidden_tags or self.parent[i] >= 0 and hidden[self.parent[i]]
+        nodes = [t.strip() if strip else t for t, k in zip(self.texts, keep) if k]
+        shown = ["" if at >= 0 and hidden[at] else t.strip() for t, at, k in zip(self.texts, self.owner, keep) if k]
+        keys_of: dict[int, list[str]] = {}
+        around_of: dict[int, frozenset] = {-1: frozenset()}
+        seen, out = set(), []
+        for i, tag in enumerate(self.tags):
+            if gone[i]:
+                continue
+            a, up = self.attrs[i], self.parent[i]
+            simple = ["." + c for c in a.get("class", "").split()] + (["#" + a["id"]] if "id" in a else [])
+            simple += [f"[{k}]" for k in a] + [f"[{k}='{v}']" for k, v in a.items() if len(v) <= 100]
+            keys = [tag, *simple, *(tag + k for k in simple)]
+            if (up, tag) not in seen:
+                seen.add((up, tag))
+                keys.append(tag + ":first-of-type")
+            around = around_of[up]
+            keys_of[i] = keys
+            around_of[i] = around if around.issuperset(keys) else around.union(keys)
+            last, s, e = self.span[i]
+            out.append({"n": new_element[i], "last": new_element[last + 1] - 1, "tag": tag, "parent": self.tags[up] if up >= 0 else "", "keys": keys,
+                        "around": sorted(around), "attrs": list(a.items()), "classes": a.get("class", "").split(), "s": new_text[s], "e": new_text[e]})
+        return nodes, shown, out
+
+
+def page_arrays(pages: DataFrame, id_col: str = "page_id", remove: dict | None = None, strip: bool = True, hidden_tags=()) -> DataFrame:
+    """One row of arrays per page (SCHEMA). ``remove`` holds the arguments of
+    ``FlatPage.without``."""
+    def run(batches):
+        for b in batches:
+            out = {f.name: [] for f in ARROW}
+            for pid, url, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist()):
+                page = FlatPage(html or "")
+                nodes, shown, elements = page.rows(page.without(**(remove or {})), strip, hidden_tags)
+                for name, value in zip(ARROW.names, (pid, url, len(html or ""), nodes, shown, elements, page.errors)):
+                    out[name].append(value)
+                if len(out["page_id"]) >= 64:
+                    yield pa.RecordBatch.from_pydict(out, schema=ARROW)
+                    out = {f.name: [] for f in ARROW}
+            if out["page_id"]:
+                yield pa.RecordBatch.from_pydict(out, schema=ARROW)
+
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)

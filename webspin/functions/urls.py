@@ -252,6 +252,7 @@ def resolve_link(base: Column, href: Column, parts: dict[str, Column] | None = N
         F.slice(rel_segs, -1, 1))).otherwise(rel_segs)
     abs_path = _remove_dot_segments(F.split(hpath, "/", -1))
     rel_path = _remove_dot_segments(rel_segs)
+    rel_path = F.when(rel_path.startswith("/"), rel_path).otherwise(F.concat(F.lit("/"), rel_path))  # '..' never leaves the root
     no_path = F.concat(
         prefix, bpath,
         F.when(has_query & (hquery != ""), F.concat(F.lit("?"), hquery))

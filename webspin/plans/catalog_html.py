@@ -18,28 +18,47 @@ def _pages(spark, sf):
     return load(spark, sf, "pages").select("page_id", "url", "html")
 
 
-def _extracted(spark, sf):
-    return H.extract_pages(_pages(spark, sf))
+def _rich(spark, sf):
+    """Pages with author, date, keyword and description tags, a link and an
+    image in the article, each on a part of the pages by page_id."""
+    i = F.col("page_id")
+
+    def n(c):
+        return c.cast("string")
+    meta = F.concat(
+        F.when(i % 3 == 0, F.concat(F.lit('<meta name="author" content="Writer '), n(i % 7), F.lit('">'))).otherwise(F.lit("")),
+        F.when(i % 4 == 0, F.concat(F.lit('<meta property="article:published_time" content="2024-03-0'), n(i % 9 + 1), F.lit('">')))
+        .when(i % 4 == 1, F.concat(F.lit('<meta itemprop="datePublished" content="3/'), n(i % 27 + 1), F.lit('/2024">')))
+        .when(i % 4 == 2, F.lit('<meta name="publishdate" content="soon">')).otherwise(F.lit("")),
+        F.when(i % 2 == 0, F.concat(F.lit('<meta name="keywords" content="alpha, topic'), n(i % 5), F.lit(' ab">'))).otherwise(F.lit("")),
+        F.when(i % 3 == 1, F.concat(F.lit('<meta name="description" content="A short account of page '), n(i), F.lit(' in one line.">'))).otherwise(F.lit("")))
+    art = F.concat(F.lit('<article><a href="/p/'), n(i % 10), F.lit('">more here</a><img src="/i/'), n(i % 3), F.lit('.png" width="300" height="'), n(50 + i % 2 * 100), F.lit('">'))
+    html = F.replace(F.replace(F.col("html"), F.lit('<meta charset="utf-8">'), F.concat(F.lit('<meta charset="utf-8">'), meta)), F.lit("<article>"), art)
+    return _pages(spark, sf).withColumn("html", html)
 
 
 def q_d0(spark, sf):
-    return _extracted(spark, sf).select("page_id", "soup_elements", "html_length")
+    return H.page_fields(_pages(spark, sf), ["soup_elements", "html_length"]).drop("url")
 
 
 def q_d1(spark, sf):
-    e = _extracted(spark, sf)
+    e = H.extract_pages(_rich(spark, sf))
     return e.select("page_id", "title", F.length("main_content").alias("main_len"), "content_type",
                     "language", "word_count", "reading_time", "quality_score", "extraction_success",
                     F.size("links").alias("n_links"), F.size("extraction_errors").alias("n_errors"))
 
 
 def q_d3(spark, sf):
-    return _extracted(spark, sf).select("page_id", "title")
+    return H.page_fields(_pages(spark, sf), ["title"]).drop("url")
 
 
 def q_d4(spark, sf):
-    return _extracted(spark, sf).select("page_id", F.md5("main_content").alias("main_md5"),
-                                        F.length("main_content").alias("main_len"))
+    return H.page_fields(_pages(spark, sf), ["main_content"]).select(
+        "page_id", F.md5("main_content").alias("main_md5"), F.length("main_content").alias("main_len"))
+
+
+def q_d5_elements(spark, sf):
+    return H.score_blocks(_pages(spark, sf))
 
 
 def q_d5(spark, sf):
@@ -60,42 +79,41 @@ def q_d5(spark, sf):
 
 
 def q_d6(spark, sf):
-    return _extracted(spark, sf).select("page_id", "description")
+    return H.page_fields(_rich(spark, sf), ["description"]).drop("url")
 
 
 def q_d7(spark, sf):
-    return _extracted(spark, sf).select("page_id", "author")
+    return H.page_fields(_rich(spark, sf), ["author"]).drop("url")
 
 
 def q_d8(spark, sf):
-    e = _extracted(spark, sf)
+    e = H.page_fields(_rich(spark, sf), ["publish_date"])
     parsed = F.coalesce(F.try_to_timestamp("publish_date", F.lit("yyyy-MM-dd")),
                         F.try_to_timestamp("publish_date", F.lit("M/d/yyyy")),
                         F.try_to_timestamp("publish_date", F.lit("MMMM d, yyyy")))
-    return e.select("page_id", "publish_date", parsed.alias("published_at"))
+    return e.select("page_id", "publish_date", parsed.cast("timestamp_ntz").alias("published_at"))
 
 
 def q_d9(spark, sf):
-    e = _extracted(spark, sf)
-    return e.select(F.explode("keywords").alias("keyword")).groupBy("keyword") \
+    e = H.page_fields(_rich(spark, sf), ["raw_keywords"])
+    return H.keywords_of(e, ["page_id"]).select(F.explode("keywords").alias("keyword")).groupBy("keyword") \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_d10(spark, sf):
-    e = _extracted(spark, sf)
-    return e.select("page_id", F.explode("links").alias("link"))
+    return H.page_fields(_rich(spark, sf), ["links"]).select("page_id", F.explode("links").alias("link"))
 
 
 def q_d11(spark, sf):
-    return _extracted(spark, sf).select("page_id", F.size("images").alias("n_images"))
+    return H.page_fields(_rich(spark, sf), ["images"]).select("page_id", F.size("images").alias("n_images"))
 
 
 def q_d12(spark, sf):
-    p = _pages(spark, sf).select("page_id", "url")
-    host = U.host_of(F.col("url"))
-    known = list(H.DOMAIN_RULES)
-    return p.select("page_id", host.alias("host"),
-                    F.when(host.isin(known), host).otherwise(F.lit("general")).alias("rule_set"))
+    # every second page moves to a host that has rules of its own, or to a subdomain of one (which has not)
+    hosts = [*H.DOMAIN_RULES, "en.wikipedia.org"]
+    host = F.element_at(F.array(*[F.lit(h) for h in hosts]), (F.col("page_id") % len(hosts) + 1).cast("int"))
+    p = _pages(spark, sf).select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://www."), host, F.lit("/a"))).otherwise(F.col("url")).alias("url"))
+    return H.rules_for(p).select("page_id", "host", "field", "pos", "selector", "around", F.array_join("attributes", ",").alias("attributes"), "min_len", "max_len")
 
 
 def q_d13(spark, sf):
@@ -153,6 +171,7 @@ QUERIES = {
     "D3_titles": q_d3,
     "D4_main_content": q_d4,
     "D5_score_blocks": q_d5,
+    "D5_score_elements": q_d5_elements,
     "D6_descriptions": q_d6,
     "D7_authors": q_d7,
     "D8_publish_dates": q_d8,
