@@ -122,6 +122,16 @@ SELECT conv_id, turn,
 FROM h WHERE role = 'user'
 """
 
+_STYLES = " UNION ALL ".join(f"SELECT {S.q(k)} AS style, {S.q(v)} AS tmpl" for k, v in J.PROMPT_TEMPLATES)
+
+J15_STYLES = f"""
+WITH {HIST}, st AS ({_STYLES})
+SELECT style, conv_id, turn,
+       md5(replace(replace(replace(replace(tmpl, '{{topic}}', 'session ' || CAST(conv_id AS VARCHAR)),
+               '{{objectives}}', {S.q(J.DEFAULT_OBJECTIVES)}), '{{history}}', history), '{{input}}', text)) AS prompt_md5
+FROM h CROSS JOIN st WHERE role = 'user'
+"""
+
 J16 = """
 SELECT conv_id, n_steps, all_ok, n_distinct,
        (n_steps < 2 OR (all_ok AND n_distinct / n_steps >= 0.8)) AS continuity_ok
@@ -178,6 +188,7 @@ ORACLE = {
     "J12_result_confidence": J12,
     "J13_execution_stats": J13,
     "J15_render_prompts": J15,
+    "J15_prompt_styles": J15_STYLES,
     "J16_workflow_continuity": J16,
     "J17_usage_share": J17,
 }

@@ -160,6 +160,15 @@ SELECT doc_id, source, quality, length(text) AS n_chars FROM (
   FROM s WHERE quality >= 0.5) WHERE rn = 1
 """
 
+_BIN = "CAST(least(floor(quality * 10), 9) AS INTEGER) AS bin"
+E5_SOURCE = f"""
+SELECT source, {_BIN}, count(*) AS n FROM (SELECT source, round({S.quality_score('text')}, 6) AS quality FROM documents) GROUP BY ALL
+"""
+E5_TYPE = f"""
+WITH t AS ({D2}), s AS (SELECT page_id, {S.clean_snippet('html')} AS text FROM pages)
+SELECT page_type, {_BIN}, count(*) AS n FROM (SELECT page_type, round({S.quality_score('text')}, 6) AS quality FROM t JOIN s USING (page_id)) GROUP BY ALL
+"""
+
 ORACLE = {
     "C1_clean_text": C1,
     "C2_clean_snippets": C2,
@@ -177,6 +186,8 @@ ORACLE = {
     "E3_validate_extraction": E3,
     "E4_length_window": E4,
     "E5_quality_report": E5,
+    "E5_source_histogram": E5_SOURCE,
+    "E5_page_type_histogram": E5_TYPE,
     "D2_page_types": D2,
     "X12_curate_corpus": X12,
     "A10_write_corpus": X12,

@@ -141,6 +141,12 @@ SELECT {S.url_host('src_url')} AS src_host, {S.url_host('dst_url')} AS dst_host,
 FROM edges GROUP BY ALL
 """
 
+X11_IN = f"""
+WITH {EDGES}
+SELECT {S.url_host('dst_url')} AS dst_host, count(DISTINCT {S.url_host('src_url')}) AS in_hosts, count(*) AS in_links
+FROM edges GROUP BY ALL
+"""
+
 ORACLE = {
     "flagship_best_pages": FLAGSHIP,
     "U1_canonicalize_urls": U1,
@@ -155,6 +161,7 @@ ORACLE = {
     "D10_raw_page_links": D10_RAW,
     "X10_crawl_frontier": X10,
     "X11_link_graph": X11,
+    "X11_host_in_degree": X11_IN,
 }
 
 _REL = "regexp_replace(url, '^https?:', '')"

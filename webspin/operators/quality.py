@@ -118,3 +118,10 @@ def quality_report(docs: DataFrame, labels: DataFrame, pass_threshold: float = 0
         avg_of(good).alias("avg_quality_label_good"),
         avg_of(bad).alias("avg_quality_label_bad"),
     )
+
+
+def score_histogram(scored: DataFrame, by: str, score: str = "quality", bins: int = 10) -> DataFrame:
+    """E5: per value of ``by``, how many scores fall into each of ``bins``
+    equal parts of 0 to 1 (the last one takes 1 itself)."""
+    at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    return scored.groupBy(F.col(by), at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -194,6 +194,10 @@ PROMPT_TEMPLATES = [
                 "Question: {input}"),
     ("academic", "Scholarly research on {topic}\nGoals: {objectives}\nConversation so far:\n"
                  "{history}\nQuestion: {input}"),
+    ("business", "Market and company research on {topic}\nDecisions to support: {objectives}\n"
+                 "Conversation so far:\n{history}\nQuestion: {input}"),
+    ("technical", "Engineering research on {topic}\nRequirements: {objectives}\nConversation so far:\n"
+                  "{history}\nProblem: {input}"),
 ]
 
 

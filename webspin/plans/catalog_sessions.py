@@ -78,6 +78,16 @@ def q_j15(spark, sf):
     return J.render_prompts(_conv(spark, sf))
 
 
+def q_j15_styles(spark, sf):
+    # every style once per turn, from one history
+    one = [J.render_prompts(_conv(spark, sf), style).select(F.lit(style).alias("style"), "conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
+           for style, _ in J.PROMPT_TEMPLATES]
+    out = one[0]
+    for o in one[1:]:
+        out = out.unionByName(o)
+    return out
+
+
 def q_j16(spark, sf):
     return J.workflow_continuity(_conv(spark, sf))
 
@@ -108,6 +118,7 @@ QUERIES = {
     "J12_result_confidence": q_j12,
     "J13_execution_stats": q_j13,
     "J15_render_prompts": q_j15,
+    "J15_prompt_styles": q_j15_styles,
     "J16_workflow_continuity": q_j16,
     "J17_usage_share": q_j17,
     "J18_weighted_assign": q_j18,

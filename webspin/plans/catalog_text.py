@@ -110,6 +110,17 @@ def q_e5(spark: SparkSession, sf: str) -> DataFrame:
     return Q.quality_report(_docs(spark, sf), load(spark, sf, "labels"))
 
 
+def q_e5_source_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    d = _docs(spark, sf).select("source", F.round(X.quality_score(F.col("text")), 6).alias("quality"))
+    return Q.score_histogram(d, "source")
+
+
+def q_e5_type_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    p = Q.page_types(load(spark, sf, "pages").select("page_id", "url", "html"))
+    p = p.select("page_type", X.clean_snippet(F.col("html")).alias("text"))
+    return Q.score_histogram(p.select("page_type", F.round(X.quality_score(F.col("text")), 6).alias("quality")), "page_type")
+
+
 def q_d2(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "pages").select("page_id", "url", "html")
     return Q.page_types(p).select("page_id", "page_type")
@@ -136,6 +147,8 @@ QUERIES = {
     "E3_validate_extraction": q_e3,
     "E4_length_window": q_e4,
     "E5_quality_report": q_e5,
+    "E5_source_histogram": q_e5_source_histogram,
+    "E5_page_type_histogram": q_e5_type_histogram,
     "D2_page_types": q_d2,
     "X12_curate_corpus": q_x12,
 }

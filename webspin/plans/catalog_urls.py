@@ -112,6 +112,10 @@ def q_x11(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.link_graph(load(spark, sf, "pages").select("page_id", "url", "html"))
 
 
+def q_x11_in_degree(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.host_in_degree(load(spark, sf, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "flagship_best_pages": q_flagship,
     "U1_canonicalize_urls": q_u1,
@@ -128,4 +132,5 @@ QUERIES = {
     "D10_raw_page_links": q_d10_raw,
     "X10_crawl_frontier": q_x10,
     "X11_link_graph": q_x11,
+    "X11_host_in_degree": q_x11_in_degree,
 }
