@@ -71,6 +71,7 @@ def _f16():
     import re
 
     from checks import oracle_limiter as L
+    from checks.oracle_logs import ROBOTS
     from checks import oracle_payloads as P
 
     ttl = P._ttl(P.H_KEY, "(event_type <> 'error')", 3600 * 10**6, "events")
@@ -85,10 +86,19 @@ base AS (SELECT date_trunc('day', ts) AS day, count(*) AS total, count(*) FILTER
                 count(*) FILTER (WHERE NOT success) AS engine_failures FROM sl GROUP BY 1),
 hits AS (SELECT date_trunc('day', ts) AS day, count(*) FILTER (WHERE hit) AS cache_hits FROM h_rec GROUP BY 1),
 blk AS (SELECT date_trunc('day', r.ts) AS day, count(*) FILTER (WHERE NOT rec.allowed) AS rate_limit_blocks
-        FROM rec JOIN rl r USING (event_id) WHERE rec.rn > 0 GROUP BY 1)
+        FROM rec JOIN rl r USING (event_id) WHERE rec.rn > 0 GROUP BY 1),
+{ROBOTS},
+pu AS (SELECT page_id, {S.two_label_domain(S.url_host('n'))} AS domain, {S.url_path('n')} AS path
+       FROM (SELECT page_id, {S.canonical_url('url')} AS n FROM pages)),
+pf AS (SELECT page_id, bool_or(kind = 'allow') AS a, bool_or(kind = 'disallow') AS d
+       FROM pu JOIN rules ON pu.domain = rules.domain AND rules.agent IN ('webspinbot', '*') AND (
+            prefix = '/' OR CASE WHEN ends_with(prefix, '*') THEN starts_with(path, left(prefix, length(prefix) - 1))
+                                 ELSE starts_with(path, prefix) END) GROUP BY page_id),
+rob AS (SELECT date_trunc('day', ts) AS day, count(*) FILTER (WHERE NOT (coalesce(pf.a, false) OR NOT coalesce(pf.d, false))) AS robots_blocks
+        FROM sl JOIN pu ON sl.event_id = pu.page_id LEFT JOIN pf USING (page_id) GROUP BY 1)
 SELECT base.day, total, successful, engine_failures, coalesce(cache_hits, 0) AS cache_hits,
-       coalesce(rate_limit_blocks, 0) AS rate_limit_blocks
-FROM base LEFT JOIN hits USING (day) LEFT JOIN blk USING (day)
+       coalesce(rate_limit_blocks, 0) AS rate_limit_blocks, coalesce(robots_blocks, 0) AS robots_blocks
+FROM base LEFT JOIN hits USING (day) LEFT JOIN blk USING (day) LEFT JOIN rob USING (day)
 """
 
 

@@ -204,9 +204,10 @@ def available_engines(log: DataFrame, keys_present: list[str] | None = None) ->
 
 
 def tool_stats(log: DataFrame, cache_replay: DataFrame | None = None,
-               limiter_replay: DataFrame | None = None) -> DataFrame:
+               limiter_replay: DataFrame | None = None, page_decisions: DataFrame | None = None) -> DataFrame:
     """F16: per day: total, successful, engine failures, and (when the
-    replays are given) cache hits (H2) and rate-limit blocks (I4).
+    replays are given) cache hits (H2), rate-limit blocks (I4) and fetches
+    that robots rules forbid (G3's decisions with the time of the fetch).
 
     Every input is first reduced to one row per day (partial aggregation),
     so the joins are between day-sized tables."""
@@ -224,6 +225,9 @@ def tool_stats(log: DataFrame, cache_replay: DataFrame | None = None,
         blocks = limiter_replay.groupBy(day("ts").alias("day")).agg(
             F.count_if(~F.col("allowed")).alias("rate_limit_blocks"))
         out = out.join(blocks, "day", "left").fillna(0, ["rate_limit_blocks"])
+    if page_decisions is not None:
+        kept_out = page_decisions.groupBy(day("ts").alias("day")).agg(F.count_if(~F.col("allowed")).alias("robots_blocks"))
+        out = out.join(kept_out, "day", "left").fillna(0, ["robots_blocks"])
     return out
 
 

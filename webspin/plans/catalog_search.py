@@ -187,7 +187,13 @@ def q_f16(spark, sf):
     log = search_log(spark, sf)
     hits = H.cache_hits(H.cache_keys(log.withColumn("max_results", F.lit(10))), ttl_s=3600.0)
     blocks = I.replay_limits(request_log(spark, sf), _hourly_limits(spark))
-    return S.tool_stats(log, hits, blocks)
+    # each event's fetch is the page of its number
+    pages = load(spark, sf, "pages").select("page_id", "url")
+    n = U.canonical_url(F.col("url"))
+    paths = pages.select("page_id", U.two_label_domain(U.url_host(n)).alias("domain"), U.url_path(n).alias("path"))
+    decided = G.robots_allowed(paths, G.robots_rules(robots(spark, sf))).select("page_id", "allowed")
+    fetched = log.select("event_id", "ts").join(decided, F.col("event_id") == F.col("page_id"))
+    return S.tool_stats(log, hits, blocks, fetched)
 
 
 QUERIES = {
