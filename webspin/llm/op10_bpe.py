@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from webspin.llm import common as C
 
 #: Words whose ids a Python worker keeps.
-MEMO = 400_000
+MEMO = 250_000
 END = "\ue000"  # the end sign inside this module; no byte of the alphabet maps to it
 SPACES = "\\u0009-\\u000D\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
