@@ -245,3 +245,27 @@ FROM sr
 """
 
 ORACLE.update({"A7_parse_serp_html_tool": A7_TOOL, "A7_parse_serp_html_bing": A7_BING})
+
+_CHAIN = ["instant_answer", "duckduckgo_html", "searx", "bing"]
+
+F7_CHAIN = f"""
+WITH {PARSED},
+i AS (SELECT query, 'instant_answer' AS engine, (CASE WHEN doc_id % 3 = 0 AND coalesce(text, '') <> '' THEN 1 ELSE 0 END)
+             + (CASE WHEN coalesce(title || ' - ' || source, '') <> '' THEN 1 ELSE 0 END) AS k FROM d),
+n AS (SELECT query, engine, count(*) AS n_results FROM res GROUP BY ALL
+      UNION ALL SELECT query, engine, CAST(sum(k) AS BIGINT) FROM i WHERE split_part(query, ':', -1) IN ('en', 'fr') GROUP BY ALL),
+p AS (SELECT *, list_position({S.arr(_CHAIN)}, engine) AS pos FROM n WHERE n_results > 0 AND list_position({S.arr(_CHAIN)}, engine) > 0)
+SELECT query, engine, n_results, pos > 1 AS used_fallback FROM p
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) = 1
+"""
+
+F7_MIRROR = f"""
+WITH {PARSED},
+a AS (SELECT query, CAST(CAST(split_part(url, '/', -1) AS BIGINT) % 3 AS INTEGER) AS mirror,
+             CASE split_part(query, ':', -1) WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 ELSE 0 END AS down FROM x),
+gm AS (SELECT query, mirror, count(*) FILTER (WHERE mirror >= down) AS n_results FROM a GROUP BY ALL)
+SELECT query, min(mirror) FILTER (WHERE n_results > 0) AS mirror, coalesce(arg_min(n_results, mirror) FILTER (WHERE n_results > 0), 0) AS n_results
+FROM gm GROUP BY query
+"""
+
+ORACLE.update({"F7_tool_chain": F7_CHAIN, "F7_first_mirror": F7_MIRROR})

@@ -110,6 +110,25 @@ def engine_fallback(responses: DataFrame, target: Column | str,
                        (F.col("engine") != F.col("original_engine")).alias("used_fallback"))
 
 
+def tool_chain(responses: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """F7, the tool's form: per query the first engine of the chain that
+    answered with results; used_fallback if it isn't the chain's first. Queries
+    that no engine answers have no row. One ranking of a few rows per query."""
+    order = order or TOOL_FALLBACK_ORDER
+    pos = F.array_position(F.array(*[F.lit(e) for e in order]), F.col("engine"))
+    r = responses.withColumn("_pos", pos).where(F.col("success") & (F.col("n_results") > 0) & (pos > 0))
+    best = r.groupBy("query").agg(F.min_by(F.struct("engine", "n_results", "_pos"), "_pos").alias("b"))
+    return best.select("query", "b.engine", "b.n_results", (F.col("b._pos") > 1).alias("used_fallback"))
+
+
+def first_mirror(responses: DataFrame, mirrors: int = 3) -> DataFrame:
+    """F7, mirrors of one engine: (query, mirror, n_results) of the first of
+    ``mirrors`` mirrors (0, 1, ...) with any result; null where none has."""
+    some = F.when((F.col("n_results") > 0) & (F.col("mirror") < mirrors), F.col("mirror"))
+    g = responses.groupBy("query").agg(F.min(some).alias("mirror"), F.min_by("n_results", some).alias("n_results"))
+    return g.select("query", "mirror", F.when(F.col("mirror").isNull(), 0).otherwise(F.col("n_results")).alias("n_results"))
+
+
 def response_summary_parsed(parsed: DataFrame) -> DataFrame:
     """Per (query, engine) from one parsing pass (``parse_any_payloads``):
     did the engine answer (any parsable payload) and how many results it

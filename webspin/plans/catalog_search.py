@@ -129,6 +129,27 @@ def q_f7(spark, sf):
     return S.engine_fallback(S.response_summary_parsed(_parsed(spark, sf)), "google_custom")
 
 
+def q_f7_chain(spark, sf):
+    # the instant-answer engine knows English and French only
+    instant = P.parse_instant_answers(_serp(spark, sf, "instant_answer"), 10).where(F.substring_index("query", ":", -1).isin("en", "fr"))
+    known = instant.groupBy("query").agg(F.count(F.lit(1)).alias("n_results")).select(
+        "query", F.lit("instant_answer").alias("engine"), F.lit(True).alias("success"), "n_results")
+    others = S.response_summary_parsed(_parsed(spark, sf)).where(F.col("engine") != "instant_answer")
+    return S.tool_chain(others.unionByName(known))
+
+
+def q_f7_mirrors(spark, sf):
+    # a document's searx answer comes from mirror doc_id % 3; French queries
+    # find the first mirror down, German ones the first two, Spanish ones all
+    r = _parsed(spark, sf).where((F.col("engine") == "searx") & F.col("valid"))
+    mirror = (F.element_at(F.split("url", "/"), -1).cast("long") % 3).cast("int")
+    lang = F.substring_index("query", ":", -1)
+    down = F.when(lang == "fr", 1).when(lang == "de", 2).when(lang == "es", 3).otherwise(0)
+    answers = r.select("query", mirror.alias("mirror"), down.alias("down")).groupBy("query", "mirror").agg(
+        F.count_if(F.col("mirror") >= F.col("down")).alias("n_results"))
+    return S.first_mirror(answers)
+
+
 def q_f9(spark, sf):
     pages = load(spark, sf, "pages").select("page_id", "url", "html")
     recs = flagship.page_records(pages).select("page_id", "normalized_url", F.col("title").alias("content"))
@@ -212,6 +233,8 @@ QUERIES = {
     "F5_relevance": q_f5,
     "F6_top_results": q_f6,
     "F7_engine_fallback": q_f7,
+    "F7_tool_chain": q_f7_chain,
+    "F7_first_mirror": q_f7_mirrors,
     "F9_enrich_results": q_f9,
     "F10_infer_content_type": q_f10,
     "F11_expand_queries": q_f11,
