@@ -8,9 +8,10 @@
    every text becomes a TF-IDF vector of unit length.
 3. The examples are kept in an inverted index whose postings come in blocks of
    64 examples, each with its largest weight. For a text, the products of its
-   weights with these maxima bound the cosine of every block; blocks are
-   scored exactly from the highest bound down until no bound can beat the
-   k-th best cosine. The neighbours found are exactly the k nearest.
+   weights with these maxima bound the cosine of every block; the blocks with
+   the highest bounds are scored first, then those whose bound reaches the
+   k-th best cosine so far, the others never. The neighbours are exactly the k
+   nearest.
 4. The neighbours vote with their squared cosine. A logistic function, fitted
    on the examples (each without itself, and weighted to the true share of the
    classes), turns the vote into a calibrated score. The neighbours are the
@@ -38,7 +39,7 @@ from pyspark.sql import Window as W
 from webspin.llm import common as C
 
 EXAMPLES_PER_CLASS, MAX_TERMS, LEAST_CHI2, LEAST_DOCS = 4000, 20_000, 30.0, 3
-BLOCK, NEIGHBOURS = 64, 15
+BLOCK, NEIGHBOURS, FIRST_BLOCKS = 64, 15, 6
 LETTERS = re.compile(r"[^\W\d_]+")
 MEMO = 300_000
 
@@ -112,46 +113,50 @@ class Index:
         self.cell_block = self.post_who[first] // BLOCK
         self.cell_max = np.maximum.reduceat(self.post_weight, first) if len(first) else np.zeros(0)
         self.term_first = np.searchsorted(term[first], np.arange(len(vocabulary.at) + 1))
+        self.vectors = vectors
         self.a, self.b = 4.0, -2.0
-        if vectors:
-            self._calibrate(vectors)
+
+    def _sims(self, cells: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Exact cosines of the examples in the wanted blocks."""
+        use = wanted[self.cell_block[cells]]
+        cells, weights = cells[use], weights[use]
+        size = self.cell_first[cells + 1] - self.cell_first[cells]
+        at = np.repeat(self.cell_first[cells] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.post_who[at], np.repeat(weights, size) * self.post_weight[at], self.size)
 
     def nearest(self, vector, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The NEIGHBOURS examples with the highest cosine above 0, best first."""
+        """The NEIGHBOURS examples with the highest cosine above 0, best first.
+        The blocks with the highest bounds are scored first; then all those
+        whose bound reaches the k-th best cosine found there."""
         terms, weights = vector
-        bound = np.zeros(self.blocks)
-        cells = [(int(a), int(b), w) for a, b, w in zip(self.term_first[terms], self.term_first[terms + 1], weights)]
-        for a, b, w in cells:  # a term has one entry in each block
-            bound[self.cell_block[a:b]] += w * self.cell_max[a:b]
-        best_who, best_sim, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            # rounding may lower a bound a little below the cosine it bounds
-            if bound[block] <= 0 or len(best_who) == NEIGHBOURS and bound[block] < least - 1e-9:
-                break
-            sims = np.zeros(BLOCK)
-            for a, b, w in cells:
-                k = a + int(np.searchsorted(self.cell_block[a:b], block))
-                if k < b and self.cell_block[k] == block:
-                    p, q = self.cell_first[k], self.cell_first[k + 1]
-                    sims[self.post_who[p:q] - block * BLOCK] += w * self.post_weight[p:q]
-            if without // BLOCK == block and without >= 0:
-                sims[without % BLOCK] = 0
-            who = np.flatnonzero(sims > 0)
-            best_who = np.concatenate([best_who, who + block * BLOCK])
-            best_sim = np.concatenate([best_sim, sims[who]])
-            keep = np.lexsort((best_who, -np.round(best_sim, 12)))[:NEIGHBOURS]
-            best_who, best_sim = best_who[keep], best_sim[keep]
-            if len(best_who) == NEIGHBOURS:
-                least = best_sim[-1]
-        return best_who, best_sim
+        a, n = self.term_first[terms], self.term_first[terms + 1] - self.term_first[terms]
+        if not n.sum():
+            return np.zeros(0, np.int64), np.zeros(0)
+        cells = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        weight = np.repeat(weights, n)
+        bound = np.bincount(self.cell_block[cells], weight * self.cell_max[cells], self.blocks)  # a term has one cell in a block
+        wanted = np.zeros(self.blocks, bool)
+        wanted[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        sims = self._sims(cells, weight, wanted)
+        if without >= 0:
+            sims[without] = 0
+        least = np.partition(sims, -NEIGHBOURS)[-NEIGHBOURS] if self.size > NEIGHBOURS else 0.0
+        more = (bound >= least - 1e-9) & (bound > 0) & ~wanted  # rounding may lower a bound a little
+        if more.any():
+            sims += self._sims(cells, weight, more)
+            if without >= 0:
+                sims[without] = 0
+        who = np.flatnonzero((sims > 0) & (sims >= least - 1e-9))
+        who = who[np.lexsort((who, -np.round(sims[who], 12)))[:NEIGHBOURS]]
+        return who, sims[who]
 
     def vote(self, who: np.ndarray, sims: np.ndarray) -> float:
         """Share of label 1 by squared cosine; half a vote for the usual share."""
         w = sims ** 2
         return float((w @ self.labels[who] + 0.05 * self.rate) / (w.sum() + 0.05))
 
-    def _calibrate(self, vectors) -> None:
-        x = np.array([self.vote(*self.nearest(v, without=i)) for i, v in enumerate(vectors)])
+    def calibrate(self, x: np.ndarray) -> None:
+        """Logistic fit of the labels on the examples' votes x (each without itself)."""
         y = self.labels.astype(float)
         share = y.mean()
         weight = np.where(y == 1, self.rate / max(share, 1e-9), (1 - self.rate) / max(1 - share, 1e-9))
@@ -239,7 +244,18 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
                                              names=["__id", "__y", "terms", "weights"])
 
     rows = examples.mapInArrow(vectors, "__id long, __y int, terms array<long>, weights array<double>").collect()
-    return Index(vocabulary, sorted(tuple(r) for r in rows), rate)
+    index = Index(vocabulary, sorted(tuple(r) for r in rows), rate)
+    if index.size:
+        known = spark.sparkContext.broadcast(index)
+
+        def votes(batches):
+            index = known.value
+            for b in batches:
+                at = b.column("id").to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([index.vote(*index.nearest(index.vectors[i], without=i)) for i in at])], names=["id", "vote"])
+
+        index.calibrate(np.array([r["vote"] for r in spark.range(index.size).mapInArrow(votes, "id long, vote double").orderBy("id").collect()]))
+    return index
 
 
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
