@@ -106,13 +106,6 @@ def fetch_outcomes(fetches: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     )
 
 
-def fetch_report(outcomes: DataFrame) -> DataFrame:
-    """A2 report: outcome counts per status class."""
-    return (outcomes.groupBy("status_class", "success", "error")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(F.length("content")).alias("bytes")))
-
-
 def write_corpus(df: DataFrame, path: str, partition_by: list[str] | None = None,
                  mode: str = "overwrite") -> None:
     """A10: write a corpus table as parquet, partitioned for pruning."""
@@ -131,4 +124,3 @@ def write_stream_corpus(stream_df: DataFrame, path: str, checkpoint: str,
 
     return (stream_df.writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint))
-
