@@ -134,6 +134,34 @@ def test_near_dedup_of_a_dense_group(spark):
     assert got == {d: c for d, _, c in brute_components(rows, 85)}
 
 
+def test_near_dedup_proposes_links_across_a_large_region(spark, monkeypatch):
+    monkeypatch.setattr(op9_near_dedup, "BLOCK", 64)
+    rng, n, values = np.random.default_rng(2), 1400, op9_near_dedup.VALUES
+    sig = rng.integers(0, 1 << 32, (n, values), dtype=np.uint32)
+    sig[:, :op9_near_dedup.DEPTH] = 7  # all meet in the region of the first order
+    for i in range(0, 200, 2):  # alike in 48 values, with no other region and not in the next value of this one
+        own = np.arange(values) % op9_near_dedup.STEP == 0
+        own[0], own[op9_near_dedup.DEPTH] = False, True
+        sig[i + 1] = np.where(own, sig[i + 1], sig[i])
+    # what the operator does with one region: dealt by task, then proposed
+    ids = spark.createDataFrame([(0, i, n, bytearray(sig[i].tobytes())) for i in range(n)], "region long, cls long, size long, sig binary")
+    t = op9_near_dedup._deal(ids, "region").select("task", "cls", "sig").orderBy("task", "cls").toArrow()
+    assert max(collections.Counter(t.column("task").to_pylist()).values()) < 2 * 64  # no task holds the region
+    got = {(r["a"], r["b"]) for b in op9_near_dedup._propose(44)(iter(t.to_batches(max_chunksize=500))) for r in b.to_pylist()}
+    assert got == {(i, i + 1) for i in range(0, 200, 2)}
+
+
+def test_near_dedup_of_shared_boilerplate_by_sub_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op9_near_dedup, "BLOCK", 8)
+    rng = random.Random(12)
+    shared, rows = words(rng, 60), []
+    for i in range(80):  # different texts of one template, each with a near copy
+        own = words(rng, 40).split()
+        rows += [(2 * i, shared + " " + " ".join(own), "en"), (2 * i + 1, shared + " " + " ".join(own[:-1] + ["edit"]), "en")]
+    got = {r.doc_id: r.component_id for r in op9_near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {d: c for d, _, c in brute_components(rows, 85)} and len(set(got.values())) == 80
+
+
 def test_links_by_blocks_and_by_pairs_agree():
     rng = np.random.default_rng(1)
     pool = np.unique(rng.integers(0, 1 << 60, 400).astype(np.uint64))

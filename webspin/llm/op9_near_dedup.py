@@ -7,12 +7,11 @@
    goes around. A region is the classes that agree on the first three values
    of an order (two sets of likeness 0.85 share none with odds of 2 in 10
    million). Regions of one class end here.
-3. Each remaining region is sorted along its order, so that classes with long
-   common prefixes stand together, and compared by signature. It proposes a
+3. All pairs of each remaining region are compared by signature. It proposes a
    spanning forest of its likely pairs: as many pairs as lie between its
    classes and no more, so that no group emits all its pairs. A region of more
-   than ``BLOCK`` classes is compared in blocks along its order (prefixes get
-   longer as a region gets denser); the first class joins every block.
+   than ``BLOCK`` classes is dealt out as pairs of sub-blocks, each of which
+   proposes its own forest, so that any two of its classes meet in a task.
 4. The proposals' components are the neighbourhoods: whatever links there are
    lie inside them. Each class sends its full shingle set to its neighbourhood
    once, and all intersections there are counted exactly. A neighbourhood of
@@ -107,7 +106,7 @@ def _profile(words: int):
 
 
 def _regions(batches):
-    """(region, class, order) for each order of the forest."""
+    """(region, class) for each order of the forest."""
     for b in batches:
         data, _ = C.string_view(b.column("sig"))
         sig = np.ascontiguousarray(data).view(np.uint32).reshape(-1, VALUES).astype(np.uint64)
@@ -116,13 +115,12 @@ def _regions(batches):
             h = np.full(len(sig), t + 1, np.uint64)
             for k in range(DEPTH):
                 h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, t * STEP + k])
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(ids), pa.array(np.full(len(ids), t, np.int32))], names=["region", "cls", "ord"])
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(ids)], names=["region", "cls"])
 
 
-def _grouped(batches, column: str, split: bool):
+def _grouped(batches, column: str):
     """Tables of whole groups of rows sorted by ``column`` (many small groups
-    at once). ``split``: a very large group comes in blocks, and its first row
-    leads each of them."""
+    at once)."""
     held, count = [], 0
     for b in batches:
         held.append(pa.Table.from_batches([b]))
@@ -135,9 +133,6 @@ def _grouped(batches, column: str, split: bool):
         if last:
             yield t.slice(0, last)
             t = t.slice(last)
-        while split and len(t) > 2 * BLOCK:
-            yield t.slice(0, BLOCK)
-            t = pa.concat_tables([t.slice(0, 1), t.slice(BLOCK)])
         held, count = [t], len(t)
     if count:
         yield pa.concat_tables(held)
@@ -187,11 +182,11 @@ def _pair_batch(pairs: set) -> pa.RecordBatch:
 
 def _propose(least: int):
     def run(batches):
-        for t in _grouped(batches, "region", True):
-            region, ids = np.asarray(t.column("region")), np.asarray(t.column("cls"))
+        for t in _grouped(batches, "task"):
+            task, ids = np.asarray(t.column("task")), np.asarray(t.column("cls"))
             data, _ = C.string_view(t.column("sig"))
             sig = np.ascontiguousarray(data).view(np.uint32).reshape(-1, VALUES)
-            cuts, out = _cuts(region), set()
+            cuts, out = _cuts(task), set()
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a == 2:
                     edges = [(0, 1)] if (sig[a] == sig[a + 1]).sum() >= least else []
@@ -236,7 +231,7 @@ def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _confirm(percent: int):
     def run(batches):
-        for t in _grouped(batches, "task", False):
+        for t in _grouped(batches, "task"):
             task, ids = np.asarray(t.column("task")), np.asarray(t.column("cls"))
             data, off = C.string_view(t.column("shingles"))
             cuts, out = _cuts(task), set()
@@ -296,13 +291,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = C.write_read(prof.where("digest is not null and __id is not null").groupBy("digest").agg(F.min("__id").alias("cls"), F.first("sig").alias("sig")), "classes")
 
     nodes = classes.groupBy("cls").agg(F.min_by("sig", "digest").alias("sig"))
-    member = nodes.mapInArrow(_regions, "region long, cls long, ord int")
+    member = nodes.mapInArrow(_regions, "region long, cls long")
     crowded = member.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = member.join(crowded, "region").join(nodes, "cls")
-    # the next values along the order, so that long common prefixes stand together
-    turned = F.expr(f"substring(concat(sig, sig), 4 * (ord * {STEP} + {DEPTH}) + 1, 32)")
-    pairs = (member.select("region", "cls", "sig", turned.alias("turned")).repartition(n, "region").sortWithinPartitions("region", "turned")
-             .drop("turned").mapInArrow(_propose(least), "a long, b long").distinct())
+    pairs = (_deal(member, "region").select("task", "cls", "sig").repartition(n, "task").sortWithinPartitions("task")
+             .mapInArrow(_propose(least), "a long, b long").distinct())
     near = C.cut(components(pairs))
     comp = C.cut(components(_linked(base, near, words, percent)))
 
@@ -312,6 +305,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), "n_shingles", comp_id.alias("component_id"), F.col("__id").eqNullSafe(comp_id).alias("kept"))
 
 
+def _deal(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` (cls and the size of its group) by task. A group of at most
+    ``BLOCK`` classes is one task; a larger one has a task for each pair of its
+    sub-blocks, so that any two of its classes share one."""
+    blocks = F.when(F.col("size") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("size") / (BLOCK // 2))).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("cls"), "blocks"))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("mine")) | (F.col("blocks") == 1))
+    dealt = dealt.withColumn("other", F.explode(other))
+    return dealt.withColumn("task", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other")))
+
+
 def _linked(base: DataFrame, near: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning forests (a, b) of the links inside the neighbourhoods ``near``
     (node, comp)."""
@@ -321,11 +325,7 @@ def _linked(base: DataFrame, near: DataFrame, words: int, percent: int) -> DataF
     sets = texts.mapInArrow(_sets(words), "cls long, comp long, digest binary, shingles binary")
     sets = sets.groupBy("cls", "comp").agg(F.min_by("shingles", "digest").alias("shingles"))
     size = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.when(F.col("size") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("size") / (BLOCK // 2))).cast("int")
-    dealt = sets.join(size, "comp").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("cls"), "blocks"))
-    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("mine")) | (F.col("blocks") == 1))
-    dealt = dealt.withColumn("other", F.explode(other))
-    dealt = dealt.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "cls", "shingles")
+    dealt = _deal(sets.join(size, "comp"), "comp").select("task", "cls", "shingles")
     return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
 
