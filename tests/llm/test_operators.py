@@ -162,6 +162,20 @@ def test_near_dedup_of_shared_boilerplate_by_sub_blocks(spark, monkeypatch):
     assert got == {d: c for d, _, c in brute_components(rows, 85)} and len(set(got.values())) == 80
 
 
+@pytest.mark.parametrize("percent, edits, agree", [(85, 4, 43), (80, 7, 40)])
+def test_near_dedup_links_a_pair_of_unlike_signatures(spark, percent, edits, agree):
+    rng = random.Random(4983)  # its signatures agree on fewer values than most pairs at the threshold
+    one = [f"{rng.getrandbits(30):x}" for _ in range(120)]
+    two = one[:60] + ["edit"] + one[61:-edits] + [f"{rng.getrandbits(30):x}" for _ in range(edits)]
+    rows = [(1, " ".join(one), "en"), (2, " ".join(two), "en")]
+    a, b = (op9_near_dedup.signature(op9_near_dedup.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0]) for _, t, _ in rows)
+    assert (a == b).sum() == agree
+    got = op9_near_dedup.near_duplicates(frame(spark, rows), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1}
+    least, shared = op9_near_dedup._least(percent), 1 - (percent / 100) ** op9_near_dedup.DEPTH
+    assert op9_near_dedup._below(least, percent / 100) < shared ** op9_near_dedup.ORDERS / 9
+
+
 def test_links_by_blocks_and_by_pairs_agree():
     rng = np.random.default_rng(1)
     pool = np.unique(rng.integers(0, 1 << 60, 400).astype(np.uint64))
