@@ -304,6 +304,19 @@ def test_lm_base_score_and_probabilities(spark, rows):
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_keeps_what_one_task_learned(spark):
+    rng = random.Random(21)
+    texts = [["alpha beta " * 40] * 12] + [[words(rng, 80, "cdefg") for _ in range(12)] for _ in range(7)]
+    docs = frame(spark, [(100 * k + i, t, "en") for k, part in enumerate(texts) for i, t in enumerate(part)])
+    by = docs.withColumn("k", F.floor(F.col("doc_id") / 100).cast("int"))
+    told = []
+    for parts in (docs.coalesce(1), by.repartitionByRange(8, "k").drop("k")):
+        model, _ = op4_lm_score.train(parts)
+        rows = model.contexts(np.array([model.head[b"beta"], model.head[b"alpha"], 0]), np.array([0, 1, 2]))
+        told.append(np.abs(model.weights[rows[2:, 2]]).sum())  # the two words before
+    assert told[1] > 0.6 * told[0]  # averaged over all tasks it would be an eighth
+
+
 def test_language_models_learn_and_reject(spark):
     rng = random.Random(8)
     alphabets = {"aa": "abcde", "bb": "defgh", "cc": "xyzéß"}

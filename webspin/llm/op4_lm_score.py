@@ -18,8 +18,10 @@ and one share is left for unknown words, so that probabilities add up to one.
    tokens and the sums per class do.
 2. Training: in each round every task starts from the broadcast weights and
    makes AdaGrad steps over its part of the training positions (a fixed share
-   of the positions of every text); the weights of all tasks are averaged in a
-   tree.
+   of the positions of every text); the weights of all tasks meet in a tree,
+   each row and cell averaged over the positions that touched it: a feature
+   that only one task saw keeps what that task learned. The next round starts
+   from there.
 3. Scoring: texts are scored in blocks by sparse numpy batches. A block lists
    each of its rare words once, with the texts that hold it; these lists meet
    the counts in one shuffled join, in which a word has one row per block at
@@ -50,9 +52,7 @@ CLASSES = HEAD // WIDTH + TAIL
 START = HEAD + TAIL  # the symbol before a text
 ROWS, CELLS = 1 << 13, 1 << 18
 #: Rounds of training, the share of positions in each (1 in SHARE) and the step size.
-#: One round over a quarter of the positions learns from as many as two over an
-#: eighth, and reads the texts once less.
-ROUNDS, SHARE, RATE = 1, 4, 0.15
+ROUNDS, SHARE, RATE = 2, 4, 0.15
 BATCH = 2048
 BLOCK_BYTES = 3 << 20
 END_TOKEN = 0  # index of the end among the common tokens
@@ -154,8 +154,9 @@ class Model:
                 out[s][k] += self.word_logs(rows[:, s][:, k], group[s][k])[np.arange(len(k)), symbol[s][k] % WIDTH]
         return out
 
-    def learn(self, symbol: np.ndarray, place: np.ndarray, chosen: np.ndarray, squares: list[np.ndarray]) -> None:
-        """AdaGrad steps on the chosen positions."""
+    def learn(self, symbol: np.ndarray, place: np.ndarray, chosen: np.ndarray, squares: list[np.ndarray], touched: list[np.ndarray]) -> None:
+        """AdaGrad steps on the chosen positions; ``touched`` counts the
+        positions of each row and cell."""
         rows = self.contexts(symbol, place)[:, chosen]
         target = symbol[chosen]
         common = target < HEAD
@@ -169,6 +170,7 @@ class Model:
             first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
             total = np.add.reduceat(g[order % len(g)], first, axis=0)
             at_rows = flat[order][first]
+            touched[0][at_rows] += np.diff(np.append(first, len(flat)))
             squares[0][at_rows] += total * total
             self.weights[at_rows] -= RATE * total / np.sqrt(squares[0][at_rows] + 1.0)
             k = np.flatnonzero(common[s])
@@ -177,6 +179,7 @@ class Model:
                 g = np.exp(self.word_logs(r[:, k], group[s][k], cells))
                 g[np.arange(len(k)), target[s][k] % WIDTH] -= 1
                 total = np.bincount(cells.ravel(), np.broadcast_to(g, cells.shape).ravel(), CELLS).astype(np.float32)
+                touched[1] += np.bincount(cells.ravel(), minlength=CELLS)
                 squares[1] += total * total
                 self.cells -= RATE * total / np.sqrt(squares[1] + 1.0)
 
@@ -226,7 +229,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
             own = copy.copy(now.value)
             own.weights, own.cells = own.weights.copy(), own.cells.copy()
             squares = [np.zeros_like(own.weights), np.zeros_like(own.cells)]
-            seen = 0
+            touched = [np.zeros(ROWS), np.zeros(CELLS)]
             for _, data, off in C.text_pieces(batches, "__text", 1 << 20):
                 t = Tokens(data, off)
                 row, word, place = t.positions()
@@ -234,24 +237,27 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
                 draw = C.mix((place * 7919 + t.counts[row] * 104729 + k + 1).astype(np.uint64))
                 chosen = np.flatnonzero(draw % np.uint64(SHARE) == 0)
                 if len(chosen):
-                    own.learn(sym, place, chosen, squares)
-                    seen += len(chosen)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.weights.tobytes()], pa.binary()), pa.array([own.cells.tobytes()], pa.binary())], names=["seen", "w", "c"])
+                    own.learn(sym, place, chosen, squares, touched)
+            if touched[0].any():
+                n_rows, n_cells = (x.astype(np.float32) for x in touched)
+                parts = n_rows, n_cells, own.weights * n_rows[:, None], own.cells * n_cells
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["nw", "nc", "w", "c"])
 
-        parts = base.mapInArrow(steps, "seen double, w binary, c binary").rdd.map(
-            lambda r: (r["seen"], np.frombuffer(r["w"], np.float32) * np.float32(r["seen"]), np.frombuffer(r["c"], np.float32) * np.float32(r["seen"])))
+        parts = base.mapInArrow(steps, "nw binary, nc binary, w binary, c binary").rdd.map(lambda r: tuple(np.frombuffer(x, np.float32) for x in r))
         total_parts = parts.treeAggregate(None, _add, _add, depth=3)
         if total_parts:
-            seen, w, c = total_parts
-            model.weights, model.cells = (w / seen).reshape(ROWS, CLASSES).astype(np.float32), (c / seen).astype(np.float32)
+            n_rows, n_cells, w, c = total_parts
+            w = w.reshape(ROWS, CLASSES)
+            # what no position touched stays as it is
+            model.weights = np.where(n_rows[:, None] > 0, w / np.maximum(n_rows, 1)[:, None], model.weights).astype(np.float32)
+            model.cells = np.where(n_cells > 0, c / np.maximum(n_cells, 1), model.cells).astype(np.float32)
     return model, counts
 
 
 def _add(a: tuple | None, b: tuple | None) -> tuple | None:
     if a is None or b is None:
         return b if a is None else a
-    return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+    return tuple(x + y for x, y in zip(a, b))
 
 
 SCORED = "token binary, block string, docs binary, ids binary, known_n binary, held binary, part binary, base binary, n binary"
