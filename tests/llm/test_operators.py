@@ -317,6 +317,18 @@ def test_lm_keeps_what_one_task_learned(spark):
     assert told[1] > 0.6 * told[0]  # averaged over all tasks it would be an eighth
 
 
+def test_lm_learns_from_every_position(spark):
+    docs = frame(spark, [(i, "one" if i % 2 else None, "en") for i in range(60)])  # texts of one word and of none
+    model, _ = op4_lm_score.train(docs)
+    rows = model.contexts(np.array([model.head[b"one"], 0]), np.array([0, 1]))
+    assert np.abs(model.weights[rows]).sum(axis=2).all() and model.cells.any()
+    # every position counts once per feature and round
+    squares, touched = [np.zeros_like(model.weights), np.zeros_like(model.cells)], [np.zeros(op4_lm_score.ROWS), np.zeros(op4_lm_score.CELLS)]
+    symbol, place = np.array([1, 0, 0, 1, 1, 0]), np.array([0, 1, 0, 0, 1, 2])
+    model.learn(symbol, place, squares, touched)
+    assert touched[0].sum() == 4 * len(symbol)
+
+
 def test_language_models_learn_and_reject(spark):
     rng = random.Random(8)
     alphabets = {"aa": "abcde", "bb": "defgh", "cc": "xyzéß"}

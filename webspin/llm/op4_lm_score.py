@@ -17,8 +17,8 @@ and one share is left for unknown words, so that probabilities add up to one.
    shuffle. The counts never pass through the driver; only the HEAD commonest
    tokens and the sums per class do.
 2. Training: in each round every task starts from the broadcast weights and
-   makes AdaGrad steps over its part of the training positions (a fixed share
-   of the positions of every text); the weights of all tasks meet in a tree,
+   makes AdaGrad steps over its part of the training positions (all positions
+   of every text); the weights of all tasks meet in a tree,
    each row and cell averaged over the positions that touched it: a feature
    that only one task saw keeps what that task learned. The next round starts
    from there.
@@ -51,8 +51,8 @@ HEAD, WIDTH, TAIL = 1024, 32, 64
 CLASSES = HEAD // WIDTH + TAIL
 START = HEAD + TAIL  # the symbol before a text
 ROWS, CELLS = 1 << 13, 1 << 18
-#: Rounds of training, the share of positions in each (1 in SHARE) and the step size.
-ROUNDS, SHARE, RATE = 2, 4, 0.15
+#: Rounds of training, each over all positions, and the step size.
+ROUNDS, RATE = 2, 0.15
 BATCH = 2048
 BLOCK_BYTES = 3 << 20
 END_TOKEN = 0  # index of the end among the common tokens
@@ -154,11 +154,10 @@ class Model:
                 out[s][k] += self.word_logs(rows[:, s][:, k], group[s][k])[np.arange(len(k)), symbol[s][k] % WIDTH]
         return out
 
-    def learn(self, symbol: np.ndarray, place: np.ndarray, chosen: np.ndarray, squares: list[np.ndarray], touched: list[np.ndarray]) -> None:
-        """AdaGrad steps on the chosen positions; ``touched`` counts the
-        positions of each row and cell."""
-        rows = self.contexts(symbol, place)[:, chosen]
-        target = symbol[chosen]
+    def learn(self, symbol: np.ndarray, place: np.ndarray, squares: list[np.ndarray], touched: list[np.ndarray]) -> None:
+        """AdaGrad steps on all positions; ``touched`` counts the positions of
+        each row and cell."""
+        rows, target = self.contexts(symbol, place), symbol
         common = target < HEAD
         group = np.where(common, target // WIDTH, target - HEAD + HEAD // WIDTH)
         for at in range(0, len(target), BATCH):
@@ -220,10 +219,10 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
         tail_n[r["cls"]], tail_kinds[r["cls"]] = r["n"], r["kinds"]
     model = Model(head, np.array([n_texts] + [r["n"] for r in top], float), total["n"] + n_texts, total["kinds"] + 1 if n_texts else 0, tail_n, tail_kinds)
 
-    for k in range(rounds):
+    for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
-        def steps(batches, k=k, now=now):
+        def steps(batches, now=now):
             import copy
 
             own = copy.copy(now.value)
@@ -232,12 +231,9 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
             touched = [np.zeros(ROWS), np.zeros(CELLS)]
             for _, data, off in C.text_pieces(batches, "__text", 1 << 20):
                 t = Tokens(data, off)
-                row, word, place = t.positions()
+                _, word, place = t.positions()
                 sym = np.append(own.symbols(t.words), END_TOKEN)[word] if len(t.words) else np.full(len(word), END_TOKEN)
-                draw = C.mix((place * 7919 + t.counts[row] * 104729 + k + 1).astype(np.uint64))
-                chosen = np.flatnonzero(draw % np.uint64(SHARE) == 0)
-                if len(chosen):
-                    own.learn(sym, place, chosen, squares, touched)
+                own.learn(sym, place, squares, touched)
             if touched[0].any():
                 n_rows, n_cells = (x.astype(np.float32) for x in touched)
                 parts = n_rows, n_cells, own.weights * n_rows[:, None], own.cells * n_cells
