@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL can't express these stages; the tests compare run() with a brute-force version.
+#: SQL can't express these stages; tests/llm/test_pipeline.py compares each and run() with
+#: brute force (the first with the scores of its own classifier).
 ORACLE_SQL = None
