@@ -89,6 +89,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.common import scratch_path
+    from webspin.llm.op11_token_files import digests, read_tokens, write_tokens
+
+    path = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return digests(read_tokens(spark, path))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webspin.llm.op12_spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from webspin.llm.op13_hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)[0]
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -100,6 +125,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
+    "op11_token_files": op11_token_files,
+    "op12_spelling": op12_spelling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {}
