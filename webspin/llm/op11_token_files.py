@@ -19,6 +19,12 @@ shards, and reads only the frames, of these documents.
 The dictionary is trained on serialized ids: ``PIECES`` pieces of ``PIECE`` ids, those of
 least hash among the ``SAMPLE`` distinct texts of least hash. All else covers all rows.
 
+Encoding takes the ids of the tokenizers library. A worker keeps the ids of words
+and asks the library for new words only.
+
+The dictionary is trained on serialized ids: ``PIECES`` pieces of ``PIECE`` ids, those of
+least hash among the ``SAMPLE`` distinct texts of least hash. All else covers all rows.
+
 Encoding takes the ids of the tokenizers library. A worker keeps the ids of words
 and of chunks between white space and asks the library for new ones only; a
 text with a character that Python and the vocabulary's rule for white space
@@ -52,23 +58,123 @@ MAGIC = b"ZTOKENS1"
 #: Texts and pieces that the dictionary is trained on, ids of a piece, bytes of the dictionary.
 SAMPLE, PIECES, PIECE, DICTIONARY = 512, 2048, 512, 64 << 10
 LEVEL = 3
-#: Chunks (and words) whose ids a Python worker keeps, and documents of a read task.
-MEMO, READ = 250_000, 50_000
+#: Words whose ids a Python worker keeps, documents of a read task, letters that the library gets at once.
+MEMO, READ, LONG = 500_000, 50_000, 1 << 20
 #: The end id of each document.
 END = 2
-#: str.split() takes these for white space, the vocabulary's rule doesn't.
-ODD = re.compile("[\x1c-\x1f]")
-#: Chunks that are the same under every normal form, and the vocabulary's rule for their words.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: What the vocabulary's rule takes for a word, by byte of a plain text: white space, letters, digits, others.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+KIND[97:123] = LETTER
+KIND[128:192] = KIND[0xC3] = LETTER
+KIND[48:58] = DIGIT
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+#: Bytes that plain texts don't have: control signs, and all letters beyond U+00FF.
+ODD = np.ones(256, bool)
+ODD[[9, 10, 11, 12, 13, 0xC3]] = False
+ODD[32:127] = False
+ODD[128:192] = False
+BLANK = re.compile(" (?! )")
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
+def _take(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of all places of the spans, one span after the other."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)
+
+
+class Pool:
+    """Values of many spans in one growing array."""
+
+    def __init__(self, kind):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Where the values begin."""
+        at, self.used = self.used, self.used + len(values)
+        if self.used > len(self.data):
+            self.data = np.concatenate([self.data[:at], np.zeros(max(self.used, 2 * len(self.data)) - at, self.data.dtype)])
+        self.data[at:self.used] = values
+        return at
+
+
+class Memo:
+    """Words and their ids as sorted arrays of hashes with spans in pools. Of
+    more than MEMO words those used last stay."""
+
+    def __init__(self):
+        self.key = np.zeros(0, np.uint64)
+        self.col = {c: np.zeros(0, np.int64) for c in ("word", "letters", "ids", "tokens", "used")}
+        self.bytes, self.values, self.clock = Pool(np.uint8), Pool(np.uint16), 0
+
+    def find(self, key, data, start, size):
+        """Place of each word; which of them are known (bytes compared), and
+        whether another word has the hash of one."""
+        at = np.searchsorted(self.key, key)
+        known = at < len(self.key)
+        known[known] = self.key[at[known]] == key[known]
+        met = int(known.sum())
+        known[known] = self.col["letters"][at[known]] == size[known]
+        hit = np.flatnonzero(known)
+        if len(hit):
+            same = data[_take(start[hit], size[hit])] == self.bytes.data[_take(self.col["word"][at[hit]], size[hit])]
+            known[hit[np.add.reduceat(~same, np.cumsum(size[hit]) - size[hit]) > 0]] = False
+        return at, known, met > int(known.sum())
+
+    def enter(self, key, data, start, size, ids, tokens):
+        if len(self.key) and len(self.key) + len(key) > MEMO:
+            self._drop(min(self.clock - 1, int(np.sort(self.col["used"])[len(self.key) // 2])))
+        at = np.searchsorted(self.key, key)
+        new = {"word": self.bytes.add(data[_take(start, size)]) + np.cumsum(size) - size, "letters": size,
+               "ids": self.values.add(ids) + np.cumsum(tokens) - tokens, "tokens": tokens, "used": np.full(len(key), self.clock)}
+        self.key = np.insert(self.key, at, key)
+        self.col = {c: np.insert(x, at, new[c]) for c, x in self.col.items()}
+
+    def _drop(self, before: int):
+        keep = self.col["used"] > before
+        col = {c: x[keep] for c, x in self.col.items()}
+        bytes_, values = self.bytes.data[_take(col["word"], col["letters"])], self.values.data[_take(col["ids"], col["tokens"])]
+        self.key, self.bytes, self.values = self.key[keep], Pool(np.uint8), Pool(np.uint16)
+        self.bytes.add(bytes_)
+        self.values.add(values)
+        col["word"], col["ids"] = np.cumsum(col["letters"]) - col["letters"], np.cumsum(col["tokens"]) - col["tokens"]
+        self.col = col
+
+
+def word_starts(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of lower-case plain texts by the vocabulary's rule: contractions,
+    letter runs, single digits, runs of others. (start, end)"""
+    n = len(low)
+    kind = KIND[low]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins = np.ones(n, bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    begins |= edge[:-1]
+    quote = np.flatnonzero((low == 39) & begins)
+    row_end = offsets[np.searchsorted(offsets, quote, "right")]
+    for tail in CONTRACTIONS:
+        k = len(tail)
+        at = quote[quote + k < row_end]
+        for i, c in enumerate(tail):
+            at = at[low[at + 1 + i] == c]
+        begins[at + 1] = False
+        inside = at + k + 1
+        inside = inside[inside < row_end[np.searchsorted(quote, at)]]
+        begins[inside] = True  # the rest of a letter run is a word of its own
+    place = np.flatnonzero(begins)
+    end = np.append(place[1:], n)
+    word = kind[place] != SPACE
+    return place[word], end[word]
+
+
 class Encoder:
-    """The library's ids of whole texts. Its rules for this vocabulary never look
-    across white space, so ids are kept for chunks between white space. A new chunk of
-    plain letters is lower-cased and cut into words here, and the library merges
-    only words it has not met; other new chunks go through all its rules."""
+    """The library's ids of whole texts. Plain texts (ASCII and Latin letters)
+    are lower-cased and cut into words here, as arrays over many texts; the
+    library merges the letters of words that are not in the memo. All other
+    texts go through all rules of the library."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,55 +187,84 @@ class Encoder:
         self.core.normalizer = normalizers.Sequence([])
         self.core.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         names = self.core.get_vocab()
+        if max(names.values()) >= 1 << 16:
+            raise ValueError("ids of over 16 bits")
         self.last = np.zeros(max(names.values()) + 1, bool)  # tokens that end a word
         self.last[[i for s, i in names.items() if s.endswith("</w>")]] = True
-        # what a generation of MEMO entries doesn't use again goes when the next one is full
-        self.chunks, self.chunks_before, self.words, self.words_before = {}, {}, {}, {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def merged(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-case words, some hundred in one call."""
-        out = []
-        for i in range(0, len(words), 500):
-            part = words[i:i + 500]
-            ids = np.array(self.core.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
-            if len(ends) != len(part):
-                raise ValueError("the vocabulary does not mark the ends of words")
-            raw = ids.tobytes()
-            out += [raw[x:y] for x, y in zip([0, *ends], ends)]
+        self.memo = Memo()
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids by all rules of the library; a long text piece by piece, as no
+        rule looks across white space."""
+        out, at = [], 0
+        while at < len(text):
+            cut = BLANK.search(text, at + LONG)
+            to = cut.start() if cut else len(text)
+            out.append(np.array(self.library.encode_batch_fast([text[at:to]], add_special_tokens=False)[0].ids, np.uint16))
+            at = to
+        return np.concatenate(out) if out else np.zeros(0, np.uint16)
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words, and how many each has."""
+        lines = [" ".join(words[i:i + 200]) for i in range(0, len(words), 200)]
+        ids = [np.array(e.ids, np.uint16) for e in self.core.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(ids)
+        tokens = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(tokens) != len(words) or tokens.sum() != len(ids):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        return ids, tokens
+
+    def plain(self, data: np.ndarray, offsets: np.ndarray):
+        """(ids, ids per text) of plain texts; None if two words share a hash."""
+        memo = self.memo
+        memo.clock += 1
+        low = C.LOWER[data]
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        low[second[data[second] < 0x9F]] += 0x20
+        start, end = word_starts(low, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
+        size = end - start
+        key, first, own = np.unique(C.span_hash(C.prefix_hash(low), start, end), return_index=True, return_inverse=True)
+        twin = start[first][own]
+        if (size != size[first][own]).any() or (low[_take(start, size)] != low[_take(twin, size)]).any():
+            return None
+        one, letters = start[first], size[first]
+        at, known, clash = memo.find(key, low, one, letters)
+        if clash:
+            return None
+        memo.col["used"][at[known]] = memo.clock
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = low.tobytes()
+            ids, tokens = self.merged([raw[x:y].decode() for x, y in zip(one[new].tolist(), (one + letters)[new].tolist())])
+            memo.enter(key[new], low, one[new], letters[new], ids, tokens)
+            at = np.searchsorted(memo.key, key)
+        tokens, ids = memo.col["tokens"][at][own], memo.col["ids"][at][own]
+        row = np.searchsorted(offsets, start, "right") - 1
+        return memo.values.data[_take(ids, tokens)], np.bincount(row, tokens, len(offsets) - 1).astype(np.int64)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a piece."""
+        n = len(offsets) - 1
+        odd = ODD[data]
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)                              # <| may begin a special string
+        odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))        # the two signs among the letters
+        strange = np.zeros(n, bool)
+        strange[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        plain = np.flatnonzero(~strange)
+        out: list = [None] * n
+        if len(plain):
+            size = np.diff(offsets)[plain]
+            found = self.plain(data[_take(offsets[plain], size)], np.concatenate([[0], np.cumsum(size)]))
+            if found is not None:
+                for i, x in zip(plain.tolist(), np.split(found[0], np.cumsum(found[1])[:-1])):
+                    out[i] = x
+        for i in range(n):
+            if out[i] is None:
+                out[i] = self.whole(data[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8", "replace"))
         return out
 
-    def learn(self, new: set) -> None:
-        """Enter chunks that are not there: out of the generation before, or anew."""
-        before, words = self.chunks_before, self.words
-        old = [c for c in new if c in before]
-        self.chunks.update((c, before[c]) for c in old)
-        new.difference_update(old)
-        cut = {c: WORDS.findall(c.lower()) for c in new if PLAIN.fullmatch(c) and "<|" not in c}
-        missing = {w for part in cut.values() for w in part if w not in words}
-        old = [w for w in missing if w in self.words_before]
-        words.update((w, self.words_before[w]) for w in old)
-        missing = list(missing.difference(old))
-        words.update(zip(missing, self.merged(missing)))
-        for c, part in cut.items():
-            self.chunks[c] = words[part[0]] if len(part) == 1 else b"".join([words[w] for w in part])
-        other = [c for c in new if c not in cut]
-        self.chunks.update(zip(other, self.whole(other)))
-        if len(words) > MEMO:
-            self.words, self.words_before = {}, words
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > MEMO:
-            self.chunks, self.chunks_before = {}, self.chunks
-        odd = {i for i, t in enumerate(texts) if ODD.search(t)}
-        cut = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        self.learn(set().union(*cut).difference(self.chunks))
-        own = self.chunks.__getitem__
-        return [self.whole([texts[i]])[0] if i in odd else b"".join(map(own, c)) for i, c in enumerate(cut)]
-
 
 _ENCODERS: dict[int, Encoder] = {}
 
@@ -158,8 +293,7 @@ def _encode(spec, end):
     def run(batches):
         encoder = _encoder(spec.value)
         for rows, data, off in C.text_pieces(batches, "text"):
-            raw = data.tobytes()
-            ids = [x + tail for x in encoder.encode_all([raw[off[i]:off[i + 1]].decode("utf-8", "replace") for i in range(rows.num_rows)])]
+            ids = [x.astype("<u4").tobytes() + tail for x in encoder.encode(data, off)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
     return run
 
