@@ -34,3 +34,28 @@ def test_inventory_resolves_and_is_registered():
         base = inv.split("-")[0]
         if "-" not in inv:
             assert any(re.match(rf"^{base}_", k) for k in keys), inv
+
+
+def test_entry_without_the_optional_subpackage(tmp_path):
+    """The rest registers its queries with webspin/llm, tests/llm and the
+    pipeline's file gone, or with only the folders gone."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    home = pathlib.Path(E.__file__).parent
+    for pipeline in (True, False):
+        to = tmp_path / str(pipeline)
+        to.mkdir()
+        for name in ("webspin", "checks"):
+            shutil.copytree(home / name, to / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(home / "__spark_entry__.py", to)
+        if pipeline:
+            shutil.copy(home / "corpus_pipeline.py", to)
+        code = ("import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); "
+                "print(len(q), set(s) <= set(q), 'pipeline' in q, any(k.startswith('op') for k in q))")
+        out = subprocess.run([sys.executable, "-c", code], cwd=to, capture_output=True, text=True)
+        assert out.returncode == 0, out.stderr
+        n, *flags = out.stdout.split()
+        assert int(n) >= 100 and flags == ["True", "False", "False"]
