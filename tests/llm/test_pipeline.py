@@ -29,22 +29,33 @@ def corpus():
     passage, asked = prose(rng, 8), prose(rng, 2)
     for i in (70, 71):
         texts[i] = prose(rng, 9) + " " + passage + " " + prose(rng, 9)
+    short, brief = words(rng, 52), words(rng, 46)  # under 400 bytes; one of them under 50 words
+    for i in (73, 74):
+        texts[i] = prose(rng, 9) + "\n" + short + "\n" + prose(rng, 9)
+    for i in (75, 76):
+        texts[i] = prose(rng, 9) + "\n" + brief + "\n" + prose(rng, 9)
     texts[72] = prose(rng, 4) + " " + asked + " " + prose(rng, 4)
     texts |= {80 + i: (words(rng, 60).upper().replace(" ", "!! ") if i % 2 else words(rng, 60).replace(" ", "%%% ")) for i in range(12)}
     rows = [*texts.items(), (95, None), (96, ""), (None, prose(rng, 10))]
     return [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], [(1, asked), (2, None), (3, texts[5].upper()), (None, "not in there at all")]
 
 
-def without_repeats(texts, window=400):
+def without_repeats(texts, window=200, words=50):
     data = [(t or "").encode() for t in texts]
     count = collections.Counter(b[i:i + window] for b in data for i in range(len(b) - window + 1))
     out = []
     for b in data:
-        gone = np.zeros(len(b), bool)
+        gone = np.zeros(len(b) + 2, bool)
         for i in range(len(b) - window + 1):
             if count[b[i:i + window]] > 1:
-                gone[i:i + window] = True
-        out.append(np.frombuffer(b, np.uint8)[~gone].tobytes().decode())
+                gone[i + 1:i + window + 1] = True
+        edges = np.flatnonzero(gone[1:] != gone[:-1])
+        kept, at = b"", 0
+        for s, e in zip(edges[::2], edges[1::2]):
+            if len(b[s:e].split()) >= words:
+                kept += b[at:s]
+                at = e
+        out.append((kept + b[at:]).decode("utf-8", "ignore"))
     return out
 
 
@@ -65,6 +76,10 @@ def encoded(rows):
         yield i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def docs_text(docs, i):
+    return next(r[1] for r in docs if r[0] == i)
+
+
 def ordered(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, x) for x in r))
 
@@ -88,6 +103,8 @@ def test_stages_and_run_equal_brute_force(spark, folder):
     steps.append([(r[0], None if r[1] is None else t, r[2], r[3], None if r[1] is None else len(t)) for r, t in zip(steps[1], without_repeats([r[1] for r in steps[1]]))])
     steps.append([r for r in steps[2] if not contaminated(r[1], [t for _, t in items])])
     steps.append(list(encoded(steps[3])))
+    after = {r[0]: r[1] for r in steps[2]}
+    assert all(len(t) < len(docs_text(docs, i)) for i in (70, 71, 73, 74) for t in [after[i]]) and all(after[i] == docs_text(docs, i) for i in (75, 76))
     # every stage has something to take away, and the links at 80 percent are more than those at 85
     assert len(docs) > len(steps[0]) > len(steps[1]) > len(steps[3]) > 40 and steps[1] != steps[2]
     assert brute_components([r[:3] for r in want], 85) != comps

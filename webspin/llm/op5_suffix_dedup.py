@@ -417,10 +417,14 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("__kept", "kept_text") if with_text else out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", window: int = 400, core: int = 128) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", window: int = 400, core: int = 128,
+                   words: int = 0) -> DataFrame:
     """``docs`` with the repeated bytes taken out of its texts: same rows, same
-    columns; ``length_col`` becomes the new number of code points. Texts
-    without repeats, null ones included, stay as they are."""
+    columns; ``length_col`` becomes the new number of code points. With ``words``,
+    only maximal runs of repeated bytes that hold so many words (between white
+    space, cut ones included) go. All copies of a passage go. Bytes of a
+    character that a cut splits go too. Texts without repeats, null ones
+    included, stay as they are."""
     spans = repeated_spans(docs, id_col, text_col, window, core)
     spans = spans.groupBy("__id", "__th").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     rest = [c for c in docs.columns if c != text_col]
@@ -436,6 +440,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     continue
                 raw, kept, at = text.as_py().encode(), [], 0
                 for s, e in _merge(cuts):
+                    if words and len(raw[s:e].split()) < words:
+                        continue
                     kept.append(raw[at:s])
                     at = e
                 texts.append(b"".join(kept + [raw[at:]]).decode("utf-8", "ignore"))
