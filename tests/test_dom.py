@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from webspin.functions import dom as D
 from webspin.functions.dom import FlatPage
 from webspin.operators import html as H
 
@@ -42,7 +43,7 @@ def pruned(html):
 
 
 def test_prune_removes_boilerplate():
-    nodes, _, elements = pruned(COMPLEX)
+    nodes, _, elements, _ = pruned(COMPLEX)
     assert not {e["tag"] for e in elements} & {"nav", "aside", "footer", "script", "style", "header"}
     text = " ".join(nodes)
     assert "Related links" not in text and "Buy things" not in text and "a comment" not in text
@@ -157,3 +158,57 @@ def test_serp_html(spark):
     bing = '<li class="b_algo"><h2><a href="http://c.org">C</a></h2><div class="b_caption">cap</div></li><li class=b_algo><h2>none</h2></li><li class="b_algo"><h2><a>D</a></h2><p>x</p></li>'
     got = [tuple(r) for r in H.parse_serp_html(spark.createDataFrame([("q", bing)], "query string, html string"), style="bing").collect()]
     assert got == [("q", 1, "C", "http://c.org", "cap"), ("q", 2, "D", "", "x")]
+
+
+def elements_of(html, selector):
+    page = FlatPage(html)
+    return [page.attrs[i].get("id") or page.tags[i] for i in D.Selectors((selector,)).match(page, bytearray(len(page.tags)))[0]]
+
+
+def test_selectors():
+    html = ("<div id=a class='x y'><section id=b><p id=c lang=en-GB>1</p><p id=d>2</p></section><p id=e title='two words'>3</p></div>"
+            "<p id=f class=y>4</p><ul id=g><li id=h><a id=i href='https://q.org/z.pdf'>5</a></li><li id=j></li></ul>")
+    for selector, want in {
+        "p": "cdef", ".y": "af", ".x.y": "a", "div.x#a": "a", "div p": "cde", "div > p": "e", "div>section>p": "cd", "div section p": "cd", "section > p:first-of-type": "c",
+        "p:first-child": "c", "#f, #h a , section": "bfi", "[title]": "e", "[title~='two']": "e", "p[lang|=en]": "c", "[href^='https:'][href$=\".pdf\"]": "i", "a[href*=q.org]": "i",
+        "*": "abcdefghij", "ul li > a": "i", "div > div": "", ".X": "", "[title='two']": "", "section p, p": "cdef",
+    }.items():
+        assert elements_of(html, selector) == list(want), selector
+    for wrong in ("p:hover", "a + b", "a ~ b", "> p", "p >", "p,", "[x", "a::b", "p p:not(.x)", "..x", ""):
+        with pytest.raises(ValueError, match="selector not understood"):
+            D.parse_selector(wrong)
+    assert D.inside("a, b > c", "x, [t='1,2']") == "x a, x b > c, [t='1,2'] a, [t='1,2'] b > c"
+
+
+def test_user_rules_of_many_parts(spark):
+    html = "<title>General title</title><div class=card><h2><b>No</b></h2><section><h2><i>Deep title</i></h2></section></div><p class=by>Someone Else</p>"
+    pages = spark.createDataFrame([(1, "https://my.site/1", html), (2, "https://other.site/1", html)], "page_id long, url string, html string")
+    more = spark.createDataFrame([("my.site", "title", 0, ".card > section i", None, ["text"], 1, 99), ("*", "author", 9, "article .by, p.by", None, ["text"], 1, 99)], H.RULE)
+    got = {r.page_id: r for r in H.extract_pages(pages, rules=H.rules_table(spark).unionByName(more)).collect()}
+    assert (got[1].title, got[2].title, got[1].author) == ("Deep title", "General title", "Someone Else")
+    wrong = spark.createDataFrame([("my.site", "title", 0, "p:hover", None, ["text"], 1, 99)], H.RULE)
+    with pytest.raises(Exception, match="selector not understood"):
+        H.page_fields(pages, ["title"], H.rules_table(spark).unionByName(wrong)).collect()
+
+
+def test_select_elements(spark):
+    pages = spark.createDataFrame([(1, "u", "<ul><li>a<li class=k>b <i>c</i></ul>"), (2, "u", None)], "page_id long, url string, html string")
+    got = sorted(map(tuple, H.select_elements(pages, ["li > i", "li.k"]).select("page_id", "selector", "tag", "text").collect()))
+    assert got == [(1, "li > i", "i", "c"), (1, "li.k", "li", "bc")]
+
+
+def test_nesting_stays_linear():
+    import time
+
+    def page(n):
+        flat = FlatPage("".join(f"<div class='c{i}' id='i{i}'>word " for i in range(n)))
+        gone = flat.without(**H.PRUNED)
+        _, _, elements, number = flat.rows(gone, True)
+        hits = D.rule_hits(flat, gone, [r for f in H._as_dicts(H._built_in())["*"].values() for r in f], elements, number)
+        return sum(len(str(x)) for x in elements + hits)
+    took, size = [], []
+    for n in (1000, 4000, 16000):
+        t0 = time.process_time()
+        size.append(page(n))
+        took.append(time.process_time() - t0)
+    assert size[1] < 5 * size[0] and size[2] < 5 * size[1] and took[2] < 12 * took[1]

@@ -96,7 +96,7 @@ def q_d8(spark, sf):
 
 def q_d9(spark, sf):
     e = H.page_fields(_rich(spark, sf), ["raw_keywords"])
-    return H.keywords_of(e, ["page_id"]).select(F.explode("keywords").alias("keyword")).groupBy("keyword") \
+    return e.select(F.explode(H.folded_words(F.col("raw_keywords"))).alias("keyword")).groupBy("keyword") \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
