@@ -149,7 +149,26 @@ SELECT u.page_id, u.domain, u.path, coalesce(f.a, false) OR NOT coalesce(f.d, fa
 FROM u LEFT JOIN f USING (page_id)
 """
 
+G5 = f"""
+WITH {RL},
+f AS (SELECT domain, ts, max(event_id) AS rules_version FROM rl WHERE event_id % 97 = 0 GROUP BY domain, ts)
+SELECT rl.event_id, rl.domain, f.rules_version, (epoch_us(rl.ts) - epoch_us(f.ts)) / 1000000.0::DOUBLE AS age_s,
+       f.rules_version IS NULL OR rl.event_id % 3 <> f.rules_version % 3 AS allowed
+FROM rl ASOF LEFT JOIN f ON rl.domain = f.domain AND rl.ts >= f.ts
+"""
+
+I12 = f"""
+WITH {RL},
+f AS (SELECT engine, ts, CAST(max(event_id) % 5 + 1 AS DOUBLE) AS setting FROM rl WHERE event_id % 211 = 0 GROUP BY engine, ts),
+n AS (SELECT *, count(*) OVER (PARTITION BY identifier ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING) AS n_in_window FROM rl)
+SELECT event_id, identifier, n.engine, coalesce(setting, 3.0::DOUBLE) AS "limit", n_in_window,
+       greatest(coalesce(setting, 3.0::DOUBLE) - n_in_window, 0.0::DOUBLE) AS remaining
+FROM n ASOF LEFT JOIN f ON n.engine = f.engine AND n.ts >= f.ts
+"""
+
 ORACLE = {
+    "G5_rules_at_request": G5,
+    "I12_quota_at_request": I12,
     "I1_applicable_limits": I1,
     "I2_window_counts": I2,
     "I3_gap_violations": I3,

@@ -9,6 +9,7 @@ from webspin.functions import urls as U
 from webspin.operators import cache as H
 from webspin.operators import limits as I
 from webspin.operators import robots as G
+from webspin.plans.asof import as_of
 from webspin.sources.derived import request_log, robots, search_log
 from webspin.sources.tables import load
 
@@ -150,6 +151,29 @@ def q_g4(spark, sf):
     return r.select("key", "event_id", "refetch")
 
 
+def q_g5(spark, sf):
+    """Robots rules in force at each request: every 97th event fetches its
+    domain's robots file, whose rule depends on the version (the event id)."""
+    log = request_log(spark, sf)
+    states = log.where("event_id % 97 = 0").groupBy("domain", "ts").agg(F.max("event_id").alias("rules_version"))
+    states = states.withColumn("prefix", F.concat(F.lit("/p"), (F.col("rules_version") % 3).cast("string")))
+    requests = log.select("event_id", "domain", "ts", F.concat(F.lit("/p"), (F.col("event_id") % 3).cast("string")).alias("path"))
+    r = as_of(requests, states, "domain", "ts", ["rules_version", "prefix"], fact_time_as="fetched")
+    return r.select("event_id", "domain", "rules_version", ((I.micros(F.col("ts")) - I.micros(F.col("fetched"))) / F.lit(1_000_000.0)).alias("age_s"),
+                    F.coalesce(~G.path_matches(F.col("path"), F.col("prefix")), F.lit(True)).alias("allowed"))
+
+
+def q_i12(spark, sf):
+    """Quota at each request: every 211th event sets its engine's hourly limit
+    (3 until then); what is left of it counts the window before the request."""
+    log = request_log(spark, sf)
+    settings = log.where("event_id % 211 = 0").groupBy("engine", "ts").agg(F.max("event_id").alias("setting"))
+    settings = settings.withColumn("limit", (F.col("setting") % 5 + 1).cast("double"))
+    counted = I.window_counts(log, WINDOW_S, WINDOW_LIMIT).select("event_id", "identifier", "engine", "ts", "n_in_window")
+    r = as_of(counted, settings, "engine", "ts", ["limit"]).withColumn("limit", F.coalesce("limit", F.lit(3.0)))
+    return r.select("event_id", "identifier", "engine", "limit", "n_in_window", F.greatest(F.col("limit") - F.col("n_in_window"), F.lit(0.0)).alias("remaining"))
+
+
 QUERIES = {
     "I1_applicable_limits": q_i1,
     "I2_window_counts": q_i2,
@@ -170,5 +194,7 @@ QUERIES = {
     "G1_robots_rules": q_g1,
     "G2_path_matches": q_g2,
     "G3_robots_allowed": q_g3,
+    "G5_rules_at_request": q_g5,
+    "I12_quota_at_request": q_i12,
     "G4_robots_refresh_points": q_g4,
 }

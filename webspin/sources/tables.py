@@ -115,12 +115,22 @@ def write_corpus(df: DataFrame, path: str, partition_by: list[str] | None = None
     w.parquet(path)
 
 
+EPOCH = "_epoch"
+
+
 def write_stream_corpus(stream_df: DataFrame, path: str, checkpoint: str,
                         partition_by: list[str] | None = None):
-    """A10 streaming form: ``foreachBatch`` appends each micro-batch."""
+    """A10 streaming form, exactly once: each micro-batch owns the folder of its
+    epoch. A batch that is run again after a failure overwrites that folder, so
+    its rows are there once. ``read_stream_corpus`` reads the table."""
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        write_corpus(batch, path, partition_by, mode="append")
+    def sink(batch: DataFrame, epoch: int) -> None:
+        write_corpus(batch, f"{path.rstrip('/')}/{EPOCH}={epoch}", partition_by, mode="overwrite")
 
     return (stream_df.writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint))
+
+
+def read_stream_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that write_stream_corpus has written, without the epoch."""
+    return spark.read.parquet(path).drop(EPOCH)
