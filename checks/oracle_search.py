@@ -112,6 +112,12 @@ FROM (SELECT page_id, html, CASE page_id % 10 WHEN 7 THEN 404 WHEN 8 THEN 500 WH
       FROM pages)
 """
 
+ELEMENTS = """
+SELECT * FROM (
+    SELECT page_id, 'nav > ul a' AS selector, len(regexp_extract_all(regexp_extract(html, '(?s)<nav><ul>(.*?)</nav>', 1), '<a ')) AS n_elements FROM pages
+    UNION ALL SELECT page_id, 'head title, h1', len(regexp_extract_all(html, '<title>|<h1>')) FROM pages) WHERE n_elements > 0
+"""
+
 A8 = """
 WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, text,
@@ -129,6 +135,8 @@ FROM j
 """
 
 ORACLE = {
+    "A1_crawl_dump": A2,
+    "A1_page_elements": ELEMENTS,
     "A2_fetch_outcomes": A2,
     "A8_parse_requests": A8,
     "F1_drop_blocked": F1,

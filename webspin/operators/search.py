@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webspin import dims
 from webspin.functions import text as X
 from webspin.functions import urls as U
+from webspin.operators.names import with_names
 
 # Fixed value that must equal the reference (hard cap on results per query).
 ABSOLUTE_MAX_RESULTS = 50
@@ -16,22 +17,14 @@ ABSOLUTE_MAX_RESULTS = 50
 TOOL_FALLBACK_ORDER = ["instant_answer", "duckduckgo_html", "searx", "bing"]
 
 
-def _contains_any(domain: DataFrame, names: DataFrame, domain_col: str, how: str) -> DataFrame:
-    """Theta join on substring containment against a bounded name list
-    (broadcast nested loop; the name table is a fixed-size dimension)."""
-    n = F.broadcast(names.select(F.col("name").alias("_name")))
-    cond = F.instr(F.col(domain_col), F.col("_name")) > 0
-    return domain.join(n, cond, how)
-
-
 def drop_blocked(df: DataFrame, blocked: DataFrame, domain_col: str = "host") -> DataFrame:
     """drop rows whose domain contains any blocked name."""
-    return _contains_any(df, blocked, domain_col, "left_anti")
+    return with_names(df, blocked, domain_col, keep=False)
 
 
 def keep_preferred(df: DataFrame, preferred: DataFrame, domain_col: str = "host") -> DataFrame:
     """keep rows whose domain contains any preferred name."""
-    return _contains_any(df, preferred, domain_col, "left_semi")
+    return with_names(df, preferred, domain_col, keep=True)
 
 
 def _contains_list(col: Column, names: list[str]) -> Column:

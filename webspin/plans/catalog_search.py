@@ -12,8 +12,10 @@ from webspin.operators import robots as G
 from webspin.operators import search as S
 from webspin.plans import corpus, flagship
 from webspin.session import ensure_checkpoint_dir
+from webspin.functions.tools import register_page_elements
 from webspin.sources import payloads as P
 from webspin.sources.derived import fetches, ranked_urls, result_urls, robots, search_log, search_results
+from webspin.sources.dump import read_dump, write_dump
 from webspin.sources.tables import fetch_outcomes, load, write_corpus
 
 BLOCKED = dims.BLOCKED_DOMAINS + dims.TEST_BLOCKED_DOMAINS
@@ -86,6 +88,22 @@ def q_a10(spark, sf):
     return spark.read.parquet(path).select("doc_id", "source", "quality", "n_chars")
 
 
+def q_a1_dump(spark, sf):
+    """The fetch log written as a crawl dump, read back, and its outcomes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
+    write_dump(fetches(spark, sf).withColumn("headers", F.create_map(F.lit("x-page-id"), F.col("page_id").cast("string"))), path)
+    read = read_dump(spark, path).withColumn("page_id", F.col("headers")["x-page-id"].cast("long"))
+    return fetch_outcomes(read).select("page_id", "status_code", "success", "error", F.length("content").alias("content_len"))
+
+
+def q_a1_elements(spark, sf):
+    """Elements of each page by a registered table function, from SQL."""
+    register_page_elements(spark)
+    load(spark, sf, "pages").select("page_id", "html").createOrReplaceTempView("_pages_for_elements")
+    return spark.sql("""SELECT page_id, e.selector, count(*) AS n_elements
+                        FROM _pages_for_elements, LATERAL page_elements(html, array('nav > ul a', 'head title, h1')) e GROUP BY page_id, e.selector""")
+
+
 def q_f1(spark, sf):
     return S.drop_blocked(_hosts(spark, sf), dims.blocked_domains(spark, dims.TEST_BLOCKED_DOMAINS)) \
         .select("page_id", "host")
@@ -218,6 +236,8 @@ def q_f16(spark, sf):
 
 
 QUERIES = {
+    "A1_crawl_dump": q_a1_dump,
+    "A1_page_elements": q_a1_elements,
     "A2_fetch_outcomes": q_a2,
     "A3_parse_google_payloads": q_a3,
     "A4_parse_searx_payloads": q_a4,
