@@ -442,6 +442,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_html_main_text(spark):
     got = op6_html_text.main_text(PAGE)
     assert got == "Title & more\nFirst paragraph, with a link.\nSecond line\nThird <tag> é©"
+    for n in (1900, 2100, 60_000):  # what stays open around a block is not forgotten
+        menu = "<nav>" + "<b>" * n + "Home menu words here</nav><p>Kept</p>"
+        assert op6_html_text.main_text("<article>" + menu + "</article>") == "Kept", n
     long = "The house of the man was in the town and he said that it is for the people of the land to see it. " * 3
     plain = f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><h2>Head</h2><p>{long}</p><p>Short.</p><p>{long}</p><div><a href=3>More links to other pages here and there</a></div>"
     assert op6_html_text.main_text(plain) == f"Head\n{long.strip()}\nShort.\n{long.strip()}"
@@ -464,3 +467,23 @@ def test_spans_and_words():
     assert list(zip(start, end, row)) == [(0, 2, 0), (3, 5, 0), (5, 7, 2)]
     p = C.prefix_hash(data)
     assert C.span_hash(p, np.array([0]), np.array([2]))[0] == C.span_hash(p, np.array([5]), np.array([7]))[0] != C.span_hash(p, np.array([3]), np.array([5]))[0]
+
+
+def test_lowest_rows_of_a_hot_value(spark):
+    rows = spark.range(5000).select((F.col("id") % 10 == 0).alias("y"), F.xxhash64("id").alias("h"), "id")
+    got = {(r.y, r.id) for r in C.lowest(rows, "y", ["h", "id"], 30, slices=7).collect()}
+    want = set()
+    for y in (True, False):
+        want |= {(y, r.id) for r in rows.where(F.col("y") == y).orderBy("h", "id").limit(30).collect()}
+    assert got == want
+
+
+def test_fingerprints_over_thousands_of_partitions(spark):
+    """One bucket per id, so that every document is a guest of another one."""
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id")).alias("text"))
+        plan = op7_fingerprint.edited_pairs(docs)
+        assert len(plan._jdf.queryExecution().analyzed().toString()) < 500_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd base of the rolling hash and its inverse modulo 2**64.
@@ -58,6 +59,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lowest(rows: DataFrame, by: str, order: list[str], k: int, slices: int = 256) -> DataFrame:
+    """The first ``k`` rows of each value of ``by`` in ``order``. The first column of
+    the order is a hash: its slices are cut to k before a value's rows meet, so
+    that a hot value is no single task."""
+    part = F.pmod(F.col(order[0]), F.lit(slices))
+    few = rows.withColumn("__slice", part).withColumn("__rn", F.row_number().over(Window.partitionBy(by, "__slice").orderBy(*order))).where(F.col("__rn") <= k)
+    return few.withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__rn") <= k).drop("__slice", "__rn")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -32,7 +32,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from webspin.llm import common as C
 
@@ -258,9 +257,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_doc
     text are no examples)."""
     spark = docs.sparkSession
     base = docs.select(F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"), F.xxhash64(id_col).alias("__h")).where("__lang is not null and __text is not null")
-    # the rows with the lowest hashes of each language: a limit per partition first, then over all
-    w = W.partitionBy("__lang").orderBy("__h")
-    chosen = base.select("__lang", "__h").withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= sample_docs)
+    # the rows with the lowest hashes of each language
+    chosen = C.lowest(base.select("__lang", "__h"), "__lang", ["__h"], sample_docs)
     limits = {r["__lang"]: r["top"] for r in chosen.groupBy("__lang").agg(F.max("__h").alias("top")).collect()}
     if not limits:
         return Models([], pd.DataFrame({"lang": [], "gram": [], "n": []}))

@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from webspin.llm import common as C
 
@@ -202,12 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
     spark = docs.sparkSession
     known = (labels.where(fold_ok).where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id"))
              .agg((F.max(label_col) > 0).cast("int").alias("__y")).withColumn("__h", F.xxhash64("__id")))
-    chosen = known.withColumn("__rn", F.row_number().over(W.partitionBy("__y").orderBy("__h", "__id"))).where(F.col("__rn") <= examples_per_class)
+    chosen = C.lowest(known, "__y", ["__h", "__id"], examples_per_class)
     shares = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = shares.get(1, 0) / max(1, sum(shares.values()))
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    # at most 2 * examples_per_class ids
-    examples = C.cut(base.join(F.broadcast(chosen.select("__id", "__y")), "__id").select("__id", "__y", F.coalesce("__text", F.lit("")).alias("__text")))
+    # at most 2 * examples_per_class ids; a row that repeats is one example
+    examples = base.join(F.broadcast(chosen.select("__id", "__y")), "__id").select("__id", "__y", F.coalesce("__text", F.lit("")).alias("__text"))
+    examples = C.cut(examples.withColumn("__th", F.xxhash64("__text")).dropDuplicates(["__id", "__th"]).drop("__th"))
     totals = {r["__y"]: r["n"] for r in examples.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = float(totals.get(0, 0)), float(totals.get(1, 0))
     counts = examples.mapInArrow(_term_counts, "term string, y int, n long").groupBy("term").agg(

@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from webspin.llm import common as C
 
@@ -195,7 +194,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     known = spark.createDataFrame([(p, g) for p, g in posteriors.items()], "pattern int, posterior double")  # 3**10 rows at most
     side = seen.join(F.broadcast(known), "pattern").select("__h", "posterior", (F.col("posterior") >= 0.5).alias("side"))
     shares = {r["side"]: r["n"] for r in side.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = side.withColumn("__rn", F.row_number().over(W.partitionBy("side").orderBy("__h"))).where(F.col("__rn") <= sample_docs).dropDuplicates(["__h"])
+    chosen = C.lowest(side, "side", ["__h"], sample_docs).dropDuplicates(["__h"])
 
     def learnable(batches):
         for rows, data, off in C.text_pieces(batches, "__text"):
@@ -203,7 +202,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), rows.column("posterior"), rows.column("side")],
                                              names=["places", "values", "posterior", "side"])
 
-    rows = (base.join(F.broadcast(chosen.select("__h", "posterior", "side")), "__h").select("__h", "__text", "posterior", "side")
+    rows = (base.join(F.broadcast(chosen.select("__h", "posterior", "side")), "__h").select("__h", "__text", "posterior", "side").dropDuplicates(["__h"])  # a row that repeats is one example
             .mapInArrow(learnable, "places array<long>, values array<double>, posterior double, side boolean").collect())
     rows = sorted(rows, key=lambda r: (r["posterior"], r["places"], r["values"]))
     taken = {k: sum(r["side"] == k for r in rows) for k in shares}

@@ -109,13 +109,14 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, bool]]:
             if stack[-1].link:
                 linked.append(text)
 
+    opened: dict[str, list[int]] = {}  # places of each tag on the stack, so that a search looks at none of the others
+
     def shut(tag: str, until: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                del stack[k:]
-                return
-            if stack[k].tag in until:
-                return
+        """Close the innermost ``tag``, unless one of ``until`` is open inside it."""
+        k = opened[tag][-1] if opened.get(tag) else 0
+        if k and not any(opened[u][-1] > k for u in until if opened.get(u)):
+            while len(stack) > k:
+                opened[stack.pop().tag].pop()
 
     at, n = 0, len(html)
     while at < n:
@@ -167,9 +168,8 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, bool]]:
         never = top.never or away or tag in NEVER or tag == "header" and not top.inside
         if marks and not away:  # an article ends a part that was left open
             never = False
+        opened.setdefault(tag, []).append(len(stack))
         stack.append(_Open(tag, never, (top.inside or marks) and not never, top.link or tag == "a"))
-        if len(stack) > 2000:  # endlessly unclosed inline tags: the innermost state goes on
-            stack[1:-1] = []
     close()
     return out
 

@@ -138,19 +138,15 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     ids = base.select("__id").where("__id is not null")
     cuts = sorted(set(ids.approxQuantile("__id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    cut_col = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<long>")
+    cut_col = F.expr(f"array({', '.join(f'{int(c)}L' for c in cuts)})") if cuts else F.array().cast("array<long>")
     bucket = F.when(F.col("__id").isNull(), F.lit(0)).otherwise(F.size(F.filter(cut_col, lambda c: c < F.col("__id"))))
     # the first document of each bucket that has any, one small row for each bucket
     firsts = {r["b"]: r["first"] for r in base.select("__id", bucket.alias("b")).groupBy("b").agg(
         F.struct(F.max(F.col("__id").isNull()).alias("null"), F.min("__id").alias("id")).alias("first")).collect()}
     have = sorted(firsts)
-    before = {b: have[i - 1] for i, b in enumerate(have)}  # the first follows the last
-    host = F.lit(None).cast("int")
-    for b in have:
-        first = firsts[b]
-        is_first = F.col("__id").isNull() if first["null"] else F.col("__id").eqNullSafe(F.lit(first["id"]))
-        host = F.when((F.col("b") == b) & is_first, F.lit(before[b])).otherwise(host)
-    placed = base.withColumn("b", bucket).withColumn("host", host)
+    # it is the guest of the bucket before it (the first follows the last); at most one row per bucket
+    guests = spark.createDataFrame([(b, None if firsts[b]["null"] else firsts[b]["id"], have[i - 1]) for i, b in enumerate(have)], "gb int, gid long, host int")
+    placed = base.withColumn("b", bucket).join(F.broadcast(guests), (F.col("b") == F.col("gb")) & F.col("__id").eqNullSafe(F.col("gid")), "left")
     placed = placed.select("__id", "__text", F.explode(F.when(F.col("host").isNull(), F.array(F.struct(F.col("b").alias("bucket"), F.lit(False).alias("guest"))))
                                                        .otherwise(F.array(F.struct(F.col("b").alias("bucket"), F.lit(False).alias("guest")),
                                                                           F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))))).alias("p"))

@@ -171,25 +171,27 @@ def _tables(found: list) -> list[Patterns]:
     return [Patterns([tuple(bytes(w) for w in r["pattern"]) for r in rs], [r["owners"] for r in rs]) for _, rs in sorted(by.items())]
 
 
-def pattern_blocks(items: DataFrame, item_col: str, item_text_col: str, run: int) -> list[list[Patterns]]:
-    """The search tables of each block of about BLOCK patterns, at least one block."""
+def pattern_blocks(items: DataFrame, item_col: str, item_text_col: str, run: int):
+    """(search tables as a broadcast, do more follow) of each block of about
+    BLOCK patterns, at least one block; only one block at a time is held here."""
     patterns = C.write_read(pattern_rows(items, item_col, item_text_col, run), "patterns")
     passes = max(1, -(-patterns.count() // BLOCK))
-    return [_tables(patterns.where(F.pmod(F.hash("pattern"), F.lit(passes)) == k).collect()) for k in range(passes)]
+    for k in range(passes):
+        yield items.sparkSession.sparkContext.broadcast(_tables(patterns.where(F.pmod(F.hash("pattern"), F.lit(passes)) == k).collect())), k + 1 < passes
 
 
 def search_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                      item_text_col: str = "text", run: int = 10) -> DataFrame:
     """(__id, n_words, hits, items) for each row: hits is a bit for each word
     (null if none is hit), items the ids of the items with occurring windows."""
-    spark = docs.sparkSession
     found = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.lit(None).cast("long").alias("n_words"),
                         F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<long>").alias("items"))
-    blocks = pattern_blocks(items, item_col, item_text_col, run)
-    for k, block in enumerate(blocks):
-        tables, more = spark.sparkContext.broadcast(block), k + 1 < len(blocks)
+    for tables, more in pattern_blocks(items, item_col, item_text_col, run):
         found = found.mapInArrow(lambda it, t=tables, m=more: _search(t.value, m)(it),
                                  "__id long, " + "__text string, " * more + "n_words long, hits binary, items array<long>")
+        if more:  # one block is searched, written and let go before the next one
+            found = C.write_read(found, "searched")
+            tables.unpersist()
     return found
 
 
@@ -220,10 +222,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """The rows of ``docs`` without any occurrence of a benchmark window, all
     columns as they are."""
     out = docs
-    for block in pattern_blocks(items, item_col, item_text_col, run):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def clean(batches, shared=shared):
+    for tables, more in pattern_blocks(items, item_col, item_text_col, run):
+        def clean(batches, shared=tables):
             for rows, data, off in C.text_pieces(batches, text_col):
                 low, start, end, row, h = words_of(data, off)
                 first = np.searchsorted(row, np.arange(len(off)))
@@ -232,4 +232,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                     keep[row[t.search(low, start, end, h, first[:-1], first[1:])[0]]] = False
                 yield rows.filter(pa.array(keep))
         out = out.mapInArrow(clean, docs.schema)
+        if more:
+            out = C.write_read(out, "searched")
+            tables.unpersist()
     return out

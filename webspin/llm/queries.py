@@ -24,15 +24,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     models = train(docs.where(bucket5() != 0), "doc_id", "text", "lang")
-    return identify(docs, models).select("doc_id", (bucket5() == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", F.col("rejected"))
+    return identify(docs, models).select("doc_id", F.coalesce(bucket5() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", F.col("rejected"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from webspin.llm.op2_toxicity import score_toxicity, train
 
     docs = table(spark, sf_dir, "documents")
     index = train(docs, table(spark, sf_dir, "labels"), bucket5() != 0)
-    return score_toxicity(docs, index).select("doc_id", (bucket5() == 0).alias("held_out"), "score", "predicted", "evidence")
+    return score_toxicity(docs, index).select("doc_id", F.coalesce(bucket5() == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
