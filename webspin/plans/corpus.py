@@ -12,13 +12,16 @@ from webspin.operators.urls import page_links
 
 def _counted_targets(pages: DataFrame, name: str, target) -> DataFrame:
     """(src_url, name, n): per page, its distinct link targets and how many of
-    its distinct raw links go there. Counted inside the page's link array, so
-    that a page ships each target once and no page id."""
+    its distinct raw links go there. Links and targets are each computed once, behind
+    a generator; a page's targets are counted by sorting them and looking at
+    the borders of equal runs, so a page of any size stays one linear pass."""
     src = pages.withColumn("src_url", U.canonical_url(F.col("url")))
-    links = page_links(src, keep=["src_url"]).select("src_url", F.transform("links", target).alias("_t"))
-    counted = F.transform(F.array_distinct("_t"), lambda d: F.struct(
-        d.alias(name), F.size(F.filter("_t", lambda x: x.eqNullSafe(d))).cast("long").alias("n")))
-    return links.select("src_url", F.inline(counted))
+    links = page_links(src, keep=["src_url"])
+    # an explode of one value keeps the optimizer from copying the expression into each use
+    sorted_ = links.select("src_url", F.explode(F.array(F.array_sort(F.transform("links", lambda l: F.coalesce(target(l), F.lit("")))))).alias("_t"))
+    ends = sorted_.select("src_url", "_t", F.expr("filter(sequence(1, size(_t)), i -> i = size(_t) or _t[i] != _t[i - 1])").alias("_e")).where("size(_t) > 0")
+    runs = F.expr(f"transform(_e, (e, k) -> named_struct('{name}', _t[e - 1], 'n', cast(e - if(k = 0, 0, _e[k - 1]) as bigint)))")
+    return ends.select("src_url", F.inline(runs))
 
 
 def crawl_frontier(pages: DataFrame) -> DataFrame:
