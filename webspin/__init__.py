@@ -53,7 +53,7 @@ INVENTORY = {
     "D8": "webspin.operators.html.page_fields",
     "D9": "webspin.operators.html.keyword_values",
     "D10": "webspin.operators.urls.raw_links",
-    "D11": "webspin.operators.html.image_values",
+    "D11": "webspin.operators.html.targets_of",
     "D12": "webspin.operators.html.rules_for",
     "D13": "webspin.operators.html.main_block",
     # quality
@@ -125,7 +125,13 @@ INVENTORY = {
     # streaming forms
     "H2-stream": "webspin.streaming.streams.cache_hits_stream",
     "I4-stream": "webspin.streaming.streams.replay_limits_stream",
-    "I2-stream": "webspin.streaming.streams.window_counts_stream",
+    "I2-stream": "webspin.streaming.stateful.window_counts_stream",
+    "I8-stream": "webspin.streaming.stateful.expire_idle_stream",
+    "J1-stream": "webspin.streaming.stateful.chat_history_stream",
+    "A10-stream": "webspin.sources.tables.write_stream_corpus",
+    "A1-dump": "webspin.sources.dump.read_dump",
+    "G5": "webspin.plans.asof.as_of",
+    "I12": "webspin.plans.asof.as_of",
     "F16-stream": "webspin.streaming.streams.daily_tool_stats_stream",
     "J6-stream": "webspin.streaming.streams.session_metrics_stream",
     "U8-stream": "webspin.streaming.streams.dedupe_urls_stream",
