@@ -374,25 +374,50 @@ def toxic_rows():
     return docs, labels
 
 
-def test_toxicity_finds_exactly_the_nearest_and_scores(spark):
+def plain_cosines(docs, shown):
+    """text -> {example id: cosine}: TF-IDF over all words of the examples, document frequencies over all docs."""
+    find = lambda t: collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    seen = set().union(*(find(t) for t in shown.values()))
+    df = collections.Counter(w for _, t, _ in docs for w in find(t) if w in seen)
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * (1 + math.log((1 + len(docs)) / (1 + df[w]))) for w, n in find(t).items() if w in seen}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+    known = {i: vector(t) for i, t in shown.items()}
+
+    def cosines(text):
+        v = vector(text)
+        return {i: sum(x * e.get(w, 0) for w, x in v.items()) for i, e in known.items()}
+    return cosines
+
+
+@pytest.mark.parametrize("block", [64, 4])
+def test_toxicity_finds_exactly_the_nearest_and_scores(spark, block, monkeypatch):
+    monkeypatch.setattr(op2_toxicity, "BLOCK", block)
     docs, labels = toxic_rows()
-    table = spark.createDataFrame(labels + [(0, 1, 1), (5, 1, None), (7777, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = docs + [docs[0], (900, "\u00c9t\u00e9 caf\u00e9, " + "lang" * 30, "fr")]
+    table = spark.createDataFrame(labels + [(0, 1, 1), (5, 1, None), (7777, 1, 1), (900, 1, 0)], "doc_id long, quality int, toxic int")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
-    index = op2_toxicity.train(frame(spark, docs), table, fold, least_chi2=3.0)
+    index = op2_toxicity.train(frame(spark, docs), table, fold)
+    texts, toxic = {i: t for i, t, _ in docs}, {i: y for i, _, y in labels} | {900: 0}
+    shown = {int(i): texts[int(i)] for i in index.ids}
+    assert sorted(shown) == sorted(i for i in toxic if zlib.crc32(str(i).encode()) % 5)
+    cosines = plain_cosines(docs, shown)
     rng = random.Random(6)
-    for _ in range(40):
-        v = index.vocabulary.vector(docs[rng.randrange(300)][1] + " " + words(rng, 10))
-        dense = np.zeros(len(index.vocabulary.at))
-        dense[v[0]] = v[1]
-        want = np.zeros(index.size)
-        at = np.searchsorted(index.term_first, np.arange(len(index.cell_block)), "right") - 1
-        for k, t in enumerate(at):
-            p, q = index.cell_first[k], index.cell_first[k + 1]
-            want[index.post_who[p:q]] += dense[t] * index.post_weight[p:q]
-        best = np.lexsort((np.arange(index.size), -np.round(want, 12)))[:op2_toxicity.NEIGHBOURS]
-        best = best[want[best] > 0]
-        who, sims = index.nearest(v)
-        assert who.tolist() == best.tolist() and np.allclose(sims, want[best])
+    probes = [docs[rng.randrange(300)][1] + " " + words(rng, 10) for _ in range(40)] + [t for t in shown.values()][:20]
+    for text in probes:
+        want = cosines(text)
+        best = []
+        for y in (0, 1):
+            best += sorted((i for i in want if toxic[i] == y and want[i] > 0), key=lambda i: (-round(want[i], 12), i))[:op2_toxicity.NEIGHBOURS]
+        who, sims = index.nearest(index.vocabulary.vector(text))
+        got = {int(index.ids[w]): s for w, s in zip(who, sims)}
+        assert sorted(got) == sorted(best) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+        assert list(sims) == sorted(sims, reverse=True)
+    for i in list(shown)[:20]:
+        who, sims = index.nearest(index.vocabulary.vector(shown[i]))
+        assert abs(sims[0] - 1) < 1e-9 and i in index.ids[who]
     extra = [(800, None, None), (801, "", "en"), (None, "zzidiot", "en")]
     got = {r.doc_id: r for r in op2_toxicity.score_toxicity(frame(spark, docs + extra), index).collect()}
     right = sum(got[i].predicted == y for i, _, y in labels)
@@ -400,6 +425,13 @@ def test_toxicity_finds_exactly_the_nearest_and_scores(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_toxicity_with_examples_of_one_label(spark):
+    docs, labels = toxic_rows()
+    table = spark.createDataFrame([r for r in labels if not r[2]], "doc_id long, quality int, toxic int")
+    index = op2_toxicity.train(frame(spark, docs), table, F.lit(True))
+    assert all(r.predicted == 0 for r in op2_toxicity.score_toxicity(frame(spark, docs), index).collect())
+
+
 def test_quality_learns_from_votes_alone(spark):
     rng = random.Random(11)
     good = [(i, ". ".join("The " + words(rng, 9) + " and the " + words(rng, 3) for _ in range(6)) + ".", "en") for i in range(150)]

@@ -1,27 +1,28 @@
 """Toxicity by the nearest labelled examples.
 
 1. A bounded, hash-chosen set of labelled rows per class becomes the examples
-   (``examples_per_class``). Their words and word beginnings (4 and 5 letters)
-   whose presence depends on the label beyond chance (chi-square of at least
-   ``least_chi2``) form the vocabulary, ``max_terms`` at most.
-2. Document frequencies of the vocabulary are counted over all documents, and
-   every text becomes a TF-IDF vector of unit length.
+   (``examples_per_class``). All their words (lower-cased runs of letters, whole)
+   are terms; document frequencies are counted over all documents.
+2. Every text becomes a TF-IDF vector of unit length over these terms. A word
+   that no example has would scale all cosines of a text alike, so it changes no
+   order and is left out.
 3. The examples are kept in an inverted index whose postings come in blocks of
-   64 examples, each with its largest weight. For a text, the products of its
-   weights with these maxima bound the cosine of every block; the blocks with
-   the highest bounds are scored first, then those whose bound reaches the
-   k-th best cosine so far, the others never. The neighbours are exactly the k
-   nearest.
-4. The neighbours vote with their squared cosine. A logistic function, fitted
-   on the examples (each without itself, and weighted to the true share of the
-   classes), turns the vote into a calibrated score. The neighbours are the
-   evidence.
-
-Defined cases: null and empty texts, and texts without any vocabulary term,
-have no neighbours and get the calibrated score of no vote; without labelled
-rows every score is 0; a row labelled twice counts as toxic if any label says
-so; equal cosines go to the example with the smaller number; rows that repeat
-an id get a result each.
+   64 examples of one label, language and length, each with its largest weight. For a text, the
+   products of its weights with these maxima bound the cosine of every block;
+   the blocks with the highest bounds are scored first, then those whose bound
+   reaches the k-th best cosine of their label so far, the others never. The
+   neighbours are exactly the k nearest of each label.
+4. The neighbours vote with the terms that they share with the text: each term's
+   part of the cosine, times how surely its presence depends on the label.
+   A logistic function of the votes of both labels and of their ratio, fitted on
+   the examples (each without itself, and weighted to the true share of the
+   labels), gives a calibrated score. The neighbours are the evidence.
+
+Defined cases: null and empty texts, and texts without any term, have no
+neighbours and get the calibrated score of no vote; without labelled rows every
+score is 0; a row labelled twice counts as toxic if any label says so; equal
+cosines go to the smaller example id; rows that repeat an id get a result each;
+an example row that repeats counts once.
 """
 
 from __future__ import annotations
@@ -37,83 +38,100 @@ from pyspark.sql import functions as F
 
 from webspin.llm import common as C
 
-EXAMPLES_PER_CLASS, MAX_TERMS, LEAST_CHI2, LEAST_DOCS = 4000, 20_000, 30.0, 3
-BLOCK, NEIGHBOURS, FIRST_BLOCKS = 64, 15, 6
+EXAMPLES_PER_CLASS = 4000
+BLOCK, NEIGHBOURS, FIRST_BLOCKS = 64, 15, 4
+#: Standard errors of a difference between labels at which a term counts in full.
+SURE = 5.0
 LETTERS = re.compile(r"[^\W\d_]+")
-MEMO = 300_000
-
-
-def terms_of(chunk: str) -> list[str]:
-    """Words of a chunk of lower-cased text, and their beginnings (with a *)."""
-    out = []
-    for w in LETTERS.findall(chunk):
-        out.append(w if len(w) <= 40 else w[:40])
-        if len(w) > 4:
-            out.append(w[:4] + "*")
-            if len(w) > 5:
-                out.append(w[:5] + "*")
-    return out
+MEMO = 200_000
 
 
 class Vocabulary:
-    """Terms with their inverse document frequencies."""
+    """Terms with their inverse document frequencies and label dependence."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray):
+    def __init__(self, terms: list[str], idf: np.ndarray, gain: np.ndarray):
         self.at = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
+        self.idf, self.gain = idf, gain
         self.memo: dict[str, tuple] = {}
 
     def __getstate__(self):
-        return {"at": self.at, "idf": self.idf, "memo": {}}
+        return {"at": self.at, "idf": self.idf, "gain": self.gain, "memo": {}}
 
     def counts(self, text: str) -> Counter:
         memo, counts = self.memo, Counter()
-        for c in text.lower().split():
+        for c, n in Counter(text.lower().split()).items():
             f = memo.get(c)
             if f is None:
-                f = tuple(self.at[t] for t in terms_of(c) if t in self.at)
+                f = tuple(self.at[t] for t in LETTERS.findall(c) if t in self.at)
                 if len(c) < 64:
                     if len(memo) >= MEMO:
                         memo.clear()
                     memo[c] = f
-            if f:
-                counts.update(f)
+            for t in f:
+                counts[t] += n
         return counts
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of unit length; empty without any term."""
         counts = self.counts(text)
         if not counts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.array(sorted(counts), np.int64)
-        w = np.array([1 + math.log(counts[int(t)]) for t in terms]) * self.idf[terms]
+            return np.zeros(0, np.int32), np.zeros(0)
+        terms = np.fromiter(counts, np.int32, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(terms)
+        terms = terms[order]
+        w = (1 + np.log(n[order])) * self.idf[terms]
         return terms, w / math.sqrt(float(w @ w))
 
 
+def label_gain(t1: np.ndarray, t0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """0 to 1 per term: how surely its share of label-1 examples (t1 of n1)
+    differs from that of the others (t0 of n0); 0 where a label has no example."""
+    if not n1 or not n0:
+        return np.zeros(len(t1))
+    z = np.abs(t1 / n1 - t0 / n0) / np.sqrt((t1 + t0 + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
+    return np.minimum(1.0, (z / SURE) ** 4)
+
+
 class Index:
     """Labelled examples by term and block, and the calibration of their votes."""
 
     def __init__(self, vocabulary: Vocabulary, examples: list[tuple], rate: float):
         """examples: (id, label, terms, weights); rate: share of label 1 in the labelled rows."""
         self.vocabulary, self.rate = vocabulary, rate
+        # blocks hold examples of one label with the same most common term (a language) and like lengths
+        idf = vocabulary.idf
+        place = [(e[1], int(e[2][np.argmin(idf[e[2]])]) if len(e[2]) else -1, len(e[2]), -1 if e[0] is None else e[0], i) for i, e in enumerate(examples)]
+        examples = [examples[p[-1]] for p in sorted(place)]
         self.ids = np.array([e[0] if e[0] is not None else -1 for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.int64)
-        vectors = [(np.array(e[2], np.int64), np.array(e[3], float)) for e in examples]
-        self.size, self.blocks = len(examples), -(-len(examples) // BLOCK)
-        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        who = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((who, term))
-        self.post_who, self.post_weight, term = who[order], weight[order], term[order]
+        self.size = len(examples)
+        ones = int(self.labels.sum())
+        zeros = self.size - ones
+        block0 = -(-zeros // BLOCK)
+        nth = np.arange(self.size)
+        self.block_of = np.where(self.labels == 0, nth // BLOCK, block0 + (nth - zeros) // BLOCK).astype(np.int32)
+        self.blocks = block0 + -(-ones // BLOCK)
+        self.block_label = (np.arange(self.blocks) >= block0).astype(np.int64)
+        # the examples' own vectors, in order
+        self.first = np.concatenate([[0], np.cumsum([len(e[2]) for e in examples], dtype=np.int64)]) if examples else np.zeros(1, np.int64)
+        self.terms = np.concatenate([e[2] for e in examples]).astype(np.int32) if examples else np.zeros(0, np.int32)
+        self.weights = np.concatenate([e[3] for e in examples]).astype(np.float64) if examples else np.zeros(0)
+        who = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))
+        order = np.lexsort((who, self.terms))
+        self.post_who, self.post_weight, term = who[order], self.weights[order], self.terms[order].astype(np.int64)
         # one entry for each (term, block): its postings and their largest weight
-        cell = term * max(1, self.blocks) + self.post_who // BLOCK
+        cell = term * max(1, self.blocks) + self.block_of[self.post_who] if len(term) else term
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         self.cell_first = np.append(first, len(cell))
-        self.cell_block = self.post_who[first] // BLOCK
+        self.cell_block = self.block_of[self.post_who[first]]
         self.cell_max = np.maximum.reduceat(self.post_weight, first) if len(first) else np.zeros(0)
         self.term_first = np.searchsorted(term[first], np.arange(len(vocabulary.at) + 1))
-        self.vectors = vectors
-        self.a, self.b = 4.0, -2.0
+        self.beta = np.zeros(4)
+
+    def vector_of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.first[i], self.first[i + 1]
+        return self.terms[a:b], self.weights[a:b]
 
     def _sims(self, cells: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Exact cosines of the examples in the wanted blocks."""
@@ -124,9 +142,10 @@ class Index:
         return np.bincount(self.post_who[at], np.repeat(weights, size) * self.post_weight[at], self.size)
 
     def nearest(self, vector, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The NEIGHBOURS examples with the highest cosine above 0, best first.
-        The blocks with the highest bounds are scored first; then all those
-        whose bound reaches the k-th best cosine found there."""
+        """For each label the NEIGHBOURS examples with the highest cosine above
+        0, all of them best first. The blocks with the highest bounds are scored
+        first; then all those whose bound reaches the k-th best cosine that
+        their label has so far."""
         terms, weights = vector
         a, n = self.term_first[terms], self.term_first[terms + 1] - self.term_first[terms]
         if not n.sum():
@@ -135,45 +154,66 @@ class Index:
         weight = np.repeat(weights, n)
         bound = np.bincount(self.cell_block[cells], weight * self.cell_max[cells], self.blocks)  # a term has one cell in a block
         wanted = np.zeros(self.blocks, bool)
-        wanted[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        for y in (0, 1):
+            mine = np.flatnonzero(self.block_label == y)
+            wanted[mine[np.argsort(-bound[mine], kind="stable")[:FIRST_BLOCKS]]] = True
         sims = self._sims(cells, weight, wanted)
         if without >= 0:
             sims[without] = 0
-        least = np.partition(sims, -NEIGHBOURS)[-NEIGHBOURS] if self.size > NEIGHBOURS else 0.0
-        more = (bound >= least - 1e-9) & (bound > 0) & ~wanted  # rounding may lower a bound a little
+        least = self._least(sims)
+        more = (bound >= least[self.block_label] - 1e-9) & (bound > 0) & ~wanted  # rounding may lower a bound a little
         if more.any():
             sims += self._sims(cells, weight, more)
             if without >= 0:
                 sims[without] = 0
-        who = np.flatnonzero((sims > 0) & (sims >= least - 1e-9))
-        who = who[np.lexsort((who, -np.round(sims[who], 12)))[:NEIGHBOURS]]
+            least = self._least(sims)
+        who = np.flatnonzero((sims > 0) & (sims >= least[self.labels] - 1e-9))
+        who = who[np.lexsort((self.ids[who], -np.round(sims[who], 12)))]
+        y = self.labels[who]
+        nth = np.where(y == 1, np.cumsum(y), np.cumsum(1 - y))
+        who = who[nth <= NEIGHBOURS]
         return who, sims[who]
 
-    def vote(self, who: np.ndarray, sims: np.ndarray) -> float:
-        """Share of label 1 by squared cosine; half a vote for the usual share."""
-        w = sims ** 2
-        return float((w @ self.labels[who] + 0.05 * self.rate) / (w.sum() + 0.05))
+    def _least(self, sims: np.ndarray) -> np.ndarray:
+        """The k-th best cosine of each label, 0 with fewer examples."""
+        zeros = self.size - int(self.labels.sum())
+        return np.array([np.partition(s, -NEIGHBOURS)[-NEIGHBOURS] if len(s) > NEIGHBOURS else 0.0 for s in (sims[:zeros], sims[zeros:])])
+
+    def votes(self, vector, who: np.ndarray) -> np.ndarray:
+        """Votes for label 1 and label 0, and the logarithm of their ratio."""
+        total = np.zeros(2)
+        if len(who):
+            terms, weights = vector
+            size = self.first[who + 1] - self.first[who]
+            at = np.repeat(self.first[who] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            theirs = self.terms[at]
+            k = np.minimum(np.searchsorted(terms, theirs), len(terms) - 1)
+            both = terms[k] == theirs
+            part = weights[k[both]] * self.weights[at[both]] * self.vocabulary.gain[theirs[both]]
+            total = np.bincount(np.repeat(self.labels[who], size)[both], part, 2)
+        return np.array([total[1], total[0], math.log((total[1] + 1e-4) / (total[0] + 1e-4))])
 
     def calibrate(self, x: np.ndarray) -> None:
         """Logistic fit of the labels on the examples' votes x (each without itself)."""
         y = self.labels.astype(float)
         share = y.mean()
         weight = np.where(y == 1, self.rate / max(share, 1e-9), (1 - self.rate) / max(1 - share, 1e-9))
-        a = np.stack([x, np.ones(len(x))], axis=1)
-        b = np.zeros(2)
-        ridge = np.diag([0.05, 0.01])
-        for _ in range(30):
+        a = np.column_stack([x, np.ones(len(x))])
+        b = np.zeros(a.shape[1])
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-            h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge
-            b += np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge @ b)
-        self.a, self.b = float(max(b[0], 0.0)), float(b[1])
+            h = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(len(b))
+            b += np.linalg.solve(h, a.T @ (weight * (y - p)) - 0.01 * b)
+        self.beta = b
 
     def score(self, text: str):
         """(score, neighbours, cosines)."""
         if not self.size:
             return 0.0, np.zeros(0, np.int64), np.zeros(0)
-        who, sims = self.nearest(self.vocabulary.vector(text))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.vote(who, sims) + self.b)))), who, sims
+        vector = self.vocabulary.vector(text)
+        who, sims = self.nearest(vector)
+        at = float(self.votes(vector, who) @ self.beta[:-1] + self.beta[-1])
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, at)))), who, sims
 
 
 def _term_counts(batches):
@@ -186,7 +226,7 @@ def _term_counts(batches):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], schema=schema)
     for b in batches:
         for text, y in zip(b.column("__text").to_pylist(), b.column("__y").to_pylist()):
-            held.update((t, y) for t in {t for c in set((text or "").lower().split()) for t in terms_of(c)})
+            held.update((t, y) for t in {t for c in set((text or "").lower().split()) for t in LETTERS.findall(c)})
             if len(held) > 300_000:
                 yield out()
                 held = Counter()
@@ -195,9 +235,11 @@ def _term_counts(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          examples_per_class: int = EXAMPLES_PER_CLASS, max_terms: int = MAX_TERMS, least_chi2: float = LEAST_CHI2) -> Index:
+          examples_per_class: int = EXAMPLES_PER_CLASS) -> Index:
     """An index of labelled rows that satisfy the condition ``fold_ok`` on the
-    id; the document frequencies are those of all of ``docs``."""
+    id; the document frequencies are those of all of ``docs``. What reaches the
+    driver and the broadcasts is bounded by the texts of 2 * ``examples_per_class``
+    examples."""
     spark = docs.sparkSession
     known = (labels.where(fold_ok).where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id"))
              .agg((F.max(label_col) > 0).cast("int").alias("__y")).withColumn("__h", F.xxhash64("__id")))
@@ -209,18 +251,15 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
     examples = base.join(F.broadcast(chosen.select("__id", "__y")), "__id").select("__id", "__y", F.coalesce("__text", F.lit("")).alias("__text"))
     examples = C.cut(examples.withColumn("__th", F.xxhash64("__text")).dropDuplicates(["__id", "__th"]).drop("__th"))
     totals = {r["__y"]: r["n"] for r in examples.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = float(totals.get(0, 0)), float(totals.get(1, 0))
+    n0, n1 = totals.get(0, 0), totals.get(1, 0)
     counts = examples.mapInArrow(_term_counts, "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).cast("double").alias("t1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).cast("double").alias("t0"))
-    n = n0 + n1
-    top, low = F.col("t1") * (n0 - F.col("t0")) - F.col("t0") * (n1 - F.col("t1")), (F.col("t1") + F.col("t0")) * (n - F.col("t1") - F.col("t0")) * max(1.0, n0 * n1)
-    chi2 = F.when(low > 0, n * top * top / low).otherwise(F.lit(0.0))
-    picked = (counts.where((F.col("t1") + F.col("t0")) >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-              .orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").collect())
-    terms = [r["term"] for r in picked]
+    found = counts.toArrow().sort_by("term")
+    terms = found.column("term").to_pylist()
+    gain = label_gain(found.column("t1").to_numpy(), found.column("t0").to_numpy(), n1, n0)
     idf = np.ones(len(terms))
     if terms:
-        words = spark.sparkContext.broadcast(Vocabulary(terms, idf))
+        words = spark.sparkContext.broadcast(Vocabulary(terms, idf, gain))
 
         def frequencies(batches):
             df, docs_seen = np.zeros(len(words.value.at), np.int64), 0
@@ -230,21 +269,25 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
                     has = list(words.value.counts(text or ""))
                     if has:
                         df[has] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(df)), -1)), pa.array(np.append(df, docs_seen))], names=["term", "n"])
-
-        df = {r["term"]: r["n"] for r in base.select("__text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        idf = np.array([1 + math.log((1 + df[-1]) / (1 + df.get(i, 0))) for i in range(len(terms))])
-    vocabulary = Vocabulary(terms, idf)
+            term = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], docs_seen))], names=["term", "n"])
+
+        seen = base.select("__text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        at, n = seen.column("term").to_numpy(), seen.column("n").to_numpy()
+        df = np.zeros(len(terms))
+        df[at[at >= 0]] = n[at >= 0]
+        idf = 1 + np.log((1 + float(n[at < 0].sum())) / (1 + df))
+    vocabulary = Vocabulary(terms, idf, gain)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def vectors(batches):
         for b in batches:
             got = [shared.value.vector(t) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64()))],
+            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())],
                                              names=["__id", "__y", "terms", "weights"])
 
-    rows = examples.mapInArrow(vectors, "__id long, __y int, terms array<long>, weights array<double>").collect()
-    index = Index(vocabulary, sorted(tuple(r) for r in rows), rate)
+    rows = sorted(tuple(r) for r in examples.mapInArrow(vectors, "__id long, __y int, terms binary, weights binary").collect())
+    index = Index(vocabulary, [(i, y, np.frombuffer(t, np.int32), np.frombuffer(w, np.float64)) for i, y, t, w in rows], rate)
     if index.size:
         known = spark.sparkContext.broadcast(index)
 
@@ -252,9 +295,14 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
             index = known.value
             for b in batches:
                 at = b.column("id").to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([index.vote(*index.nearest(index.vectors[i], without=i)) for i in at])], names=["id", "vote"])
-
-        index.calibrate(np.array([r["vote"] for r in spark.range(index.size).mapInArrow(votes, "id long, vote double").orderBy("id").collect()]))
+                got = []
+                for i in at:
+                    vector = index.vector_of(i)
+                    got.append(index.votes(vector, index.nearest(vector, without=i)[0]).tolist())
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.list_(pa.float64()))], names=["id", "votes"])
+
+        found = spark.range(index.size).mapInArrow(votes, "id long, votes array<double>").orderBy("id").collect()
+        index.calibrate(np.array([r["votes"] for r in found]))
     return index
 
 
