@@ -7,11 +7,13 @@
    that no example has would scale all cosines of a text alike, so it changes no
    order and is left out.
 3. The examples are kept in an inverted index whose postings come in blocks of
-   64 examples of one label, language and length, each with its largest weight. For a text, the
-   products of its weights with these maxima bound the cosine of every block;
-   the blocks with the highest bounds are scored first, then those whose bound
-   reaches the k-th best cosine of their label so far, the others never. The
-   neighbours are exactly the k nearest of each label.
+   64 examples of one label, language and length, each with its largest weight.
+   A term of an eighth of the examples or more has a full row of weights in place
+   of a list. For a text, the sums over rows, and the products of its other
+   weights with the maxima, bound the cosine of every block; the lists of the
+   blocks with the highest bounds are read first, then those of the blocks whose
+   bound reaches the k-th best cosine of their label so far, the others never.
+   The neighbours are exactly the k nearest of each label.
 4. The neighbours vote with the terms that they share with the text: each term's
    part of the cosine, times how surely its presence depends on the label.
    A logistic function of the votes of both labels and of their ratio, fitted on
@@ -42,8 +44,13 @@ EXAMPLES_PER_CLASS = 4000
 BLOCK, NEIGHBOURS, FIRST_BLOCKS = 64, 15, 4
 #: Standard errors of a difference between labels at which a term counts in full.
 SURE = 5.0
+#: Standard errors up to which it counts nothing.
+NOISE = 2.0
+#: Terms of 1 / ROWS of the examples or more are kept as rows.
+ROWS = 8
+#: Texts whose common terms are multiplied at once.
+TOGETHER = 64
 LETTERS = re.compile(r"[^\W\d_]+")
-MEMO = 200_000
 
 
 class Vocabulary:
@@ -52,24 +59,11 @@ class Vocabulary:
     def __init__(self, terms: list[str], idf: np.ndarray, gain: np.ndarray):
         self.at = {t: i for i, t in enumerate(terms)}
         self.idf, self.gain = idf, gain
-        self.memo: dict[str, tuple] = {}
-
-    def __getstate__(self):
-        return {"at": self.at, "idf": self.idf, "gain": self.gain, "memo": {}}
-
-    def counts(self, text: str) -> Counter:
-        memo, counts = self.memo, Counter()
-        for c, n in Counter(text.lower().split()).items():
-            f = memo.get(c)
-            if f is None:
-                f = tuple(self.at[t] for t in LETTERS.findall(c) if t in self.at)
-                if len(c) < 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[c] = f
-            for t in f:
-                counts[t] += n
-        return counts
+
+    def counts(self, text: str) -> dict[int, int]:
+        """Occurrences by term."""
+        at = self.at
+        return {at[w]: n for w, n in Counter(LETTERS.findall(text.lower())).items() if w in at}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of unit length; empty without any term."""
@@ -86,11 +80,12 @@ class Vocabulary:
 
 def label_gain(t1: np.ndarray, t0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """0 to 1 per term: how surely its share of label-1 examples (t1 of n1)
-    differs from that of the others (t0 of n0); 0 where a label has no example."""
+    differs from that of the others (t0 of n0); 0 within the noise and where a
+    label has no example."""
     if not n1 or not n0:
         return np.zeros(len(t1))
     z = np.abs(t1 / n1 - t0 / n0) / np.sqrt((t1 + t0 + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
-    return np.minimum(1.0, (z / SURE) ** 4)
+    return np.where(z > NOISE, np.minimum(1.0, (z / SURE) ** 4), 0.0)
 
 
 class Index:
@@ -118,7 +113,20 @@ class Index:
         self.terms = np.concatenate([e[2] for e in examples]).astype(np.int32) if examples else np.zeros(0, np.int32)
         self.weights = np.concatenate([e[3] for e in examples]).astype(np.float64) if examples else np.zeros(0)
         who = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))
+        self.block_first = np.flatnonzero(np.concatenate([[True], self.block_of[1:] != self.block_of[:-1]])) if self.size else np.zeros(0, np.int64)
+        # terms that count in votes
+        says = vocabulary.gain[self.terms] > 0
+        self.say_terms, self.say_weights = self.terms[says], self.weights[says] * vocabulary.gain[self.terms[says]]
+        self.say_first = np.concatenate([[0], np.cumsum(says)])[self.first]
+        # common terms as rows, the others as postings
+        common = np.flatnonzero(np.bincount(self.terms, minlength=len(vocabulary.at)) * ROWS >= max(self.size, BLOCK))
+        self.row_of = np.full(len(vocabulary.at), -1, np.int32)
+        self.row_of[common] = np.arange(len(common))
+        row = self.row_of[self.terms]
+        self.rows = np.zeros((len(common), self.size))
+        self.rows[row[row >= 0], who[row >= 0]] = self.weights[row >= 0]
         order = np.lexsort((who, self.terms))
+        order = order[row[order] < 0]
         self.post_who, self.post_weight, term = who[order], self.weights[order], self.terms[order].astype(np.int64)
         # one entry for each (term, block): its postings and their largest weight
         cell = term * max(1, self.blocks) + self.block_of[self.post_who] if len(term) else term
@@ -133,37 +141,50 @@ class Index:
         a, b = self.first[i], self.first[i + 1]
         return self.terms[a:b], self.weights[a:b]
 
-    def _sims(self, cells: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Exact cosines of the examples in the wanted blocks."""
+    def _lists(self, cells: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Sums over the postings of the wanted blocks."""
         use = wanted[self.cell_block[cells]]
         cells, weights = cells[use], weights[use]
         size = self.cell_first[cells + 1] - self.cell_first[cells]
         at = np.repeat(self.cell_first[cells] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return np.bincount(self.post_who[at], np.repeat(weights, size) * self.post_weight[at], self.size)
 
-    def nearest(self, vector, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, vectors: list) -> np.ndarray:
+        """The common terms' part of the cosines, a row per vector."""
+        q = np.zeros((len(vectors), len(self.rows)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row_of[terms]
+            q[i, row[row >= 0]] = weights[row >= 0]
+        return q @ self.rows
+
+    def nearest(self, vector, without: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each label the NEIGHBOURS examples with the highest cosine above
         0, all of them best first. The blocks with the highest bounds are scored
         first; then all those whose bound reaches the k-th best cosine that
-        their label has so far."""
+        their label has so far. ``common``: the vector's row of common()."""
         terms, weights = vector
-        a, n = self.term_first[terms], self.term_first[terms + 1] - self.term_first[terms]
-        if not n.sum():
+        if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
+        row = self.row_of[terms]
+        if common is None:
+            common = self.common([vector])[0]
+        terms, weights = terms[row < 0], weights[row < 0]
+        a, n = self.term_first[terms], self.term_first[terms + 1] - self.term_first[terms]
         cells = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         weight = np.repeat(weights, n)
-        bound = np.bincount(self.cell_block[cells], weight * self.cell_max[cells], self.blocks)  # a term has one cell in a block
+        # a term has one cell in a block
+        bound = np.bincount(self.cell_block[cells], weight * self.cell_max[cells], self.blocks) + np.maximum.reduceat(common, self.block_first)
         wanted = np.zeros(self.blocks, bool)
         for y in (0, 1):
             mine = np.flatnonzero(self.block_label == y)
             wanted[mine[np.argsort(-bound[mine], kind="stable")[:FIRST_BLOCKS]]] = True
-        sims = self._sims(cells, weight, wanted)
+        sims = self._lists(cells, weight, wanted) + common * wanted[self.block_of]
         if without >= 0:
             sims[without] = 0
         least = self._least(sims)
         more = (bound >= least[self.block_label] - 1e-9) & (bound > 0) & ~wanted  # rounding may lower a bound a little
         if more.any():
-            sims += self._sims(cells, weight, more)
+            sims += self._lists(cells, weight, more) + common * more[self.block_of]
             if without >= 0:
                 sims[without] = 0
             least = self._least(sims)
@@ -175,22 +196,22 @@ class Index:
         return who, sims[who]
 
     def _least(self, sims: np.ndarray) -> np.ndarray:
-        """The k-th best cosine of each label, 0 with fewer examples."""
+        """The k-th best cosine of each label, 0 with fewer above 0."""
         zeros = self.size - int(self.labels.sum())
-        return np.array([np.partition(s, -NEIGHBOURS)[-NEIGHBOURS] if len(s) > NEIGHBOURS else 0.0 for s in (sims[:zeros], sims[zeros:])])
+        above = [s[s > 0] for s in (sims[:zeros], sims[zeros:])]
+        return np.array([np.partition(s, -NEIGHBOURS)[-NEIGHBOURS] if len(s) > NEIGHBOURS else 0.0 for s in above])
 
     def votes(self, vector, who: np.ndarray) -> np.ndarray:
         """Votes for label 1 and label 0, and the logarithm of their ratio."""
         total = np.zeros(2)
         if len(who):
             terms, weights = vector
-            size = self.first[who + 1] - self.first[who]
-            at = np.repeat(self.first[who] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            theirs = self.terms[at]
+            size = self.say_first[who + 1] - self.say_first[who]
+            at = np.repeat(self.say_first[who] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            theirs = self.say_terms[at]
             k = np.minimum(np.searchsorted(terms, theirs), len(terms) - 1)
             both = terms[k] == theirs
-            part = weights[k[both]] * self.weights[at[both]] * self.vocabulary.gain[theirs[both]]
-            total = np.bincount(np.repeat(self.labels[who], size)[both], part, 2)
+            total = np.bincount(np.repeat(self.labels[who], size)[both], weights[k[both]] * self.say_weights[at[both]], 2)
         return np.array([total[1], total[0], math.log((total[1] + 1e-4) / (total[0] + 1e-4))])
 
     def calibrate(self, x: np.ndarray) -> None:
@@ -206,14 +227,17 @@ class Index:
             b += np.linalg.solve(h, a.T @ (weight * (y - p)) - 0.01 * b)
         self.beta = b
 
-    def score(self, text: str):
-        """(score, neighbours, cosines)."""
-        if not self.size:
-            return 0.0, np.zeros(0, np.int64), np.zeros(0)
-        vector = self.vocabulary.vector(text)
-        who, sims = self.nearest(vector)
-        at = float(self.votes(vector, who) @ self.beta[:-1] + self.beta[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, at)))), who, sims
+    def scores(self, texts: list):
+        """(score, neighbours, cosines) of each text, TOGETHER texts at a time."""
+        for at in range(0, len(texts), TOGETHER):
+            vectors = [self.vocabulary.vector(t or "") for t in texts[at:at + TOGETHER]]
+            if not self.size:
+                yield from ((0.0, np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
+                continue
+            for vector, common in zip(vectors, self.common(vectors)):
+                who, sims = self.nearest(vector, common=common)
+                x = float(self.votes(vector, who) @ self.beta[:-1] + self.beta[-1])
+                yield 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), who, sims
 
 
 def _term_counts(batches):
@@ -226,7 +250,7 @@ def _term_counts(batches):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], schema=schema)
     for b in batches:
         for text, y in zip(b.column("__text").to_pylist(), b.column("__y").to_pylist()):
-            held.update((t, y) for t in {t for c in set((text or "").lower().split()) for t in LETTERS.findall(c)})
+            held.update((t, y) for t in set(LETTERS.findall((text or "").lower())))
             if len(held) > 300_000:
                 yield out()
                 held = Counter()
@@ -318,8 +342,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
         index = shared.value
         for b in batches:
             score, evidence = [], []
-            for text in b.column("__text").to_pylist():
-                s, who, sims = index.score(text or "")
+            for s, who, sims in index.scores(b.column("__text").to_pylist()):
                 score.append(s)
                 evidence.append([{"example": int(index.ids[w]), "cosine": float(c), "label": int(index.labels[w])} for w, c in zip(who[:3], sims[:3])])
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(evidence, proof)],
