@@ -65,17 +65,20 @@ class Vocabulary:
         at = self.at
         return {at[w]: n for w, n in Counter(LETTERS.findall(text.lower())).items() if w in at}
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of unit length; empty without any term."""
+    def occurrences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms in order, how often each occurs)."""
         counts = self.counts(text)
-        if not counts:
-            return np.zeros(0, np.int32), np.zeros(0)
         terms = np.fromiter(counts, np.int32, len(counts))
-        n = np.fromiter(counts.values(), np.float64, len(counts))
         order = np.argsort(terms)
-        terms = terms[order]
-        w = (1 + np.log(n[order])) * self.idf[terms]
-        return terms, w / math.sqrt(float(w @ w))
+        return terms[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+
+    def weigh(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of unit length; empty without any term."""
+        w = (1 + np.log(n)) * self.idf[terms]
+        return terms, w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.weigh(*self.occurrences(text))
 
 
 def label_gain(t1: np.ndarray, t0: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -108,38 +111,44 @@ class Index:
         self.block_of = np.where(self.labels == 0, nth // BLOCK, block0 + (nth - zeros) // BLOCK).astype(np.int32)
         self.blocks = block0 + -(-ones // BLOCK)
         self.block_label = (np.arange(self.blocks) >= block0).astype(np.int64)
-        # the examples' own vectors, in order
-        self.first = np.concatenate([[0], np.cumsum([len(e[2]) for e in examples], dtype=np.int64)]) if examples else np.zeros(1, np.int64)
-        self.terms = np.concatenate([e[2] for e in examples]).astype(np.int32) if examples else np.zeros(0, np.int32)
-        self.weights = np.concatenate([e[3] for e in examples]).astype(np.float64) if examples else np.zeros(0)
-        who = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))
+        first = np.concatenate([[0], np.cumsum([len(e[2]) for e in examples], dtype=np.int64)]) if examples else np.zeros(1, np.int64)
+        terms = np.concatenate([e[2] for e in examples]).astype(np.int32) if examples else np.zeros(0, np.int32)
+        weights = np.concatenate([e[3] for e in examples]).astype(np.float64) if examples else np.zeros(0)
+        who = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(first))
         self.block_first = np.flatnonzero(np.concatenate([[True], self.block_of[1:] != self.block_of[:-1]])) if self.size else np.zeros(0, np.int64)
         # terms that count in votes
-        says = vocabulary.gain[self.terms] > 0
-        self.say_terms, self.say_weights = self.terms[says], self.weights[says] * vocabulary.gain[self.terms[says]]
-        self.say_first = np.concatenate([[0], np.cumsum(says)])[self.first]
+        says = vocabulary.gain[terms] > 0
+        self.say_terms, self.say_weights = terms[says], weights[says] * vocabulary.gain[terms[says]]
+        self.say_first = np.concatenate([[0], np.cumsum(says)])[first]
         # common terms as rows, the others as postings
-        common = np.flatnonzero(np.bincount(self.terms, minlength=len(vocabulary.at)) * ROWS >= max(self.size, BLOCK))
+        common = np.flatnonzero(np.bincount(terms, minlength=len(vocabulary.at)) * ROWS >= max(self.size, BLOCK))
         self.row_of = np.full(len(vocabulary.at), -1, np.int32)
         self.row_of[common] = np.arange(len(common))
-        row = self.row_of[self.terms]
+        row = self.row_of[terms]
         self.rows = np.zeros((len(common), self.size))
-        self.rows[row[row >= 0], who[row >= 0]] = self.weights[row >= 0]
-        order = np.lexsort((who, self.terms))
+        self.rows[row[row >= 0], who[row >= 0]] = weights[row >= 0]
+        order = np.lexsort((who, terms))
         order = order[row[order] < 0]
-        self.post_who, self.post_weight, term = who[order], self.weights[order], self.terms[order].astype(np.int64)
+        self.post_who, self.post_weight, term = who[order], weights[order], terms[order].astype(np.int64)
         # one entry for each (term, block): its postings and their largest weight
         cell = term * max(1, self.blocks) + self.block_of[self.post_who] if len(term) else term
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.cell_first = np.append(first, len(cell))
+        self.cell_first = np.append(first, len(cell)).astype(np.int32)
         self.cell_block = self.block_of[self.post_who[first]]
         self.cell_max = np.maximum.reduceat(self.post_weight, first) if len(first) else np.zeros(0)
-        self.term_first = np.searchsorted(term[first], np.arange(len(vocabulary.at) + 1))
+        self.term_first = np.searchsorted(term[first], np.arange(len(vocabulary.at) + 1)).astype(np.int32)
         self.beta = np.zeros(4)
+        self.shared = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"shared": None}
 
-    def vector_of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.first[i], self.first[i + 1]
-        return self.terms[a:b], self.weights[a:b]
+    def broadcast(self, spark):
+        """One broadcast for the calibration and all uses (the calibration itself
+        travels with the functions)."""
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self)
+        return self.shared
 
     def _lists(self, cells: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Sums over the postings of the wanted blocks."""
@@ -157,11 +166,12 @@ class Index:
             q[i, row[row >= 0]] = weights[row >= 0]
         return q @ self.rows
 
-    def nearest(self, vector, without: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, vector, without: int | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each label the NEIGHBOURS examples with the highest cosine above
         0, all of them best first. The blocks with the highest bounds are scored
         first; then all those whose bound reaches the k-th best cosine that
-        their label has so far. ``common``: the vector's row of common()."""
+        their label has so far. ``common``: the vector's row of common().
+        ``without``: an example id that is left out."""
         terms, weights = vector
         if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
@@ -178,15 +188,12 @@ class Index:
         for y in (0, 1):
             mine = np.flatnonzero(self.block_label == y)
             wanted[mine[np.argsort(-bound[mine], kind="stable")[:FIRST_BLOCKS]]] = True
-        sims = self._lists(cells, weight, wanted) + common * wanted[self.block_of]
-        if without >= 0:
-            sims[without] = 0
+        allowed = np.ones(self.size, bool) if without is None else self.ids != without
+        sims = (self._lists(cells, weight, wanted) + common * wanted[self.block_of]) * allowed
         least = self._least(sims)
         more = (bound >= least[self.block_label] - 1e-9) & (bound > 0) & ~wanted  # rounding may lower a bound a little
         if more.any():
-            sims += self._lists(cells, weight, more) + common * more[self.block_of]
-            if without >= 0:
-                sims[without] = 0
+            sims += (self._lists(cells, weight, more) + common * more[self.block_of]) * allowed
             least = self._least(sims)
         who = np.flatnonzero((sims > 0) & (sims >= least[self.labels] - 1e-9))
         who = who[np.lexsort((self.ids[who], -np.round(sims[who], 12)))]
@@ -214,9 +221,8 @@ class Index:
             total = np.bincount(np.repeat(self.labels[who], size)[both], weights[k[both]] * self.say_weights[at[both]], 2)
         return np.array([total[1], total[0], math.log((total[1] + 1e-4) / (total[0] + 1e-4))])
 
-    def calibrate(self, x: np.ndarray) -> None:
-        """Logistic fit of the labels on the examples' votes x (each without itself)."""
-        y = self.labels.astype(float)
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Logistic fit of the examples' labels y on their votes x (each without itself)."""
         share = y.mean()
         weight = np.where(y == 1, self.rate / max(share, 1e-9), (1 - self.rate) / max(1 - share, 1e-9))
         a = np.column_stack([x, np.ones(len(x))])
@@ -227,7 +233,7 @@ class Index:
             b += np.linalg.solve(h, a.T @ (weight * (y - p)) - 0.01 * b)
         self.beta = b
 
-    def scores(self, texts: list):
+    def scores(self, texts: list, beta: np.ndarray):
         """(score, neighbours, cosines) of each text, TOGETHER texts at a time."""
         for at in range(0, len(texts), TOGETHER):
             vectors = [self.vocabulary.vector(t or "") for t in texts[at:at + TOGETHER]]
@@ -236,7 +242,7 @@ class Index:
                 continue
             for vector, common in zip(vectors, self.common(vectors)):
                 who, sims = self.nearest(vector, common=common)
-                x = float(self.votes(vector, who) @ self.beta[:-1] + self.beta[-1])
+                x = float(self.votes(vector, who) @ beta[:-1] + beta[-1])
                 yield 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), who, sims
 
 
@@ -281,9 +287,10 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
     found = counts.toArrow().sort_by("term")
     terms = found.column("term").to_pylist()
     gain = label_gain(found.column("t1").to_numpy(), found.column("t0").to_numpy(), n1, n0)
-    idf = np.ones(len(terms))
-    if terms:
-        words = spark.sparkContext.broadcast(Vocabulary(terms, idf, gain))
+    vocabulary = Vocabulary(terms, np.ones(len(terms)), gain)
+    rows = []
+    if terms or totals:
+        words = spark.sparkContext.broadcast(vocabulary)
 
         def frequencies(batches):
             df, docs_seen = np.zeros(len(words.value.at), np.int64), 0
@@ -300,33 +307,31 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
         at, n = seen.column("term").to_numpy(), seen.column("n").to_numpy()
         df = np.zeros(len(terms))
         df[at[at >= 0]] = n[at >= 0]
-        idf = 1 + np.log((1 + float(n[at < 0].sum())) / (1 + df))
-    vocabulary = Vocabulary(terms, idf, gain)
-    shared = spark.sparkContext.broadcast(vocabulary)
+        vocabulary.idf = 1 + np.log((1 + float(n[at < 0].sum())) / (1 + df))
 
-    def vectors(batches):
-        for b in batches:
-            got = [shared.value.vector(t) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())],
-                                             names=["__id", "__y", "terms", "weights"])
+        def vectors(batches):
+            for b in batches:
+                got = [words.value.occurrences(t) for t in b.column("__text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())],
+                                                 names=["__id", "__y", "terms", "counts"])
 
-    rows = sorted(tuple(r) for r in examples.mapInArrow(vectors, "__id long, __y int, terms binary, weights binary").collect())
-    index = Index(vocabulary, [(i, y, np.frombuffer(t, np.int32), np.frombuffer(w, np.float64)) for i, y, t, w in rows], rate)
+        rows = sorted(tuple(r) for r in examples.mapInArrow(vectors, "__id long, __y int, terms binary, counts binary").collect())
+        words.destroy()  # all that was made with it has been collected
+    index = Index(vocabulary, [(i, y, *vocabulary.weigh(np.frombuffer(t, np.int32), np.frombuffer(n, np.int32))) for i, y, t, n in rows], rate)
     if index.size:
-        known = spark.sparkContext.broadcast(index)
+        known = index.broadcast(spark)
 
         def votes(batches):
             index = known.value
             for b in batches:
-                at = b.column("id").to_pylist()
                 got = []
-                for i in at:
-                    vector = index.vector_of(i)
+                for i, text in zip(b.column("__id").to_pylist(), b.column("__text").to_pylist()):
+                    vector = index.vocabulary.vector(text)
                     got.append(index.votes(vector, index.nearest(vector, without=i)[0]).tolist())
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.list_(pa.float64()))], names=["id", "votes"])
+                yield pa.RecordBatch.from_arrays([b.column("__y"), pa.array(got, pa.list_(pa.float64()))], names=["y", "votes"])
 
-        found = spark.range(index.size).mapInArrow(votes, "id long, votes array<double>").orderBy("id").collect()
-        index.calibrate(np.array([r["votes"] for r in found]))
+        found = sorted(tuple(r) for r in examples.mapInArrow(votes, "y int, votes array<double>").collect())
+        index.calibrate(np.array([f[1] for f in found]), np.array([f[0] for f in found], float))
     return index
 
 
@@ -334,7 +339,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
     """One row per row of ``docs``: the id, score, predicted (1 if the score is
     at least 0.5) and evidence: the three nearest examples with their cosine
     and label."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, beta = index.broadcast(docs.sparkSession), index.beta
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     proof = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
@@ -342,7 +347,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
         index = shared.value
         for b in batches:
             score, evidence = [], []
-            for s, who, sims in index.scores(b.column("__text").to_pylist()):
+            for s, who, sims in index.scores(b.column("__text").to_pylist(), beta):
                 score.append(s)
                 evidence.append([{"example": int(index.ids[w]), "cosine": float(c), "label": int(index.labels[w])} for w, c in zip(who[:3], sims[:3])])
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(evidence, proof)],
