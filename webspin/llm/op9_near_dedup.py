@@ -3,27 +3,34 @@
 1. Each text becomes its set of distinct word shingles (hashed to 64 bits), a
    signature of 64 minima and a 128-bit digest of the set. Texts with one set
    are one class, so exact copies never meet each other again.
-2. The forest holds 16 orders of one signature: order t starts at value 4t and
-   goes around. A region is the classes that agree on the first three values
-   of an order (two sets of likeness 0.85 share none with odds of 2.4 in 10
-   million, at 0.80 of 1 in 100,000). Regions of one class end here.
-3. All pairs of each remaining region are compared by signature. It proposes a
-   spanning forest of its likely pairs: as many pairs as lie between its
-   classes and no more, so that no group emits all its pairs. A region of more
-   than ``BLOCK`` classes is dealt out as pairs of sub-blocks, each of which
-   proposes its own forest, so that any two of its classes meet in a task.
-4. The proposals' components are the neighbourhoods: whatever links there are
+2. The forest holds several orders of the signature's values. A region is the
+   classes that agree on the first values of an order, as many as its depth.
+   Regions of one class end here.
+3. The depth adapts to the region. All begin with depth 3 in 16 orders. The
+   classes of a region of more than ``BLOCK`` classes go down to depth 6, where
+   64 orders make up for the deeper prefix, and from there to depth 9 in 256
+   orders. Before each step, the crowded classes are sorted by their signatures
+   in several orders, and neighbours by longest common prefix that look alike
+   are joined; a deeper region whose classes are all joined by then ends. What
+   is crowded at the last depth is dealt out: the largest joined group of a
+   region, in blocks, meets the blocks of the rest, and these each other.
+4. Inside a region, classes are sorted by the signature in the region's order.
+   Neighbours by longest common prefix that look alike form runs. All classes
+   outside the largest run are then compared with all classes, run by run. The
+   region proposes the neighbours and one pair for each two runs of a spanning
+   forest: never all its pairs.
+5. The proposals' components are the neighbourhoods: whatever links there are
    lie inside them. Each class sends its full shingle set to its neighbourhood
    once, and all intersections there are counted exactly. A neighbourhood of
-   more than ``BLOCK`` classes is dealt out as pairs of sub-blocks instead, so
+   more than ``BLOCK`` classes is first cut into blocks that share some of its
+   classes; the group that comes out largest then meets the rest in blocks, so
    that a task never holds more than about ``BLOCK`` sets. Each task returns a
    spanning forest of the true links.
-5. The components of these links are the result.
+6. The components of these links are the result.
 
-A pair is likely if its signatures agree on at least ``_least(percent)`` values:
-36 of 64 for 85 percent, 34 for 80. For a pair at the threshold, the odds of
-falling below (7.5 in a billion; 3.2 in 10 million) are under a tenth of those
-of sharing no region (2.4 in 10 million; 1 in 100,000).
+Two classes look alike if their signatures agree on at least ``_least(percent)``
+values: 36 of 64 for 85 percent, 34 for 80. ``_missed`` gives the odds that a
+pair shares no region of a depth; the README states them.
 
 Defined cases: null or wordless texts have an empty set and link with nothing;
 fewer than ``words`` words are one shingle; rows that share an id get a result
@@ -45,6 +52,12 @@ from webspin.llm import common as C
 
 VALUES, ORDERS, DEPTH = 64, 16, 3
 STEP = VALUES // ORDERS
+#: (depth, orders) of the regions and of those that crowded regions go down to.
+LEVELS = ((DEPTH, ORDERS), (6, 64), (9, 256))
+#: Orders in which crowded classes are sorted, and values of a sort key.
+SORTED, KEY = 16, 16
+#: Classes that all blocks of a large neighbourhood share, about.
+ANCHORS = 64
 #: Classes that are compared at once.
 BLOCK = 4096
 
@@ -108,17 +121,63 @@ def _profile(words: int):
     return run
 
 
-def _regions(batches):
-    """(region, class) for each order of the forest."""
-    for b in batches:
-        data, _ = C.string_view(b.column("sig"))
-        sig = np.ascontiguousarray(data).view(np.uint32).reshape(-1, VALUES).astype(np.uint64)
-        ids = np.asarray(b.column("cls"))
-        for t in range(ORDERS):
-            h = np.full(len(sig), t + 1, np.uint64)
-            for k in range(DEPTH):
-                h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, t * STEP + k])
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(ids)], names=["region", "cls"])
+def _orders(level: int) -> np.ndarray:
+    """The orders of a level, a row each: rotations of the signature at first,
+    permutations from a fixed seed below."""
+    if level == 0:
+        return (np.arange(ORDERS)[:, None] * STEP + np.arange(VALUES)) % VALUES
+    rng = np.random.default_rng(1000 + level)
+    return np.array([rng.permutation(VALUES) for _ in range(LEVELS[level][1])])
+
+
+def _signatures(column) -> np.ndarray:
+    data, _ = C.string_view(column)
+    return np.ascontiguousarray(data).view(np.uint32).reshape(-1, VALUES)
+
+
+def _regions(level: int):
+    """(region, order, class) for each order of a level of the forest."""
+    orders, depth = _orders(level), LEVELS[level][0]
+
+    def run(batches):
+        for b in batches:
+            sig = _signatures(b.column("sig")).astype(np.uint64)
+            for t, order in enumerate(orders):
+                h = np.full(len(sig), t + 1 + 1000 * level, np.uint64)
+                for k in range(depth):
+                    h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, order[k]])
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h)), pa.array(np.full(len(sig), t, np.int32)), b.column("cls")], names=["region", "ord", "cls"])
+    return run
+
+
+def _sort_keys(level: int):
+    """Classes with the beginning of their signature in each of SORTED orders."""
+    orders = _orders(level)[:SORTED]
+
+    def run(batches):
+        for b in batches:
+            sig = _signatures(b.column("sig"))
+            for t, order in enumerate(orders):
+                keys = np.ascontiguousarray(sig[:, order[:KEY]].astype(">u4"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), b.column("cls"), b.column("sig")],
+                                                 names=["ord", "key", "cls", "sig"])
+    return run
+
+
+def _adjacent(least: int):
+    """Neighbours of a sorted order that look alike."""
+    def run(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, sig = np.asarray(b.column("cls")), _signatures(b.column("sig"))
+            if last is not None:
+                ids, sig = np.append(last[0], ids), np.concatenate([last[1], sig])
+            last = ids[-1:], sig[-1:]
+            at = np.flatnonzero(((sig[1:] == sig[:-1]).sum(axis=1) >= least) & (ids[1:] != ids[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[at + 1])), pa.array(np.maximum(ids[at], ids[at + 1]))], schema=PAIR)
+    return run
 
 
 def _grouped(batches, column: str):
@@ -163,16 +222,31 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _agreement(sig: np.ndarray, least: int) -> np.ndarray:
+def _runs(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Pairs of rows that join all signatures of a region that look alike, over
+    others where need be. The rows come sorted, so that neighbours have the
+    longest common prefixes."""
     n = len(sig)
-    out = np.zeros((n, n), bool)
+    near = (sig[1:] == sig[:-1]).sum(axis=1) >= least
+    out = [(int(i), int(i) + 1) for i in np.flatnonzero(near)]
+    if near.all():
+        return out
+    first = np.flatnonzero(np.concatenate([[True], ~near]))
+    run = np.concatenate([[0], np.cumsum(~near)])
+    rest = np.flatnonzero(run != np.diff(np.append(first, n)).argmax())
+    met = np.zeros((len(first), len(first)), bool)
     step = max(1, (1 << 18) // n)
-    for at in range(0, n, step):
-        same = np.zeros((min(step, n - at), n), np.uint8)
+    for at in range(0, len(rest), step):
+        mine = rest[at:at + step]
+        same = np.zeros((len(mine), n), np.uint8)
         for k in range(VALUES):
-            same += sig[at:at + step, k, None] == sig[None, :, k]
-        out[at:at + step] = same >= least
-    return out
+            same += sig[mine, k, None] == sig[None, :, k]
+        by_run = np.logical_or.reduceat(same >= least, first, axis=1)
+        start = np.flatnonzero(np.concatenate([[True], run[mine[1:]] != run[mine[:-1]]]))
+        met[run[mine[start]]] |= np.logical_or.reduceat(by_run, start, axis=0)
+    met |= met.T
+    np.fill_diagonal(met, False)
+    return out + [(int(first[i]), int(first[j])) for i, j in _forest(met)]
 
 
 def _below(m: int, p: float) -> float:
@@ -187,7 +261,19 @@ def _least(percent: int) -> int:
     return max(m for m in range(VALUES + 1) if _below(m, p) <= 0.1 * (1 - p ** DEPTH) ** ORDERS)
 
 
+def _missed(level: int, p: float) -> float:
+    """Odds that a pair of likeness ``p`` shares no region of a level. Orders of
+    the first level have no value of their regions in common; those below are
+    permutations, which share a region with C(m, depth) / C(VALUES, depth) if m
+    values agree."""
+    depth, orders = LEVELS[level]
+    if level == 0:
+        return (1 - p ** depth) ** orders
+    return sum(math.comb(VALUES, m) * p ** m * (1 - p) ** (VALUES - m) * (1 - math.comb(m, depth) / math.comb(VALUES, depth)) ** orders for m in range(VALUES + 1))
+
+
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIRS = "a long, b long"
 
 
 def _pair_batch(pairs: set) -> pa.RecordBatch:
@@ -195,19 +281,21 @@ def _pair_batch(pairs: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=PAIR)
 
 
-def _propose(least: int):
+def _propose(least: int, level: int | None = None):
+    """Proposals of whole regions; their rows are sorted by the region's order
+    here if its ``level`` is given."""
     def run(batches):
+        orders = None if level is None else _orders(level)[:, LEVELS[level][0]:][:, :KEY]
         for t in _grouped(batches, "task"):
-            task, ids = np.asarray(t.column("task")), np.asarray(t.column("cls"))
-            data, _ = C.string_view(t.column("sig"))
-            sig = np.ascontiguousarray(data).view(np.uint32).reshape(-1, VALUES)
+            task, ids, sig = np.asarray(t.column("task")), np.asarray(t.column("cls")), _signatures(t.column("sig"))
+            order = None if level is None else np.asarray(t.column("ord"))
             cuts, out = _cuts(task), set()
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if b - a == 2:
-                    edges = [(0, 1)] if (sig[a] == sig[a + 1]).sum() >= least else []
-                else:
-                    edges = _forest(_agreement(sig[a:b], least)) if b - a > 1 else []
-                out.update((min(x, y), max(x, y)) for x, y in ((int(ids[a + i]), int(ids[a + j])) for i, j in edges) if x != y)
+                mine, s = ids[a:b], sig[a:b]
+                if b - a > 2 and order is not None:
+                    sort = np.lexsort(s[:, orders[order[a]][::-1]].T)
+                    mine, s = mine[sort], s[sort]
+                out.update((min(x, y), max(x, y)) for x, y in ((int(mine[i]), int(mine[j])) for i, j in _runs(s, least)) if x != y)
             if out:
                 yield _pair_batch(out)
     return run
@@ -259,13 +347,13 @@ def _confirm(percent: int):
 
 
 def _sets(words: int):
-    schema = pa.schema([("cls", pa.int64()), ("comp", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("cls", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
         for rows, data, off in C.text_pieces(batches, "__text"):
             sets = shingles(data, off, words)
             yield pa.RecordBatch.from_arrays([
-                rows.column("cls"), rows.column("comp"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                rows.column("cls"), rows.column("comp"), rows.column("size"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
     return run
 
@@ -297,21 +385,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: the id, n_shingles, component_id (smallest
     id reachable over links, itself included) and kept (id = component_id).
     Links join sets with 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
-    n = C.partitions(spark)
-    least = _least(percent)
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     prof = C.write_read(base.mapInArrow(_profile(words), "__id long, n_shingles long, digest binary, sig binary"), "profiles")
     # a class is named by the smallest id of its rows
     classes = C.write_read(prof.where("digest is not null and __id is not null").groupBy("digest").agg(F.min("__id").alias("cls"), F.first("sig").alias("sig")), "classes")
 
     nodes = classes.groupBy("cls").agg(F.min_by("sig", "digest").alias("sig"))
-    member = nodes.mapInArrow(_regions, "region long, cls long")
-    crowded = member.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = member.join(crowded, "region").join(nodes, "cls")
-    pairs = (_deal(member, "region").select("task", "cls", "sig").repartition(n, "task").sortWithinPartitions("task")
-             .mapInArrow(_propose(least), "a long, b long").distinct())
-    near = C.cut(components(pairs))
+    near = C.cut(components(_neighbourhoods(nodes, _least(percent))))
     comp = C.cut(components(_linked(base, near, words, percent)))
 
     named = classes.select("digest", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("digest", F.coalesce("comp", "cls").alias("__comp"))
@@ -320,28 +400,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), "n_shingles", comp_id.alias("component_id"), F.col("__id").eqNullSafe(comp_id).alias("kept"))
 
 
+def _neighbourhoods(nodes: DataFrame, least: int) -> DataFrame:
+    """Proposals (a, b) of all regions of the forest over ``nodes`` (cls, sig)."""
+    n = C.partitions(nodes.sparkSession)
+    crowd, proposed, joined = nodes, None, None
+    for level in range(len(LEVELS)):
+        member = crowd.mapInArrow(_regions(level), "region long, ord int, cls long")
+        if joined is None:
+            member = member.withColumn("comp", F.col("cls"))
+        else:
+            member = member.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        # a region whose classes are all joined has nothing left to propose
+        sizes = member.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        sizes = C.cut(sizes.where("low < high").select("region", "size"))
+        crowded = sizes.where(F.col("size") > BLOCK)
+        tasks = member.join(sizes.where(F.col("size") <= BLOCK), "region").select(F.col("region").alias("task"), "ord", "cls")
+        deeper = crowded.take(1)
+        if deeper and level + 1 == len(LEVELS):
+            tasks = tasks.unionByName(_deal(_cored(member.join(crowded, "region"), "region"), "region").select("task", "ord", "cls"))
+        pairs = tasks.join(nodes, "cls").repartition(n, "task").sortWithinPartitions("task").mapInArrow(_propose(least, level), PAIRS).distinct()
+        proposed = pairs if proposed is None else proposed.unionByName(pairs)
+        if not deeper or level + 1 == len(LEVELS):
+            return proposed
+        crowd = C.cut(member.join(crowded, "region", "left_semi").select("cls").distinct().join(nodes, "cls"))
+        keys = crowd.mapInArrow(_sort_keys(level + 1), "ord int, key binary, cls long, sig binary")
+        alike = keys.repartitionByRange(n, "ord", "key").sortWithinPartitions("ord", "key").mapInArrow(_adjacent(least), PAIRS)
+        proposed = C.cut(proposed.unionByName(alike.distinct()))
+        joined = C.cut(components(proposed))
+
+
+def _cored(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` (cls, comp and the size of the group) with ``core``, whether the
+    class is in the largest comp of its group, and that comp's size ``n_core``."""
+    comps = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"))
+    core = comps.groupBy(group).agg(F.max(F.struct("n", "comp")).alias("top")).select(group, F.col("top.n").alias("n_core"), F.col("top.comp").alias("__core"))
+    return rows.join(core, group).withColumn("core", F.col("comp") == F.col("__core")).drop("__core")
+
+
 def _deal(rows: DataFrame, group: str) -> DataFrame:
     """``rows`` (cls and the size of its group) by task. A group of at most
     ``BLOCK`` classes is one task; a larger one has a task for each pair of its
-    sub-blocks, so that any two of its classes share one."""
-    blocks = F.when(F.col("size") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("size") / (BLOCK // 2))).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("cls"), "blocks"))
-    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("mine")) | (F.col("blocks") == 1))
-    dealt = dealt.withColumn("other", F.explode(other))
-    return dealt.withColumn("task", F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other")))
+    sub-blocks, so that any two of its classes share one. With a joined core
+    (see ``_cored``), tasks pair a block of the rest with one of the core or of
+    the rest: the rows grow with the core times the blocks of the rest."""
+    half = BLOCK // 2
+    if "core" not in rows.columns:
+        rows = rows.withColumn("core", F.lit(False)).withColumn("n_core", F.lit(0))
+    rows = rows.withColumn("cores", F.ceil(F.col("n_core") / half).cast("int")).withColumn("rests", F.ceil((F.col("size") - F.col("n_core")) / half).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.hash("cls"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests"))))
+    each = lambda count: F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+    with_core = F.transform(each("cores"), lambda i: F.xxhash64(group, F.lit("core"), i, "mine"))
+    among = F.transform(F.filter(each("rests"), lambda j: (j != F.col("mine")) | ((F.col("rests") == 1) & (F.col("cores") == 0))),
+                        lambda j: F.xxhash64(group, F.least("mine", j), F.greatest("mine", j)))
+    tasks = F.when(F.col("size") <= BLOCK, F.array(F.xxhash64(group)))
+    tasks = tasks.when(F.col("core"), F.transform(each("rests"), lambda j: F.xxhash64(group, F.lit("core"), "mine", j)))
+    return rows.withColumn("task", F.explode(tasks.otherwise(F.concat(with_core, among))))
 
 
 def _linked(base: DataFrame, near: DataFrame, words: int, percent: int) -> DataFrame:
     """Spanning forests (a, b) of the links inside the neighbourhoods ``near``
     (node, comp)."""
-    n = C.partitions(base.sparkSession)
+    size = C.cut(near.groupBy("comp").agg(F.count(F.lit(1)).alias("size")))
+    near = near.select(F.col("node").alias("cls"), "comp").join(size, "comp")
+    out = _confirmed(_shingled(base, near.where(F.col("size") <= BLOCK), words).withColumn("task", F.xxhash64("comp")), percent)
+    if not size.where(F.col("size") > BLOCK).take(1):
+        return out
+    large = C.write_read(_shingled(base, near.where(F.col("size") > BLOCK), words), "neighbourhoods")
+    # blocks of a neighbourhood that share some classes find most of its links
+    blocks = F.ceil(F.col("size") / max(1, BLOCK // 2)).cast("int")
+    shared = F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.floor(F.col("size") / min(ANCHORS, max(1, BLOCK // 2))))) == 0
+    block = F.when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.hash("cls"), blocks)))
+    links = C.cut(_confirmed(large.withColumn("block", F.explode(block)).withColumn("task", F.xxhash64("comp", "block")), percent))
+    # the largest group that they make meets the rest
+    group = components(links).select(F.col("node").alias("cls"), F.col("comp").alias("found"))
+    rows = large.select("cls", F.col("comp").alias("group"), "size").join(group, "cls", "left").withColumn("comp", F.coalesce("found", "cls")).drop("found")
+    rows = _deal(_cored(rows, "group"), "group").select("task", "cls").join(large.select("cls", "shingles"), "cls")
+    return out.unionByName(links).unionByName(_confirmed(rows, percent))
+
+
+def _shingled(base: DataFrame, near: DataFrame, words: int) -> DataFrame:
+    """``near`` (cls, comp, size) with the shingle sets of the classes."""
     # the texts are dealt by id on purpose: a broadcast of the ids would grow with the corpus
-    texts = base.join(near.select(F.col("node").alias("cls"), "comp").hint("merge"), F.col("__id") == F.col("cls")).select("cls", "comp", "__text")
-    sets = texts.mapInArrow(_sets(words), "cls long, comp long, digest binary, shingles binary")
-    sets = sets.groupBy("cls", "comp").agg(F.min_by("shingles", "digest").alias("shingles"))
-    size = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    dealt = _deal(sets.join(size, "comp"), "comp").select("task", "cls", "shingles")
-    return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "a long, b long").distinct()
+    texts = base.join(near.hint("merge"), F.col("__id") == F.col("cls")).select("cls", "comp", "size", "__text")
+    sets = texts.mapInArrow(_sets(words), "cls long, comp long, size long, digest binary, shingles binary")
+    return sets.groupBy("cls", "comp", "size").agg(F.min_by("shingles", "digest").alias("shingles"))
+
+
+def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests of the links inside each task."""
+    rows = rows.select("task", "cls", "shingles").repartition(C.partitions(rows.sparkSession), "task").sortWithinPartitions("task")
+    return rows.mapInArrow(_confirm(percent), PAIRS).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
