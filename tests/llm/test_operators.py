@@ -151,6 +151,48 @@ def test_near_dedup_proposes_links_across_a_large_region(spark, monkeypatch):
     assert got == {(i, i + 1) for i in range(0, 200, 2)}
 
 
+def test_near_dedup_goes_deeper_in_crowded_regions(spark, monkeypatch):
+    monkeypatch.setattr(op9_near_dedup, "BLOCK", 64)
+    rng, n, values = np.random.default_rng(6), 2000, op9_near_dedup.VALUES
+    sig = rng.integers(0, 1 << 32, (n, values), dtype=np.uint32)
+    shared = rng.random((n, values)) < 0.5  # boilerplate: a region of each order holds an eighth of all
+    sig[shared] = np.broadcast_to(rng.integers(0, 1 << 32, values, dtype=np.uint32), sig.shape)[shared]
+    for i in range(0, 400, 2):  # pairs at the threshold
+        own = rng.random(values) < 0.15
+        sig[i + 1] = np.where(own, sig[i + 1], sig[i])
+    copy = sig[1000].copy()
+    for i in range(1000, 1500):  # near copies crowd regions of every depth
+        sig[i] = np.where(rng.random(values) < 0.05, sig[i], copy)
+    nodes = spark.createDataFrame([(i, bytearray(sig[i].tobytes())) for i in range(n)], "cls long, sig binary").repartition(4)
+    pairs = op9_near_dedup._neighbourhoods(nodes, 44)
+    edges = [(r.a, r.b) for r in pairs.collect()]
+    same = np.array([(sig == row).sum(axis=1) for row in sig])
+    assert edges and all(same[a, b] >= 44 for a, b in edges)
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a, b in edges:
+        up[find(a)] = find(b)
+    alike = [(int(a), int(b)) for a, b in np.argwhere(np.triu(same >= 44, 1))]
+    assert len(alike) > 100_000 and all(find(a) == find(b) for a, b in alike)
+    assert len(edges) < 40 * n  # a share of the pairs
+
+
+def test_near_dedup_deals_a_joined_core_against_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(op9_near_dedup, "BLOCK", 64)
+    rows = spark.createDataFrame([(0, i, 0 if i < 900 else i, 1000) for i in range(1000)], "region long, cls long, comp long, size long")
+    dealt = [(r.task, r.cls) for r in op9_near_dedup._deal(op9_near_dedup._cored(rows, "region"), "region").select("task", "cls").collect()]
+    tasks = collections.defaultdict(set)
+    for task, cls in dealt:
+        tasks[task].add(cls)
+    met = {(a, b) for t in tasks.values() for a in t for b in t if a < b}
+    assert all((a, b) in met for b in range(900, 1000) for a in range(b))  # the rest meets all
+    assert max(map(len, tasks.values())) < 2 * 64 and len(dealt) < 900 * 5 + 100 * 40
+
+
 def test_near_dedup_of_shared_boilerplate_by_sub_blocks(spark, monkeypatch):
     monkeypatch.setattr(op9_near_dedup, "BLOCK", 8)
     rng = random.Random(12)

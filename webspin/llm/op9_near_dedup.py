@@ -8,7 +8,7 @@
    Regions of one class end here.
 3. The depth adapts to the region. All begin with depth 3 in 16 orders. The
    classes of a region of more than ``BLOCK`` classes go down to depth 6, where
-   64 orders make up for the deeper prefix, and from there to depth 9 in 256
+   96 orders make up for the deeper prefix, and from there to depth 9 in 512
    orders. Before each step, the crowded classes are sorted by their signatures
    in several orders, and neighbours by longest common prefix that look alike
    are joined; a deeper region whose classes are all joined by then ends. What
@@ -53,7 +53,7 @@ from webspin.llm import common as C
 VALUES, ORDERS, DEPTH = 64, 16, 3
 STEP = VALUES // ORDERS
 #: (depth, orders) of the regions and of those that crowded regions go down to.
-LEVELS = ((DEPTH, ORDERS), (6, 64), (9, 256))
+LEVELS = ((DEPTH, ORDERS), (6, 96), (9, 512))
 #: Orders in which crowded classes are sorted, and values of a sort key.
 SORTED, KEY = 16, 16
 #: Classes that all blocks of a large neighbourhood share, about.
