@@ -204,20 +204,28 @@ PROMPT_TEMPLATES = [
 def render_prompts(msgs: DataFrame, style: str = "general", n: int = 6,
                    topic_col: str | None = None, objectives_col: str | None = None) -> DataFrame:
     """One prompt per user turn: template + topic + objectives + history + input."""
-    tmpl = dict(PROMPT_TEMPLATES).get(style, dict(PROMPT_TEMPLATES)["general"])
+    return render_styles(msgs, [style], n, topic_col, objectives_col).drop("style")
+
+
+def render_styles(msgs: DataFrame, styles: list[str], n: int = 6,
+                  topic_col: str | None = None, objectives_col: str | None = None) -> DataFrame:
+    """One prompt per user turn and style. The histories are built and
+    joined once, then each turn is written in every style."""
+    known = dict(PROMPT_TEMPLATES)
+    templates = F.array(*[F.struct(F.lit(s).alias("style"), F.lit(known.get(s, known["general"])).alias("_tmpl")) for s in styles])
     h = history_at_turn(msgs, n)
     base = msgs.where(F.col("role") == "user").select("conv_id", "turn", "text")
     if topic_col:
         base = base.withColumn("_topic", F.col(topic_col))
-    j = h.join(base, ["conv_id", "turn"])
+    j = h.join(base, ["conv_id", "turn"]).select("*", F.inline(templates))
     topic = F.col("_topic") if topic_col else F.concat(F.lit("session "), F.col("conv_id").cast("string"))
     objectives = (F.when(F.size(F.col(objectives_col)) > 0, F.array_join(F.col(objectives_col), ", "))
                   .otherwise(F.lit(DEFAULT_OBJECTIVES)) if objectives_col else F.lit(DEFAULT_OBJECTIVES))
-    p = F.lit(tmpl)
+    p = F.col("_tmpl")
     for name, val in (("{topic}", topic), ("{objectives}", objectives),
                       ("{history}", F.col("history")), ("{input}", F.col("text"))):
         p = F.replace(p, F.lit(name), val)
-    return j.select("conv_id", "turn", p.alias("prompt"))
+    return j.select("style", "conv_id", "turn", p.alias("prompt"))
 
 
 def workflow_continuity(msgs: DataFrame, min_distinct: float = 0.8) -> DataFrame:

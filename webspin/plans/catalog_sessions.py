@@ -80,12 +80,8 @@ def q_j15(spark, sf):
 
 def q_j15_styles(spark, sf):
     # every style once per turn, from one history
-    one = [J.render_prompts(_conv(spark, sf), style).select(F.lit(style).alias("style"), "conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
-           for style, _ in J.PROMPT_TEMPLATES]
-    out = one[0]
-    for o in one[1:]:
-        out = out.unionByName(o)
-    return out
+    return J.render_styles(_conv(spark, sf), [style for style, _ in J.PROMPT_TEMPLATES]) \
+        .select("style", "conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
 
 
 def q_j16(spark, sf):
