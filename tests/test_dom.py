@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,21 @@ def test_nesting_stays_linear():
         size.append(page(n))
         took.append(time.process_time() - t0)
     assert size[1] < 5 * size[0] and size[2] < 5 * size[1] and took[2] < 12 * took[1]
+
+
+def test_arrays_of_large_pages_are_handed_on(spark):
+    made = {}
+
+    class Pages:
+        columns = ["url", "html"]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, fn, schema):
+            made["fn"] = fn
+            return self
+    D.page_arrays(Pages())
+    rows = pa.RecordBatch.from_pydict({"page_id": list(range(30)), "url": ["u"] * 30, "html": ["<p>" + "word " * 20_000 + "</p>"] * 30, "host": pa.nulls(30, pa.string()), "own": pa.nulls(30, pa.list_(pa.string()))})
+    held = [b.num_rows for b in made["fn"](iter([rows]))]
+    assert sum(held) == 30 and max(held) <= 3  # 100,000 characters each
