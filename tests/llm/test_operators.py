@@ -371,6 +371,28 @@ def test_lm_learns_from_every_position(spark):
     assert touched[0].sum() == 4 * len(symbol)
 
 
+def test_lm_lists_a_word_once_per_block_and_sums_only_its_texts(spark):
+    texts = [("head " * 700_000, i) for i in range(4)]  # 3.5 MB each: four pieces
+    docs = spark.createDataFrame([(i, t + f"seldom{i % 2}") for t, i in texts], "__id long, __text string").withColumn("__held", F.lit(False)).coalesce(1)
+    model = op4_lm_score.Model({b"head": 1}, np.array([4.0, 2_800_000]), 2_800_008, 4, np.ones(op4_lm_score.TAIL), np.ones(op4_lm_score.TAIL))
+    got = docs.mapInArrow(op4_lm_score._score_blocks(spark.sparkContext.broadcast(model)), op4_lm_score.SCORED).where("ids is null").collect()
+    assert sorted(bytes(r.token) for r in got) == [b"seldom0", b"seldom1"]  # one row each, whatever the pieces
+    assert sorted(np.frombuffer(r.docs, np.int32).tolist() for r in got) == [[0, 2], [1, 3]]
+    one = [(b"x", 7, np.array([5000], np.int32).tobytes(), None, np.array([3], np.int32).tobytes(), 9)]
+    rows = spark.createDataFrame(one, "token binary, block long, docs binary, ids binary, n binary, c long").selectExpr(
+        "token", "c", "block", "docs", "ids", "cast(null as binary) as known_n", "cast(null as binary) as held", "cast(null as binary) as part", "cast(null as binary) as base", "n")
+    back = rows.mapInArrow(op4_lm_score._sum_words(), "block long, docs binary, ids binary, known_n binary, held binary, part binary, base binary, n binary").collect()
+    assert len(back[0].part) == 8 and np.frombuffer(back[0].part, float)[0] == pytest.approx(3 * math.log(9.5))  # not 5,001 sums
+
+
+def test_lm_tail_classes_of_whole_blocks():
+    texts = ["a bc def ghij ünï é", "", "x"]
+    raw = [t.encode() for t in texts]
+    t = op4_lm_score.Tokens(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    found = [t.low[a:a + n].tobytes() for a, n in zip(t.start.tolist(), t.size.tolist())]
+    assert sorted(found) == sorted(b" ".join(raw).split()) and t.tails().tolist() == [op4_lm_score.tail_class(w) for w in found]
+
+
 def test_language_models_learn_and_reject(spark):
     rng = random.Random(8)
     alphabets = {"aa": "abcde", "bb": "defgh", "cc": "xyzéß"}
