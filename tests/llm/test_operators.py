@@ -496,6 +496,34 @@ def test_toxicity_with_examples_of_one_label(spark):
     assert all(r.predicted == 0 for r in op2_toxicity.score_toxicity(frame(spark, docs), index).collect())
 
 
+@pytest.mark.parametrize("most", [1, 10**9])
+def test_toxicity_reads_lists_once_and_leaves_out_blocks(monkeypatch, most):
+    monkeypatch.setattr(op2_toxicity, "MOST", most)
+    rng = random.Random(5)
+    some = words(rng, 100).split()
+    texts = [f"{'the' if i < 640 else 'le'} " * 9 + " ".join(rng.sample(some, 3)) + " only" + words(rng, 1) * 3 for i in range(1280)]
+    terms = sorted({w for t in texts for w in t.split()})
+    vocabulary = op2_toxicity.Vocabulary(terms, np.array([0.9 if t in ("the", "le") else 1.0 for t in terms]), np.ones(len(terms)))
+    index = op2_toxicity.Index(vocabulary, [(i, i % 2, *vocabulary.vector(t)) for i, t in enumerate(texts)], 0.5)
+    calls, lists = [], index._lists
+    monkeypatch.setattr(index, "_lists", lambda first, last, weights: calls.append((last - first).sum()) or lists(first, last, weights))
+    found = list(index.scores(texts[:70], index.beta))
+    assert len(calls) == 70 and [int(index.ids[who[0]]) for _, who, _ in found] == list(range(70))
+    whole = 0
+    for t in texts[:70]:
+        at = vocabulary.vector(t)[0]
+        at = at[index.row_of[at] < 0]
+        whole += int((index.cell_first[index.term_first[at + 1]] - index.cell_first[index.term_first[at]]).sum())
+    assert len(index.cell_max) == len(set(zip(np.repeat(np.arange(len(terms)), np.diff(index.term_first)).tolist(), index.cell_block.tolist())))
+    assert sum(calls) < 0.7 * whole if most == 1 else sum(calls) == whole  # blocks of the other language are out
+
+
+def test_toxicity_words_are_runs_of_letters():
+    ascii_text, any_text = "".join(map(chr, range(128))) + " Ab_c9D-e", "".join(chr(i) + "a" for i in range(128, 0xD800)) + "\u212a x"
+    for t in (ascii_text, any_text, ""):
+        assert [w.decode() for w in op2_toxicity.words_of(t)] == re.findall(r"[^\W\d_]+", t.lower())
+
+
 def test_quality_learns_from_votes_alone(spark):
     rng = random.Random(11)
     good = [(i, ". ".join("The " + words(rng, 9) + " and the " + words(rng, 3) for _ in range(6)) + ".", "en") for i in range(150)]

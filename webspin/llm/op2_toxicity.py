@@ -9,11 +9,14 @@
 3. The examples are kept in an inverted index whose postings come in blocks of
    64 examples of one label, language and length, each with its largest weight.
    A term of an eighth of the examples or more has a full row of weights in place
-   of a list. For a text, the sums over rows, and the products of its other
-   weights with the maxima, bound the cosine of every block; the lists of the
-   blocks with the highest bounds are read first, then those of the blocks whose
-   bound reaches the k-th best cosine of their label so far, the others never.
-   The neighbours are exactly the k nearest of each label.
+   of a list; the rows are multiplied with many texts at once. For a text, the
+   sums over rows, and the products of its other weights with the maxima, bound
+   the cosine of every block. The sums over rows alone are no more than the
+   cosines, so blocks whose bound is below the k-th best of these of their label
+   hold no neighbour. Their postings are left out where they are many. Where
+   most blocks stay, whole lists are read at once, and those of the next texts
+   without asking for bounds. The neighbours are exactly the k nearest of each
+   label.
 4. The neighbours vote with the terms that they share with the text: each term's
    part of the cosine, times how surely its presence depends on the label.
    A logistic function of the votes of both labels and of their ratio, fitted on
@@ -32,6 +35,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +45,36 @@ from pyspark.sql import functions as F
 from webspin.llm import common as C
 
 EXAMPLES_PER_CLASS = 4000
-BLOCK, NEIGHBOURS, FIRST_BLOCKS = 64, 15, 4
+BLOCK, NEIGHBOURS = 64, 15
 #: Standard errors of a difference between labels at which a term counts in full.
 SURE = 5.0
 #: Standard errors up to which it counts nothing.
 NOISE = 2.0
 #: Terms of 1 / ROWS of the examples or more are kept as rows.
 ROWS = 8
+#: Lists are read whole unless fewer than 1 / MOST of a text's (term, block) entries stay.
+MOST = 2
+#: Texts whose lists are read whole, without bounds, after one whose bounds left out few.
+IDLE = 7
+#: Lists of fewer postings are gathered by index, longer ones copied one by one.
+SHORT = 48
 #: Texts whose common terms are multiplied at once.
 TOGETHER = 64
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of the texts whose words are looked up at once.
+LOOKED_UP = 1 << 20
+NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+#: ASCII signs that are no letters to a space.
+SPACES = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """The lower-cased runs of letters (``[^\\W\\d_]+``) in UTF-8."""
+    low = text.lower()
+    if not low.isascii():
+        for c in set(NOT_ASCII.findall(low)):
+            if c.isdecimal() or not c.isalnum():
+                low = low.replace(c, " ")
+    return low.encode().translate(SPACES).split()
 
 
 class Vocabulary:
@@ -60,17 +84,24 @@ class Vocabulary:
         self.at = {t: i for i, t in enumerate(terms)}
         self.idf, self.gain = idf, gain
 
-    def counts(self, text: str) -> dict[int, int]:
-        """Occurrences by term."""
-        at = self.at
-        return {at[w]: n for w, n in Counter(LETTERS.findall(text.lower())).items() if w in at}
-
-    def occurrences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms in order, how often each occurs)."""
-        counts = self.counts(text)
-        terms = np.fromiter(counts, np.int32, len(counts))
-        order = np.argsort(terms)
-        return terms[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+    def count(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, how often it occurs in it), in order; each distinct word
+        of the texts is looked up once."""
+        words = [words_of(t or "") for t in texts]
+        found = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+        kinds = found.dictionary.cast(pa.large_string()).to_pylist()
+        term = np.fromiter(map(self.at.get, kinds, repeat(-1)), np.int64, len(kinds))[found.indices.to_numpy()]
+        key = np.repeat(np.arange(len(texts)) << 32, [len(w) for w in words])[term >= 0] | term[term >= 0]
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(key)))
+        return key[first] >> 32, (key[first] & 0xFFFFFFFF).astype(np.int32), n
+
+    def counts(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms in order, how often each occurs) of each text."""
+        row, term, n = self.count(texts)
+        cut = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        return [(term[a:b], n[a:b].astype(np.int32)) for a, b in zip(cut, cut[1:])]
 
     def weigh(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of unit length; empty without any term."""
@@ -78,7 +109,31 @@ class Vocabulary:
         return terms, w / math.sqrt(float(w @ w)) if len(w) else w
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return self.weigh(*self.occurrences(text))
+        return self.weigh(*self.counts([text])[0])
+
+    def vectors(self, texts: list):
+        """The vector of each text, TOGETHER vectors at a time."""
+        for some in pieces(texts):
+            row, term, n = self.count(some)
+            w = (1 + np.log(n)) * self.idf[term]
+            w /= np.sqrt(np.bincount(row, w * w, len(some)))[row]
+            cut = np.searchsorted(row, np.arange(len(some) + 1)).tolist()
+            found = [(term[a:b], w[a:b]) for a, b in zip(cut, cut[1:])]
+            for a in range(0, len(found), TOGETHER):
+                yield found[a:a + TOGETHER]
+
+
+def pieces(texts: list):
+    """Runs of texts of LOOKED_UP characters or little more."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= LOOKED_UP:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def label_gain(t1: np.ndarray, t0: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -91,6 +146,13 @@ def label_gain(t1: np.ndarray, t0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(z > NOISE, np.minimum(1.0, (z / SURE) ** 4), 0.0)
 
 
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each span."""
+    at = np.repeat(first - (np.cumsum(size, dtype=first.dtype) - size), size)
+    at += np.arange(len(at), dtype=at.dtype)
+    return at
+
+
 class Index:
     """Labelled examples by term and block, and the calibration of their votes."""
 
@@ -104,21 +166,21 @@ class Index:
         self.ids = np.array([e[0] if e[0] is not None else -1 for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.int64)
         self.size = len(examples)
-        ones = int(self.labels.sum())
-        zeros = self.size - ones
-        block0 = -(-zeros // BLOCK)
+        self.zeros = self.size - int(self.labels.sum())
+        block0 = -(-self.zeros // BLOCK)
         nth = np.arange(self.size)
-        self.block_of = np.where(self.labels == 0, nth // BLOCK, block0 + (nth - zeros) // BLOCK).astype(np.int32)
-        self.blocks = block0 + -(-ones // BLOCK)
+        self.block_of = np.where(self.labels == 0, nth // BLOCK, block0 + (nth - self.zeros) // BLOCK).astype(np.int32)
+        self.blocks = block0 + -(-(self.size - self.zeros) // BLOCK)
         self.block_label = (np.arange(self.blocks) >= block0).astype(np.int64)
+        self.block_first = np.flatnonzero(np.concatenate([[True], self.block_of[1:] != self.block_of[:-1]])) if self.size else np.zeros(0, np.int64)
         first = np.concatenate([[0], np.cumsum([len(e[2]) for e in examples], dtype=np.int64)]) if examples else np.zeros(1, np.int64)
         terms = np.concatenate([e[2] for e in examples]).astype(np.int32) if examples else np.zeros(0, np.int32)
         weights = np.concatenate([e[3] for e in examples]).astype(np.float64) if examples else np.zeros(0)
         who = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(first))
-        self.block_first = np.flatnonzero(np.concatenate([[True], self.block_of[1:] != self.block_of[:-1]])) if self.size else np.zeros(0, np.int64)
         # terms that count in votes
         says = vocabulary.gain[terms] > 0
-        self.say_terms, self.say_weights = terms[says], weights[says] * vocabulary.gain[terms[says]]
+        self.say_of = np.where(vocabulary.gain > 0, np.cumsum(vocabulary.gain > 0) - 1, -1).astype(np.int32)
+        self.say_terms, self.say_weights = self.say_of[terms[says]], weights[says] * vocabulary.gain[terms[says]]
         self.say_first = np.concatenate([[0], np.cumsum(says)])[first]
         # common terms as rows, the others as postings
         common = np.flatnonzero(np.bincount(terms, minlength=len(vocabulary.at)) * ROWS >= max(self.size, BLOCK))
@@ -138,10 +200,11 @@ class Index:
         self.cell_max = np.maximum.reduceat(self.post_weight, first) if len(first) else np.zeros(0)
         self.term_first = np.searchsorted(term[first], np.arange(len(vocabulary.at) + 1)).astype(np.int32)
         self.beta = np.zeros(4)
-        self.shared = None
+        self.shared = self.dense = None
+        self.idle = 0
 
     def __getstate__(self):
-        return self.__dict__ | {"shared": None}
+        return self.__dict__ | {"shared": None, "dense": None, "idle": 0}
 
     def broadcast(self, spark):
         """One broadcast for the calibration and all uses (the calibration itself
@@ -150,13 +213,17 @@ class Index:
             self.shared = spark.sparkContext.broadcast(self)
         return self.shared
 
-    def _lists(self, cells: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Sums over the postings of the wanted blocks."""
-        use = wanted[self.cell_block[cells]]
-        cells, weights = cells[use], weights[use]
-        size = self.cell_first[cells + 1] - self.cell_first[cells]
-        at = np.repeat(self.cell_first[cells] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.post_who[at], np.repeat(weights, size) * self.post_weight[at], self.size)
+    def _lists(self, first: np.ndarray, last: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums over spans of the postings, each with its weight."""
+        if not len(first):
+            return np.zeros(self.size)
+        size = last - first
+        long = size >= SHORT
+        spans = [slice(a, b) for a, b in zip(first[long].tolist(), last[long].tolist())]
+        short = _places(first[~long], size[~long])
+        weight = np.concatenate([self.post_weight.take(short)] + [self.post_weight[s] for s in spans])
+        weight *= np.concatenate([np.repeat(weights[~long], size[~long]), np.repeat(weights[long], size[long])])
+        return np.bincount(np.concatenate([self.post_who.take(short)] + [self.post_who[s] for s in spans]), weight, self.size)
 
     def common(self, vectors: list) -> np.ndarray:
         """The common terms' part of the cosines, a row per vector."""
@@ -168,9 +235,9 @@ class Index:
 
     def nearest(self, vector, without: int | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each label the NEIGHBOURS examples with the highest cosine above
-        0, all of them best first. The blocks with the highest bounds are scored
-        first; then all those whose bound reaches the k-th best cosine that
-        their label has so far. ``common``: the vector's row of common().
+        0, all of them best first. Blocks whose bound is below the k-th best
+        sum over common terms of their label have none. ``common``: the
+        vector's row of common().
         ``without``: an example id that is left out."""
         terms, weights = vector
         if not len(terms):
@@ -179,23 +246,29 @@ class Index:
         if common is None:
             common = self.common([vector])[0]
         terms, weights = terms[row < 0], weights[row < 0]
-        a, n = self.term_first[terms], self.term_first[terms + 1] - self.term_first[terms]
-        cells = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        weight = np.repeat(weights, n)
-        # a term has one cell in a block
-        bound = np.bincount(self.cell_block[cells], weight * self.cell_max[cells], self.blocks) + np.maximum.reduceat(common, self.block_first)
-        wanted = np.zeros(self.blocks, bool)
-        for y in (0, 1):
-            mine = np.flatnonzero(self.block_label == y)
-            wanted[mine[np.argsort(-bound[mine], kind="stable")[:FIRST_BLOCKS]]] = True
-        allowed = np.ones(self.size, bool) if without is None else self.ids != without
-        sims = (self._lists(cells, weight, wanted) + common * wanted[self.block_of]) * allowed
-        least = self._least(sims)
-        more = (bound >= least[self.block_label] - 1e-9) & (bound > 0) & ~wanted  # rounding may lower a bound a little
-        if more.any():
-            sims += (self._lists(cells, weight, more) + common * more[self.block_of]) * allowed
-            least = self._least(sims)
-        who = np.flatnonzero((sims > 0) & (sims >= least[self.labels] - 1e-9))
+        allowed = None if without is None else self.ids != without
+        a, b = self.term_first[terms], self.term_first[terms + 1]
+        use = None
+        if not self.idle:
+            n = b - a
+            cells = _places(a, n)
+            weight, block = np.repeat(weights, n), self.cell_block.take(cells)
+            # a term has one cell in a block
+            bound = np.bincount(block, weight * self.cell_max.take(cells), self.blocks) + np.maximum.reduceat(common, self.block_first)
+            least = self._least(common if allowed is None else common * allowed)
+            wanted = (bound >= least[self.block_label] - 1e-9) & (bound > 0)  # rounding may lower a bound a little
+            use = wanted[block]
+        if use is not None and np.count_nonzero(use) * MOST < len(cells):
+            cells = cells[use]
+            sims = self._lists(self.cell_first[cells], self.cell_first[cells + 1], weight[use]) + common * wanted[self.block_of]
+        else:
+            self.idle = IDLE if use is not None else self.idle - 1
+            sims = self._lists(self.cell_first[a], self.cell_first[b], weights) + common
+        if allowed is not None:
+            sims *= allowed
+        least = self._least(sims) - 1e-9
+        who = np.concatenate([np.flatnonzero(sims[:self.zeros] >= least[0]), np.flatnonzero(sims[self.zeros:] >= least[1]) + self.zeros])
+        who = who[sims[who] > 0]
         who = who[np.lexsort((self.ids[who], -np.round(sims[who], 12)))]
         y = self.labels[who]
         nth = np.where(y == 1, np.cumsum(y), np.cumsum(1 - y))
@@ -204,21 +277,23 @@ class Index:
 
     def _least(self, sims: np.ndarray) -> np.ndarray:
         """The k-th best cosine of each label, 0 with fewer above 0."""
-        zeros = self.size - int(self.labels.sum())
-        above = [s[s > 0] for s in (sims[:zeros], sims[zeros:])]
-        return np.array([np.partition(s, -NEIGHBOURS)[-NEIGHBOURS] if len(s) > NEIGHBOURS else 0.0 for s in above])
+        return np.array([max(0.0, np.partition(s, -NEIGHBOURS)[-NEIGHBOURS]) if len(s) > NEIGHBOURS else 0.0 for s in (sims[:self.zeros], sims[self.zeros:])])
 
     def votes(self, vector, who: np.ndarray) -> np.ndarray:
         """Votes for label 1 and label 0, and the logarithm of their ratio."""
         total = np.zeros(2)
         if len(who):
-            terms, weights = vector
-            size = self.say_first[who + 1] - self.say_first[who]
-            at = np.repeat(self.say_first[who] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            theirs = self.say_terms[at]
-            k = np.minimum(np.searchsorted(terms, theirs), len(terms) - 1)
-            both = terms[k] == theirs
-            total = np.bincount(np.repeat(self.labels[who], size)[both], weights[k[both]] * self.say_weights[at[both]], 2)
+            if self.dense is None:
+                self.dense = np.zeros(int(self.say_of.max()) + 2)
+            terms, weights = self.say_of[vector[0]], vector[1]
+            self.dense[terms[terms >= 0]] = weights[terms >= 0]
+            first = self.say_first[who]
+            size = self.say_first[who + 1] - first
+            at = _places(first, size)
+            part = self.dense.take(self.say_terms.take(at))
+            part *= self.say_weights.take(at)
+            self.dense[terms[terms >= 0]] = 0
+            total = np.bincount(np.repeat(self.labels[who], size), part, 2)
         return np.array([total[1], total[0], math.log((total[1] + 1e-4) / (total[0] + 1e-4))])
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -234,9 +309,8 @@ class Index:
         self.beta = b
 
     def scores(self, texts: list, beta: np.ndarray):
-        """(score, neighbours, cosines) of each text, TOGETHER texts at a time."""
-        for at in range(0, len(texts), TOGETHER):
-            vectors = [self.vocabulary.vector(t or "") for t in texts[at:at + TOGETHER]]
+        """(score, neighbours, cosines) of each text."""
+        for vectors in self.vocabulary.vectors(texts):
             if not self.size:
                 yield from ((0.0, np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
                 continue
@@ -256,7 +330,7 @@ def _term_counts(batches):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], schema=schema)
     for b in batches:
         for text, y in zip(b.column("__text").to_pylist(), b.column("__y").to_pylist()):
-            held.update((t, y) for t in set(LETTERS.findall((text or "").lower())))
+            held.update((t.decode(), y) for t in set(words_of(text or "")))
             if len(held) > 300_000:
                 yield out()
                 held = Counter()
@@ -295,11 +369,10 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
         def frequencies(batches):
             df, docs_seen = np.zeros(len(words.value.at), np.int64), 0
             for b in batches:
-                for text in b.column("__text").to_pylist():
-                    docs_seen += 1
-                    has = list(words.value.counts(text or ""))
-                    if has:
-                        df[has] += 1
+                texts = b.column("__text").to_pylist()
+                docs_seen += len(texts)
+                for some in pieces(texts):
+                    df += np.bincount(words.value.count(some)[1], minlength=len(df))
             term = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], docs_seen))], names=["term", "n"])
 
@@ -311,7 +384,7 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
 
         def vectors(batches):
             for b in batches:
-                got = [words.value.occurrences(t) for t in b.column("__text").to_pylist()]
+                got = words.value.counts(b.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())],
                                                  names=["__id", "__y", "terms", "counts"])
 
@@ -324,10 +397,10 @@ def train(docs: DataFrame, labels: DataFrame, fold_ok, id_col: str = "doc_id", t
         def votes(batches):
             index = known.value
             for b in batches:
-                got = []
-                for i, text in zip(b.column("__id").to_pylist(), b.column("__text").to_pylist()):
-                    vector = index.vocabulary.vector(text)
-                    got.append(index.votes(vector, index.nearest(vector, without=i)[0]).tolist())
+                got, ids = [], iter(b.column("__id").to_pylist())
+                for vectors in index.vocabulary.vectors(b.column("__text").to_pylist()):
+                    for vector, common in zip(vectors, index.common(vectors)):
+                        got.append(index.votes(vector, index.nearest(vector, next(ids), common)[0]).tolist())
                 yield pa.RecordBatch.from_arrays([b.column("__y"), pa.array(got, pa.list_(pa.float64()))], names=["y", "votes"])
 
         found = sorted(tuple(r) for r in examples.mapInArrow(votes, "y int, votes array<double>").collect())
