@@ -5,6 +5,7 @@ columns with clashing names."""
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -371,6 +372,54 @@ def test_lm_learns_from_every_position(spark):
     assert touched[0].sum() == 4 * len(symbol)
 
 
+def test_lm_steps_are_those_of_plain_adagrad():
+    rng = np.random.default_rng(4)
+    counts = np.sort(rng.integers(1, 900, op4_lm_score.HEAD))[::-1].astype(float)
+    model = op4_lm_score.Model({b"w%d" % i: i for i in range(1, op4_lm_score.HEAD)}, counts, int(counts.sum()), 3000, np.full(op4_lm_score.TAIL, 70.0), np.full(op4_lm_score.TAIL, 20.0))
+    model.weights += rng.normal(0, 60, model.weights.shape).astype(np.float32)  # sums beyond what exponentials hold
+    want, place = pickle.loads(pickle.dumps(model)), np.arange(900) % 300
+    symbol = np.minimum(rng.zipf(1.3, 900) - 1, op4_lm_score.HEAD + op4_lm_score.TAIL - 1)
+    squares, touched = [np.zeros_like(model.weights), np.zeros_like(model.cells)], [np.zeros(op4_lm_score.ROWS), np.zeros(op4_lm_score.CELLS)]
+    model.learn(symbol, place, squares, touched)
+    rows, (common, group) = want.contexts(symbol, place), op4_lm_score._classes(symbol)
+    g = np.exp(want.class_logs(rows).astype(float))
+    g[np.arange(900), group] -= 1
+    total, cells = np.zeros(want.weights.shape), np.zeros(op4_lm_score.CELLS)
+    for r in rows:
+        np.add.at(total, r, g)
+    k = np.flatnonzero(common)
+    at = want.word_cells(rows[:, k], group[k])
+    g = np.exp(want.word_logs(rows[:, k], group[k]).astype(float))
+    g[np.arange(len(k)), symbol[k] % op4_lm_score.WIDTH] -= 1
+    for c in at:
+        np.add.at(cells, c, g)
+    for sums, was, now, square in ((total, want.weights, model.weights, squares[0]), (cells, want.cells, model.cells, squares[1])):
+        assert np.allclose(square, sums ** 2, rtol=1e-3, atol=1e-3) and np.allclose(now, was - op4_lm_score.RATE * sums / np.sqrt(sums ** 2 + 1), atol=1e-3)
+    assert touched[0].sum() == 4 * 900
+
+
+def test_lm_word_steps_keep_their_speed_after_a_broadcast():
+    model = op4_lm_score.Model({}, np.ones(1), 1, 1, np.ones(op4_lm_score.TAIL), np.ones(op4_lm_score.TAIL))
+    model = pickle.loads(pickle.dumps(model))
+    seen, add = [], np.add
+
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(add, name)
+
+        def __call__(self, *a, **k):
+            return add(*a, **k)
+
+        def at(self, x, index, y):
+            seen.append((x.shape, getattr(y, "dtype", None)))
+            add.at(x, index, y)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(np, "add", Spy())
+        model.learn(np.zeros(8, np.int64), np.arange(8), [np.zeros_like(model.weights), np.zeros_like(model.cells)], [np.zeros(op4_lm_score.ROWS), np.zeros(op4_lm_score.CELLS)])
+    values = [d for _, d in seen if d is not None]
+    assert len(values) == 4 and all(d is np.dtype(np.float64) for d in values)
+
+
 def test_lm_lists_a_word_once_per_block_and_sums_only_its_texts(spark):
     texts = [("head " * 700_000, i) for i in range(4)]  # 3.5 MB each: four pieces
     docs = spark.createDataFrame([(i, t + f"seldom{i % 2}") for t, i in texts], "__id long, __text string").withColumn("__held", F.lit(False)).coalesce(1)

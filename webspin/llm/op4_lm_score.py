@@ -54,6 +54,8 @@ ROWS, CELLS = 1 << 13, 1 << 18
 #: Rounds of training, each over all positions, and the step size.
 ROUNDS, RATE = 2, 0.15
 BATCH = 2048
+#: Lines and cells of a batch that are worked on at once, so that they stay in the cache.
+LINES, STRIP = 512, 1 << 14
 BLOCK_BYTES = 3 << 20
 #: Text of a block of scored rows, whose rare words are listed together.
 SCORE_BYTES = 16 << 20
@@ -190,10 +192,10 @@ class Model:
         keys = np.stack([a, a * s + b + np.uint64(1 << 21), b + np.uint64(1 << 42), c + np.uint64(1 << 43)])
         return (C.mix(keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).astype(np.int64)
 
-    def class_sums(self, rows: np.ndarray) -> np.ndarray:
+    def class_sums(self, rows: np.ndarray, out: np.ndarray | None = None, more: np.ndarray | None = None) -> np.ndarray:
         """The classes' weights for each position, not yet probabilities."""
-        z = self.weights.take(rows[0], axis=0)
-        more = np.empty_like(z)
+        z = self.weights.take(rows[0], axis=0, out=out, mode="clip")
+        more = np.empty_like(z) if more is None else more[:len(z)]
         for r in rows[1:]:
             z += self.weights.take(r, axis=0, out=more, mode="clip")
         z += self.class_bias
@@ -226,9 +228,10 @@ class Model:
         rare word in its class."""
         rows, out = self.contexts(symbol, place), np.empty(len(symbol))
         common, group = _classes(symbol)
+        buffers = [np.empty((BATCH, CLASSES), np.float32) for _ in range(2)]
         for at in range(0, len(symbol), BATCH):
             s = slice(at, at + BATCH)
-            out[s] = _logs_of(self.class_sums(rows[:, s]), group[s])
+            out[s] = _logs_of(self.class_sums(rows[:, s], buffers[0][:len(group[s])], buffers[1]), group[s])
             k = np.flatnonzero(common[s])
             if len(k):
                 g = group[s][k]
@@ -238,36 +241,79 @@ class Model:
     def learn(self, symbol: np.ndarray, place: np.ndarray, squares: list[np.ndarray], touched: list[np.ndarray]) -> None:
         """AdaGrad steps on all positions; ``touched`` counts the positions of
         each row, and of each row with each class of common words."""
-        rows, target = self.contexts(symbol, place), symbol
-        common, group = _classes(target)
-        for at in range(0, len(target), BATCH):
+        rows = self.contexts(symbol, place)
+        common, group = _classes(symbol)
+        gradient, sums = np.empty((BATCH, CLASSES), np.float32), np.zeros(CELLS)
+        buffers = [np.empty((LINES, CLASSES), np.float32) for _ in range(3)]
+        for at in range(0, len(symbol), BATCH):
             s = slice(at, at + BATCH)
             r, t = rows[:, s], group[s]
-            g = _shares(self.class_sums(r))
+            g = gradient[:len(t)]
+            for a in range(0, len(t), LINES):
+                _shares(self.class_sums(r[:, a:a + LINES], g[a:a + LINES], buffers[0]))
             g[np.arange(len(g)), t] -= 1
-            at_rows, n, total = _row_sums(g, r)
-            touched[0][at_rows] += n
-            of = squares[0][at_rows]
-            of += total * total
-            squares[0][at_rows] = of
-            of += 1
-            total *= RATE
-            total /= np.sqrt(of, out=of)
-            self.weights[at_rows] -= total
+            self._step_rows(g, r, squares[0], touched[0], buffers)
             k = np.flatnonzero(common[s])
             if len(k):
-                r, t = r[:, k], t[k]
-                cells = self.word_cells(r, t)
-                g = _shares(self.word_sums(cells, t))
-                g[np.arange(len(k)), target[s][k] % WIDTH] -= 1
-                total = np.bincount(cells.ravel(), np.broadcast_to(g, cells.shape).ravel(), CELLS).astype(np.float32)
+                r, t, word = r[:, k], t[k], symbol[s][k] % WIDTH
+                for a in range(0, len(k), LINES):
+                    of = slice(a, a + LINES)
+                    cells = self.word_cells(r[:, of], t[of])
+                    g = _shares(self.word_sums(cells, t[of]))
+                    g[np.arange(len(g)), word[of]] -= 1
+                    g = g.ravel().astype(np.float64)  # add.at is slow on the dtype objects of a model that was sent to a task
+                    for c in cells:
+                        np.add.at(sums, c.ravel(), g)
                 np.add.at(touched[1], (r * (HEAD // WIDTH) + t).ravel(), 1.0)
-                of = total * total
-                squares[1] += of
-                np.add(squares[1], 1, out=of)
-                total *= RATE
-                total /= np.sqrt(of, out=of)
-                self.cells -= total
+                self._step_cells(sums, squares[1])
+
+    def _step_rows(self, g: np.ndarray, rows: np.ndarray, squares: np.ndarray, touched: np.ndarray, buffers: list[np.ndarray]) -> None:
+        """A step of the distinct values of ``rows``, each with the sum of the
+        lines of ``g`` where it occurs; a column of ``rows`` belongs to a line of
+        ``g``. Rows are taken by falling number of entries, so that the nth entries
+        of all rows that have one are added to the first lines of the sums."""
+        flat = rows.ravel().astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
+        key, line = flat[order], np.tile(np.arange(len(g)), len(rows))[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(flat)))
+        by = np.argsort(-n, kind="stable")
+        first, n = first[by], n[by]
+        at_rows = key[first].astype(np.int64)
+        touched[at_rows] += n
+        for a in range(0, len(n), LINES):
+            f, m, r = first[a:a + LINES], n[a:a + LINES], at_rows[a:a + LINES]
+            total, more, of = (x[:len(f)] for x in buffers)
+            g.take(line[f], axis=0, out=total, mode="clip")
+            for k in range(1, min(int(m[0]), RANKS)):
+                have = int(np.searchsorted(-m, -k))
+                total[:have] += g.take(line[f[:have] + k], axis=0, out=more[:have], mode="clip")
+            have = int(np.searchsorted(-m, -RANKS))
+            if have:
+                size = m[:have] - RANKS
+                total[:have] += np.add.reduceat(g[gather_spans(line, f[:have] + RANKS, size)], np.cumsum(size) - size, axis=0)
+            squares.take(r, axis=0, out=of, mode="clip")
+            of += np.multiply(total, total, out=more)
+            squares[r] = of
+            of += 1
+            total *= RATE
+            total /= np.sqrt(of, out=of)
+            self.weights.take(r, axis=0, out=of, mode="clip")
+            of -= total
+            self.weights[r] = of
+
+    def _step_cells(self, sums: np.ndarray, squares: np.ndarray) -> None:
+        """A step of all cells; ``sums`` are zero afterwards."""
+        total, of = np.empty((2, STRIP), np.float32)
+        for a in range(0, CELLS, STRIP):
+            square = squares[a:a + STRIP]
+            total[:] = sums[a:a + STRIP]
+            sums[a:a + STRIP] = 0
+            square += np.multiply(total, total, out=of)
+            np.sqrt(np.add(square, 1, out=of), out=of)
+            total *= RATE
+            total /= of
+            self.cells[a:a + STRIP] -= total
 
     def touched_cells(self, pairs: np.ndarray) -> np.ndarray:
         """Positions that touched each cell, from those of each row with each
@@ -307,29 +353,6 @@ def _shares(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(each distinct value of ``rows``, how often it occurs, sum of the lines of
-    ``g`` where it occurs); a column of ``rows`` belongs to a line of ``g``. Rows
-    are taken by falling number of entries, so that the nth entries of all rows
-    that have one are added to the first lines of the sums."""
-    flat = rows.ravel().astype(np.uint16)
-    order = np.argsort(flat, kind="stable")
-    key = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    n = np.diff(np.append(first, len(flat)))
-    by = np.argsort(-n, kind="stable")
-    first, n, line = first[by], n[by], order % len(g)
-    total = g[line[first]]
-    for k in range(1, min(int(n[0]), RANKS)):
-        have = int(np.searchsorted(-n, -k))
-        total[:have] += g[line[first[:have] + k]]
-    have = int(np.searchsorted(-n, -RANKS))
-    if have:
-        size = n[:have] - RANKS
-        total[:have] += np.add.reduceat(g[gather_spans(line, first[:have] + RANKS, size)], np.cumsum(size) - size, axis=0)
-    return key[first].astype(np.int64), n, total
-
-
 def _count_tokens(batches):
     schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
     for _, data, off in C.text_pieces(batches, "__text", BLOCK_BYTES):
